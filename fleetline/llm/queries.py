@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetline.llm import langid, mixing, secrets, toxicity
+from fleetline.llm import decontaminate, langid, mixing, neardup, secrets, tokenfile, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """Path of the tokenizer file that op10 and the pipeline use."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return leaks.select(F.col("k.id").alias("doc_id"), "item_id", "n_windows", "n_matched", "coverage", "n_slots", "consistency")
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_class")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
 
@@ -31,12 +47,19 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.encode_documents(spark, _table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_decontamination": op3_decontamination,
+        "op4_near_duplicates": op4_near_duplicates,
         "op6_secrets": op6_secrets,
         "op7_mixing": op7_mixing,
         "op8_toxicity": op8_toxicity,
         "op9_langid": op9_langid,
+        "op10_token_file": op10_token_file,
     }
 
 
