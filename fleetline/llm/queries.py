@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetline.llm import decontaminate, langid, mixing, neardup, secrets, tokenfile, toxicity
+from fleetline.llm import decontaminate, langid, linededup, mixing, neardup, secrets, tokenfile, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return leaks.select(F.col("k.id").alias("doc_id"), "item_id", "n_windows", "n_matched", "coverage", "n_slots", "consistency")
@@ -53,6 +58,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_near_duplicates": op4_near_duplicates,
         "op6_secrets": op6_secrets,
@@ -64,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": linededup.SQL}
