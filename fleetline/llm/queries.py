@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetline.llm import decontaminate, langid, linededup, mixing, neardup, secrets, tokenfile, toxicity
+from fleetline.llm import ann, decontaminate, langid, linededup, mixing, neardup, secrets, tokenfile, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usable_vectors(_table(spark, sf_dir, "embeddings"))
+    return ann.nearest(vectors, vectors.filter(F.col("id") % 100 == 0), 10)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return leaks.select(F.col("k.id").alias("doc_id"), "item_id", "n_windows", "n_matched", "coverage", "n_slots", "consistency")
@@ -59,6 +64,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_nearest": op2_nearest,
         "op3_decontamination": op3_decontamination,
         "op4_near_duplicates": op4_near_duplicates,
         "op6_secrets": op6_secrets,
