@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetline.llm import ann, decontaminate, langid, linededup, mixing, neardup, secrets, tokenfile, toxicity
+from fleetline.llm import ann, decontaminate, katz, langid, linededup, mixing, neardup, secrets, tokenfile, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_class")
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_nearest": op2_nearest,
         "op3_decontamination": op3_decontamination,
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_katz": op5_katz,
         "op6_secrets": op6_secrets,
         "op7_mixing": op7_mixing,
         "op8_toxicity": op8_toxicity,
