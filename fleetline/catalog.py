@@ -2,14 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from fleetline.plans import metric_queries, rollup_queries, schedule_queries  # noqa: F401  registers its queries
+from fleetline.plans.registry import oracle_sql, queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]

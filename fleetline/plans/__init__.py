@@ -1 +1 @@
-
+"""Queries: operators applied to whole tables, each with its SQL."""

@@ -1 +1 @@
-
+"""Sources and sinks: static feeds, archives, keyed tables."""
