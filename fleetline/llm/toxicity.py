@@ -16,6 +16,7 @@ null labels are left out.  Nothing but the text enters a score.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import TOKEN_CACHE, remainder, text_of
+from fleetline.llm.common import TOKEN_CACHE, materialise, remainder, text_of
 
 _TERM = re.compile(r"[^\W\d_]+")
 MAX_ROWS = 16_000
@@ -58,27 +59,17 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.bias + linear + 0.5 * pairs, -30, 30)))
 
 
-def _train(docs: list[np.ndarray], y: np.ndarray, *, max_terms: int, rank: int, epochs: int, rate: float, decay: float, seed: int) -> FactorizationMachine:
-    none = np.empty(0, np.int64)
+def _train(buckets: np.ndarray, docs: list[list[int]], y: np.ndarray, *, rank: int, epochs: int, rate: float, decay: float, seed: int) -> FactorizationMachine:
+    """Fit on documents given as places in ``buckets`` (sorted hashed terms)."""
     share = float(y.mean()) if len(y) else 0.0
     bias = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     if share in (0.0, 1.0):
-        return FactorizationMachine(bias, none, np.empty(0), np.empty((0, rank)))
-    ids, cols = np.unique(np.concatenate(docs), return_inverse=True)
+        return FactorizationMachine(bias, np.empty(0, np.int64), np.empty(0), np.empty((0, rank)))
     rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    n1, n = np.bincount(cols, y[rows], len(ids)), np.bincount(cols, minlength=len(ids))
-    # signed root of the likelihood ratio of term and label
-    expect = n * share
-    gain = n1 * np.log(np.maximum(n1, 1e-9) / expect) + (n - n1) * np.log(np.maximum(n - n1, 1e-9) / np.maximum(n - expect, 1e-9))
-    sure = (n >= 3) & (gain >= np.log(len(ids)))  # more than the best of as many unrelated terms would show
-    pick = np.sort(np.argsort(-np.where(sure, gain, -1), kind="stable")[: min(max_terms, int(sure.sum()))])
-    place = np.full(len(ids), -1)
-    place[pick] = np.arange(len(pick))
-    keep = place[cols] >= 0
-    rows, cols = rows[keep], place[cols][keep]
+    cols = np.fromiter((c for d in docs for c in d), np.int64, len(rows))
     start = np.searchsorted(rows, np.arange(len(docs) + 1))
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(pick)), rng.normal(0, 0.01, (len(pick), rank))
+    w, v = np.zeros(len(buckets)), rng.normal(0, 0.01, (len(buckets), rank))
     moments = [np.zeros_like(x) for x in (w, v, w, v)]
     b, step = bias, 0
     for _ in range(epochs):
@@ -103,7 +94,7 @@ def _train(docs: list[np.ndarray], y: np.ndarray, *, max_terms: int, rank: int,
                 moments[m] = 0.9 * moments[m] + 0.1 * g
                 moments[s] = 0.999 * moments[s] + 0.001 * g * g
                 x -= rate * (moments[m] / (1 - 0.9**step)) / (np.sqrt(moments[s] / (1 - 0.999**step)) + 1e-8)
-    return FactorizationMachine(float(b), ids[pick], w, v)
+    return FactorizationMachine(float(b), buckets, w, v)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, rank: int = 4, epochs: int = 12, rate: float = 0.02, decay: float = 2e-5, seed: int = 3) -> FactorizationMachine:
@@ -119,9 +110,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", ma
     def hashed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sorted({b for w in words_of(t) for b in buckets_of(w)}))
 
-    rows = some.select("doc_id", "y", F.xxhash64("text").alias("h"), hashed("text").alias("terms")).toPandas()
-    rows = rows.sort_values(["doc_id", "h"]).groupby("h", sort=False).agg({"y": "max", "terms": "first"})  # copies count once
-    return _train([np.asarray(t, np.int64) for t in rows["terms"]], rows["y"].to_numpy(float), max_terms=max_terms, rank=rank, epochs=epochs, rate=rate, decay=decay, seed=seed)
+    some = some.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.max("y").alias("y"))  # copies count once
+    rows = materialise(some.select("h", "y", hashed("text").alias("terms")), "toxic-terms")
+    total = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.avg("y"), F.lit(0.0)).alias("share")).first()
+    share = F.lit(min(max(total["share"], 1e-9), 1 - 1e-9))
+    stats = rows.select("y", F.explode("terms").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"))
+    part = lambda k, of: F.when(k > 0, k * F.log(k / of)).otherwise(0.0)
+    gain = part(F.col("n1"), F.col("n") * share) + part(F.col("n") - F.col("n1"), F.col("n") * (1 - share))
+    stats = stats.select("b", "n", gain.alias("gain"))
+    # more than the best of as many unrelated terms would show
+    least = math.log(max(1, stats.count()))
+    best = stats.filter((F.col("n") >= 3) & (F.col("gain") >= least)).orderBy(F.desc("gain"), "b").limit(max_terms).select("b").toPandas()
+    buckets = np.sort(best["b"].to_numpy(np.int64))
+    place = {int(b): i for i, b in enumerate(buckets)}
+
+    @F.pandas_udf("array<int>")
+    def known(terms: pd.Series) -> pd.Series:
+        return terms.map(lambda ts: [place[t] for t in ts if t in place])
+
+    sample = rows.select("h", "y", known("terms").alias("at")).orderBy("h").toPandas()
+    return _train(buckets, list(sample["at"]), sample["y"].to_numpy(float), rank=rank, epochs=epochs, rate=rate, decay=decay, seed=seed)
 
 
 class _Known(dict):
