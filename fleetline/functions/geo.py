@@ -14,7 +14,8 @@ DEGREE_M = EARTH_M * math.pi / 180
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    # not least(), which would turn a missing point into the largest distance
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

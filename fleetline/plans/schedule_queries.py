@@ -184,7 +184,8 @@ def _(fx):
 
 
 def hav_sql(a: str, b: str, c: str, d: str) -> str:
-    return f"2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
+    x = f"pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)"
+    return f"2 * 6371000.0::DOUBLE * asin(sqrt(CASE WHEN {x} > 1 THEN 1 ELSE {x} END))"
 
 
 def bearing_sql(a: str, b: str, c: str, d: str) -> str:

@@ -65,6 +65,7 @@ def test_grades(spark):
 def test_geometry(spark):
     p = [F.lit(x) for x in (38.9, -77.0, 39.9, -77.0)]
     assert abs(value(spark, geo.haversine_m(*p)) - geo.DEGREE_M) < 1e-6
+    assert value(spark, geo.haversine_m(F.lit(None).cast("double"), *p[1:])) is None
     assert value(spark, geo.bearing_deg(*p)) == 0.0
     assert value(spark, geo.cardinal8(F.lit(337.5))) == "N" and value(spark, geo.cardinal8(F.lit(337.4))) == "NW"
     assert value(spark, geo.bearing_distance(F.lit(350.0), F.lit(10.0))) == 20.0
