@@ -1,6 +1,6 @@
 """Line dedup with a log-template tree, on DataFrame functions alone.
 
-A line's tokens are what stands between ASCII white space, A-Z lower-cased.  A token
+A line's tokens are what stands between ASCII white space, lower-cased.  A token
 that holds a digit is a variable field (``<*>``) from the start.  The tree is of fixed
 depth: its first level is the number of tokens, the next ``depth`` levels are the
 leading tokens.  In a leaf, a token is constant at its place if at least the share
@@ -34,12 +34,14 @@ SIMILARITY = 0.7
 MIN_DOCS = 4
 MIN_TOKENS = 4
 VARIABLE = "<*>"
+#: a table of at most this many rows (of under 100 bytes or so) is broadcast, a larger one shuffled
+BROADCAST_ROWS = 1_000_000
 _SPACE = r"[\x20\x09-\x0D]+"
+_BLANK = " \t\n\x0b\f\r"
 
 
 def _tokens(line: Column) -> Column:
-    low = F.translate(F.regexp_replace(line, rf"^{_SPACE}|{_SPACE}$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.split(low, _SPACE)
+    return F.split(F.trim(line, F.lit(_BLANK)), _SPACE)
 
 
 def _masked(tokens: Column) -> Column:
@@ -48,14 +50,20 @@ def _masked(tokens: Column) -> Column:
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """t (hash of the text), pos (from 0), tokens, leaf of every line that counts."""
-    rows = docs.select(F.xxhash64(text_of()).alias("t"), F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
+    rows = docs.select(F.xxhash64(text_of()).alias("t"), F.posexplode(F.split(F.lower(text_of()), "\n")).alias("pos", "line"))
     rows = rows.select("t", "pos", _tokens(F.col("line")).alias("tokens")).filter(F.size("tokens") >= min_tokens)
     return rows.select("t", "pos", "tokens", F.xxhash64(F.size("tokens"), _masked(F.slice("tokens", 1, depth))).alias("leaf"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A materialised table, to be broadcast if its size allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, constant: float = CONSTANT, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """t, at (places of lines in the text), template, n_docs: every line with a recurring template."""
     busy = _lines(docs, depth, min_tokens).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf")
+    busy = _small(materialise(busy, "busy-leaves"))
     lines = _lines(docs, depth, min_tokens).join(busy, "leaf").select("t", "pos", "leaf", F.array_join(_masked(F.col("tokens")), " ").alias("masked"))
     lines = lines.groupBy("leaf", "masked", "t").agg(F.collect_set("pos").alias("at"), F.count(F.lit(1)).alias("n"))
     # rows of one text give a line's places as often as there are such rows
@@ -66,12 +74,14 @@ def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, constant: float = CO
     places = masked.select("leaf", "docs", "leaf_docs", F.posexplode(F.split("masked", " ")).alias("place", "token")).filter(F.col("place") >= depth)
     fixed = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n"), F.max("leaf_docs").alias("leaf_docs"))
     fixed = fixed.filter(F.col("n") >= F.col("leaf_docs") * constant)  # so 1 / constant tokens a place at most
-    fixed = fixed.groupBy("leaf").agg(F.collect_list(F.struct("place", "token")).alias("fixed"))
-    is_fixed = F.transform(F.split("masked", " "), lambda x, i: (i < depth) | F.coalesce(F.array_contains("fixed", F.struct(i.alias("place"), x.alias("token"))), F.lit(False)))
+    fixed = fixed.groupBy("leaf", "place").agg(F.collect_list("token").alias("tokens"))
+    fixed = fixed.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "tokens"))).alias("fixed"))
+    is_fixed = F.transform(F.split("masked", " "), lambda x, i: (i < depth) | F.coalesce(F.array_contains(F.try_element_at("fixed", i), x), F.lit(False)))
     found = masked.join(fixed, "leaf", "left").select("leaf", "masked", "docs", is_fixed.alias("is_fixed"))
     alike = F.size(F.filter("is_fixed", lambda x: x)) - depth >= (F.size("is_fixed") - depth) * F.lit(similarity)
     general = F.array_join(F.transform(F.arrays_zip(F.split("masked", " ").alias("x"), "is_fixed"), lambda z: F.when(z["is_fixed"], z["x"]).otherwise(VARIABLE)), " ")
     found = found.select("leaf", "masked", "docs", F.when(alike, general).otherwise(F.col("masked")).alias("template"))
+    found = materialise(found, "templates")
     often = found.groupBy("leaf", "template").agg(F.sum("docs").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
     found = found.join(often, ["leaf", "template"]).select("leaf", "masked", "template", "n_docs")
     return lines.join(found, ["leaf", "masked"]).select("t", "at", "template", "n_docs")
@@ -80,6 +90,7 @@ def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, constant: float = CO
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with recurring lines cut from ``text``; n_lines and n_dropped are added at the end."""
     drop = recurring_lines(docs, **options).groupBy("t").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("drop"))
+    drop = _small(materialise(drop, "dropped-lines"))
     packed = docs.select(F.struct("*").alias("row"), F.xxhash64(text_of()).alias("own_t"))
     both = packed.join(drop, F.col("own_t") == F.col("t"), "left")
     lines = F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n")
@@ -93,8 +104,8 @@ SQL = f"""
 WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 ln AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM doc),
 tk AS (
-  SELECT r, pos, list_transform(regexp_split_to_array(translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'),
-           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+  SELECT r, pos, list_transform(regexp_split_to_array(regexp_replace(lower(line), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'),
+           '[\\x20\\x09-\\x0D]+'),
          lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{VARIABLE}' ELSE x END) AS tokens FROM ln),
 li AS (SELECT r, list(pos) AS at, tokens, tokens[1:{DEPTH}] AS lead, len(tokens) AS k FROM tk WHERE len(tokens) >= {MIN_TOKENS} GROUP BY r, tokens),
 masked AS (SELECT k, lead, tokens, count(*) AS docs FROM li GROUP BY k, lead, tokens),
