@@ -31,6 +31,7 @@ from fleetline.llm.common import TOKEN_CACHE, materialise, remainder, text_of
 _TERM = re.compile(r"[^\W\d_]+")
 MAX_ROWS = 16_000
 MAX_TERMS = 4096
+LEAST_STEPS = 600
 BUCKETS = 1 << 20
 
 
@@ -72,10 +73,11 @@ def _train(buckets: np.ndarray, docs: list[list[int]], y: np.ndarray, *, rank: i
     w, v = np.zeros(len(buckets)), rng.normal(0, 0.01, (len(buckets), rank))
     moments = [np.zeros_like(x) for x in (w, v, w, v)]
     b, step = bias, 0
-    for _ in range(epochs):
+    batch = min(256, max(16, len(docs) // 16))
+    for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(docs)))):
         order = rng.permutation(len(docs))
-        for lo in range(0, len(order), 256):
-            some = order[lo : lo + 256]
+        for lo in range(0, len(order), batch):
+            some = order[lo : lo + batch]
             at = np.concatenate([np.arange(start[i], start[i + 1]) for i in some])
             r, c = np.repeat(np.arange(len(some)), start[some + 1] - start[some]), cols[at]
             vc = v[c]
