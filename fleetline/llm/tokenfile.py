@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import TOKEN_CACHE, scratch_path, text_of
+from fleetline.llm.common import scratch_path, text_of
 
 END_ID = 1
+#: words whose ids a Python worker remembers
+WORD_CACHE = 800_000
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
+_SIGNS = b".,;:!?#$%&*()-\""
 INDEX = "part int, file string, ord long, doc_id long, start_in_file long, n_tokens long"
 
 
@@ -43,9 +47,12 @@ class WordEncoder:
     met before are encoded together, joined by spaces.
     """
 
-    def __init__(self, path: str, limit: int = TOKEN_CACHE):
+    def __init__(self, path: str, limit: int = WORD_CACHE):
+        import os
+
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
@@ -53,29 +60,45 @@ class WordEncoder:
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         out = {}
-        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
-        texts = [[w.decode("utf-8", "replace") for w in g] for g in groups]
-        for group, parts, enc in zip(groups, texts, self.tokenizer.encode_batch([" ".join(p) for p in texts], add_special_tokens=False)):
+        for lo in range(0, len(words), 512):
+            group = words[lo : lo + 512]
+            parts = [w.decode("utf-8", "replace") for w in group]
+            enc = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
             begin = np.cumsum([0] + [len(p) + 1 for p in parts])
-            cut = np.searchsorted([a for a, _ in enc.offsets], begin)
-            ids = np.array(enc.ids, self.dtype)
-            for w, a, b in zip(group, cut[:-1], cut[1:]):
-                out[w] = ids[a:b].tobytes()
+            cut = np.searchsorted(np.array(enc.offsets, np.int64).reshape(-1, 2)[:, 0], begin)
+            ids = np.array(enc.ids, self.dtype).tobytes()
+            k = self.dtype.itemsize
+            for w, a, b in zip(group, cut[:-1].tolist(), cut[1:].tolist()):
+                out[w] = ids[a * k : b * k]
         return out
 
+    def _learn(self, fresh: set[bytes]) -> None:
+        """Remember words not met before.  Letters and the signs after them are encoded apart
+        (the tokenizer parts them too, and ignores case), as few words differ in letters."""
+        known, split, parts = self.known, [], set()
+        for w in fresh:
+            core = w.rstrip(_SIGNS)
+            if core and core.decode("utf-8", "replace").isalpha():
+                split.append((w, core.lower(), w[len(core) :]))
+            else:
+                parts.add(w)
+        parts.update([a for _, a, _ in split])
+        parts.update([b for _, _, b in split])
+        parts.discard(b"")
+        known.update(self._encode(list(parts - known.keys())))
+        known[b""] = b""
+        known.update([(w, known[a] + known[b]) for w, a, b in split])
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``, without the end id."""
         words = [t.split() for t in texts]
-        known = self.known
-        fresh = self._encode(sorted({w for ws in words for w in ws} - known.keys()))
-        room = self.limit - len(known)
-        if len(fresh) <= room:
-            known.update(fresh)
-            get = known.__getitem__
-        else:
-            known.update(list(fresh.items())[:room])
-            get = lambda w: known[w] if w in known else fresh[w]
-        return [b"".join(map(get, ws)) for ws in words]
+        if fresh := set().union(*words) - self.known.keys():
+            self._learn(fresh)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, ws)) for ws in words]
+        if len(self.known) > self.limit:  # the words met first are the frequent ones
+            self.known = dict(islice(self.known.items(), self.limit * 3 // 4))
+        return out
 
 
 class TokenWriter:
@@ -124,6 +147,7 @@ class TokenReader:
         self.source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
         self.file = pa.ipc.open_file(self.source)
         self.length = self.file.schema.field("ids").type.list_size
+        self.dtype = self.file.schema.field("ids").type.value_type.to_pandas_dtype()
         self.rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 0
         self._at, self._batch = -1, None
 
@@ -142,13 +166,15 @@ class TokenReader:
         """n ids from place ``start`` of the stream on."""
         step, parts = self.length * self.rows, []
         while n > 0:
-            k, at = divmod(start, step)
+            k, at = divmod(start, step) if step else (0, 0)
+            if k >= self.file.num_record_batches:
+                raise EOFError("the file ends before the ids asked for")
             part = self._get(k).column(0).values[at : min(step, at + n)].to_numpy()
             if not len(part):
                 raise EOFError("the file ends before the ids asked for")
             parts.append(part)
             start, n = start + len(part), n - len(part)
-        return np.concatenate(parts) if len(parts) != 1 else parts[0]
+        return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, self.dtype), *parts])
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, out: str | None = None, *, end_id: int = END_ID, length: int = SEQUENCE) -> DataFrame:
