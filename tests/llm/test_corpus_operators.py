@@ -210,7 +210,7 @@ def test_katz_matches_the_recursion(spark, min_count):
     texts = [" ".join(f"W{x}" for x in rng.zipf(1.4, rng.integers(1, 60)) % 300) for _ in range(200)] + [None, "", "never seen words"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     train = docs.filter("doc_id < 150")
-    model = katz.fit_katz(train, min_count=min_count, head_words=20)
+    model = katz.fit_katz(train, min_count=min_count)
     out = {r["doc_id"]: r for r in katz.score_katz(docs, model, head_words=10, head_pairs=5).collect()}
     want = _katz_brute(texts[:150], texts, min_count)
     assert len(out) == len(texts)
