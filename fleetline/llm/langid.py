@@ -1,6 +1,6 @@
 """Language identification of mixed text: script ranges, word scores, Viterbi.
 
-Each word is scored under every language by character n-grams (1 to 3, with word
+Each word is scored under every language by character n-grams (2 and 3, with word
 borders, add-one smoothed), learned from a bounded sample of labelled documents
 (``max_rows``, the first by a hash of the id).  The script of a word's letters
 narrows its candidates to the languages that were seen to use that script.  Viterbi
@@ -15,9 +15,9 @@ smaller name; repeated rows are scored alike.  Whole texts are read.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,8 @@ from fleetline.llm.common import remainder
 MAX_ROWS = 6_000
 SWITCH_PENALTY = 6.0
 WORD_CACHE = 300_000
+#: texts labelled at a time; bounds what a Python worker holds
+TEXTS_AT_ONCE = 1_500
 _WORD = re.compile(r"[^\W\d_]+")
 # First and last code point of script blocks; other letters are "Other".
 SCRIPTS = (
@@ -44,39 +46,47 @@ def script_of(word: str) -> str:
 
 def grams(word: str) -> list[str]:
     w = f"^{word}$"
-    return [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+    return [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
 
 
 @dataclass
 class LanguageModel:
     langs: list[str]
-    log_p: dict[str, np.ndarray]  # n-gram -> log probability in each language
-    unseen: np.ndarray
+    place: dict[str, int]  # n-gram -> row of log_p; row 0 is an unseen one's
+    log_p: np.ndarray  # a column per language
     scripts: dict[str, np.ndarray]  # script -> languages that use it
     penalty: float = SWITCH_PENALTY
-    _place: dict[str, int] = field(default_factory=dict)
-    _table: np.ndarray | None = None
+    _word: dict[str, int] = field(default_factory=dict)
+    _scores: np.ndarray | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_place": {}, "_table": None}
-
-    def word_scores(self, word: str) -> np.ndarray:
-        s = sum((self.log_p.get(g, self.unseen) for g in grams(word)), np.zeros(len(self.langs)))
-        allowed = self.scripts.get(script_of(word))
-        return s if allowed is None else np.where(allowed, s, s.min() - 50.0)
+        return self.__dict__ | {"_word": {}, "_scores": None}
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word in each language; far less where its script rules one out."""
+        if not words:
+            return np.empty((0, len(self.langs)))
+        found = [[self.place.get(g, 0) for g in grams(w)] for w in words]
+        at = np.cumsum([0] + [len(f) for f in found[:-1]])
+        s = np.add.reduceat(self.log_p[np.fromiter((i for f in found for i in f), np.int64)], at)
+        if len(self.scripts) > 1 or not all(x.all() for x in self.scripts.values()):
+            everyone = np.ones(len(self.langs), bool)
+            allowed = np.array([self.scripts.get(script_of(w), everyone) for w in words])
+            s = np.where(allowed, s, s.min(1, keepdims=True) - 50.0)
+        return s
 
     def _score_table(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Row of the table for each word of all texts, and the table."""
-        fresh = sorted({w for ws in words for w in ws} - self._place.keys())
-        known, room = len(self._place), max(0, WORD_CACHE - len(self._place))
-        place = {w: known + i for i, w in enumerate(fresh[room:], room)}
-        self._place.update((w, known + i) for i, w in enumerate(fresh[:room]))
-        table = np.array([self.word_scores(w) for w in fresh], float).reshape(-1, len(self.langs))
-        table = np.vstack([self._table, table]) if known else table
-        self._table = table[: len(self._place)]
-        own = self._place
-        at = np.fromiter((own[w] if w in own else place[w] for ws in words for w in ws), np.int64)
-        return at, table
+        own = self._word
+        fresh = list(set().union(*words) - own.keys())
+        known, room = len(own), max(0, WORD_CACHE - len(own))
+        more = {w: known + i for i, w in enumerate(fresh[room:], room)}
+        own.update((w, known + i) for i, w in enumerate(fresh[:room]))
+        table = self.word_scores(fresh)
+        table = np.vstack([self._scores, table]) if known else table
+        self._scores = table[: len(own)]
+        get = own.__getitem__ if not more else (lambda w: own[w] if w in own else more[w])
+        return np.fromiter(map(get, chain.from_iterable(words)), np.int64), table
 
     def label(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
         """The words of each text and the number of the language of each."""
@@ -174,9 +184,10 @@ def fit_languages(docs: DataFrame, *, max_rows: int = MAX_ROWS, penalty: float =
     scripts = {g[7:]: c for g, c in counts.items() if g.startswith("script:")}
     letters = sum(scripts.values(), np.zeros(len(langs)))
     counts = {g: c for g, c in counts.items() if not g.startswith("script:")}
-    total = sum(counts.values(), np.zeros(len(langs))) + len(counts) + 1
+    k = np.array([np.zeros(len(langs)), *counts.values()])
     return LanguageModel(
-        langs, {g: np.log((c + 1) / total) for g, c in counts.items()}, -np.log(total), {s: c >= 0.01 * letters for s, c in scripts.items() if (c >= 0.01 * letters).any()}, penalty
+        langs, {g: i for i, g in enumerate(counts, 1)}, np.log((k + 1) / (k.sum(0) + len(k))),
+        {x: c >= 0.01 * letters for x, c in scripts.items() if (c >= 0.01 * letters).any()}, penalty,
     )
 
 
@@ -185,7 +196,13 @@ def language_of(model: LanguageModel, text: Column) -> Column:
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(model.predict(list(texts)), columns=["lang", "score"])
+        order = np.argsort(texts.str.len().to_numpy(), kind="stable")  # texts of like length share their steps
+        found: list = [None] * len(texts)
+        for lo in range(0, len(order), TEXTS_AT_ONCE):
+            some = order[lo : lo + TEXTS_AT_ONCE]
+            for i, x in zip(some, model.predict(list(texts.iloc[some]))):
+                found[i] = x
+        return pd.DataFrame(found, columns=["lang", "score"])
 
     return predict(F.coalesce(text, F.lit("")))
 
