@@ -4,14 +4,17 @@ A text is its words (A-Z lower-cased, split at ASCII white space).  Its k-mers a
 runs of ``width`` words, each labelled with its occurrence number.  For each of
 ``sketches`` random orders the ``minima`` smallest k-mers are taken and *kept in text
 order*: two texts share that entry if they share these k-mers in the same order, which
-makes it sensitive to edit similarity.  Texts that share an entry are candidates: in
-every bucket each text is compared with the bucket's smallest, those that fail again
-with the smallest of the rest, ``rounds`` times; so groups of any size need about one
-comparison a member, and no bucket is ever gathered in one place.  Candidates that
-agree in at least ``min_agree`` entries are verified by word alignment inside a
-diagonal band just wide enough for the edits that ``min_similarity`` allows:
-similarity = 1 - edits / words of the longer text.  Verified links are closed to
-classes by alternating large-star and small-star steps.
+makes it sensitive to edit similarity.  Texts that share an entry are candidates, and
+every two candidates end up in one class or are compared.  First, in every bucket each
+text is compared with the bucket's smallest, those that fail again with the smallest of
+the rest, ``rounds`` times; so groups of any size need about one comparison a member.
+Then the buckets that still hold several classes are cut into blocks of about ``block``
+texts, and all pairs of two classes in two blocks are compared; no bucket is ever
+gathered in one place.  A comparison counts words by bins first: the counts bound the
+edits from below, so what they rule out can't be similar.  The rest is verified by word
+alignment inside a diagonal band just wide enough for the edits that ``min_similarity``
+allows: similarity = 1 - edits / words of the longer text.  Verified links are closed
+to classes by alternating large-star and small-star steps.
 
 Copies of a text share one node (a 64-bit hash of the text), so only different texts
 are ever sketched into buckets, compared or linked.
@@ -36,9 +39,10 @@ from fleetline.llm.common import HashCache, hashes, materialise, mix, text_of, w
 WIDTH = 5
 SKETCHES = 32
 MINIMA = 3
-MIN_AGREE = 2
 ROUNDS = 3
+BLOCK = 512
 MIN_SIMILARITY = 0.8
+_BINS = 128  # words are counted by so many bins
 _PLACES = 24  # bits that hold a k-mer's place in its text
 
 
@@ -179,19 +183,101 @@ def similar(a: bytes, b: bytes, min_similarity: float = MIN_SIMILARITY) -> float
     return 0.0 if edits > most else 1 - edits / longer
 
 
+def word_bins(words: np.ndarray) -> bytes:
+    """Number of words in each bin of their hashes, 255 at most."""
+    return np.minimum(np.bincount((words & np.uint64(_BINS - 1)).astype(np.int64), minlength=_BINS), 255).astype(np.uint8).tobytes()
+
+
+def _may_match(n: np.ndarray, bins: np.ndarray, a: np.ndarray, b: np.ndarray, min_similarity: float) -> np.ndarray:
+    """Whether texts a and b (places in n and bins) can be similar enough, pair by pair.
+
+    An edit adds one word at most and takes one away at most, so there are no fewer
+    edits than words too many on either side.
+    """
+    most = ((1 - min_similarity) * np.maximum(n[a], n[b]) + 1e-9).astype(np.int64)
+    out = np.abs(n[a] - n[b]) <= most
+    at = np.flatnonzero(out)
+    for lo in range(0, len(at), 1 << 15):
+        k = at[lo : lo + (1 << 15)]
+        d = bins[a[k]].astype(np.int16) - bins[b[k]]
+        total = d.sum(1, dtype=np.int64)
+        size = np.abs(d).sum(1, dtype=np.int64)
+        out[k] = (size + np.abs(total)) // 2 <= most[k]
+    return out
+
+
+def _bins_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _BINS)
+
+
 def sketch(docs: DataFrame, *, width: int = WIDTH, sketches: int = SKETCHES, minima: int = MINIMA) -> DataFrame:
-    """node, sig of every distinct text."""
+    """node, sig, n_words, bins of every distinct text."""
     cache, hasher = HashCache(), OrderMinHash(sketches, minima)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs = [hasher(labelled_kmers(hashes(words_of(t), cache), width)).view(np.int64) for t in b.column(1).to_pylist()]
+            words = [hashes(words_of(t), cache) for t in b.column(1).to_pylist()]
+            sigs = [hasher(labelled_kmers(w, width)).view(np.int64) for w in words]
             cut = np.cumsum([0] + [len(s) for s in sigs]).astype(np.int32)
             flat = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
-            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], ["node", "sig"])
+            counts = [pa.array([len(w) for w in words], pa.int64()), pa.array(list(map(word_bins, words)), pa.binary())]
+            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)), *counts], ["node", "sig", "n_words", "bins"])
 
     rows = docs.select(F.xxhash64(text_of()).alias("node"), text_of().cast("binary").alias("text"))
-    return rows.mapInArrow(run, "node long, sig array<long>").groupBy("node").agg(F.first("sig").alias("sig"))
+    found = rows.mapInArrow(run, "node long, sig array<long>, n_words long, bins binary")
+    return found.groupBy("node").agg(F.first("sig").alias("sig"), F.first("n_words").alias("n_words"), F.first("bins").alias("bins"))
+
+
+def _possible(edges: DataFrame, facts: DataFrame, min_similarity: float) -> DataFrame:
+    """The edges (a, b) that the counts of words don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.num_rows
+            n = np.concatenate([batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)])
+            bins = np.concatenate([_bins_of(batch.column(4)), _bins_of(batch.column(5))])
+            ok = _may_match(n, bins, np.arange(k), np.arange(k, 2 * k), min_similarity)
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    left, right = (facts.select(F.col("node").alias(x), F.col("n_words").alias(f"{x}_n"), F.col("bins").alias(f"{x}_bins")) for x in "ab")
+    both = edges.join(right, "b").join(left, "a").select("a", "b", "a_n", "b_n", "a_bins", "b_bins")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _unresolved(shared: DataFrame, roots: DataFrame, facts: DataFrame, min_similarity: float, block: int) -> DataFrame:
+    """All possible edges (a, b) between nodes of one bucket that have different roots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(2).flatten()
+            node, root, n, own = (rows.field(x).to_numpy(zero_copy_only=False) for x in range(4))
+            bins = _bins_of(rows.field(4))
+            ends = np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            first, second, start = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+            for i, j, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends):
+                x = np.flatnonzero(own[start:end] == i) + start
+                y = np.flatnonzero(own[start:end] == j) + start
+                start = end
+                pairs = root[x][:, None] != root[y][None, :]
+                if i == j:
+                    pairs &= node[x][:, None] < node[y][None, :]
+                p, q = np.nonzero(pairs)
+                p, q = x[p], y[q]
+                ok = _may_match(n, bins, p, q, min_similarity)
+                first.append(node[p[ok]])
+                second.append(node[q[ok]])
+            a, b = np.concatenate(first), np.concatenate(second)
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    rows = shared.join(roots, "node", "left").select("band", "entry", "node", F.coalesce("root", "node").alias("root"))
+    rows = materialise(rows, "omh-rooted")
+    mixed = rows.groupBy("band", "entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
+    mixed = rows.join(mixed.select("band", "entry", F.ceil(F.col("n") / block).cast("int").alias("blocks")), ["band", "entry"])
+    mixed = mixed.join(facts, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    blocks = mixed.select("*", other.alias("other")).groupBy("band", "entry", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    blocks = blocks.agg(F.collect_list(F.struct("node", "root", "n_words", "own", "bins")).alias("rows")).filter(F.size("rows") > 1)
+    return blocks.select("i", "j", "rows").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verify(edges: DataFrame, texts: DataFrame, min_similarity: float) -> DataFrame:
@@ -209,8 +295,8 @@ def _verify(edges: DataFrame, texts: DataFrame, min_similarity: float) -> DataFr
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def near_links(docs: DataFrame, *, width: int = WIDTH, sketches: int = SKETCHES, minima: int = MINIMA, min_agree: int = MIN_AGREE, rounds: int = ROUNDS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """Verified links (a, b, similarity) between nodes, a < b."""
+def near_links(docs: DataFrame, *, width: int = WIDTH, sketches: int = SKETCHES, minima: int = MINIMA, rounds: int = ROUNDS, min_similarity: float = MIN_SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Verified links (a, b, similarity) between nodes, a < b; they join all similar texts that share an entry."""
     sigs = materialise(sketch(docs, width=width, sketches=sketches, minima=minima), "omh-sketches")
     entries = sigs.select("node", F.posexplode("sig").alias("band", "entry"))
     bucket = Window.partitionBy("band", "entry")
@@ -219,8 +305,7 @@ def near_links(docs: DataFrame, *, width: int = WIDTH, sketches: int = SKETCHES,
     nodes = shared.select("node").distinct()
     texts = docs.select(F.xxhash64(text_of()).alias("node"), text_of().cast("binary").alias("text"))
     texts = materialise(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "omh-texts")
-    near = sigs.join(nodes, "node", "left_semi")
-    agree = F.size(F.filter(F.zip_with("a_sig", "b_sig", lambda x, y: x == y), lambda x: x))
+    facts = sigs.join(nodes, "node", "left_semi").select("node", "n_words", "bins")
     left, links = shared, None
     for k in range(rounds):
         lead = left.groupBy("band", "entry").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -228,13 +313,13 @@ def near_links(docs: DataFrame, *, width: int = WIDTH, sketches: int = SKETCHES,
         star = materialise(star, "omh-stars") if k + 1 < rounds else star
         edges = star.select("a", "b").distinct()
         edges = edges.join(links.select("a", "b"), ["a", "b"], "left_anti") if links is not None else edges
-        edges = edges.join(near.select(F.col("node").alias("b"), F.col("sig").alias("b_sig")), "b").join(near.select(F.col("node").alias("a"), F.col("sig").alias("a_sig")), "a")
-        found = materialise(_verify(edges.filter(agree >= min_agree).select("a", "b"), texts, min_similarity), "omh-links")
+        found = materialise(_verify(_possible(edges, facts, min_similarity), texts, min_similarity), "omh-links")
         links = found if links is None else links.unionByName(found)
         if k + 1 < rounds:
             left = star.join(links.select("a", "b"), ["a", "b"], "left_anti").select("band", "entry", F.col("b").alias("node"))
             left = materialise(left, "omh-left")
-    return links
+    rest = _unresolved(shared, components(links), facts, min_similarity, block)
+    return links.unionByName(materialise(_verify(rest, texts, min_similarity), "omh-links"))
 
 
 def components(links: DataFrame) -> DataFrame:

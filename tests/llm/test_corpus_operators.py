@@ -69,6 +69,40 @@ def test_near_classes_are_the_groups(spark):
     assert all(r["n_class"] == size[r["class_id"]] for r in out)
 
 
+def test_similar_texts_that_share_an_entry_are_in_one_class(spark):
+    """Against brute force: scattered changes (pairs with a single common entry), and many families in a bucket."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(60)]
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 100)] for _ in range(40)] + [[f"f{x}" for x in rng.integers(0, 5000, 60)] + passage for _ in range(10)]
+    texts = []
+    for words in base:
+        for _ in range(3):
+            own = list(words)
+            for at in rng.choice(len(own), len(own) // 12, replace=False):
+                own[at] = f"x{rng.integers(0, 99999)}"
+            texts.append(" ".join(own))
+    hasher = neardup.OrderMinHash()
+    cache = neardup.HashCache()
+    sigs = [hasher(neardup.labelled_kmers(neardup.hashes(neardup.words_of(t.encode()), cache))) for t in texts]
+    pairs = [(i, j, int((sigs[i] == sigs[j]).sum())) for i in range(len(texts)) for j in range(i)]
+    pairs = [(i, j, n) for i, j, n in pairs if n and neardup.similar(texts[i].encode(), texts[j].encode())]
+    assert any(n == 1 for *_, n in pairs)
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j, _ in pairs:
+        a, b = sorted((root(i), root(j)))
+        parent[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (neardup.BLOCK, 3):  # 3: buckets of several blocks
+        out = neardup.near_classes(docs, block=block).collect()
+        assert {r["doc_id"]: r["class_id"] for r in out} == {i: root(i) for i in range(len(texts))}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 3)], "a long, b long")
     roots = {r["node"]: r["root"] for r in neardup.components(links).collect()}
