@@ -13,8 +13,9 @@ at least ``min_coverage``.
 
 Cases: null and empty texts match nothing; items shorter than ``width`` are one window
 of their own length, those under ``least`` tokens aren't used; windows with more
-placeholders than words aren't used; items equal but for slots and case are
-represented by the smallest id; repeated rows of a document count once; an empty
+placeholders than words aren't used; items equal but for case are represented by the
+smallest id, those with other slot values are matched each; of several texts of an item
+the one with most coverage counts; repeated rows of a document count once; an empty
 benchmark finds nothing.
 """
 
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +72,6 @@ class _Template(dict):
     """token -> hash of its lower-cased word; 1 or 2 for numbers and names."""
 
     def __missing__(self, token: str) -> int:
-        import xxhash
-
         slot = slot_of(token, None)
         h = {NUM: 1, NAME: 2}.get(slot) or xxhash.xxh3_64_intdigest(token.lower().encode())
         if len(self) < TOKEN_CACHE:
@@ -112,13 +112,13 @@ def _rows(keys: list, found: list[tuple[list[str], np.ndarray, np.ndarray, np.nd
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
-    """item_id, n_windows, width, hash, pos, slots of every item's windows."""
+    """item_id, v (hash of the item's text), n_windows, width, hash, pos, slots of every item's windows."""
     cache = _Template()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, n, widths, whole, found = [], [], [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ids, texts, n, widths, whole, found = [], [], [], [], [], []
+            for i, v, text in zip(*(b.column(c).to_pylist() for c in range(3))):
                 tokens = tokens_of(text)
                 if len(tokens) < least:
                     continue
@@ -127,18 +127,19 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, least: int = LEA
                 w, ok = _windows(h, own)
                 if ok.any():
                     ids.append(i)
+                    texts.append(v)
                     n.append(int(ok.sum()))
                     widths.append(own)
-                    whole.append(int(window_hashes(h, len(h)).view(np.int64)[0]))
+                    values = " ".join(t.lower() for t, x in zip(tokens, h) if x <= 3)
+                    whole.append(xxhash.xxh3_64_intdigest(h.tobytes() + values.encode()) - (1 << 63))
                     found.append((tokens, h, w, np.flatnonzero(ok), own))
-            keys = [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(widths, pa.int32()), pa.array(whole, pa.int64())]
-            yield _rows(keys, found, ["item_id", "n_windows", "width", "whole", "hash", "pos", "slots"])
+            keys = [pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(n, pa.int32()), pa.array(widths, pa.int32()), pa.array(whole, pa.int64())]
+            yield _rows(keys, found, ["item_id", "v", "n_windows", "width", "whole", "hash", "pos", "slots"])
 
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    items = items.groupBy("text").agg(F.min("item_id").alias("item_id")).select("item_id", "text").dropDuplicates(["item_id"])
-    rows = items.mapInArrow(cut, f"item_id long, n_windows int, width int, whole long, {_WINDOW}")
-    first = rows.groupBy("whole").agg(F.min("item_id").alias("item_id"))
-    return rows.join(first, ["whole", "item_id"], "left_semi").drop("whole")
+    items = benchmark.select(F.col("item_id").cast("long"), F.xxhash64("text").alias("v"), F.col("text")).filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    rows = items.dropDuplicates(["item_id", "v"]).mapInArrow(cut, f"item_id long, v long, n_windows int, width int, whole long, {_WINDOW}")
+    first = rows.groupBy("whole").agg(F.min(F.struct("item_id", "v")).alias("first")).select("whole", "first.*")
+    return rows.join(first, ["whole", "item_id", "v"], "left_semi").drop("whole")
 
 
 def _bloom(windows: DataFrame) -> np.ndarray:
@@ -179,18 +180,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, lea
     both = seen.join(bench, "hash").filter(F.size("slots") == F.size("d_slots"))
     pair = F.transform(F.arrays_zip("slots", "d_slots"), lambda x: F.struct(x["slots"].alias("a"), x["d_slots"].alias("b")))
     # a placement of the item in the document: windows at one distance from the item's own places
-    placed = both.groupBy("k", "item_id", (F.col("d_pos") - F.col("pos")).alias("shift")).agg(
+    placed = both.groupBy("k", "item_id", "v", (F.col("d_pos") - F.col("pos")).alias("shift")).agg(
         F.max("n_windows").alias("n_windows"), F.collect_set("pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs")
     )
     # an item's value is settled if it has one image among the pairs
     values = F.array_distinct(F.transform("pairs", lambda x: x["a"]))
     settled = F.filter(values, lambda v: F.size(F.filter("pairs", lambda x: x["a"] == v)) == 1)
     consistency = F.when(F.size(values) == 0, 1.0).otherwise(F.size(settled) / F.size(values))
-    placed = placed.select("k", "item_id", "n_windows", "at", F.size(values).alias("n_slots"), consistency.alias("consistency")).filter(F.col("consistency") >= min_consistency)
-    leaks = placed.groupBy("k", "item_id").agg(
+    placed = placed.select("k", "item_id", "v", "n_windows", "at", F.size(values).alias("n_slots"), consistency.alias("consistency")).filter(F.col("consistency") >= min_consistency)
+    leaks = placed.groupBy("k", "item_id", "v").agg(
         F.max("n_windows").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_matched"), F.max("n_slots").alias("n_slots"), F.min("consistency").alias("consistency")
     )
-    return leaks.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= min_coverage)
+    leaks = leaks.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= min_coverage)
+    best = leaks.groupBy("k", "item_id").agg(F.max(F.struct("coverage", "consistency", "n_matched", "n_windows", "n_slots")).alias("best"))
+    return best.select("k", "item_id", *(f"best.{x}" for x in ("n_windows", "n_matched", "n_slots", "consistency", "coverage")))
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -167,6 +167,18 @@ def test_leaks_match_brute_force_windows(spark):
     assert want and _leaks(spark, texts, items) == want
 
 
+FAMILY = "we know that Tom has 5 apples in the basket by the door and then buys {} more apples at the old market"
+
+
+def test_items_of_one_template_are_matched_each(spark):
+    bench = spark.createDataFrame([(0, FAMILY.format(5)), (1, FAMILY.format(7)), (2, ITEM), (2, FAMILY.format(5).replace("basket", "cellar"))], "item_id long, text string")
+    docs = spark.createDataFrame([(0, FAMILY.format(7)), (1, ITEM), (2, FAMILY.format(5).replace("basket", "cellar").replace("door", "wall"))], "doc_id long, text string")
+    found = {(r["k"]["id"], r["item_id"]): r for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert (0, 1) in found and found[0, 1]["coverage"] == 1  # was compared with item 0 alone, where 5 became 5 and 7
+    assert (0, 0) not in found
+    assert found[1, 2]["coverage"] == 1 and (2, 2) in found  # both texts of item 2
+
+
 def test_decontamination_edges(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (None, "a b c d e f"), (4, "one two"), (5, "the same row twice or so")], "item_id long, text string")
     assert decontaminate.drop_leaked(edge_docs, bench).count() == edge_docs.count()
