@@ -9,11 +9,12 @@ them are compared: a leak, verbatim or with new parameters, maps each value of t
 item to one value of the document throughout.  Placements where the share of such
 values is under ``min_consistency`` (1 without slots) are dropped; the share of the
 item's windows found in the others is the pair's coverage, and it is a leak if that is
-at least ``min_coverage``.
+at least ``min_coverage``.  Windows with more placeholders than words match verbatim
+only: their slot values enter the join.  So that an item with new parameters isn't held
+to them, coverage is taken over all windows or over the others, whichever is more.
 
 Cases: null and empty texts match nothing; items shorter than ``width`` are one window
-of their own length, those under ``least`` tokens aren't used; windows with more
-placeholders than words aren't used; items equal but for case are represented by the
+of their own length, those under ``least`` tokens aren't used; items equal but for case are represented by the
 smallest id, those with other slot values are matched each; of several texts of an item
 the one with most coverage counts; repeated rows of a document count once; an empty
 benchmark finds nothing.
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import TOKEN_CACHE, row_key, text_of, window_hashes
+from fleetline.llm.common import TOKEN_CACHE, HashCache, hashes, mix, row_key, text_of, window_hashes
 
 WIDTH = 8
 LEAST = 5
@@ -87,11 +88,21 @@ def template_hashes(tokens: list[str], cache: _Template) -> np.ndarray:
     return h
 
 
-def _windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Window hashes, and which windows hold at least as many words as placeholders."""
+def _windows(tokens: list[str], h: np.ndarray, width: int, cache: HashCache) -> tuple[np.ndarray, np.ndarray]:
+    """Window hashes, and which windows hold at least as many words as placeholders.
+
+    The slot values of the others are part of their hash.
+    """
     w = window_hashes(h, width)
+    if not len(w):
+        return w, np.empty(0, bool)
     slots = np.concatenate([[0], np.cumsum(h <= 3)])
-    return w, (slots[width:] - slots[:-width]) * 2 <= width if len(w) else np.empty(0, bool)
+    ok = (slots[width:] - slots[:-width]) * 2 <= width
+    if not ok.all():
+        literal, at = h.copy(), np.flatnonzero(h <= 3)
+        literal[at] = hashes([tokens[i].lower().encode() for i in at], cache)
+        w = np.where(ok, w, mix(w, window_hashes(literal, width)))
+    return w, ok
 
 
 _WINDOW = "hash long, pos int, slots array<string>"
@@ -112,34 +123,35 @@ def _rows(keys: list, found: list[tuple[list[str], np.ndarray, np.ndarray, np.nd
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
-    """item_id, v (hash of the item's text), n_windows, width, hash, pos, slots of every item's windows."""
-    cache = _Template()
+    """item_id, v (hash of the item's text), n_windows, n_wordy (windows with words enough), width, hash, pos, slots, wordy of every item's windows."""
+    cache, literals = _Template(), HashCache()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts, n, widths, whole, found = [], [], [], [], [], []
+            ids, texts, n, wordy, widths, whole, found = [], [], [], [], [], [], []
             for i, v, text in zip(*(b.column(c).to_pylist() for c in range(3))):
                 tokens = tokens_of(text)
                 if len(tokens) < least:
                     continue
                 h = template_hashes(tokens, cache)
                 own = min(width, len(tokens))
-                w, ok = _windows(h, own)
-                if ok.any():
-                    ids.append(i)
-                    texts.append(v)
-                    n.append(int(ok.sum()))
-                    widths.append(own)
-                    values = " ".join(t.lower() for t, x in zip(tokens, h) if x <= 3)
-                    whole.append(xxhash.xxh3_64_intdigest(h.tobytes() + values.encode()) - (1 << 63))
-                    found.append((tokens, h, w, np.flatnonzero(ok), own))
-            keys = [pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(n, pa.int32()), pa.array(widths, pa.int32()), pa.array(whole, pa.int64())]
-            yield _rows(keys, found, ["item_id", "v", "n_windows", "width", "whole", "hash", "pos", "slots"])
+                w, ok = _windows(tokens, h, own, literals)
+                ids.append(i)
+                texts.append(v)
+                n.append(len(w))
+                wordy.append(np.flatnonzero(ok).tolist())
+                widths.append(own)
+                values = " ".join(t.lower() for t, x in zip(tokens, h) if x <= 3)
+                whole.append(xxhash.xxh3_64_intdigest(h.tobytes() + values.encode()) - (1 << 63))
+                found.append((tokens, h, w, np.arange(len(w)), own))
+            keys = [pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(n, pa.int32()), pa.array(wordy, pa.list_(pa.int32())), pa.array(widths, pa.int32()), pa.array(whole, pa.int64())]
+            yield _rows(keys, found, ["item_id", "v", "n_windows", "wordy", "width", "whole", "hash", "pos", "slots"])
 
     items = benchmark.select(F.col("item_id").cast("long"), F.xxhash64("text").alias("v"), F.col("text")).filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    rows = items.dropDuplicates(["item_id", "v"]).mapInArrow(cut, f"item_id long, v long, n_windows int, width int, whole long, {_WINDOW}")
+    rows = items.dropDuplicates(["item_id", "v"]).mapInArrow(cut, f"item_id long, v long, n_windows int, wordy array<int>, width int, whole long, {_WINDOW}")
     first = rows.groupBy("whole").agg(F.min(F.struct("item_id", "v")).alias("first")).select("whole", "first.*")
-    return rows.join(first, ["whole", "item_id", "v"], "left_semi").drop("whole")
+    rows = rows.join(first, ["whole", "item_id", "v"], "left_semi").drop("whole")
+    return rows.withColumn("n_wordy", F.size("wordy")).withColumn("wordy", F.array_contains("wordy", F.col("pos")))
 
 
 def _bloom(windows: DataFrame) -> np.ndarray:
@@ -157,7 +169,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, lea
     bench = benchmark_windows(benchmark, width, least)
     bloom = spark.sparkContext.broadcast(np.packbits(_bloom(bench)))
     widths = sorted(r[0] for r in bench.select("width").distinct().collect())  # at most `width` of them
-    cache = _Template()
+    cache, literals = _Template(), HashCache()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(bloom.value).astype(bool)
@@ -168,9 +180,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, lea
                 for own in widths:
                     found = []
                     for tokens, h in docs_:
-                        w, ok = _windows(h, own)
+                        w, _ = _windows(tokens, h, own, literals)
                         # Spark's pmod of the signed hash: the low bits, as the size is a power of 2
-                        found.append((tokens, h, w, np.flatnonzero(ok & bits[(w & np.uint64(BLOOM_BITS - 1)).astype(np.int64)]), own))
+                        found.append((tokens, h, w, np.flatnonzero(bits[(w & np.uint64(BLOOM_BITS - 1)).astype(np.int64)]), own))
                     if any(len(f[3]) for f in found):
                         yield _rows([some.column(0), some.column(1)], found, ["id", "h", "hash", "pos", "slots"])
 
@@ -181,16 +193,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, lea
     pair = F.transform(F.arrays_zip("slots", "d_slots"), lambda x: F.struct(x["slots"].alias("a"), x["d_slots"].alias("b")))
     # a placement of the item in the document: windows at one distance from the item's own places
     placed = both.groupBy("k", "item_id", "v", (F.col("d_pos") - F.col("pos")).alias("shift")).agg(
-        F.max("n_windows").alias("n_windows"), F.collect_set("pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs")
+        F.max("n_windows").alias("n_windows"), F.max("n_wordy").alias("n_wordy"), F.collect_set("pos").alias("at"), F.collect_set(F.when(F.col("wordy"), F.col("pos"))).alias("at_wordy"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs")
     )
     # an item's value is settled if it has one image among the pairs
     values = F.array_distinct(F.transform("pairs", lambda x: x["a"]))
     settled = F.filter(values, lambda v: F.size(F.filter("pairs", lambda x: x["a"] == v)) == 1)
     consistency = F.when(F.size(values) == 0, 1.0).otherwise(F.size(settled) / F.size(values))
-    placed = placed.select("k", "item_id", "v", "n_windows", "at", F.size(values).alias("n_slots"), consistency.alias("consistency")).filter(F.col("consistency") >= min_consistency)
+    placed = placed.select("k", "item_id", "v", "n_windows", "n_wordy", "at", "at_wordy", F.size(values).alias("n_slots"), consistency.alias("consistency")).filter(F.col("consistency") >= min_consistency)
+    apart = lambda x: F.size(F.array_distinct(F.flatten(F.collect_list(x))))
     leaks = placed.groupBy("k", "item_id", "v").agg(
-        F.max("n_windows").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_matched"), F.max("n_slots").alias("n_slots"), F.min("consistency").alias("consistency")
+        F.max("n_windows").alias("n_all"), F.max("n_wordy").alias("n_wordy"), apart("at").alias("m_all"), apart("at_wordy").alias("m_wordy"), F.max("n_slots").alias("n_slots"), F.min("consistency").alias("consistency")
     )
+    wordy = F.coalesce(F.col("m_wordy") * F.col("n_all") > F.col("m_all") * F.col("n_wordy"), F.lit(False))
+    leaks = leaks.withColumn("n_windows", F.when(wordy, F.col("n_wordy")).otherwise(F.col("n_all"))).withColumn("n_matched", F.when(wordy, F.col("m_wordy")).otherwise(F.col("m_all")))
     leaks = leaks.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= min_coverage)
     best = leaks.groupBy("k", "item_id").agg(F.max(F.struct("coverage", "consistency", "n_matched", "n_windows", "n_slots")).alias("best"))
     return best.select("k", "item_id", *(f"best.{x}" for x in ("n_windows", "n_matched", "n_slots", "consistency", "coverage")))

@@ -179,6 +179,14 @@ def test_items_of_one_template_are_matched_each(spark):
     assert found[1, 2]["coverage"] == 1 and (2, 2) in found  # both texts of item 2
 
 
+def test_items_of_placeholders_are_found_verbatim(spark):
+    sums = "Compute 12 + 35 * 7 - 18 / 3"
+    names = "Alice Robert Claudia Dora Emil Frida Gustav Hanna Ida Jonas"
+    mixed = FAMILY.format(7) + " " + names  # held to its wordy windows where the names are new
+    texts = [f"see here: {sums} and so on", f"they met {names} then", sums.replace("35", "36"), FAMILY.format(9).replace("Tom", "Ben") + " nobody else came"]
+    assert _leaks(spark, texts, [sums, names, mixed]) == {(0, 0), (1, 1), (3, 2)}
+
+
 def test_decontamination_edges(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (None, "a b c d e f"), (4, "one two"), (5, "the same row twice or so")], "item_id long, text string")
     assert decontaminate.drop_leaked(edge_docs, bench).count() == edge_docs.count()
