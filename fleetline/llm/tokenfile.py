@@ -3,7 +3,7 @@
 Documents are encoded in ascending order of id; each document's ids end with an end
 id.  The stream of ids is cut into sequences of equal length.  Every file (one per
 task) is an Arrow IPC file: column ``ids`` is a fixed-size list of unsigned ids,
-``mask`` a fixed-size list of bits that is false for the padding at the end of a
+``mask`` a fixed-size list of bytes, 1 for ids and 0 for the padding at the end of a
 file's last sequence.  All batches but the last hold the same number of sequences, so
 sequence s is row s % rows of batch s // rows: memory-mapped, it is read without a
 copy.  An index (Parquet) has each document's file, place and number of ids.
@@ -11,7 +11,9 @@ copy.  An index (Parquet) has each document's file, place and number of ids.
 Files are written under a name of their own per attempt, and the index names those of
 the attempts that succeeded; a task that runs again leaves an unnamed file at worst.
 
-Cases: a null text is empty, so it is the end id alone; null ids come first; repeated
+A Python worker keeps the ids of the words it has met from task to task.
+
+Cases: ids may be of any type that can be ordered; a null text is empty, so it is the end id alone; null ids come first; repeated
 rows are encoded again (in order of a hash of the text); an empty table gives an empty
 index and no file.
 """
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import scratch_path, text_of
+from fleetline.llm.common import qualified, scratch_path, text_of
 
 END_ID = 1
 #: words whose ids a Python worker remembers
@@ -37,7 +39,18 @@ WORD_CACHE = 800_000
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
 _SIGNS = b".,;:!?#$%&*()-\""
-INDEX = "part int, file string, ord long, doc_id long, start_in_file long, n_tokens long"
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def index_schema(docs: DataFrame) -> str:
+    return f"part int, file string, ord long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, start_in_file long, n_tokens long"
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """This worker's encoder.  Tasks name this function, so what it learned outlives them."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 class WordEncoder:
@@ -108,7 +121,7 @@ class TokenWriter:
         fs, path = pafs.FileSystem.from_uri(uri)
         self.length, self.rows, self.dtype, self.total = length, rows, dtype, 0
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.sink = fs.open_output_stream(path)
         self.writer = pa.ipc.new_file(self.sink, self.schema)
         self.held: list[np.ndarray] = []
@@ -127,7 +140,7 @@ class TokenWriter:
         while len(flat) >= step or last and len(flat):
             part, flat = flat[:step], flat[step:]
             short = -len(part) % self.length
-            mask = np.r_[np.ones(len(part), bool), np.zeros(short, bool)]
+            mask = np.r_[np.ones(len(part), np.uint8), np.zeros(short, np.uint8)]
             ids = np.r_[part, np.zeros(short, self.dtype)]
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
             self.writer.write_batch(pa.record_batch(lists, schema=self.schema))
@@ -157,10 +170,10 @@ class TokenReader:
         return self._batch
 
     def sequence(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids (a view of the file) and mask of sequence s."""
+        """ids and mask of sequence s, both views of the file."""
         batch, row = self._get(s // self.rows), s % self.rows
         a, b = row * self.length, (row + 1) * self.length
-        return batch.column(0).values[a:b].to_numpy(), batch.column(1).values[a:b].to_numpy(zero_copy_only=False)
+        return batch.column(0).values[a:b].to_numpy(), batch.column(1).values[a:b].to_numpy().view(bool)
 
     def read(self, start: int, n: int) -> np.ndarray:
         """n ids from place ``start`` of the stream on."""
@@ -184,18 +197,14 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str | None = None, *, en
     ``out``: a URI; a new folder in the shared folder if none is given.
     """
     spark = docs.sparkSession
-    out = out or scratch_path(spark, "tokens")
-    if "://" not in out:
-        out = "file://" + out if out.startswith("/") else out
+    out = qualified(spark, out or scratch_path(spark, "tokens"))
     fs, path = pafs.FileSystem.from_uri(out)
     fs.create_dir(path, recursive=True)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().cast("binary").alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
-    encoder = None
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal encoder
-        encoder = encoder or WordEncoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         task = TaskContext.get()
         file = f"{out}/part-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
         writer, end, ord_ = None, np.array([end_id], encoder.dtype).tobytes(), 0
@@ -217,8 +226,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str | None = None, *, en
         if writer:
             writer.close()
 
-    rows.mapInArrow(encode, INDEX).write.parquet(f"{out}/index")
-    return spark.read.schema(INDEX).parquet(f"{out}/index")
+    schema = index_schema(docs)
+    rows.mapInArrow(encode, schema).write.parquet(f"{out}/index")
+    return spark.read.schema(schema).parquet(f"{out}/index")
 
 
 def with_offsets(index: DataFrame) -> DataFrame:
@@ -242,7 +252,7 @@ def token_digest(index: DataFrame) -> DataFrame:
                 crc.append(zlib.crc32(reader.read(start, n).astype("<u4").tobytes()))
             yield pa.record_batch([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return with_offsets(index).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return with_offsets(index).mapInArrow(digest, f"doc_id {index.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:

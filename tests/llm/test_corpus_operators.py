@@ -385,6 +385,9 @@ def test_token_digest_is_that_of_whole_texts(spark, edge_docs, no_docs):
         ids = np.array([*enc.tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
         assert (out[d]["start"], out[d]["n_tokens"], out[d]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+    named = docs.select(F.format_string("d%03d", "doc_id").alias("doc_id"), "text")  # ids of any type
+    assert {int(r["doc_id"][1:]): r["ids_crc32"] for r in tokenfile.encode_documents(spark, named, vocabulary()).collect()} == {d: r["ids_crc32"] for d, r in out.items()}
+    assert tokenfile.encoder_of(vocabulary()) is tokenfile.encoder_of(vocabulary())
     assert tokenfile.encode_documents(spark, edge_docs, vocabulary()).count() == edge_docs.count()
     assert tokenfile.encode_documents(spark, no_docs, vocabulary()).count() == 0
 
