@@ -3,7 +3,7 @@
 Documents are encoded in ascending order of id; each document's ids end with an end
 id.  The stream of ids is cut into sequences of equal length.  Every file (one per
 task) is an Arrow IPC file: column ``ids`` is a fixed-size list of unsigned ids,
-``mask`` a fixed-size list of bytes, 1 for ids and 0 for the padding at the end of a
+``mask`` a fixed-size list of bits, false for the padding at the end of a
 file's last sequence.  All batches but the last hold the same number of sequences, so
 sequence s is row s % rows of batch s // rows: memory-mapped, it is read without a
 copy.  An index (Parquet) has each document's file, place and number of ids.
@@ -91,8 +91,11 @@ class WordEncoder:
         known, split, parts = self.known, [], set()
         for w in fresh:
             core = w.rstrip(_SIGNS)
-            if core and core.decode("utf-8", "replace").isalpha():
-                split.append((w, core.lower(), w[len(core) :]))
+            if core.isalpha() or core and core.decode("utf-8", "replace").isalpha():
+                if core is w:  # no signs: rstrip gives the same object
+                    parts.add(w)
+                else:
+                    split.append((w, core, w[len(core) :]))
             else:
                 parts.add(w)
         parts.update([a for _, a, _ in split])
@@ -103,8 +106,12 @@ class WordEncoder:
         known.update([(w, known[a] + known[b]) for w, a, b in split])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as bytes of ``dtype``, without the end id."""
-        words = [t.split() for t in texts]
+        """Ids of each text as bytes of ``dtype``, without the end id.
+
+        The tokenizer ignores case, so A-Z are lowered first, but in texts that may spell
+        one of its special tokens, which it takes as they stand.
+        """
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if fresh := set().union(*words) - self.known.keys():
             self._learn(fresh)
         get = self.known.__getitem__
@@ -121,7 +128,7 @@ class TokenWriter:
         fs, path = pafs.FileSystem.from_uri(uri)
         self.length, self.rows, self.dtype, self.total = length, rows, dtype, 0
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.sink = fs.open_output_stream(path)
         self.writer = pa.ipc.new_file(self.sink, self.schema)
         self.held: list[np.ndarray] = []
@@ -140,7 +147,7 @@ class TokenWriter:
         while len(flat) >= step or last and len(flat):
             part, flat = flat[:step], flat[step:]
             short = -len(part) % self.length
-            mask = np.r_[np.ones(len(part), np.uint8), np.zeros(short, np.uint8)]
+            mask = np.r_[np.ones(len(part), bool), np.zeros(short, bool)]
             ids = np.r_[part, np.zeros(short, self.dtype)]
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
             self.writer.write_batch(pa.record_batch(lists, schema=self.schema))
@@ -169,11 +176,11 @@ class TokenReader:
             self._at, self._batch = k, self.file.get_batch(k)
         return self._batch
 
-    def sequence(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of sequence s, both views of the file."""
+    def sequence(self, s: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """ids and mask of sequence s, both views of the file (bits aren't unpacked)."""
         batch, row = self._get(s // self.rows), s % self.rows
         a, b = row * self.length, (row + 1) * self.length
-        return batch.column(0).values[a:b].to_numpy(), batch.column(1).values[a:b].to_numpy().view(bool)
+        return batch.column(0).values[a:b].to_numpy(), batch.column(1).values[a:b]
 
     def read(self, start: int, n: int) -> np.ndarray:
         """n ids from place ``start`` of the stream on."""

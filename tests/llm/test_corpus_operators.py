@@ -332,7 +332,7 @@ def test_mixed_documents_are_repeated(spark, edge_docs, no_docs):
 
 # --- token files
 
-ODD = ["don't we'll I'M <|endoftext|> a<|startoftext|>b", "ÀÉ İstanbul ΣΑΣ. straße Ǆ x y z\x1cq 3.14 éa,", "café?! ... --a-- 日本語テキスト。 русский, ١٢٣", "", "\n \t"]
+ODD = ["<|ENDOFTEXT|> AND <|endoftext|>", "don't we'll I'M <|endoftext|> a<|startoftext|>b", "ÀÉ İstanbul ΣΑΣ. straße Ǆ x y z\x1cq 3.14 éa,", "café?! ... --a-- 日本語テキスト。 русский, ١٢٣", "", "\n \t"]
 
 
 @settings(max_examples=150, deadline=None)
@@ -369,8 +369,9 @@ def test_token_file_round_trip(tmp_path):
         at += len(d)
     flat = np.concatenate(docs)
     ids, mask = r.sequence(3)
-    assert (ids == flat[48:64]).all() and mask.all()
+    assert (ids == flat[48:64]).all() and all(mask.to_pylist())
     last, mask = r.sequence((len(flat) - 1) // 16)
+    mask = np.array(mask.to_pylist())
     assert mask.sum() == (len(flat) - 1) % 16 + 1 and (last[~mask] == 0).all()
     with pytest.raises(EOFError):
         r.read(len(flat) + 600, 10)
