@@ -1,62 +1,64 @@
 """Katz backoff language model: counts, exact backoff weights and scoring as Spark jobs.
 
-Tokens are words (A-Z lower-cased, split at ASCII white space), then one end per text.
-log10 probabilities follow the recursion
+Tokens are words (A-Z lower-cased, split at ASCII white space), then one end per text;
+the first token follows a start.  log10 probabilities follow the recursion
 
-    P(w | h) = p(h, w)            if the pair (h, w) is kept
+    P(w | h) = p(h, w)            if the pair (h, w) was seen
              = alpha(h) * P(w)    otherwise,    P(unknown w) = the unseen mass
 
 with Good-Turing discounted counts up to ``GT_MAX``, and alpha(h) = (1 - sum of p(h, .))
 / (1 - sum of P(.) over the same words), so every history's probabilities sum to one
-exactly.  Pairs seen fewer than ``min_count`` times are treated as unseen (their mass
-goes to alpha), as is usual for Katz models; their counts still enter Good-Turing.
+exactly.  No count is dropped.
 
-The model is one table (key, value, base): value of a word is log P(w) + log alpha(w),
-of a kept pair log p(h, w) - log alpha(h) - log P(w).  The recursion telescopes, so the
-score of a text is the sum of the values of all its words and pairs.  The table is
-stored in the shared folder.  Its head (the ``head_words`` and ``head_pairs`` most
-frequent entries, a fixed bound) is broadcast and resolved where the text is; a Bloom
-filter of fixed size tells which other pairs may be in the table, and only those and
-the rarer words are shuffled to it.
+Words are coded: the ``head`` most frequent ones (a fixed bound, broadcast) by rank, all
+others by hash.  Every text's pairs are sorted and packed inside its task and shipped to
+a bucket chosen by the history; a history that would fill much of a bucket is dealt over
+several by the next word.  Buckets hold about ``bucket_tokens`` tokens, so their number
+grows with the corpus.  A bucket counts its pairs, writes them as its part of the model,
+and evaluates the tokens that meet a seen pair: what depends on the discounts, which are
+known only when all buckets are done, stays symbolic (how many pairs of each small count).
+Tokens that don't meet one go down the recursion: they are joined with the table of
+backoff weights by history, and with that of words.
 
-Pair counting ships packed runs (histories, words, counts) to buckets whose number grows
-with the corpus; histories that hold many pairs are spread over all buckets.
+The model's tables (all in the shared folder): ``words`` (key, c); ``pairs`` (ctx, words,
+counts; one row per history and bucket); ``backoff`` (ctx, c, below, alpha).
 
 Cases: null and empty texts are one end token; a training set without rows gives every
 text the score 0 (nothing is known: P(unknown) = 1); repeated rows count each, in
-training and in the result; an empty table gives an empty table.
+training and in the result; ids may be of any type; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import HashCache, hashes, materialise, mix, remainder, text_of
+from fleetline.llm.common import TOKEN_CACHE, HashCache, hashes, materialise, mix, remainder, scratch_path, text_of
 
-MIN_COUNT = 3
 GT_MAX = 5
-HEAD_WORDS = 300_000
-HEAD_PAIRS = 400_000
-BUCKET_TOKENS = 2_000_000
-BLOOM_LOG2 = 25
+HEAD = 1 << 20
+BUCKET_TOKENS = 4_000_000
+#: tokens that a task packs at a time
+GROUP_TOKENS = 1_500_000
+_TAIL = np.uint64(1 << 63)  # codes of words outside the head
+_NONE = np.uint32(0xFFFFFFFF)
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))  # no word holds a space
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 
-
-def token_hashes(texts: list[bytes], cache: HashCache) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of start, words, end of all texts in a row, and the length of each text's part."""
-    parts, n = [], np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        words = t.lower().split()
-        n[i] = len(words) + 2
-        parts += [[START], hashes(words, cache), [END]]
-    return (np.concatenate(parts).astype(np.uint64) if parts else np.empty(0, np.uint64)), n
+#: rows of the buckets' result, by kind
+DOC, PAIRS, TIMES, HISTORY, TAIL_PAIR, TAIL_WORD, UNSEEN = range(7)
+_RESULT = (
+    "kind int, id long, w long, m int, n_tokens long, known long, n long, nb long, nk long, "
+    "x double, base double, hist array<int>, words array<long>, counts array<long>, least long"
+)
 
 
 def discounts(n_r: dict[int, int], most: int = GT_MAX) -> list[float]:
@@ -78,236 +80,402 @@ def _discounted(c: Column, d: list[float]) -> Column:
     return c * F.when(c <= GT_MAX, F.element_at(F.array(*[F.lit(x) for x in d]), (F.least(c, F.lit(GT_MAX)) + 1).cast("int"))).otherwise(1.0)
 
 
-def _counts_of_counts(counts: DataFrame) -> dict[int, int]:
-    return {r["c"]: r["n"] for r in counts.filter(F.col("c") <= GT_MAX + 1).groupBy(F.col("c").cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
-
-
 def _runs(values: np.ndarray) -> np.ndarray:
     """Places where a new run of a sorted array begins."""
     return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
 
 
-def _pack(ctx: np.ndarray, word: np.ndarray, n: np.ndarray) -> bytes:
-    at = _runs(ctx)
-    length = np.diff(np.r_[at, len(ctx)])
-    return b"".join([np.array([len(at), len(ctx)], "<u4").tobytes(), ctx[at].tobytes(), length.astype("<u4").tobytes(), word.tobytes(), n.astype("<u4").tobytes()])
-
-
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k, m = np.frombuffer(data, "<u4", 2)
-    at = 8
-    ctx = np.frombuffer(data, "<u8", k, at)
-    length = np.frombuffer(data, "<u4", k, at := at + 8 * k)
-    word = np.frombuffer(data, "<u8", m, at := at + 4 * k)
-    return np.repeat(ctx, length), word, np.frombuffer(data, "<u4", m, at + 8 * m)
-
-
-def _summed(ctx: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts added up per pair, in order of history and word."""
-    order = np.argsort(mix(ctx, word))
-    ctx, word, n = ctx[order], word[order], n[order]
-    at = _runs(mix(ctx, word))
-    ctx, word, n = ctx[at], word[at], np.add.reduceat(n.astype(np.int64), at) if len(at) else n.astype(np.int64)
-    order = np.lexsort((word, ctx))
-    return ctx[order], word[order], n[order]
-
-
-def _bytes_of(docs: DataFrame) -> DataFrame:
-    return docs.select(text_of().cast("binary").alias("text"))
+def _signed(codes: np.ndarray) -> np.ndarray:
+    return codes.astype(np.uint64).view(np.int64)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(train: DataFrame) -> DataFrame:
     """key, c of every word and the end; the start is counted too (its key: START)."""
-    cache = HashCache()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [token_hashes(b.column(0).slice(lo, 1000).to_pylist(), cache)[0] for lo in range(0, b.num_rows, 1000)]
-            key, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n)], ["key", "c"])
-
-    return _bytes_of(docs).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
+        cache, held, n_held = worker_hashes(), [], 0
 
-def pair_counts(docs: DataFrame, buckets: int, hot: np.ndarray, min_count: int) -> DataFrame:
-    """key, ctx, word, c of pairs with at least min_count; and, with null key, how many
-    pairs occur c times for small c.  ``hot``: histories to spread over the buckets."""
-    cache, hot = HashCache(), np.sort(hot)
+        def counted() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.record_batch([pa.array(_signed(key)), pa.array(n)], ["key", "c"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for lo in range(0, b.num_rows, 1000):
-                h, _ = token_hashes(b.column(0).slice(lo, 1000).to_pylist(), cache)
-                inner = h[:-1] != END
-                found.append((h[:-1][inner], h[1:][inner]))
-            ctx, word = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.uint64),) * 2
-            ctx, word, n = _summed(ctx, word, np.ones(len(ctx), np.int64))
-            is_hot = np.isin(ctx, hot)
-            bucket = (np.where(is_hot, mix(ctx, word), mix(ctx, ctx)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            ctx, word, n, bucket = ctx[order], word[order], n[order], bucket[order]
-            at = _runs(bucket)
-            ends = np.r_[at[1:], len(bucket)]
-            yield pa.record_batch([pa.array(bucket[at]), pa.array([_pack(ctx[a:e], word[a:e], n[a:e]) for a, e in zip(at, ends)], pa.binary())], ["bucket", "pairs"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        parts = [_unpack(x.as_py()) for chunk in rows.column("pairs").chunks for x in chunk]
-        ctx, word, n = _summed(*(np.concatenate(x) for x in zip(*parts)))
-        r, n_r = np.unique(n[n <= GT_MAX + 1], return_counts=True)
-        keep = n >= min_count
-        cols = [mix(ctx[keep], word[keep]).view(np.int64), ctx[keep].view(np.int64), word[keep].view(np.int64), n[keep]]
-        stats = [[None] * len(r), n_r, [None] * len(r), r]
-        return pa.table({k: pa.concat_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())]) for k, x, y in zip(("key", "ctx", "word", "c"), cols, stats)})
-
-    packed = _bytes_of(docs).mapInArrow(cut, "bucket int, pairs binary")
-    return packed.groupBy("bucket").applyInArrow(add, "key long, ctx long, word long, c long")
+            for t in b.column(0).to_pylist():
+                words = t.lower().split()
+                held += [hashes(words, cache), [START, END]]
+                n_held += len(words) + 2
+                if n_held >= GROUP_TOKENS:
+                    yield counted()
+                    held, n_held = [], 0
+        if held:
+            yield counted()
+
+    return train.select(text_of().cast("binary").alias("text")).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+class Head:
+    """The most frequent words: sorted keys, their counts, and the model's unigram facts."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, d1: list[float], unseen: float, starts: int, buckets: int):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
+        self.start = len(keys)  # the code of the start
+        self.n, self.v, self.unseen, self.buckets = n, v, unseen, buckets
+        c = self.counts.astype(float)
+        p = np.where(c <= GT_MAX, np.array(d1)[np.minimum(c, GT_MAX).astype(np.int64)], 1.0) * c / max(n, 1) if d1 else c / (n + 1)
+        self.p = p
+        per_code = np.r_[self.counts, starts]
+        # a history of more than an eighth of a bucket's tokens is dealt over several buckets
+        self.history = per_code
+        self.splits = np.minimum(np.maximum(1, -(-per_code * 8 * buckets // max(n, 1))), buckets) if buckets > 1 else np.ones(len(per_code), np.int64)
+        self.splits[per_code * 8 * buckets <= n] = 1
+
+    def codes(self, keys: np.ndarray) -> np.ndarray:
+        """Place among the head's keys, or the hash with its first bit set."""
+        if not len(self.keys):
+            return keys | _TAIL
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at.astype(np.uint64), keys | _TAIL)
+
+    def bucket(self, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+        splits = self.splits_of(ctx)
+        own = mix(ctx, ctx)
+        own = np.where(splits > 1, own + mix(ctx, word) % splits, own)
+        return (own % np.uint64(self.buckets)).astype(np.int64)
+
+    def splits_of(self, ctx: np.ndarray) -> np.ndarray:
+        in_head = ctx < _TAIL
+        return np.where(in_head, self.splits[np.where(in_head, ctx, 0).astype(np.int64)], 1).astype(np.uint64)
+
+
+class WordCodes(dict):
+    """word -> code, emptied when it grows too large; frequent words come back at once."""
+
+    def __init__(self, head: Head):
+        self.head = head
+
+    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        if len(self) > TOKEN_CACHE:
+            self.clear()
+        if fresh := list(set().union(*texts) - self.keys()):
+            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
+            self.update(zip(fresh, self.head.codes(keys).tolist()))
+        get = self.__getitem__
+        return [np.fromiter(map(get, words), np.uint64, len(words)) for words in texts]
+
+
+_WORKER: dict = {}
+
+
+def worker_hashes() -> HashCache:
+    """This worker's hash cache; it outlives a task."""
+    return _WORKER.setdefault("hashes", HashCache())
+
+
+def worker_codes(model: str, head: Broadcast) -> WordCodes:
+    """This worker's word codes for one model; they outlive a task."""
+    if _WORKER.get("model") != model:
+        _WORKER["model"], _WORKER["codes"] = model, WordCodes(head.value)
+    return _WORKER["codes"]
+
+
+def _pack(ctx: np.ndarray, word: np.ndarray, doc: np.ndarray, rids: np.ndarray, train: np.ndarray) -> bytes:
+    """Tokens of one bucket, sorted by history and word, without what repeats."""
+    pair = _runs_of_two(ctx, word)
+    c, w = ctx[pair], word[pair]
+    hist = _runs(c)
+    own, slot = np.unique(doc, return_inverse=True)
+    far = w >= _TAIL
+    sizes = np.array([len(hist), len(pair), int(far.sum()), len(doc), len(own)], "<u4")
+    per_pair = np.diff(np.r_[pair, len(ctx)])
+    parts = [sizes, c[hist], rids[own], w[far], np.diff(np.r_[hist, len(pair)]).astype("<u4"), np.where(far, _NONE, w).astype("<u4"), per_pair.astype("<u4")]
+    parts += [slot.astype("<u2"), train[own].astype(np.uint8)]
+    return b"".join(x.tobytes() for x in parts)
+
+
+def _unpack(data: bytes) -> tuple:
+    n_hist, n_pairs, n_far, n_tokens, n_docs = np.frombuffer(data, "<u4", 5).tolist()
+    at = 20
+
+    def take(kind: str, n: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, kind, n, at)
+        at += out.nbytes
+        return out
+
+    hist, rids, far = take("<u8", n_hist), take("<i8", n_docs), take("<u8", n_far)
+    per_hist, low, per_pair = take("<u4", n_hist), take("<u4", n_pairs), take("<u4", n_pairs)
+    slot, train = take("<u2", n_tokens), take("u1", n_docs)
+    word = low.astype(np.uint64)
+    word[low == _NONE] = far
+    return np.repeat(hist, per_hist), word, per_pair.astype(np.int64), slot.astype(np.int64), rids, train.astype(bool)
+
+
+def _runs_of_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+
+
+def _packed(docs: DataFrame, model: str, head: Broadcast) -> DataFrame:
+    """bucket, facts (of texts) or tokens (packed) of ``docs`` (rid, train, text)."""
+
+    def group(codes: list[np.ndarray], rids: list[int], train: list[bool], h: Head) -> Iterator[tuple]:
+        rid, is_train = np.array(rids, np.int64), np.array(train, bool)
+        n = np.array([len(c) for c in codes], np.int64)
+        flat, doc = np.concatenate(codes), np.repeat(np.arange(len(n)), n)
+        in_head = flat < h.start  # of the head but the start
+        at = flat[in_head].astype(np.int64)
+        base = np.bincount(doc[in_head], np.log10(h.counts[at] + 1), len(n)) - (n - 1) * np.log10(h.n + h.v + 1)
+        known = np.bincount(doc[in_head], minlength=len(n))
+        inner = doc[1:] == doc[:-1]
+        ctx, word, doc = flat[:-1][inner], flat[1:][inner], doc[1:][inner]
+        # small numbers instead of codes: the head's as they are, then those of this group's other words
+        others = np.unique(flat[flat >= _TAIL])
+        small = lambda x: np.where(x < _TAIL, x, np.searchsorted(others, x).astype(np.uint64) + np.uint64(h.start + 1))
+        bucket = h.bucket(ctx, word)
+        bits = np.uint64(int(h.start + 1 + len(others)).bit_length())
+        if 2 * int(bits) + h.buckets.bit_length() <= 64:
+            order = np.argsort(bucket.astype(np.uint64) << bits + bits | small(ctx) << bits | small(word))
+        else:
+            order = np.lexsort((small(word), small(ctx), bucket))
+        ctx, word, doc, bucket = ctx[order], word[order], doc[order], bucket[order]
+        cut = np.r_[_runs(bucket), len(bucket)]
+        for a, e in zip(cut[:-1], cut[1:]):
+            yield int(bucket[a]), None, _pack(ctx[a:e], word[a:e], doc[a:e], rid, is_train)
+        facts = b"".join([rid.tobytes(), (n - 1).tobytes(), known.astype(np.int64).tobytes(), base.tobytes()])
+        yield int(mix(rid[:1].view(np.uint64), rid[:1].view(np.uint64))[0] % np.uint64(h.buckets)), facts, None
+
+    def rows(found: Iterator[tuple]) -> pa.RecordBatch:
+        found = list(found)
+        return pa.record_batch([pa.array([f[0] for f in found], pa.int32()), *(pa.array([f[i] for f in found], pa.binary()) for i in (1, 2))], ["bucket", "facts", "tokens"])
 
-
-class KatzModel:
-    """table: key, value, base, known, c.  n: training tokens, v: distinct ones."""
-
-    def __init__(self, table: DataFrame, n: int, v: int, unknown: float):
-        self.table, self.n, self.v, self.unknown = table, n, v, unknown
-        self.base_unknown = -float(np.log10(n + v + 1))
-
-
-def fit_katz(train: DataFrame, *, min_count: int = MIN_COUNT) -> KatzModel:
-    """Count and weigh the words and pairs of the texts of ``train`` (text)."""
-    start = int(START.view(np.int64))
-    words = materialise(word_counts(train), "katz-words")
-    seen = words.filter(F.col("key") != start)
-    total = seen.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = total["n"], total["v"]
-    d1 = discounts(_counts_of_counts(seen))
-    share = seen.agg(F.sum(_discounted(F.col("c"), d1) / F.lit(float(max(n, 1))))).first()[0] or 0.0
-    p1 = _discounted(F.col("c"), d1) / F.lit(float(max(n, 1)))
-    unseen = 1.0 - share
-    if unseen < 1e-9:
-        p1, unseen = F.col("c") / F.lit(float(n + 1)), 1.0 / (n + 1)
-    unknown = float(np.log10(unseen))
-    weighed = words.select("key", "c", F.when(F.col("key") == start, 0.0).otherwise(p1).alias("p"))
-
-    buckets = max(1, -(-n // BUCKET_TOKENS))
-    # histories with more than an eighth of a bucket's tokens: at most 8 a bucket
-    hot = weighed.filter(F.col("c") > n / (8 * buckets)).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
-    pairs = materialise(pair_counts(train, buckets, hot, min_count), "katz-pairs")
-    d2 = discounts({r["c"]: r["n"] for r in pairs.filter("key IS NULL").groupBy("c").agg(F.sum("ctx").alias("n")).collect()})
-    pairs = pairs.filter("key IS NOT NULL").join(weighed.select(F.col("key").alias("word"), "p"), "word").join(weighed.select(F.col("key").alias("ctx"), F.col("c").alias("c_ctx")), "ctx")
-    pairs = materialise(pairs.select("key", "ctx", "c", "p", _discounted(F.col("c"), d2).alias("cd"), "c_ctx"), "katz-weighed")
-
-    sums = pairs.groupBy("ctx").agg(F.sum("cd").alias("cd"), F.max("c_ctx").alias("c_ctx"), F.sum("p").alias("p"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = head.value
+        known = worker_codes(model, head)
+        start, end = np.array([h.start], np.uint64), h.codes(np.array([END]))
+        codes, rids, train, total = [], [], [], 0
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                some = b.slice(lo, 500)
+                rids += some.column(0).to_pylist()
+                train += some.column(1).to_pylist()
+                for own in known.of([t.lower().split() for t in some.column(2).to_pylist()]):
+                    codes.append(np.concatenate([start, own, end]))
+                    total += len(own) + 2
+                if total >= GROUP_TOKENS or len(codes) >= 60_000:
+                    yield rows(group(codes, rids, train, h))
+                    codes, rids, train, total = [], [], [], 0
+        if codes:
+            yield rows(group(codes, rids, train, h))
+
+    return docs.mapInArrow(run, "bucket int, facts binary, tokens binary")
+
+
+def _result(kind: int, n: int, /, **columns) -> pa.RecordBatch:
+    """n rows of the buckets' result; columns not named are null."""
+    types = {"kind": pa.int32(), "m": pa.int32(), "x": pa.float64(), "base": pa.float64(), "hist": pa.list_(pa.int32()), "words": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
+    columns["kind"] = np.full(n, kind, np.int32)
+    names = [f.split()[0] for f in _RESULT.split(", ")]
+    arrays = []
+    for name in names:
+        t = types.get(name, pa.int64())
+        x = columns.get(name)
+        arrays.append(pa.nulls(n, t) if x is None else x if isinstance(x, pa.Array) else pa.array(x, t))
+    return pa.record_batch(arrays, names)
+
+
+def _count_bucket(facts: list[bytes], tokens: list[bytes], h: Head) -> Iterator[pa.RecordBatch]:
+    """Count and evaluate what came to one bucket."""
+    for data in facts:
+        n = len(data) // 32
+        rid, n_tokens, known = np.frombuffer(data, "<i8", 3 * n).reshape(3, n)
+        yield _result(DOC, n, id=rid, m=np.ones(n, np.int32), n_tokens=n_tokens, known=known, base=np.frombuffer(data, "<f8", n, 24 * n), x=np.zeros(n))
+    if not tokens:
+        return
+    parts = [_unpack(t) for t in tokens]
+    ctx, word, per_pair = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    first_doc = np.cumsum([0] + [len(p[4]) for p in parts])
+    doc = np.concatenate([p[3] + at for p, at in zip(parts, first_doc)])
+    rids, train = (np.concatenate([p[i] for p in parts]) for i in (4, 5))
+    rids, own = np.unique(rids, return_inverse=True)
+    is_train = np.zeros(len(rids), bool)
+    is_train[own] = train  # rows equal in id and text are on the same side
+    doc = own[doc]
+    del parts, own, train
+
+    # the distinct pairs, in order of history and word, and the pair of every token
+    key = mix(ctx, word)
+    order = np.argsort(key)
+    at = _runs(key[order])
+    pair_of = np.empty(len(key), np.int64)
+    pair_of[order] = np.cumsum(np.bincount(at, minlength=len(key))) - 1 if len(key) else 0
+    ctx, word = ctx[order[at]], word[order[at]]
+    order = np.lexsort((word, ctx))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ctx, word, pair = ctx[order], word[order], np.repeat(rank[pair_of], per_pair)
+    del key, order, rank, pair_of, per_pair
+    c = np.bincount(pair[is_train[doc]], minlength=len(ctx)).astype(np.int64)
+
+    hist = _runs(ctx)  # of each distinct history: its first pair
+    hist_of = np.repeat(np.arange(len(hist)), np.diff(np.r_[hist, len(ctx)]))
+    histories = ctx[hist]
+    split = h.splits_of(histories) > 1
+    c_hist = np.add.reduceat(c, hist)
+    in_head = histories < _TAIL
+    c_hist[in_head] = h.history[histories[in_head].astype(np.int64)]
+    large = np.where(c > 0, c, np.iinfo(np.int64).max)
+    least = np.minimum.reduceat(large, hist)  # the smallest count of a seen pair here
     # a history all of whose mass is kept still leaves one count's share to the rest
-    below = F.when(F.col("cd") > F.col("c_ctx") * (1 - 1e-9), F.col("c_ctx") + 1).otherwise(F.col("c_ctx")).cast("double")
-    alpha = F.when(1 - F.col("p") > 1e-12, (1 - F.col("cd") / below) / (1 - F.col("p"))).otherwise(1.0)
-    sums = materialise(sums.select("ctx", F.struct(below.alias("below"), F.log10(alpha).alias("alpha")).alias("w")), "katz-alpha")
-
-    pair_rows = pairs.join(sums, "ctx")
-    pair_rows = pair_rows.select("key", (F.log10(F.col("cd") / F.col("w.below")) - F.col("w.alpha") - F.log10("p")).alias("value"), F.lit(0.0).alias("base"), F.lit(0).alias("known"), "c")
-    back = weighed.join(sums.select("ctx", "w"), F.col("key") == F.col("ctx"), "left")
-    lp = F.when(F.col("key") == start, 0.0).otherwise(F.log10("p") - F.lit(unknown))
-    base = F.when(F.col("key") == start, 0.0).otherwise(F.log10(F.col("c") + 1))
-    word_rows = back.select("key", (lp + F.coalesce("w.alpha", F.lit(0.0))).alias("value"), base.alias("base"), F.lit(1).alias("known"), "c")
-    return KatzModel(materialise(word_rows.unionByName(pair_rows), "katz-model"), n, v, unknown)
-
-
-class _Head:
-    """The most frequent entries as sorted arrays."""
-
-    def __init__(self, rows):
-        key = rows["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        self.key, self.value, self.base = key[order], rows["value"].to_numpy()[order], rows["base"].to_numpy()[order]
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are here, and their places."""
-        at = np.minimum(np.searchsorted(self.key, keys), max(0, len(self.key) - 1))
-        return (self.key[at] == keys if len(self.key) else np.zeros(len(keys), bool)), at
-
+    full = (least > GT_MAX) & (c_hist > 0)
+    below = c_hist + (full & ~split)
+    word_in_head = word < _TAIL
+    p_word = np.zeros(len(word))
+    p_word[word_in_head] = h.p[word[word_in_head].astype(np.int64)]
+
+    # the model: seen pairs and sums by history
+    seen = c > 0
+    n_r = np.bincount(np.minimum(c[seen], GT_MAX + 2), minlength=GT_MAX + 3)[: GT_MAX + 2]
+    yield _result(TIMES, GT_MAX + 1, id=np.arange(1, GT_MAX + 2), n=n_r[1:])
+    live = c_hist > 0
+    kept_hist = np.bincount(hist_of[seen], minlength=len(hist))
+    small = np.array([np.bincount(hist_of[c == r], minlength=len(hist)) for r in range(1, GT_MAX + 1)]).T
+    most = np.bincount(hist_of, np.where(c > GT_MAX, c, 0), len(hist)).astype(np.int64)
+    some = live & (kept_hist > 0)
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, kept_hist[some]]), pa.int32()), pa.array(x, pa.int64()))
+    yield _result(PAIRS, int(some.sum()), id=_signed(histories[some]), words=lists(_signed(word[seen])), counts=lists(c[seen]))
+    fixed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * GT_MAX, pa.int32()), pa.array(x.ravel().astype(np.int32)))
+    yield _result(
+        HISTORY, int(some.sum()), id=_signed(histories[some]), n=c_hist[some], nk=most[some], least=least[some], hist=fixed(small[some]),
+        x=np.bincount(hist_of, np.where(seen, p_word, 0.0), len(hist))[some],
+    )
+    far = seen & ~word_in_head
+    yield _result(TAIL_PAIR, int(far.sum()), id=_signed(ctx[far]), w=_signed(word[far]))
+
+    # the tokens
+    k, n_docs = c[pair], len(rids)
+    ok = k > 0
+    x = np.zeros(len(c))
+    x[seen] = np.log10(c[seen]) - np.log10(below[hist_of[seen]])
+    x[~seen & word_in_head] = np.log10(p_word[~seen & word_in_head])
+    total = np.bincount(doc, x[pair], n_docs)
+    times = np.array([np.bincount(doc[k == r], minlength=n_docs) for r in range(1, GT_MAX + 1)]).T
+    yield _result(DOC, n_docs, id=rids, m=np.zeros(n_docs, np.int32), n_tokens=np.zeros(n_docs, np.int64), known=np.zeros(n_docs, np.int64), base=np.zeros(n_docs), x=total, hist=fixed(times))
+    far = ~word_in_head[pair]
+    yield _result(TAIL_WORD, int(far.sum()), id=rids[doc[far]], w=_signed(word[pair[far]]), n=np.ones(int(far.sum()), np.int64), nb=(~ok[far]).astype(np.int64))
+    # not seen, or seen under a history whose share for the rest other buckets decide
+    open_ = (~ok & live[hist_of[pair]]) | (ok & (full & split)[hist_of[pair]])
+    d, g, seen_ = doc[open_], hist_of[pair[open_]], ok[open_]
+    order = np.lexsort((g, d))
+    d, g, seen_ = d[order], g[order], seen_[order]
+    at = _runs_of_two(d, g)
+    if len(at):
+        nk = np.add.reduceat(seen_.astype(np.int64), at)
+        yield _result(UNSEEN, len(at), id=_signed(histories[g[at]]), w=rids[d[at]], nb=np.diff(np.r_[at, len(d)]) - nk, nk=nk)
+
+
+def _counted(docs: DataFrame, model: str, head: Broadcast) -> str:
+    """Path of the buckets' result, a table partitioned by kind."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        values = lambda name: [x for x in rows.column(name).to_pylist() if x is not None]
+        return pa.Table.from_batches(list(_count_bucket(values("facts"), values("tokens"), head.value)))
+
+    path = scratch_path(docs.sparkSession, "katz-counts")
+    _packed(docs, model, head).groupBy("bucket").applyInArrow(run, _RESULT).write.partitionBy("kind").parquet(path)
+    return path
+
+
+@dataclass
+class KatzModel:
+    """words (key, c); pairs (ctx, words, counts); backoff (ctx, c, below, alpha: log10).
 
-def _bits(keys: np.ndarray) -> list[np.ndarray]:
-    """The two places of a key in the filter."""
-    mask = np.uint64((1 << BLOOM_LOG2) - 1)
-    return [((keys >> np.uint64(shift)) & mask).astype(np.int64) for shift in (0, BLOOM_LOG2)]
+    In ``pairs`` and ``backoff`` words are codes: places in ``head.keys``, then the
+    start, or hashes with their first bit set.  n: training tokens, v: distinct ones.
+    """
 
+    words: DataFrame
+    pairs: DataFrame
+    backoff: DataFrame
+    head: Head
+    n: int
+    v: int
+    d1: list[float]
+    d2: list[float]
+    unseen: float
 
-def _pair_filter(tail: DataFrame) -> np.ndarray:
-    """Bloom filter, of fixed size, of the pairs that aren't in the head."""
-    size = 1 << BLOOM_LOG2
-    places = tail.filter("known = 0").selectExpr(f"explode(array(pmod(key, {size}), pmod(shiftrightunsigned(key, {BLOOM_LOG2}), {size}))) AS place")
-    rows = places.selectExpr("cast(place div 64 as int) AS at", "shiftleft(1L, cast(place % 64 as int)) AS b").groupBy("at").agg(F.bit_or("b").alias("b"))
-    found = rows.toPandas()  # at most size / 64 rows
-    out = np.zeros(size // 64, np.int64)
-    out[found["at"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
-    return out.view(np.uint8)
 
+def train_and_score(docs: DataFrame, is_train: Column, *, head: int = HEAD, bucket_tokens: int = BUCKET_TOKENS) -> tuple[DataFrame, KatzModel]:
+    """Learn from the rows of ``docs`` (doc_id, text) that ``is_train`` marks, and score all rows.
 
-def score_katz(docs: DataFrame, model: KatzModel, *, head_words: int = HEAD_WORDS, head_pairs: int = HEAD_PAIRS) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row of ``docs``."""
+    Returns doc_id, train, n_tokens, n_known, base_score, score of every row, and the model.
+    """
     spark = docs.sparkSession
-    heads, tail = [], None
-    for known, most in ((1, head_words), (0, head_pairs)):
-        rows = model.table.filter(F.col("known") == known)
-        top = rows.orderBy(F.desc("c"), "key").limit(most).select("c", "key", "value", "base").toPandas()
-        heads.append(_Head(top))
-        if len(top) < most:
-            rows = rows.limit(0)
-        else:  # what comes after the last of the head, in the same order
-            last = top.iloc[-1]
-            c, key = int(last["c"]), int(last["key"])
-            rows = rows.filter((F.col("c") < c) | ((F.col("c") == c) & (F.col("key") > key)))
-        tail = rows if tail is None else tail.unionByName(rows)
-    sent = spark.sparkContext.broadcast((*heads, _pair_filter(tail)))
-    unknown, base_unknown = model.unknown, model.base_unknown
-    cache = HashCache()
-    fields = "rid long, doc long, key long, known int, n int, n_tokens long, n_known long, base double, score double"
+    own = docs.select("doc_id", F.coalesce(is_train, F.lit(False)).alias("train"), text_of().alias("text"), F.xxhash64("doc_id", text_of(), F.coalesce(is_train, F.lit(False))).alias("rid"))
+    start = int(START.view(np.int64))
+    words = materialise(word_counts(own.filter("train")), "katz-words")
+    is_start = F.col("key") == start
+    facts = words.agg(
+        F.coalesce(F.sum(F.when(~is_start, F.col("c"))), F.lit(0)).alias("n"), F.count(F.when(~is_start, 1)).alias("v"), F.coalesce(F.max(F.when(is_start, F.col("c"))), F.lit(0)).alias("starts"),
+        *[F.count(F.when(~is_start & (F.col("c") == r), 1)).alias(f"n{r}") for r in range(1, GT_MAX + 2)],
+    ).first()
+    n, v = facts["n"], facts["v"]
+    tokens = words.filter(~is_start)
+    d1 = discounts({r: facts[f"n{r}"] for r in range(1, GT_MAX + 2)})
+    unseen = 1.0 - (tokens.agg(F.sum(_discounted(F.col("c"), d1) / F.lit(float(max(n, 1))))).first()[0] or 0.0)
+    if unseen < 1e-9:
+        d1, unseen = [], 1.0 / (n + 1)
+    # texts of held-out rows come to the buckets too; a word takes about six characters
+    total = docs.select(F.sum(F.length(text_of())).alias("n")).first()["n"] or 0
+    top = tokens.orderBy(F.desc("c"), "key").limit(head).toArrow()
+    keys, counts = top.column("key").to_numpy().astype(np.int64), top.column("c").to_numpy().astype(np.int64)
+    buckets = max(1, -(-total // (6 * bucket_tokens)))
+    found = Head(keys.view(np.uint64), counts, n, v, d1, unseen, facts["starts"], buckets)
+    if len(keys) < head or not head:
+        rest = tokens.limit(0) if head else tokens
+    else:  # what comes after the last of the head, in the same order
+        rest = tokens.filter((F.col("c") < int(counts[-1])) | ((F.col("c") == int(counts[-1])) & (F.col("key") > int(keys[-1]))))
+    sent = spark.sparkContext.broadcast(found)
+
+    path = _counted(own.select("rid", "train", F.col("text").cast("binary").alias("text")), uuid.uuid4().hex, sent)
+    kind = lambda k: spark.read.schema(_RESULT).parquet(path).filter(F.col("kind") == k)
+    d2 = discounts({r["id"]: r["n"] for r in kind(TIMES).groupBy("id").agg(F.sum("n").alias("n")).collect()})
+
+    # words outside the head, for histories (sum of their probabilities) and for texts
+    p = _discounted(F.col("c"), d1) / F.lit(float(max(n, 1))) if d1 else F.col("c") / F.lit(float(n + 1))
+    rest = rest.select(F.col("key").bitwiseOR(F.lit(-(1 << 63)).cast("long")).alias("w"), "c", p.alias("p"))
+    asked = kind(TAIL_PAIR).select("id", "w", F.lit(0).alias("n"), F.lit(0).alias("nb"), F.lit(True).alias("of_history"))
+    asked = asked.unionByName(kind(TAIL_WORD).select("id", "w", "n", "nb", F.lit(False).alias("of_history")))
+    met = asked.join(rest, "w", "left").groupBy("of_history", "id").agg(
+        F.sum("p").alias("p"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("known"), F.sum(F.log10(F.col("c") + 1) * F.col("n")).alias("base"),
+        F.sum(F.log10(F.coalesce("p", F.lit(unseen))) * F.col("nb")).alias("x"),
+    )
+    met = materialise(met, "katz-tail")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, bits = sent.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                b = batch.slice(lo, 500)
-                h, n = token_hashes(b.column(1).to_pylist(), cache)
-                doc = np.repeat(np.arange(len(n)), n)
-                token = h != START
-                found, at = words.find(h)
-                k = len(n)
-                score = np.bincount(doc, np.where(found, words.value[at] if len(words.key) else 0, 0.0) + np.where(token, unknown, 0.0), k)
-                base = np.bincount(doc, np.where(found & token, words.base[at] if len(words.key) else 0, 0.0) + np.where(token, base_unknown, 0.0), k)
-                known = np.bincount(doc, found & token, k).astype(np.int64)
-                rest = [(h[~found], doc[~found], 1)]
-                inner = h[:-1] != END
-                key, d = mix(h[:-1][inner], h[1:][inner]), doc[:-1][inner]
-                in_head, at = pairs.find(key)
-                score += np.bincount(d[in_head], pairs.value[at[in_head]], k) if in_head.any() else 0
-                maybe = ~in_head
-                for bit in _bits(key):
-                    maybe &= ((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
-                rest.append((key[maybe], d[maybe], 0))
-                rid, ids = b.column(2).to_numpy(), b.column(0)
-                cols = [[rid], [np.arange(k)], [np.full(k, 2)], [np.zeros(k, np.int64)], [n - 1], [known], [base], [score]]
-                for keys, own, kind in rest:
-                    m = len(keys)
-                    for c, x in zip(cols, (rid[own], keys.view(np.int64), np.full(m, kind), np.ones(m, np.int64), *[np.zeros(m)] * 4)):
-                        c.append(x)
-                own = np.concatenate([np.arange(k), *[r[1] for r in rest]])
-                cols = [np.concatenate(c) for c in cols]
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                arrays = [pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols, types)]
-                yield pa.record_batch([arrays[0], ids.take(pa.array(own)), *arrays[1:]], [f.split()[0] for f in fields.split(", ")])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"), F.xxhash64("doc_id", text_of()).alias("rid"))
-    looked = rows.mapInArrow(run, fields).join(tail.select("key", "known", F.col("value").alias("t_value"), F.col("base").alias("t_base")), ["key", "known"], "left")
-    hit = lambda x: F.coalesce(x, F.lit(0.0))
-    # equal rows share a key: `m` of them, each with the same sums
-    sums = looked.groupBy("rid").agg(
-        F.max("doc").alias("doc_id"), F.sum(F.when(F.col("known") == 2, 1).otherwise(0)).alias("m"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when((F.col("known") == 1) & F.col("t_value").isNotNull(), 1).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + hit(F.col("t_base"))).alias("base_score"), F.sum(F.col("score") + hit(F.col("t_value"))).alias("score"),
+    hist = kind(HISTORY).groupBy("id").agg(
+        F.max("n").alias("c"), F.sum("nk").alias("most"), F.sum("x").alias("p"), F.min("least").alias("least"), *[F.sum(F.col("hist")[r - 1]).alias(f"m{r}") for r in range(1, GT_MAX + 1)]
     )
+    hist = hist.join(met.filter("of_history").select("id", F.col("p").alias("p_tail")), "id", "left")
+    mass = F.col("most") + sum(F.col(f"m{r}") * F.lit(r * d2[r]) for r in range(1, GT_MAX + 1))
+    below = F.col("c") + F.when(F.col("least") > GT_MAX, 1).otherwise(0)
+    p_seen = F.col("p") + F.coalesce("p_tail", F.lit(0.0))
+    alpha = F.when(1 - p_seen > 1e-12, (1 - mass / below) / (1 - p_seen)).otherwise(1.0)
+    backoff = materialise(hist.select(F.col("id").alias("ctx"), "c", below.alias("below"), F.log10(alpha).alias("alpha")), "katz-backoff")
+
+    # down the recursion: the backoff weight of the history for tokens whose pair wasn't seen
+    log = [float(np.log10(x)) for x in d2]
+    first = kind(DOC).select("id", "m", "n_tokens", "known", "base", (F.col("x") + sum(F.coalesce(F.col("hist")[r - 1], F.lit(0)) * F.lit(log[r]) for r in range(1, GT_MAX + 1))).alias("x"))
+    none = lambda *names: [F.lit(0).cast("long").alias(x) for x in names]
+    tail = met.filter("NOT of_history").select("id", *none("m", "n_tokens"), F.coalesce("known", F.lit(0)).alias("known"), F.coalesce("base", F.lit(0.0)).alias("base"), F.coalesce("x", F.lit(0.0)).alias("x"))
+    down = kind(UNSEEN).select(F.col("id").alias("ctx"), F.col("w").alias("id"), "nb", "nk").join(backoff, "ctx")
+    share = F.when(F.col("below") > F.col("c"), F.log10(F.col("below") / F.col("c"))).otherwise(0.0)
+    down = down.select("id", *none("m", "n_tokens", "known"), F.lit(0.0).alias("base"), (F.col("nb") * F.col("alpha") - F.col("nk") * share).alias("x"))
+    sums = first.unionByName(tail).unionByName(down).groupBy("id").agg(*[F.sum(x).alias(x) for x in ("m", "n_tokens", "known", "base", "x")])
+    # rows equal in id and text share a key: `m` of them, each with the same sums
     m = F.col("m")
-    out = sums.select("doc_id", "n_tokens", (F.col("n_known") / m).cast("long").alias("n_known"), (F.col("base_score") / m).alias("base_score"), (F.col("score") / m).alias("score"), F.explode(F.sequence(F.lit(1), m)).alias("copy"))
-    return out.drop("copy")
+    out = own.select("doc_id", "train", "rid").join(sums, F.col("rid") == F.col("id"))
+    out = out.select("doc_id", "train", (F.col("n_tokens") / m).cast("long").alias("n_tokens"), (F.col("known") / m).cast("long").alias("n_known"), (F.col("base") / m).alias("base_score"), (F.col("x") / m).alias("score"))
+    pairs = kind(PAIRS).select(F.col("id").alias("ctx"), "words", "counts")
+    return out, KatzModel(words, pairs, backoff, found, n, v, d1, d2, unseen)
 
 
 def score_documents(docs: DataFrame, **options) -> DataFrame:
@@ -315,7 +483,5 @@ def score_documents(docs: DataFrame, **options) -> DataFrame:
 
     Learns from the rows whose crc32 of the id as text mod 7 isn't 2.
     """
-    held = remainder(7) == 2
-    model = fit_katz(docs.filter(~held), **options)
-    out = score_katz(docs, model)
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    out, model = train_and_score(docs, remainder(7) != 2, **options)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -230,7 +230,7 @@ def test_nearest_edges(spark):
 # --- Katz
 
 
-def _katz_brute(train, texts, min_count):
+def _katz_brute(train, texts):
     tok = lambda t: (t or "").encode().lower().split() + [b" e"]
     uni, pair, hist = Counter(), Counter(), Counter()
     for t in train:
@@ -245,32 +245,36 @@ def _katz_brute(train, texts, min_count):
     unseen = 1 - math.fsum(p.values())
     if unseen < 1e-9:
         p, unseen = {w: c / (n + 1) for w, c in uni.items()}, 1 / (n + 1)
-    kept = {x: c for x, c in pair.items() if c >= min_count}
     mass, low = defaultdict(float), defaultdict(float)
-    for (h, w), c in kept.items():
+    for (h, w), c in pair.items():
         mass[h] += dc(c, d2)
         low[h] += p[w]
     below = {h: hist[h] + (mass[h] > hist[h] * (1 - 1e-9)) for h in mass}
     alpha = {h: (1 - mass[h] / below[h]) / (1 - low[h]) for h in mass}
-    prob = lambda h, w: dc(kept[h, w], d2) / below[h] if (h, w) in kept else alpha.get(h, 1.0) * p.get(w, unseen)
+    prob = lambda h, w: dc(pair[h, w], d2) / below[h] if (h, w) in pair else alpha.get(h, 1.0) * p.get(w, unseen)
     for h in list(alpha)[:20]:  # each history's probabilities sum to one
         assert abs(sum(prob(h, w) for w in uni) + alpha[h] * unseen - 1) < 1e-9
-    return [sum(math.log10(prob(h, w)) for h, w in zip([b" s", *tok(t)], tok(t))) for t in texts]
+    base = [sum(math.log10((uni[w] + 1) / (n + len(uni) + 1)) for w in tok(t)) for t in texts]
+    known = [sum(w in uni for w in tok(t)) for t in texts]
+    return [sum(math.log10(prob(h, w)) for h, w in zip([b" s", *tok(t)], tok(t))) for t in texts], base, known, pair
 
 
-@pytest.mark.parametrize("min_count", [1, 3])
-def test_katz_matches_the_recursion(spark, min_count):
+@pytest.mark.parametrize("head, bucket_tokens", [(1 << 20, 4_000_000), (10, 100), (0, 60), (400, 30)])
+def test_katz_matches_the_recursion(spark, head, bucket_tokens):
+    """One bucket or many, all, some or no words in the head; no pair is dropped."""
     rng = np.random.default_rng(3)
-    texts = [" ".join(f"W{x}" for x in rng.zipf(1.4, rng.integers(1, 60)) % 300) for _ in range(200)] + [None, "", "never seen words"]
+    texts = [" ".join(f"W{x}" for x in rng.zipf(1.4, rng.integers(1, 60)) % 300) for _ in range(200)] + [None, "", "never seen words", "tick w1 tick never tick"]
+    texts[:8] = ["tick tock " * 30, "tick tock tick tack " * 12] * 4  # a history none of whose pairs is rare
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    train = docs.filter("doc_id < 150")
-    model = katz.fit_katz(train, min_count=min_count)
-    out = {r["doc_id"]: r for r in katz.score_katz(docs, model, head_words=10, head_pairs=5).collect()}
-    want = _katz_brute(texts[:150], texts, min_count)
+    found, model = katz.train_and_score(docs, F.col("doc_id") < 150, head=head, bucket_tokens=bucket_tokens)
+    out = {r["doc_id"]: r for r in found.collect()}
+    score, base, known, pair = _katz_brute(texts[:150], texts)
     assert len(out) == len(texts)
-    for i, s in enumerate(want):
-        assert abs(out[i]["score"] - s) < 1e-6 * max(1, abs(s))
+    for i, s in enumerate(score):
+        assert abs(out[i]["score"] - s) < 1e-6 * max(1, abs(s)) and abs(out[i]["base_score"] - base[i]) < 1e-6 * abs(base[i]) and out[i]["n_known"] == known[i]
     assert out[201]["n_tokens"] == 1 and out[202]["n_known"] == 1
+    stored = model.pairs.select(F.explode("counts").alias("c")).agg(F.count("c").alias("n"), F.sum("c").alias("c")).first()
+    assert (stored["n"], stored["c"]) == (len(pair), sum(pair.values()))
 
 
 def test_katz_edges(spark, edge_docs, no_docs):
@@ -279,8 +283,10 @@ def test_katz_edges(spark, edge_docs, no_docs):
     assert len(rows) == edge_docs.count() and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in rows)
     assert len({r["score"] for r in rows if r["doc_id"] == 4}) == 1
     assert katz.score_documents(no_docs).count() == 0
-    untrained = katz.score_katz(edge_docs, katz.fit_katz(no_docs)).collect()
-    assert len(untrained) == edge_docs.count()
+    named = edge_docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert katz.score_documents(named).count() == len(rows)
+    untrained = katz.train_and_score(edge_docs, F.lit(False))[0].collect()
+    assert len(untrained) == len(rows) and all(r["score"] == 0 and r["n_known"] == 0 for r in untrained)
 
 
 # --- mixing
