@@ -37,15 +37,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import TOKEN_CACHE, HashCache, hashes, materialise, mix, remainder, scratch_path, text_of
+from fleetline.llm.common import TOKEN_CACHE, materialise, mix, remainder, scratch_path, text_of
 
 GT_MAX = 5
 HEAD = 1 << 20
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 6_000_000
+#: parts of a bucket that its task counts one after the other, which bounds its memory
+SLICES = 8
 #: tokens that a task packs at a time
 GROUP_TOKENS = 1_500_000
 _TAIL = np.uint64(1 << 63)  # codes of words outside the head
@@ -93,17 +96,17 @@ def word_counts(train: DataFrame) -> DataFrame:
     """key, c of every word and the end; the start is counted too (its key: START)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, n_held = worker_hashes(), [], 0
+        known, held, n_held = worker_codes("", None), [], 0
 
         def counted() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.record_batch([pa.array(_signed(key)), pa.array(n)], ["key", "c"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                words = t.lower().split()
-                held += [hashes(words, cache), [START, END]]
-                n_held += len(words) + 2
+            for lo in range(0, b.num_rows, 500):
+                some = known.of([t.lower().split() for t in b.column(0).slice(lo, 500).to_pylist()])
+                held += [*some, np.repeat(np.array([START, END]), len(some))]
+                n_held += sum(map(len, some)) + 2 * len(some)
                 if n_held >= GROUP_TOKENS:
                     yield counted()
                     held, n_held = [], 0
@@ -143,15 +146,18 @@ class Head:
         own = np.where(splits > 1, own + mix(ctx, word) % splits, own)
         return (own % np.uint64(self.buckets)).astype(np.int64)
 
+    def slice(self, ctx: np.ndarray) -> np.ndarray:
+        return (mix(ctx, ctx) >> np.uint64(40)).astype(np.int64) % SLICES
+
     def splits_of(self, ctx: np.ndarray) -> np.ndarray:
         in_head = ctx < _TAIL
         return np.where(in_head, self.splits[np.where(in_head, ctx, 0).astype(np.int64)], 1).astype(np.uint64)
 
 
 class WordCodes(dict):
-    """word -> code, emptied when it grows too large; frequent words come back at once."""
+    """word -> code (without a head: hash), emptied when it grows too large; frequent words come back at once."""
 
-    def __init__(self, head: Head):
+    def __init__(self, head: Head | None):
         self.head = head
 
     def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
@@ -159,7 +165,7 @@ class WordCodes(dict):
             self.clear()
         if fresh := list(set().union(*texts) - self.keys()):
             keys = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
-            self.update(zip(fresh, self.head.codes(keys).tolist()))
+            self.update(zip(fresh, (self.head.codes(keys) if self.head else keys).tolist()))
         get = self.__getitem__
         return [np.fromiter(map(get, words), np.uint64, len(words)) for words in texts]
 
@@ -167,48 +173,46 @@ class WordCodes(dict):
 _WORKER: dict = {}
 
 
-def worker_hashes() -> HashCache:
-    """This worker's hash cache; it outlives a task."""
-    return _WORKER.setdefault("hashes", HashCache())
-
-
-def worker_codes(model: str, head: Broadcast) -> WordCodes:
+def worker_codes(model: str, head: Broadcast | None) -> WordCodes:
     """This worker's word codes for one model; they outlive a task."""
     if _WORKER.get("model") != model:
-        _WORKER["model"], _WORKER["codes"] = model, WordCodes(head.value)
+        _WORKER["model"], _WORKER["codes"] = model, WordCodes(head.value if head else None)
     return _WORKER["codes"]
 
 
-def _pack(ctx: np.ndarray, word: np.ndarray, doc: np.ndarray, rids: np.ndarray, train: np.ndarray) -> bytes:
-    """Tokens of one bucket, sorted by history and word, without what repeats."""
+def _planes(*arrays: np.ndarray) -> bytes:
+    """Arrays byte by byte, so that like bytes stand together, compressed."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes() for x in arrays), 1)
+
+
+def _unplanes(data: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
+    raw, at, out = np.frombuffer(zstandard.decompress(data), np.uint8), 0, []
+    for kind, n in kinds:
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return out
+
+
+def _pack(ctx: np.ndarray, word: np.ndarray, slot: np.ndarray) -> bytes:
+    """Tokens sorted by history and word, without what repeats."""
     pair = _runs_of_two(ctx, word)
     c, w = ctx[pair], word[pair]
     hist = _runs(c)
-    own, slot = np.unique(doc, return_inverse=True)
     far = w >= _TAIL
-    sizes = np.array([len(hist), len(pair), int(far.sum()), len(doc), len(own)], "<u4")
-    per_pair = np.diff(np.r_[pair, len(ctx)])
-    parts = [sizes, c[hist], rids[own], w[far], np.diff(np.r_[hist, len(pair)]).astype("<u4"), np.where(far, _NONE, w).astype("<u4"), per_pair.astype("<u4")]
-    parts += [slot.astype("<u2"), train[own].astype(np.uint8)]
-    return b"".join(x.tobytes() for x in parts)
+    sizes = np.array([len(hist), len(pair), int(far.sum()), len(ctx)], "<u4").tobytes()
+    return sizes + _planes(
+        c[hist], w[far], np.diff(np.r_[hist, len(pair)]).astype("<u4"), np.where(far, _NONE, w).astype("<u4"), np.diff(np.r_[pair, len(ctx)]).astype("<u4"), slot.astype("<u2")
+    )
 
 
 def _unpack(data: bytes) -> tuple:
-    n_hist, n_pairs, n_far, n_tokens, n_docs = np.frombuffer(data, "<u4", 5).tolist()
-    at = 20
-
-    def take(kind: str, n: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(data, kind, n, at)
-        at += out.nbytes
-        return out
-
-    hist, rids, far = take("<u8", n_hist), take("<i8", n_docs), take("<u8", n_far)
-    per_hist, low, per_pair = take("<u4", n_hist), take("<u4", n_pairs), take("<u4", n_pairs)
-    slot, train = take("<u2", n_tokens), take("u1", n_docs)
+    """History and word of the pairs, tokens per pair, slot of every token."""
+    n_hist, n_pairs, n_far, n_tokens = np.frombuffer(data, "<u4", 4).tolist()
+    hist, far, per_hist, low, per_pair, slot = _unplanes(data[16:], ("<u8", n_hist), ("<u8", n_far), ("<u4", n_hist), ("<u4", n_pairs), ("<u4", n_pairs), ("<u2", n_tokens))
     word = low.astype(np.uint64)
     word[low == _NONE] = far
-    return np.repeat(hist, per_hist), word, per_pair.astype(np.int64), slot.astype(np.int64), rids, train.astype(bool)
+    return np.repeat(hist, per_hist), word, per_pair.astype(np.int64), slot
 
 
 def _runs_of_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -216,7 +220,10 @@ def _runs_of_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _packed(docs: DataFrame, model: str, head: Broadcast) -> DataFrame:
-    """bucket, facts (of texts) or tokens (packed) of ``docs`` (rid, train, text)."""
+    """bucket, facts (of texts) or tokens of ``docs`` (rid, train, text).
+
+    tokens: the texts they are from, then the packed tokens of each slice of the bucket.
+    """
 
     def group(codes: list[np.ndarray], rids: list[int], train: list[bool], h: Head) -> Iterator[tuple]:
         rid, is_train = np.array(rids, np.int64), np.array(train, bool)
@@ -231,22 +238,25 @@ def _packed(docs: DataFrame, model: str, head: Broadcast) -> DataFrame:
         # small numbers instead of codes: the head's as they are, then those of this group's other words
         others = np.unique(flat[flat >= _TAIL])
         small = lambda x: np.where(x < _TAIL, x, np.searchsorted(others, x).astype(np.uint64) + np.uint64(h.start + 1))
-        bucket = h.bucket(ctx, word)
+        bucket = h.bucket(ctx, word) * SLICES + h.slice(ctx)
         bits = np.uint64(int(h.start + 1 + len(others)).bit_length())
-        if 2 * int(bits) + h.buckets.bit_length() <= 64:
+        if 2 * int(bits) + (h.buckets * SLICES).bit_length() <= 64:
             order = np.argsort(bucket.astype(np.uint64) << bits + bits | small(ctx) << bits | small(word))
         else:
             order = np.lexsort((small(word), small(ctx), bucket))
         ctx, word, doc, bucket = ctx[order], word[order], doc[order], bucket[order]
-        cut = np.r_[_runs(bucket), len(bucket)]
+        cut = np.r_[_runs(bucket // SLICES), len(bucket)]
         for a, e in zip(cut[:-1], cut[1:]):
-            yield int(bucket[a]), None, _pack(ctx[a:e], word[a:e], doc[a:e], rid, is_train)
+            own, slot = np.unique(doc[a:e], return_inverse=True)
+            ends = a + np.searchsorted(bucket[a:e] % SLICES, np.arange(SLICES + 1))
+            packed = [_pack(ctx[x:y], word[x:y], slot[x - a : y - a]) for x, y in zip(ends[:-1], ends[1:])]
+            yield int(bucket[a] // SLICES), None, [rid[own].tobytes() + is_train[own].astype(np.uint8).tobytes(), *packed]
         facts = b"".join([rid.tobytes(), (n - 1).tobytes(), known.astype(np.int64).tobytes(), base.tobytes()])
         yield int(mix(rid[:1].view(np.uint64), rid[:1].view(np.uint64))[0] % np.uint64(h.buckets)), facts, None
 
     def rows(found: Iterator[tuple]) -> pa.RecordBatch:
         found = list(found)
-        return pa.record_batch([pa.array([f[0] for f in found], pa.int32()), *(pa.array([f[i] for f in found], pa.binary()) for i in (1, 2))], ["bucket", "facts", "tokens"])
+        return pa.record_batch([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.list_(pa.binary()))], ["bucket", "facts", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = head.value
@@ -267,7 +277,7 @@ def _packed(docs: DataFrame, model: str, head: Broadcast) -> DataFrame:
         if codes:
             yield rows(group(codes, rids, train, h))
 
-    return docs.mapInArrow(run, "bucket int, facts binary, tokens binary")
+    return docs.mapInArrow(run, "bucket int, facts binary, tokens array<binary>")
 
 
 def _result(kind: int, n: int, /, **columns) -> pa.RecordBatch:
@@ -283,31 +293,45 @@ def _result(kind: int, n: int, /, **columns) -> pa.RecordBatch:
     return pa.record_batch(arrays, names)
 
 
-def _count_bucket(facts: list[bytes], tokens: list[bytes], h: Head) -> Iterator[pa.RecordBatch]:
-    """Count and evaluate what came to one bucket."""
+def _fixed(x: np.ndarray) -> pa.Array:
+    """Rows of GT_MAX numbers as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * GT_MAX, pa.int32()), pa.array(x.ravel().astype(np.int32)))
+
+
+def _count_bucket(facts: list[bytes], tokens: list[list[bytes]], h: Head) -> Iterator[pa.RecordBatch]:
+    """Count and evaluate what came to one bucket, a slice at a time."""
     for data in facts:
         n = len(data) // 32
         rid, n_tokens, known = np.frombuffer(data, "<i8", 3 * n).reshape(3, n)
         yield _result(DOC, n, id=rid, m=np.ones(n, np.int32), n_tokens=n_tokens, known=known, base=np.frombuffer(data, "<f8", n, 24 * n), x=np.zeros(n))
     if not tokens:
         return
-    parts = [_unpack(t) for t in tokens]
-    ctx, word, per_pair = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    first_doc = np.cumsum([0] + [len(p[4]) for p in parts])
-    doc = np.concatenate([p[3] + at for p, at in zip(parts, first_doc)])
-    rids, train = (np.concatenate([p[i] for p in parts]) for i in (4, 5))
-    rids, own = np.unique(rids, return_inverse=True)
+    n_docs = [len(t[0]) // 9 for t in tokens]
+    rids, own = np.unique(np.concatenate([np.frombuffer(t[0], "<i8", n) for t, n in zip(tokens, n_docs)]), return_inverse=True)
     is_train = np.zeros(len(rids), bool)
-    is_train[own] = train  # rows equal in id and text are on the same side
-    doc = own[doc]
-    del parts, own, train
-
+    is_train[own] = np.concatenate([np.frombuffer(t[0], "u1", n, 8 * n) for t, n in zip(tokens, n_docs)]).astype(bool)  # rows equal in id and text are on the same side
+    first = np.cumsum([0] + n_docs)
+    total, times = np.zeros(len(rids)), np.zeros((len(rids), GT_MAX), np.int64)
+    for k in range(1, SLICES + 1):
+        parts = [_unpack(t[k]) for t in tokens]
+        ctx, word, per_pair = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        doc = np.concatenate([own[at + p[3].astype(np.int64)].astype(np.int32) for p, at in zip(parts, first)])
+        del parts
+        if len(doc):
+            yield from _count_slice(ctx, word, per_pair, doc, rids, is_train, total, times, h)
+    n = len(rids)
+    zero = np.zeros(n, np.int64)
+    yield _result(DOC, n, id=rids, m=np.zeros(n, np.int32), n_tokens=zero, known=zero, base=np.zeros(n), x=total, hist=_fixed(times))
+
+
+def _count_slice(ctx: np.ndarray, word: np.ndarray, per_pair: np.ndarray, doc: np.ndarray, rids: np.ndarray, is_train: np.ndarray, total: np.ndarray, times: np.ndarray, h: Head) -> Iterator[pa.RecordBatch]:
+    """Count and evaluate the histories of one slice; adds to texts' ``total`` and ``times``."""
     # the distinct pairs, in order of history and word, and the pair of every token
     key = mix(ctx, word)
     order = np.argsort(key)
     at = _runs(key[order])
     pair_of = np.empty(len(key), np.int64)
-    pair_of[order] = np.cumsum(np.bincount(at, minlength=len(key))) - 1 if len(key) else 0
+    pair_of[order] = np.cumsum(np.bincount(at, minlength=len(key))) - 1
     ctx, word = ctx[order[at]], word[order[at]]
     order = np.lexsort((word, ctx))
     rank = np.empty(len(order), np.int64)
@@ -343,9 +367,8 @@ def _count_bucket(facts: list[bytes], tokens: list[bytes], h: Head) -> Iterator[
     some = live & (kept_hist > 0)
     lists = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, kept_hist[some]]), pa.int32()), pa.array(x, pa.int64()))
     yield _result(PAIRS, int(some.sum()), id=_signed(histories[some]), words=lists(_signed(word[seen])), counts=lists(c[seen]))
-    fixed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * GT_MAX, pa.int32()), pa.array(x.ravel().astype(np.int32)))
     yield _result(
-        HISTORY, int(some.sum()), id=_signed(histories[some]), n=c_hist[some], nk=most[some], least=least[some], hist=fixed(small[some]),
+        HISTORY, int(some.sum()), id=_signed(histories[some]), n=c_hist[some], nk=most[some], least=least[some], hist=_fixed(small[some]),
         x=np.bincount(hist_of, np.where(seen, p_word, 0.0), len(hist))[some],
     )
     far = seen & ~word_in_head
@@ -357,9 +380,9 @@ def _count_bucket(facts: list[bytes], tokens: list[bytes], h: Head) -> Iterator[
     x = np.zeros(len(c))
     x[seen] = np.log10(c[seen]) - np.log10(below[hist_of[seen]])
     x[~seen & word_in_head] = np.log10(p_word[~seen & word_in_head])
-    total = np.bincount(doc, x[pair], n_docs)
-    times = np.array([np.bincount(doc[k == r], minlength=n_docs) for r in range(1, GT_MAX + 1)]).T
-    yield _result(DOC, n_docs, id=rids, m=np.zeros(n_docs, np.int32), n_tokens=np.zeros(n_docs, np.int64), known=np.zeros(n_docs, np.int64), base=np.zeros(n_docs), x=total, hist=fixed(times))
+    total += np.bincount(doc, x[pair], n_docs)
+    for r in range(1, GT_MAX + 1):
+        times[:, r - 1] += np.bincount(doc[k == r], minlength=n_docs)
     far = ~word_in_head[pair]
     yield _result(TAIL_WORD, int(far.sum()), id=rids[doc[far]], w=_signed(word[pair[far]]), n=np.ones(int(far.sum()), np.int64), nb=(~ok[far]).astype(np.int64))
     # not seen, or seen under a history whose share for the rest other buckets decide
@@ -377,11 +400,11 @@ def _counted(docs: DataFrame, model: str, head: Broadcast) -> str:
     """Path of the buckets' result, a table partitioned by kind."""
 
     def run(rows: pa.Table) -> pa.Table:
-        values = lambda name: [x for x in rows.column(name).to_pylist() if x is not None]
+        values = lambda name: rows.column(name).drop_null().to_pylist()
         return pa.Table.from_batches(list(_count_bucket(values("facts"), values("tokens"), head.value)))
 
     path = scratch_path(docs.sparkSession, "katz-counts")
-    _packed(docs, model, head).groupBy("bucket").applyInArrow(run, _RESULT).write.partitionBy("kind").parquet(path)
+    _packed(docs, model, head).groupBy("bucket").applyInArrow(run, _RESULT).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     return path
 
 
