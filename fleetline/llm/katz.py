@@ -397,14 +397,17 @@ def _count_slice(ctx: np.ndarray, word: np.ndarray, per_pair: np.ndarray, doc: n
 
 
 def _counted(docs: DataFrame, model: str, head: Broadcast) -> str:
-    """Path of the buckets' result, a table partitioned by kind."""
+    """Path of the buckets' result: rows of all kinds, a file per task."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        values = lambda name: rows.column(name).drop_null().to_pylist()
-        return pa.Table.from_batches(list(_count_bucket(values("facts"), values("tokens"), head.value)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        facts, tokens = [], []
+        for b in batches:
+            facts += b.column("facts").drop_null().to_pylist()
+            tokens += b.column("tokens").drop_null().to_pylist()
+        yield from _count_bucket(facts, tokens, head.value)
 
     path = scratch_path(docs.sparkSession, "katz-counts")
-    _packed(docs, model, head).groupBy("bucket").applyInArrow(run, _RESULT).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    _packed(docs, model, head).groupBy("bucket").applyInArrow(run, _RESULT).write.option("compression", "zstd").parquet(path)
     return path
 
 
