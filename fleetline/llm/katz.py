@@ -42,15 +42,17 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import TOKEN_CACHE, materialise, mix, remainder, scratch_path, text_of
+from fleetline.llm.common import materialise, mix, remainder, scratch_path, text_of
 
 GT_MAX = 5
 HEAD = 1 << 20
-BUCKET_TOKENS = 6_000_000
+BUCKET_TOKENS = 4_000_000
 #: parts of a bucket that its task counts one after the other, which bounds its memory
 SLICES = 8
 #: tokens that a task packs at a time
-GROUP_TOKENS = 1_500_000
+GROUP_TOKENS = 1_000_000
+#: distinct words whose codes a Python worker remembers
+WORD_CACHE = 200_000
 _TAIL = np.uint64(1 << 63)  # codes of words outside the head
 _NONE = np.uint32(0xFFFFFFFF)
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))  # no word holds a space
@@ -121,17 +123,17 @@ class Head:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, d1: list[float], unseen: float, starts: int, buckets: int):
         order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order]
+        self.keys, self.counts = keys[order], np.r_[counts[order], starts]
         self.start = len(keys)  # the code of the start
         self.n, self.v, self.unseen, self.buckets = n, v, unseen, buckets
-        c = self.counts.astype(float)
-        p = np.where(c <= GT_MAX, np.array(d1)[np.minimum(c, GT_MAX).astype(np.int64)], 1.0) * c / max(n, 1) if d1 else c / (n + 1)
-        self.p = p
-        per_code = np.r_[self.counts, starts]
-        # a history of more than an eighth of a bucket's tokens is dealt over several buckets
-        self.history = per_code
-        self.splits = np.minimum(np.maximum(1, -(-per_code * 8 * buckets // max(n, 1))), buckets) if buckets > 1 else np.ones(len(per_code), np.int64)
-        self.splits[per_code * 8 * buckets <= n] = 1
+        self.factors = np.array([*d1, 1.0]) if d1 else None
+
+    def p(self, codes: np.ndarray) -> np.ndarray:
+        """Probabilities of words of the head."""
+        c = self.counts[codes.astype(np.int64)].astype(float)
+        if self.factors is None:
+            return c / (self.n + 1)
+        return self.factors[np.minimum(c, GT_MAX + 1).astype(np.int64)] * c / max(self.n, 1)
 
     def codes(self, keys: np.ndarray) -> np.ndarray:
         """Place among the head's keys, or the hash with its first bit set."""
@@ -150,8 +152,9 @@ class Head:
         return (mix(ctx, ctx) >> np.uint64(40)).astype(np.int64) % SLICES
 
     def splits_of(self, ctx: np.ndarray) -> np.ndarray:
-        in_head = ctx < _TAIL
-        return np.where(in_head, self.splits[np.where(in_head, ctx, 0).astype(np.int64)], 1).astype(np.uint64)
+        """Over how many buckets a history is dealt: more than one if it has over an eighth of a bucket's tokens."""
+        parts = np.where(ctx < _TAIL, self.counts[np.where(ctx < _TAIL, ctx, 0).astype(np.int64)], 0) * 8 * self.buckets // max(self.n, 1) + 1
+        return np.minimum(parts, self.buckets).astype(np.uint64)
 
 
 class WordCodes(dict):
@@ -161,7 +164,7 @@ class WordCodes(dict):
         self.head = head
 
     def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self) > TOKEN_CACHE:
+        if len(self) > WORD_CACHE:
             self.clear()
         if fresh := list(set().union(*texts) - self.keys()):
             keys = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
@@ -180,6 +183,10 @@ def worker_codes(model: str, head: Broadcast | None) -> WordCodes:
     return _WORKER["codes"]
 
 
+def forget_codes() -> None:
+    _WORKER.clear()
+
+
 def _planes(*arrays: np.ndarray) -> bytes:
     """Arrays byte by byte, so that like bytes stand together, compressed."""
     return zstandard.compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes() for x in arrays), 1)
@@ -346,7 +353,7 @@ def _count_slice(ctx: np.ndarray, word: np.ndarray, per_pair: np.ndarray, doc: n
     split = h.splits_of(histories) > 1
     c_hist = np.add.reduceat(c, hist)
     in_head = histories < _TAIL
-    c_hist[in_head] = h.history[histories[in_head].astype(np.int64)]
+    c_hist[in_head] = h.counts[histories[in_head].astype(np.int64)]
     large = np.where(c > 0, c, np.iinfo(np.int64).max)
     least = np.minimum.reduceat(large, hist)  # the smallest count of a seen pair here
     # a history all of whose mass is kept still leaves one count's share to the rest
@@ -354,7 +361,7 @@ def _count_slice(ctx: np.ndarray, word: np.ndarray, per_pair: np.ndarray, doc: n
     below = c_hist + (full & ~split)
     word_in_head = word < _TAIL
     p_word = np.zeros(len(word))
-    p_word[word_in_head] = h.p[word[word_in_head].astype(np.int64)]
+    p_word[word_in_head] = h.p(word[word_in_head])
 
     # the model: seen pairs and sums by history
     seen = c > 0
@@ -400,6 +407,7 @@ def _counted(docs: DataFrame, model: str, head: Broadcast) -> str:
     """Path of the buckets' result: rows of all kinds, a file per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_codes()  # room for the bucket
         facts, tokens = [], []
         for b in batches:
             facts += b.column("facts").drop_null().to_pylist()
