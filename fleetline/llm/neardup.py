@@ -9,11 +9,12 @@ every two candidates end up in one class or are compared.  First, in every bucke
 text is compared with the bucket's smallest, those that fail again with the smallest of
 the rest, ``rounds`` times; so groups of any size need about one comparison a member.
 Then the buckets that still hold several classes are cut into blocks of about ``block``
-texts, and all pairs of two classes in two blocks are compared; no bucket is ever
-gathered in one place.  A comparison counts words by bins first: the counts bound the
-edits from below, so what they rule out can't be similar.  The rest is verified by word
-alignment inside a diagonal band just wide enough for the edits that ``min_similarity``
-allows: similarity = 1 - edits / words of the longer text.  Verified links are closed
+texts, and texts of two classes in two blocks are compared; no bucket is ever gathered
+in one place.  A comparison counts words by bins first: the counts bound the edits from
+below, so what they rule out can't be similar.  The rest is verified by word alignment
+inside a diagonal band just wide enough for the edits that ``min_similarity`` allows:
+similarity = 1 - edits / words of the longer text.  Alignment takes memory in proportion
+to the texts' length.  Verified links are closed
 to classes by alternating large-star and small-star steps.
 
 Copies of a text share one node (a 64-bit hash of the text), so only different texts
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetline.llm.common import HashCache, hashes, materialise, mix, text_of, window_hashes
@@ -42,8 +43,10 @@ MINIMA = 3
 ROUNDS = 3
 BLOCK = 512
 MIN_SIMILARITY = 0.8
-_BINS = 128  # words are counted by so many bins
+_BINS, _COARSE = 512, 128  # words are counted by so many bins; first compared by fewer
 _PLACES = 24  # bits that hold a k-mer's place in its text
+_CHUNK = 1 << 16  # k-mers hashed at a time
+_SHORT = 4096  # up to so many words, an alignment holds a mask for every word
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -80,10 +83,14 @@ class OrderMinHash:
             return np.empty(0, np.uint64)
         if n > self.minima:
             low = np.uint64((1 << _PLACES) - 1)
-            x = (kmers[None, :] ^ self.b) * self.a
-            x ^= x >> np.uint64(32)
-            x = (x * np.uint64(0xD6E8FEB86659FD93)) & ~low | (np.arange(n, dtype=np.uint64) & low)[None, :]
-            places = np.sort((np.partition(x, self.minima - 1, axis=1)[:, : self.minima] & low).astype(np.int64), axis=1)
+            best = np.empty((len(self.salt), 0), np.uint64)
+            for lo in range(0, n, _CHUNK):
+                x = (kmers[None, lo : lo + _CHUNK] ^ self.b) * self.a
+                x ^= x >> np.uint64(32)
+                x = (x * np.uint64(0xD6E8FEB86659FD93)) & ~low | (np.arange(lo, lo + x.shape[1], dtype=np.uint64) & low)[None, :]
+                best = np.concatenate([best, x], axis=1)
+                best = np.partition(best, self.minima - 1, axis=1)[:, : self.minima] if best.shape[1] > self.minima else best
+            places = np.sort((best & low).astype(np.int64), axis=1)
             picked = kmers[places]
         else:
             picked = np.broadcast_to(kmers, (len(self.salt), n))
@@ -93,6 +100,35 @@ class OrderMinHash:
         return out
 
 
+def _masks(a: list, most: int, width: int):
+    """Function of a word and a row: bits of the row's band at which ``a`` has the word.
+
+    Long texts have masks for their frequent words only, at most 1024 of them, and places
+    for the others, so memory is in proportion to the length.
+    """
+    full, often = (1 << width) - 1, 0 if len(a) <= _SHORT else max(1, len(a) >> 10)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    masks: dict = {}
+    for x in [x for x, at in places.items() if len(at) > often]:
+        bits = bytearray(len(a) + most + 8 >> 3)
+        for i in places.pop(x):
+            bits[i + most >> 3] |= 1 << (i + most & 7)
+        masks[x] = int.from_bytes(bits, "little")
+
+    def at_row(x, j: int) -> int:
+        if (mask := masks.get(x)) is not None:
+            return (mask >> j) & full
+        out = 0
+        for i in places.get(x, ()):
+            if 0 <= i + most - j < width:
+                out |= 1 << (i + most - j)
+        return out
+
+    return at_row
+
+
 def banded_edits(a: list, b: list, most: int) -> int:
     """Edits (insert, delete, substitute) that turn a into b, or most + 1 if more.
 
@@ -114,16 +150,14 @@ def banded_edits(a: list, b: list, most: int) -> int:
     most = min(most, max(n, m))
     width = 2 * most + 1
     full = (1 << width) - 1
-    places: dict = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | (1 << (i + most))
+    at_row = _masks(a, most, width)
     # bit k of a band row j stands for column i = j - most + k of a
     vp, vn = (full << most) & full, 0
     dist = most  # value on the band's lower border, here of row -1
     row = 0
     top = 1 << (width - 1)
     for j in range(m):
-        eq = (places.get(b[j], 0) >> j) & full
+        eq = at_row(b[j], j)
         d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & full
         hp = (vn | ~(d0 | vp)) & full
         hn = d0 & vp
@@ -141,7 +175,7 @@ def banded_edits(a: list, b: list, most: int) -> int:
         return _edits(a, b, most)
     mask = top >> 1
     for j in range(row + 1, m):
-        eq = (places.get(b[j], 0) >> j) & full
+        eq = at_row(b[j], j)
         d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & full
         hp = (vn | ~(d0 | vp)) & full
         hn = d0 & vp
@@ -155,13 +189,11 @@ def banded_edits(a: list, b: list, most: int) -> int:
 def _edits(a: list, b: list, most: int) -> int:
     """The same without a band, for texts not longer than the band."""
     n = len(a)
-    places: dict = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | (1 << i)
+    at_row = _masks(a, 0, n)
     full, top = (1 << n) - 1, 1 << (n - 1)
     vp, vn, dist = full, 0, n
     for x in b:
-        eq = places.get(x, 0)
+        eq = at_row(x, 0)
         d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & full
         hp = (vn | ~(d0 | vp)) & full
         hn = d0 & vp
@@ -196,13 +228,15 @@ def _may_match(n: np.ndarray, bins: np.ndarray, a: np.ndarray, b: np.ndarray, mi
     """
     most = ((1 - min_similarity) * np.maximum(n[a], n[b]) + 1e-9).astype(np.int64)
     out = np.abs(n[a] - n[b]) <= most
-    at = np.flatnonzero(out)
-    for lo in range(0, len(at), 1 << 15):
-        k = at[lo : lo + (1 << 15)]
-        d = bins[a[k]].astype(np.int16) - bins[b[k]]
-        total = d.sum(1, dtype=np.int64)
-        size = np.abs(d).sum(1, dtype=np.int64)
-        out[k] = (size + np.abs(total)) // 2 <= most[k]
+    coarse = bins.reshape(len(bins), -1, _COARSE).sum(1, dtype=np.int16)
+    for counts in (coarse, bins):
+        at = np.flatnonzero(out)
+        for lo in range(0, len(at), 1 << 14):
+            k = at[lo : lo + (1 << 14)]
+            d = counts[a[k]].astype(np.int16) - counts[b[k]]
+            total = d.sum(1, dtype=np.int64)
+            size = np.abs(d).sum(1, dtype=np.int64)
+            out[k] = (size + np.abs(total)) // 2 <= most[k]
     return out
 
 
@@ -244,8 +278,8 @@ def _possible(edges: DataFrame, facts: DataFrame, min_similarity: float) -> Data
     return both.mapInArrow(run, "a long, b long")
 
 
-def _unresolved(shared: DataFrame, roots: DataFrame, facts: DataFrame, min_similarity: float, block: int) -> DataFrame:
-    """All possible edges (a, b) between nodes of one bucket that have different roots."""
+def _unresolved(shared: DataFrame, links: DataFrame, facts: DataFrame, min_similarity: float, block: int) -> DataFrame:
+    """All possible edges (a, b) between nodes of one bucket that ``links`` don't join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,6 +303,7 @@ def _unresolved(shared: DataFrame, roots: DataFrame, facts: DataFrame, min_simil
             a, b = np.concatenate(first), np.concatenate(second)
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
+    roots = components(links)
     rows = shared.join(roots, "node", "left").select("band", "entry", "node", F.coalesce("root", "node").alias("root"))
     rows = materialise(rows, "omh-rooted")
     mixed = rows.groupBy("band", "entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
@@ -299,9 +334,8 @@ def near_links(docs: DataFrame, *, width: int = WIDTH, sketches: int = SKETCHES,
     """Verified links (a, b, similarity) between nodes, a < b; they join all similar texts that share an entry."""
     sigs = materialise(sketch(docs, width=width, sketches=sketches, minima=minima), "omh-sketches")
     entries = sigs.select("node", F.posexplode("sig").alias("band", "entry"))
-    bucket = Window.partitionBy("band", "entry")
-    shared = entries.select("band", "entry", "node", F.count(F.lit(1)).over(bucket).alias("n")).filter("n > 1").drop("n")
-    shared = materialise(shared, "omh-buckets")
+    several = entries.groupBy("band", "entry").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "entry")
+    shared = materialise(entries.join(several, ["band", "entry"], "left_semi"), "omh-buckets")
     nodes = shared.select("node").distinct()
     texts = docs.select(F.xxhash64(text_of()).alias("node"), text_of().cast("binary").alias("text"))
     texts = materialise(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "omh-texts")
@@ -318,7 +352,7 @@ def near_links(docs: DataFrame, *, width: int = WIDTH, sketches: int = SKETCHES,
         if k + 1 < rounds:
             left = star.join(links.select("a", "b"), ["a", "b"], "left_anti").select("band", "entry", F.col("b").alias("node"))
             left = materialise(left, "omh-left")
-    rest = _unresolved(shared, components(links), facts, min_similarity, block)
+    rest = _unresolved(shared, links, facts, min_similarity, block)
     return links.unionByName(materialise(_verify(rest, texts, min_similarity), "omh-links"))
 
 
@@ -366,5 +400,4 @@ def keep_one_each(docs: DataFrame, **options) -> DataFrame:
     keep = near_classes(docs, **options).filter("is_first").select(F.col("doc_id").alias("k_id"), F.col("node").alias("k_node")).distinct()
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("o_id"), F.xxhash64(text_of()).alias("o_node"))
     kept = packed.join(keep, F.col("o_node").eqNullSafe(F.col("k_node")) & F.col("o_id").eqNullSafe(F.col("k_id")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("o_node", "o_id").orderBy("o_node"))
-    return kept.withColumn("nth", nth).filter("nth = 1").select("row.*")
+    return kept.dropDuplicates(["o_node", "o_id"]).select("row.*")

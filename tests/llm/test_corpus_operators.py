@@ -32,6 +32,30 @@ def test_banded_alignment_counts_edits(a, b, most):
     assert neardup.banded_edits(a, b, most) == min(_edits(a, b), most + 1)
 
 
+def test_long_texts_align_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 60_000, 40_000).tolist()
+    b = list(a)
+    for at in rng.choice(len(b), 900, replace=False):
+        b[at] = -1
+    del b[17:27]
+    tracemalloc.start()
+    assert 880 <= neardup.banded_edits(a, b, 8_000) <= 910
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    short, n = neardup._SHORT, 300  # the same result with masks for frequent words only
+    neardup._SHORT = 0
+    try:
+        for k in (0, 3, 40, 200):
+            x = rng.integers(0, 400, n).tolist()
+            y = [v if rng.random() > k / n else -1 for v in x][k // 10 :]
+            assert neardup.banded_edits(x, y, 90) == min(_edits(x, y), 91)
+    finally:
+        neardup._SHORT = short
+
+
 def test_occurrence_labels_and_order_enter_the_sketch():
     w = np.arange(1, 40, dtype=np.uint64)
     twice = neardup.labelled_kmers(np.r_[w[:6], w[:6]], 3)
