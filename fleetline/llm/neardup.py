@@ -9,8 +9,8 @@ every two candidates end up in one class or are compared.  First, in every bucke
 text is compared with the bucket's smallest, those that fail again with the smallest of
 the rest, ``rounds`` times; so groups of any size need about one comparison a member.
 Then the buckets that still hold several classes are cut into blocks of about ``block``
-texts, and texts of two classes in two blocks are compared; no bucket is ever gathered
-in one place.  A comparison counts words by bins first: the counts bound the edits from
+texts, and texts of two classes in two blocks are compared where the blocks meet; only
+links leave, and no bucket is ever gathered in one place.  A comparison counts words by bins first: the counts bound the edits from
 below, so what they rule out can't be similar.  The rest is verified by word alignment
 inside a diagonal band just wide enough for the edits that ``min_similarity`` allows:
 similarity = 1 - edits / words of the longer text.  Alignment takes memory in proportion
@@ -278,41 +278,62 @@ def _possible(edges: DataFrame, facts: DataFrame, min_similarity: float) -> Data
     return both.mapInArrow(run, "a long, b long")
 
 
-def _unresolved(shared: DataFrame, links: DataFrame, facts: DataFrame, min_similarity: float, block: int) -> DataFrame:
-    """All possible edges (a, b) between nodes of one bucket that ``links`` don't join."""
+def _unresolved(shared: DataFrame, links: DataFrame, facts: DataFrame, texts: DataFrame, min_similarity: float, block: int) -> DataFrame:
+    """Verified links (a, b, similarity) between classes that ``links`` don't join, but a bucket does.
+
+    Two blocks of a bucket are compared where they meet, and only links leave: at most one
+    less than there are classes in the two.  A pair is compared in the first bucket it shares.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(2).flatten()
-            node, root, n, own = (rows.field(x).to_numpy(zero_copy_only=False) for x in range(4))
-            bins = _bins_of(rows.field(4))
-            ends = np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
-            first, second, start = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
-            for i, j, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends):
-                x = np.flatnonzero(own[start:end] == i) + start
-                y = np.flatnonzero(own[start:end] == j) + start
-                start = end
-                pairs = root[x][:, None] != root[y][None, :]
-                if i == j:
-                    pairs &= node[x][:, None] < node[y][None, :]
-                p, q = np.nonzero(pairs)
-                p, q = x[p], y[q]
-                ok = _may_match(n, bins, p, q, min_similarity)
-                first.append(node[p[ok]])
-                second.append(node[q[ok]])
-            a, b = np.concatenate(first), np.concatenate(second)
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    roots = components(links)
-    rows = shared.join(roots, "node", "left").select("band", "entry", "node", F.coalesce("root", "node").alias("root"))
+            out = []
+            for band, i, j, rows in zip(*(batch.column(c) for c in range(4))):
+                out += _links_between(band.as_py(), i.as_py(), j.as_py(), rows.values, min_similarity)
+            a, b, s = zip(*out) if out else ((), (), ())
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
+
+    rows = shared.join(components(links), "node", "left").select("band", "entry", "node", F.coalesce("root", "node").alias("root"))
     rows = materialise(rows, "omh-rooted")
-    mixed = rows.groupBy("band", "entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
-    mixed = rows.join(mixed.select("band", "entry", F.ceil(F.col("n") / block).cast("int").alias("blocks")), ["band", "entry"])
-    mixed = mixed.join(facts, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    mixed = rows.groupBy("band", "entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "entry")
+    mixed = materialise(rows.join(mixed, ["band", "entry"], "left_semi").join(facts, "node"), "omh-mixed")
+    # blocks are bounded in texts and in words
+    size = mixed.groupBy("band", "entry").agg(F.greatest(F.count(F.lit(1)), F.sum("n_words") / 1000).alias("n"))
+    mixed = mixed.join(size.select("band", "entry", F.ceil(F.col("n") / block).cast("int").alias("blocks")), ["band", "entry"])
+    mixed = mixed.join(texts, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     blocks = mixed.select("*", other.alias("other")).groupBy("band", "entry", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    blocks = blocks.agg(F.collect_list(F.struct("node", "root", "n_words", "own", "bins")).alias("rows")).filter(F.size("rows") > 1)
-    return blocks.select("i", "j", "rows").mapInArrow(run, "a long, b long").distinct()
+    blocks = blocks.agg(F.collect_list(F.struct("node", "root", "n_words", "own", "bins", "sig", "text")).alias("rows")).filter(F.size("rows") > 1)
+    return blocks.select("band", "i", "j", "rows").mapInArrow(run, "a long, b long, similarity double").dropDuplicates(["a", "b"])
+
+
+def _links_between(band: int, i: int, j: int, rows: pa.StructArray, min_similarity: float) -> list[tuple[int, int, float]]:
+    """Links that join classes of blocks i and j of a bucket."""
+    node, root, n, own = (rows.field(x).to_numpy(zero_copy_only=False) for x in range(4))
+    bins, texts = _bins_of(rows.field(4)), rows.field(6)
+    sig = rows.field(5).flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+    x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    pairs = root[x][:, None] != root[y][None, :]
+    if i == j:
+        pairs &= node[x][:, None] < node[y][None, :]
+    p, q = np.nonzero(pairs)
+    p, q = x[p], y[q]
+    ok = np.flatnonzero(_may_match(n, bins, p, q, min_similarity))
+    ok = ok[(sig[p[ok]] == sig[q[ok]]).argmax(1) == band]
+    parent, out = {}, []
+
+    def class_of(r: int) -> int:
+        while (up := parent.get(r, r)) != r:
+            r = up
+        return r
+
+    for k in ok:
+        a, b = int(p[k]), int(q[k])
+        ra, rb = class_of(int(root[a])), class_of(int(root[b]))
+        if ra != rb and (s := similar(texts[a].as_py(), texts[b].as_py(), min_similarity)):
+            parent[max(ra, rb)] = min(ra, rb)
+            out.append((min(int(node[a]), int(node[b])), max(int(node[a]), int(node[b])), s))
+    return out
 
 
 def _verify(edges: DataFrame, texts: DataFrame, min_similarity: float) -> DataFrame:
@@ -339,7 +360,7 @@ def near_links(docs: DataFrame, *, width: int = WIDTH, sketches: int = SKETCHES,
     nodes = shared.select("node").distinct()
     texts = docs.select(F.xxhash64(text_of()).alias("node"), text_of().cast("binary").alias("text"))
     texts = materialise(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "omh-texts")
-    facts = sigs.join(nodes, "node", "left_semi").select("node", "n_words", "bins")
+    facts = sigs.join(nodes, "node", "left_semi")
     left, links = shared, None
     for k in range(rounds):
         lead = left.groupBy("band", "entry").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -352,8 +373,7 @@ def near_links(docs: DataFrame, *, width: int = WIDTH, sketches: int = SKETCHES,
         if k + 1 < rounds:
             left = star.join(links.select("a", "b"), ["a", "b"], "left_anti").select("band", "entry", F.col("b").alias("node"))
             left = materialise(left, "omh-left")
-    rest = _unresolved(shared, links, facts, min_similarity, block)
-    return links.unionByName(materialise(_verify(rest, texts, min_similarity), "omh-links"))
+    return links.unionByName(materialise(_unresolved(shared, links, facts, texts, min_similarity, block), "omh-links"))
 
 
 def components(links: DataFrame) -> DataFrame:
