@@ -3,20 +3,27 @@
 Patterns mark assignments, access keys and long hex runs.  Beside them, values that
 stand in a wider credential context ("pwd: ...", "passphrase is ...") are priced: the
 cheapest segmentation into dictionary words, dates, repeats, alphabet and keyboard
-walks and brute-force spans, found by dynamic programming, gives the number of
-guesses an attacker needs.  A value that costs ``min_log10`` or more is marked as
-kind ``guess``; cheap ones ("changeme", "password1") are placeholders.
+walks and brute-force spans, found by dynamic programming over the whole value, gives
+the number of guesses an attacker needs.  The dictionary is a short list of password
+words, then the corpus' own words by rank (``word_ranks``: counted over all texts, the
+``most`` most frequent kept).  A value that costs ``min_log10`` or more is marked as kind
+``guess``; cheap ones ("changeme", "password1") are placeholders.  Prose isn't priced:
+one word of letters, and, without ":" or "=" before it, words joined by signs.
 
 Spans are (kind, start, end) in code points, end exclusive.  Null and empty texts
-have none.  Whole texts are scanned; a row's spans depend on its text alone.
+have none.  Whole texts and whole values are scanned, in time linear in their length: a
+walk or repeat of over ``STEP`` characters is several.  Repeated rows have equal spans.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +36,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _HINT = re.compile(r"pass|secret|token|api|pwd|cred|auth|bearer", re.I | re.A)
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth|bearer)["']?(?:\x20*[:=]\x20*|\x20+is\x20+|\x20+)["']?([^\s"'<>|]{6,})""",
+    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth|bearer)["']?(\x20*[:=]\x20*|\x20+is\x20+|\x20+)["']?([^\s"'<>|]{6,})""",
     re.I | re.A,
 )
 
@@ -40,7 +47,12 @@ WORDS = (
     "changeme default guest root test user example sample public private access server oracle system manager company"
 ).split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+#: letters of a dictionary word, at least and at most
+SHORTEST, LONGEST = 3, 20
+MOST_WORDS = 20_000
+STEP = 64
+_LETTERS = re.compile(rb"[a-z]{3,20}")
+_JOINTS = re.compile(r"[-/.,;:()]+")
 # Rows of a keyboard, and runs of the alphabet and the digits.
 WALKS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 NEXT = {(a, b) for row in WALKS for a, b in zip(row, row[1:])} | {(b, a) for row in WALKS for a, b in zip(row, row[1:])}
@@ -53,34 +65,56 @@ def _alphabet(value: str) -> int:
     return max(10, sum(n for n, p in ((10, r"[0-9]"), (26, r"[a-z]"), (26, r"[A-Z]"), (33, r"[^0-9a-zA-Z]")) if re.search(p, value)))
 
 
-def guess_log10(value: str) -> float:
+def word_ranks(docs: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
+    """The frequent runs of letters of all texts (A-Z lower-cased), after the fixed words, with their ranks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
+        for b in batches:
+            for t in b.column(0):
+                found.update(_LETTERS.findall(t.as_py().lower()))
+                if len(found) > 200_000:
+                    yield rows()
+                    found.clear()
+        yield rows()
+
+    words = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(count, "word string, n long")
+    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).toArrow()
+    ranks = dict(RANK)
+    for w in top.column("word").to_pylist():
+        ranks.setdefault(w, len(ranks) + 1)
+    return ranks
+
+
+def guess_log10(value: str, ranks: dict[str, int] = RANK) -> float:
     """log10 of the guesses for the cheapest segmentation of ``value``."""
     n, low = len(value), value.lower()
+    low = low if len(low) == n else value  # a letter whose lower case is longer
     plain = low.translate(LEET)
     per_char = math.log10(_alphabet(value))
     best = [0.0] + [math.inf] * n
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if m := _DATE.match(value, i):
-            dates.setdefault(i, []).append(m.end())
     for i in range(n):
         here = best[i]
         best[i + 1] = min(best[i + 1], here + per_char)  # brute force, one place
-        for end in dates.get(i, ()):
-            best[end] = min(best[end], here + (2.1 if end - i == 4 else 4.6))  # ~120 years, or days in them
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
+        if value[i].isdigit() and (m := _DATE.match(value, i)):
+            best[m.end()] = min(best[m.end()], here + (2.1 if m.end() - i == 4 else 4.6))  # ~120 years, or days in them
+        for j in range(i + SHORTEST, min(n, i + LONGEST) + 1):
+            rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
-                cost = math.log10(rank + 1) + (0.3 if value[i:j] != low[i:j] else 0) + (0.3 if low[i:j] not in RANK else 0)
+                cost = math.log10(rank + 1) + (0.3 if value[i:j] != low[i:j] else 0) + (0.3 if low[i:j] not in ranks else 0)
                 best[j] = min(best[j], here + cost)
         j = i + 1  # keyboard and alphabet walks, from each of their steps
-        while j < n and (low[j - 1], low[j]) in NEXT:
+        while j < min(n, i + STEP) and (low[j - 1], low[j]) in NEXT:
             j += 1
             if j - i >= 3:
                 best[j] = min(best[j], here + 1.7 + math.log10(j - i))
         for unit in (1, 2, 3, 4):  # repeats of a short unit
             j = i + unit
-            while j + unit <= n and low[j : j + unit] == low[i : i + unit]:
+            while j + unit <= min(n, i + STEP) and low[j : j + unit] == low[i : i + unit]:
                 j += unit
                 best[j] = min(best[j], here + unit * per_char + math.log10((j - i) / unit))
     return best[n]
@@ -97,19 +131,21 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return [(s, KINDS[k], e) for s, k, e in sorted(found)]
 
 
-def guess_spans(text: str, min_log10: float = MIN_LOG10) -> list[tuple[int, str, int]]:
-    """Credential-context values that cost at least ``min_log10``.
+def is_prose(value: str, assigned: bool) -> bool:
+    """One word of letters; if nothing assigns the value, also words joined by signs."""
+    one = lambda w: w.isalpha() and (w.islower() or w.isupper() or w[1:].islower())
+    return one(value) or not assigned and all(one(w) for w in _JOINTS.split(value) if w)
 
-    A value needs a digit or sign inside and two kinds of characters: plain prose that
-    follows a word such as "secret" isn't one.
-    """
+
+def guess_spans(text: str, min_log10: float = MIN_LOG10, ranks: dict[str, int] = RANK) -> list[tuple[int, str, int]]:
+    """Credential-context values that aren't prose and cost at least ``min_log10``."""
     out = []
     if not _HINT.search(text):
         return out
     for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".,;:)]}")
-        if len(value) >= 6 and re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value) and guess_log10(value[:512]) >= min_log10:
-            out.append((m.start(1), "guess", m.start(1) + len(value)))
+        value = m[2].rstrip(".,;:)]}")
+        if len(value) >= 6 and not is_prose(value, ":" in m[1] or "=" in m[1]) and guess_log10(value, ranks) >= min_log10:
+            out.append((m.start(2), "guess", m.start(2) + len(value)))
     return out
 
 
@@ -117,14 +153,17 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
 
 
-def find_secrets(text: Column, min_log10: float = MIN_LOG10) -> Column:
-    """Spans of a text as an array of structs: kind, start, end, in order of start and kind."""
+def find_secrets(text: Column, min_log10: float = MIN_LOG10, ranks: dict[str, int] = RANK) -> Column:
+    """Spans of a text as an array of structs: kind, start, end, in order of start and kind.
+
+    ``ranks``: the dictionary, as ``word_ranks`` gives it (of bounded size).
+    """
 
     @F.pandas_udf("array<struct<kind:string,start:long,end:long>>")
     def scan(texts: pd.Series) -> pd.Series:
         order = KINDS.index
         return texts.map(
-            lambda t: [{"kind": k, "start": s, "end": e} for s, k, e in sorted(base_spans(t) + guess_spans(t, min_log10), key=lambda x: (x[0], order(x[1])))]
+            lambda t: [{"kind": k, "start": s, "end": e} for s, k, e in sorted(base_spans(t) + guess_spans(t, min_log10, ranks), key=lambda x: (x[0], order(x[1])))]
         )
 
     return scan(F.coalesce(text, F.lit("")))
@@ -150,7 +189,7 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def secret_digest(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
     """doc_id, counts per pattern, digest of the pattern spans, all spans joined."""
-    rows = docs.select("doc_id", find_secrets(F.col("text"), min_log10).alias("found"))
+    rows = docs.select("doc_id", find_secrets(F.col("text"), min_log10, word_ranks(docs)).alias("found"))
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
     text = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return rows.select(

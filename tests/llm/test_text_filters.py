@@ -41,6 +41,114 @@ def test_guess_cost_is_the_cheapest_segmentation():
     assert secrets.guess_log10("abababababab") < secrets.guess_log10("abcqbzuwxeoi")
 
 
+def _all_costs(value, ranks):
+    """Cost of every span by its own rules, and the cheapest of all segmentations."""
+    import itertools
+    import math
+
+    per = math.log10(secrets._alphabet(value))
+    low = value.lower()
+    plain = low.translate(secrets.LEET)
+
+    def span(i, j):
+        found, part = [per * (j - i) if j - i == 1 else math.inf], low[i:j]
+        if secrets._DATE.fullmatch(value, i, j) and secrets._DATE.match(value, i).end() == j:
+            found.append(2.1 if j - i == 4 else 4.6)
+        if 3 <= j - i <= 20 and (rank := ranks.get(part) or ranks.get(plain[i:j])):
+            found.append(math.log10(rank + 1) + 0.3 * (value[i:j] != part) + 0.3 * (part not in ranks))
+        if j - i >= 3 and all((a, b) in secrets.NEXT for a, b in zip(part, part[1:])):
+            found.append(1.7 + math.log10(j - i))
+        for unit in (1, 2, 3, 4):
+            if (j - i) % unit == 0 and (j - i) // unit > 1 and part == part[:unit] * ((j - i) // unit):
+                found.append(unit * per + math.log10((j - i) / unit))
+        return min(found)
+
+    n = len(value)
+    cuts = (c for k in range(n) for c in itertools.combinations(range(1, n), k))
+    return min(sum(span(a, b) for a, b in zip((0, *c), (*c, n))) for c in cuts)
+
+
+@pytest.mark.parametrize("value", ["abc123xyz", "P@ssword1", "1999dragon", "aaaabbbbZ", "x1x1x1qw", "qwe20240131", "loginTEST"])
+def test_guess_cost_matches_all_segmentations(value):
+    ranks = secrets.RANK | {"dra": 900}
+    assert abs(secrets.guess_log10(value, ranks) - _all_costs(value, ranks)) < 1e-9
+
+
+def test_base_spans_match_a_naive_scanner():
+    import random
+
+    def runs(text, ok):
+        i = 0
+        while i < len(text):
+            j = i
+            while j < len(text) and ok(text[j]):
+                j += 1
+            yield i, j
+            i = max(j, i + 1)
+
+    def naive(text):
+        out = []
+        hexes = set("0123456789abcdef")
+        out += [(a, "hex", b) for a, b in runs(text, hexes.__contains__) if b - a >= 24]
+        caps = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+        i = 0
+        while (i := text.find("AKIA", i)) >= 0:
+            j = i + 4
+            while j < len(text) and text[j] in caps:
+                j += 1
+            if j - i >= 20:
+                out.append((i, "access", j))
+            i = j if j > i + 4 else i + 1
+        value, low, i = caps | set("abcdefghijklmnopqrstuvwxyz+/_.=-"), text.lower(), 0
+        while i < len(text):
+            end = None
+            for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+                if low.startswith(name, i):
+                    j = i + len(name)
+                    j += text[j : j + 1] in ("'", '"')
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    if text[j : j + 1] not in (":", "="):
+                        continue
+                    j += 1
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    j += text[j : j + 1] in ("'", '"') and text[j + 1 : j + 2] in value and text[j + 1 : j + 2] != ""
+                    k = j
+                    while k < len(text) and text[k] in value:
+                        k += 1
+                    if k > j:
+                        end = k
+                        if k - j >= 6:
+                            out.append((i, "assign", k))
+                        break
+            i = end or i + 1
+        return sorted(out, key=lambda x: (x[0], secrets.KINDS.index(x[1])))
+
+    rng = random.Random(3)
+    parts = ["token", "Secret", "api_key", "apikey", "passwd", "password", " ", ":", "=", '"', "'", "abc", "12ab9f", "deadbeef" * 3, "AKIA", "ABCDEFGH12345678", "é", "\n", "-x_", "zz", "AKIAAKIA"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        assert secrets.base_spans(text) == naive(text), text
+
+
+def test_strong_values_of_any_kind_are_found_whole():
+    found = lambda t: [t[a:b] for a, _, b in secrets.guess_spans(t)]
+    assert found("password: gXtQzLwvRkPq!#") == ["gXtQzLwvRkPq!#"]
+    assert found("pwd=93#71!44&08$65") == ["93#71!44&08$65"]
+    long = "a1" * 256 + "q7Zt0Lk3Wv9Xp2Rd8Gm4Jb6Nc1Hs5Fy0TeUi"  # a cheap beginning hides nothing
+    assert found("password: " + long) == [long]
+    assert found("the secret well-known thing, password required, secret: changeme") == []
+    assert secrets.guess_log10("a1" * 200_000) > 0
+
+
+def test_dictionary_is_counted_from_all_texts(spark):
+    docs = spark.createDataFrame([(i, "Zanzibar zanzibar quokka" if i < 9 else None) for i in range(10)], "doc_id long, text string")
+    ranks = secrets.word_ranks(docs, most=1)
+    assert ranks["zanzibar"] == len(secrets.RANK) + 1 and "quokka" not in ranks
+    assert secrets.guess_log10("zanzibar7#", ranks) < secrets.guess_log10("zanzibar7#")
+
+
 def test_secret_digest_keeps_base_spans_and_adds_guesses(spark, edge_docs):
     docs = spark.createDataFrame([(1, "passphrase is gX7#tQ9zLw2v now"), (2, "token=abcdef"), (3, None)], "doc_id long, text string")
     out = {r["doc_id"]: r for r in secrets.secret_digest(docs).collect()}
@@ -85,6 +193,19 @@ def test_factorization_machine_learns_a_pair():
     assert score[0] > 0.8 and score[1] > 0.8 and score[2] < 0.2 and score[3] < 0.4
 
 
+def test_factorization_scores_match_the_sum_over_all_pairs():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    model = toxicity.FactorizationMachine(-0.3, np.arange(30), rng.normal(0, 0.4, 30), rng.normal(0, 0.4, (30, 4)))
+    docs = [sorted(rng.choice(30, k, replace=False).tolist()) for k in (0, 1, 2, 7, 19)]
+    want = [1 / (1 + np.exp(-(model.bias + sum(model.weights[d]) + sum(model.factors[a] @ model.factors[b] for a, b in itertools.combinations(d, 2))))) for d in docs]
+    rows, cols = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.array([c for d in docs for c in d])
+    assert np.allclose(model.scores(rows, cols, len(docs)), want)
+
+
 def test_toxicity_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(1, 0), (5, 1), (5, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     assert toxicity.score_documents(edge_docs, labels).count() == edge_docs.count()
@@ -124,6 +245,14 @@ def test_viterbi_is_the_best_path(spark):
     assert list(model.label([" ".join(words), "the"])[0][1]) == list(best)
 
 
+def test_only_letters_are_words_and_any_number_of_languages(spark):
+    assert langid.words_of("² ½ a²b x_9y Ⅷ été") == ["a", "b", "x", "y", "été"]
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}zz " * 3, f"l{i % 200:03d}") for i in range(400)] + [(900, "rara avis", "rare")]
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 201 and model.predict(["² ½"]) == [("und", 0.0)]
+    assert model.predict([rows[199][1], "rara avis"])[0][0] == "l199" and model.predict(["rara avis"])[0][0] == "rare"
+
+
 def test_language_edges(spark, edge_docs, no_docs):
     docs = _languages(spark)
     model = langid.fit_languages(docs)
