@@ -5,8 +5,8 @@ pairwise part learns that two terms together (an insult with a group mention) me
 more than their sum.  Terms are lower-cased runs of letters and the first four to six
 letters of longer ones (inflected and compounded insults), hashed; a document is the
 set of its terms.  The model is fitted on at most ``max_rows`` labelled rows of
-distinct texts (the first by a hash of the id), and only the ``max_terms`` hashed
-terms that say most about the label get parameters.  Scoring reads every whole text.
+distinct texts (the first by a hash of the id), and all hashed terms that say more about
+the label than chance would get parameters.  Scoring reads every whole text.
 
 Cases: null or empty texts get the score of a text with no known term; no labelled
 rows, or labels of one kind only, give a constant score (the share of toxic rows, 0
@@ -30,7 +30,6 @@ from fleetline.llm.common import TOKEN_CACHE, materialise, remainder, text_of
 
 _TERM = re.compile(r"[^\W\d_]+")
 MAX_ROWS = 16_000
-MAX_TERMS = 4096
 LEAST_STEPS = 600
 BUCKETS = 1 << 20
 
@@ -99,7 +98,7 @@ def _train(buckets: np.ndarray, docs: list[list[int]], y: np.ndarray, *, rank: i
     return FactorizationMachine(float(b), buckets, w, v)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, rank: int = 4, epochs: int = 12, rate: float = 0.02, decay: float = 2e-5, seed: int = 3) -> FactorizationMachine:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = MAX_ROWS, rank: int = 4, epochs: int = 12, rate: float = 0.02, decay: float = 2e-5, seed: int = 3) -> FactorizationMachine:
     """Fit on the texts of ``docs`` (doc_id, text) whose id ``labels`` (doc_id, label) marks.
 
     At most ``max_rows`` ids are used: those first in the order of a hash.
@@ -122,8 +121,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", ma
     stats = stats.select("b", "n", gain.alias("gain"))
     # more than the best of as many unrelated terms would show
     least = math.log(max(1, stats.count()))
-    best = stats.filter((F.col("n") >= 3) & (F.col("gain") >= least)).orderBy(F.desc("gain"), "b").limit(max_terms).select("b").toPandas()
-    buckets = np.sort(best["b"].to_numpy(np.int64))
+    best = stats.filter((F.col("n") >= 3) & (F.col("gain") >= least)).select("b").toArrow()  # of BUCKETS at most
+    buckets = np.sort(best.column("b").to_numpy().astype(np.int64))
     place = {int(b): i for i, b in enumerate(buckets)}
 
     @F.pandas_udf("array<int>")
