@@ -2,7 +2,8 @@
 
 Each word is scored under every language by character n-grams (2 and 3, with word
 borders, add-one smoothed), learned from a bounded sample of labelled documents
-(``max_rows``, the first by a hash of the id).  The script of a word's letters
+(``max_rows`` shared evenly by the languages, ``LEAST_ROWS`` each at least; the first by
+a hash of the id).  Words are runs of letters.  The script of a word's letters
 narrows its candidates to the languages that were seen to use that script.  Viterbi
 with a switching penalty then labels the words, so a text falls into spans of one
 language each; the document's language is the one whose spans hold most letters.
@@ -21,12 +22,13 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import remainder
+from fleetline.llm.common import materialise, remainder
 
 MAX_ROWS = 6_000
+LEAST_ROWS = 50
 SWITCH_PENALTY = 6.0
 WORD_CACHE = 300_000
 #: texts labelled at a time; bounds what a Python worker holds
@@ -39,6 +41,21 @@ SCRIPTS = (
 )
 
 
+def _letters(m: re.Match) -> list[tuple[int, int]]:
+    """Runs of letters in a match, which may hold numerals such as a superscript."""
+    w, at = m[0], m.start()
+    if w.isalpha():
+        return [(at, m.end())]
+    return [(at + x.start(), at + x.end()) for x in re.finditer("a+", "".join("a" if c.isalpha() else "-" for c in w))]
+
+
+def words_of(text: str) -> list[str]:
+    found = _WORD.findall(text)
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [text[a:b] for m in _WORD.finditer(text) for a, b in _letters(m)]
+
+
 def script_of(word: str) -> str:
     c = ord(word[0])
     return next((name for name, lo, hi in SCRIPTS if lo <= c <= hi), "Other")
@@ -90,14 +107,15 @@ class LanguageModel:
 
     def label(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
         """The words of each text and the number of the language of each."""
-        words = [_WORD.findall(t.lower()) for t in texts]
+        words = [words_of(t.lower()) for t in texts]
         at, table = self._score_table(words)
         length = np.array([len(w) for w in words], np.int64)
         start = np.cumsum(length) - length
         order = np.argsort(-length, kind="stable")  # long texts first: those with a word t are a prefix
         longest, n = int(length.max(initial=0)), len(self.langs)
         active = np.searchsorted(-length[order], -np.arange(longest + 1), side="left")
-        before = np.empty((len(at), n), np.int8)  # best language of the word before, for each of this one
+        kind = np.int8 if n < 128 else np.int32
+        before = np.empty((len(at), n), kind)  # best language of the word before, for each of this one
         state = np.zeros(len(texts), np.int64)
         v = np.zeros((len(texts), n))
         for t in range(longest):
@@ -112,7 +130,7 @@ class LanguageModel:
             v = v + table[at[where]]
             ends = active[t + 1]
             state[order[ends:k]] = v[ends:].argmax(1)
-        flat = np.empty(len(at), np.int8)
+        flat = np.empty(len(at), kind)
         for t in range(longest - 1, -1, -1):
             docs = order[: active[t]]
             where = start[docs] + t
@@ -137,7 +155,7 @@ class LanguageModel:
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, language) of the runs of words in one language, in code points."""
-        found = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        found = [x for m in _WORD.finditer(text) for x in _letters(m)]
         if not self.langs or not found:
             return []
         # lower-casing may change a word's length, not its number among the words
@@ -152,19 +170,25 @@ class LanguageModel:
 
 
 def fit_languages(docs: DataFrame, *, max_rows: int = MAX_ROWS, penalty: float = SWITCH_PENALTY, seed: int = 5) -> LanguageModel:
-    """Learn from text and lang of ``docs``; at most ``max_rows`` rows, first by hash of id.
+    """Learn from text and lang of ``docs``; at most ``max_rows`` rows, or ``LEAST_ROWS`` a language.
 
-    A language needs five of the sampled texts, or the most any language has if that is less.
+    Every language with a sampled text that holds letters is learned.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
-    rows = rows.orderBy("h", "doc_id", "lang").limit(max_rows).dropDuplicates(["doc_id"])
-    rows = docs.select(F.col("doc_id").alias("d"), "text").join(F.broadcast(rows), F.col("d") == F.col("doc_id")).select("lang", "text")
+    sizes = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    each = max(LEAST_ROWS, max_rows // max(1, sizes.count()))
+    # twice as many rows by their hash, so that no language goes whole into one task; then the first of them
+    rows = rows.join(sizes, "lang").filter(F.pmod(F.xxhash64("h"), F.lit(1 << 40)) * F.col("n") < (1 << 40) * 2 * each)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    rows = rows.withColumn("nth", nth).filter(F.col("nth") <= each).select("doc_id", F.col("lang").alias("l"), "h").distinct()
+    own = docs.select(F.col("doc_id").alias("d"), "text", "lang")
+    rows = own.join(F.broadcast(rows), (F.col("d") == F.col("doc_id")) & (F.col("lang") == F.col("l"))).select("lang", "text")
 
     @F.pandas_udf("map<string,long>")
     def counted(texts: pd.Series) -> pd.Series:
         def one(t: str) -> dict[str, int]:
             out: Counter = Counter()
-            for w, k in Counter(_WORD.findall(t.lower())).items():
+            for w, k in Counter(words_of(t.lower())).items():
                 for g in grams(w):
                     out[g] += k
                 out["script:" + script_of(w)] += k * len(w)
@@ -172,10 +196,8 @@ def fit_languages(docs: DataFrame, *, max_rows: int = MAX_ROWS, penalty: float =
 
         return texts.map(one)
 
-    per_gram = rows.select("lang", F.explode(counted("text")).alias("gram", "k")).groupBy("lang", "gram").agg(F.sum("k").alias("k")).toPandas()
-    texts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    floor = min(5, max(texts.values(), default=0))
-    langs = sorted(x for x, n in texts.items() if n >= floor)
+    per_gram = rows.select("lang", F.explode(counted("text")).alias("gram", "k")).groupBy("lang", "gram").agg(F.sum("k").alias("k")).toArrow().to_pandas()
+    langs = sorted(per_gram["lang"].unique())
     place = {x: i for i, x in enumerate(langs)}
     counts: dict[str, np.ndarray] = {}
     for lang, gram, k in per_gram.itertuples(index=False):
