@@ -51,6 +51,15 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bytes_of(df: DataFrame) -> int:
+    """Size of a table that ``materialise`` wrote, in bytes on disk."""
+    spark = df.sparkSession
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = [paths(f) for f in df.inputFiles()]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return found[0].getFileSystem(conf).getContentSummary(found[0].getParent()).getLength() if found else 0
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

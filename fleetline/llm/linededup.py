@@ -8,8 +8,8 @@ leading tokens.  In a leaf, a token is constant at its place if at least the sha
 template of a line is its tokens with variable fields generalised.  If fewer than
 ``similarity`` of the tokens after the leading ones are constant, the line is too
 unlike its leaf and stands for itself.  A template that ``min_docs`` documents or more
-have recurs, and all its lines are dropped.  (A line counts once per document; lines
-of one document that differ before they are generalised count each.)
+have recurs, and all its lines are dropped; a document counts once, however many of its
+lines have the template.
 
 Leaves with fewer than ``min_docs`` lines hold no recurring template, so only lines of
 other leaves are kept past a first count.  Counts are partial sums before a shuffle;
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import materialise, text_of
+from fleetline.llm.common import bytes_of, materialise, text_of
 
 DEPTH = 3
 CONSTANT = 0.3
@@ -34,8 +34,8 @@ SIMILARITY = 0.7
 MIN_DOCS = 4
 MIN_TOKENS = 4
 VARIABLE = "<*>"
-#: a table of at most this many rows (of under 100 bytes or so) is broadcast, a larger one shuffled
-BROADCAST_ROWS = 1_000_000
+#: a table of at most so many bytes (as Parquet) is broadcast, a larger one shuffled
+BROADCAST_BYTES = 16 << 20
 _SPACE = r"[\x20\x09-\x0D]+"
 _BLANK = " \t\n\x0b\f\r"
 
@@ -57,7 +57,7 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
 
 def _small(df: DataFrame) -> DataFrame:
     """A materialised table, to be broadcast if its size allows it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else df
 
 
 def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, constant: float = CONSTANT, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -82,9 +82,13 @@ def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, constant: float = CO
     general = F.array_join(F.transform(F.arrays_zip(F.split("masked", " ").alias("x"), "is_fixed"), lambda z: F.when(z["is_fixed"], z["x"]).otherwise(VARIABLE)), " ")
     found = found.select("leaf", "masked", "docs", F.when(alike, general).otherwise(F.col("masked")).alias("template"))
     found = materialise(found, "templates")
+    # lines of one document may share a template: their sum is an upper bound only
     often = found.groupBy("leaf", "template").agg(F.sum("docs").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    found = found.join(often, ["leaf", "template"]).select("leaf", "masked", "template", "n_docs")
-    return lines.join(found, ["leaf", "masked"]).select("t", "at", "template", "n_docs")
+    found = found.join(often, ["leaf", "template"]).select("leaf", "masked", "template")
+    own = lines.join(found, ["leaf", "masked"]).groupBy("leaf", "template", "t").agg(F.max("docs").alias("docs"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    own = materialise(own, "template-texts")
+    often = own.groupBy("leaf", "template").agg(F.sum("docs").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    return own.join(often, ["leaf", "template"]).select("t", "at", "template", "n_docs")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
@@ -119,9 +123,9 @@ flags AS (
 temp AS (
   SELECT k, lead, tokens, docs, CASE WHEN len(list_filter(is_fixed, lambda x: x)) - {DEPTH} >= (k - {DEPTH}) * {SIMILARITY}::DOUBLE
     THEN list_transform(range(k), lambda i: CASE WHEN is_fixed[i + 1] THEN tokens[i + 1] ELSE '{VARIABLE}' END) ELSE tokens END AS template FROM flags),
-often AS (SELECT k, lead, template FROM temp GROUP BY k, lead, template HAVING sum(docs) >= {MIN_DOCS}),
-gone AS (
-  SELECT li.r, flatten(list(li.at)) AS drop FROM li JOIN temp t ON li.tokens = t.tokens JOIN often o ON t.k = o.k AND t.lead = o.lead AND t.template = o.template GROUP BY li.r),
+own AS (SELECT li.r, li.at, t.k, t.lead, t.template FROM li JOIN temp t ON li.tokens = t.tokens),
+often AS (SELECT k, lead, template FROM own GROUP BY k, lead, template HAVING count(DISTINCT r) >= {MIN_DOCS}),
+gone AS (SELECT w.r, flatten(list(w.at)) AS drop FROM own w JOIN often o ON w.k = o.k AND w.lead = o.lead AND w.template = o.template GROUP BY w.r),
 parts AS (SELECT d.r, d.doc_id, d.text, string_split(d.text, chr(10)) AS lines, coalesce(g.drop, []) AS drop FROM doc d LEFT JOIN gone g ON d.r = g.r)
 SELECT doc_id,
        CASE WHEN len(drop) = 0 THEN text ELSE array_to_string(list_transform(list_filter(range(len(lines)), lambda i: NOT list_contains(drop, i)), lambda i: lines[i + 1]), chr(10)) END AS text,

@@ -299,6 +299,14 @@ def test_variable_fields_generalise_and_unlike_lines_stand_alone(spark):
     assert [(r["template"], r["n_docs"]) for r in found] == [("the service on host <*> has been restarted by the admin", 5)]
 
 
+def test_lines_of_one_document_count_once(spark):
+    lines = [f"see the list of {w} fruit today" for w in ("red", "green", "blue", "dark", "pale")]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "nothing else to see here"), *[(10 + i, f"all rights are reserved by acme {i}") for i in range(4)]], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in linededup.dedup_lines(docs).collect()}
+    assert out[1]["n_dropped"] == 0 and out[10]["n_dropped"] == 1
+    assert _same(linededup.dedup_lines(docs).toPandas(), _oracle(docs.toPandas()))
+
+
 def test_line_dedup_edges(spark, edge_docs, no_docs):
     out = linededup.dedup_lines(edge_docs)
     assert out.count() == edge_docs.count() and out.columns[: len(edge_docs.columns)] == edge_docs.columns
