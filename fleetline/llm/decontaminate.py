@@ -13,7 +13,7 @@ at least ``min_coverage``.  Windows with more placeholders than words match verb
 only: their slot values enter the join.  So that an item with new parameters isn't held
 to them, coverage is taken over all windows or over the others, whichever is more.
 
-Cases: null and empty texts match nothing; items shorter than ``width`` are one window
+Cases: ids may be of any type; null and empty texts match nothing; items shorter than ``width`` are one window
 of their own length, those under ``least`` tokens aren't used; items equal but for case are represented by the
 smallest id, those with other slot values are matched each; of several texts of an item
 the one with most coverage counts; repeated rows of a document count once; an empty
@@ -105,6 +105,10 @@ def _windows(tokens: list[str], h: np.ndarray, width: int, cache: HashCache) ->
     return w, ok
 
 
+def _type(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
 _WINDOW = "hash long, pos int, slots array<string>"
 
 
@@ -144,11 +148,11 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, least: int = LEA
                 values = " ".join(t.lower() for t, x in zip(tokens, h) if x <= 3)
                 whole.append(xxhash.xxh3_64_intdigest(h.tobytes() + values.encode()) - (1 << 63))
                 found.append((tokens, h, w, np.arange(len(w)), own))
-            keys = [pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(n, pa.int32()), pa.array(wordy, pa.list_(pa.int32())), pa.array(widths, pa.int32()), pa.array(whole, pa.int64())]
+            keys = [pa.array(ids, b.schema.field(0).type), pa.array(texts, pa.int64()), pa.array(n, pa.int32()), pa.array(wordy, pa.list_(pa.int32())), pa.array(widths, pa.int32()), pa.array(whole, pa.int64())]
             yield _rows(keys, found, ["item_id", "v", "n_windows", "wordy", "width", "whole", "hash", "pos", "slots"])
 
-    items = benchmark.select(F.col("item_id").cast("long"), F.xxhash64("text").alias("v"), F.col("text")).filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    rows = items.dropDuplicates(["item_id", "v"]).mapInArrow(cut, f"item_id long, v long, n_windows int, wordy array<int>, width int, whole long, {_WINDOW}")
+    items = benchmark.select("item_id", F.xxhash64("text").alias("v"), F.col("text")).filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    rows = items.dropDuplicates(["item_id", "v"]).mapInArrow(cut, f"item_id {_type(benchmark, 'item_id')}, v long, n_windows int, wordy array<int>, width int, whole long, {_WINDOW}")
     first = rows.groupBy("whole").agg(F.min(F.struct("item_id", "v")).alias("first")).select("whole", "first.*")
     rows = rows.join(first, ["whole", "item_id", "v"], "left_semi").drop("whole")
     return rows.withColumn("n_wordy", F.size("wordy")).withColumn("wordy", F.array_contains("wordy", F.col("pos")))
@@ -187,7 +191,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, lea
                         yield _rows([some.column(0), some.column(1)], found, ["id", "h", "hash", "pos", "slots"])
 
     texts = docs.select(row_key().alias("k"), text_of().alias("text")).select("k.id", "k.h", "text")
-    seen = texts.mapInArrow(cut, f"id long, h long, {_WINDOW}")
+    seen = texts.mapInArrow(cut, f"id {_type(docs, 'doc_id')}, h long, {_WINDOW}")
     seen = seen.select(F.struct("id", "h").alias("k"), "hash", F.col("pos").alias("d_pos"), F.col("slots").alias("d_slots"))
     both = seen.join(bench, "hash").filter(F.size("slots") == F.size("d_slots"))
     pair = F.transform(F.arrays_zip("slots", "d_slots"), lambda x: F.struct(x["slots"].alias("a"), x["d_slots"].alias("b")))

@@ -211,6 +211,13 @@ def test_items_of_placeholders_are_found_verbatim(spark):
     assert _leaks(spark, texts, [sums, names, mixed]) == {(0, 0), (1, 1), (3, 2)}
 
 
+def test_decontamination_takes_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("x", "So: " + ITEM), ("y", "nothing of it")], "doc_id string, text string")
+    bench = spark.createDataFrame([("q1", ITEM)], "item_id string, text string")
+    assert [(r["k"]["id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()] == [("x", "q1")]
+    assert [r["doc_id"] for r in decontaminate.drop_leaked(docs, bench).collect()] == ["y"]
+
+
 def test_decontamination_edges(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (None, "a b c d e f"), (4, "one two"), (5, "the same row twice or so")], "item_id long, text string")
     assert decontaminate.drop_leaked(edge_docs, bench).count() == edge_docs.count()
