@@ -249,7 +249,7 @@ def sketch(docs: DataFrame, *, width: int = WIDTH, sketches: int = SKETCHES, min
     cache, hasher = HashCache(), OrderMinHash(sketches, minima)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (batch.slice(lo, 500) for batch in batches for lo in range(0, batch.num_rows, 500)):
             words = [hashes(words_of(t), cache) for t in b.column(1).to_pylist()]
             sigs = [hasher(labelled_kmers(w, width)).view(np.int64) for w in words]
             cut = np.cumsum([0] + [len(s) for s in sigs]).astype(np.int32)
