@@ -35,7 +35,7 @@ from fleetline.llm.common import qualified, scratch_path, text_of
 
 END_ID = 1
 #: words whose ids a Python worker remembers
-WORD_CACHE = 400_000
+WORD_CACHE = 600_000
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
 _SIGNS = b".,;:!?#$%&*()-\""
