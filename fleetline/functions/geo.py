@@ -35,11 +35,20 @@ def cardinal8(bearing: Column) -> Column:
     return F.element_at(names, (F.pmod(F.floor((bearing + 22.5) / 45.0), F.lit(8)) + 1).cast("int"))
 
 
-def grid_cell(x: Column, size: float) -> Column:
+def cell_width(latitude: Column, metres: float) -> Column:
+    """Degrees of longitude that are at least ``metres`` wide up to that latitude and ``metres`` beyond it.
+
+    Near the poles (above 89 degrees) the width stays that of 89.
+    """
+    high = metres / DEGREE_M
+    return high / F.cos(F.radians(F.least(F.lit(89.0), latitude + high)))
+
+
+def grid_cell(x: Column, size: float | Column) -> Column:
     return F.floor(x / size).cast("long")
 
 
-def neighbour_cells(lat: Column, lon: Column, lat_size: float, lon_size: float) -> Column:
+def neighbour_cells(lat: Column, lon: Column, lat_size: float | Column, lon_size: float | Column) -> Column:
     """The 3 x 3 cells around a point as an array of structs (cy, cx), to explode."""
     steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
     return F.array(*[F.struct((grid_cell(lat, lat_size) + dy).alias("cy"), (grid_cell(lon, lon_size) + dx).alias("cx")) for dy, dx in steps])

@@ -20,19 +20,18 @@ def positions_for_service_date(positions: DataFrame, dates: DataFrame, tz: str =
     return rows.join(bounds, "service_date").filter((F.col("timestamp") >= F.col("lo")) & (F.col("timestamp") < F.col("hi"))).drop("lo", "hi")
 
 
-def nearest_stop_within(positions: DataFrame, route_stops: DataFrame, *, max_m: float = 50.0, max_lat: float = 60.0) -> DataFrame:
+def nearest_stop_within(positions: DataFrame, route_stops: DataFrame, *, max_m: float = 50.0) -> DataFrame:
     """Pings with the nearest stop of their route within max_m: stop_id, dist_m.
 
     An equi join on route and grid cell (a ping looks at its 3 x 3 cells), so a ping meets
     only stops around it, however many a route has.  Cells are max_m high, and wide enough
-    for latitudes up to max_lat.  Ties go to the smaller stop id.
+    for the stops' largest latitude, which one aggregate finds.  Ties go to the smaller stop id.
     """
-    import math
-
     dy = max_m / geo.DEGREE_M
-    dx = dy / math.cos(math.radians(max_lat))
-    stops = route_stops.select("route_id", F.col("stop_id").alias("s_id"), F.col("stop_lat").alias("s_lat"), F.col("stop_lon").alias("s_lon"), geo.grid_cell(F.col("stop_lat"), dy).alias("cy"), geo.grid_cell(F.col("stop_lon"), dx).alias("cx"))
-    near = positions.select("id", "route_id", "latitude", "longitude", F.explode(geo.neighbour_cells(F.col("latitude"), F.col("longitude"), dy, dx)).alias("c")).select("id", "route_id", "latitude", "longitude", "c.cy", "c.cx")
+    limits = F.broadcast(route_stops.agg(F.max(F.abs("stop_lat")).alias("m")))
+    dx = geo.cell_width(F.col("m"), max_m)
+    stops = route_stops.crossJoin(limits).select("route_id", F.col("stop_id").alias("s_id"), F.col("stop_lat").alias("s_lat"), F.col("stop_lon").alias("s_lon"), geo.grid_cell(F.col("stop_lat"), dy).alias("cy"), geo.grid_cell(F.col("stop_lon"), dx).alias("cx"))
+    near = positions.select("id", "route_id", "latitude", "longitude").crossJoin(limits).select("*", F.explode(geo.neighbour_cells(F.col("latitude"), F.col("longitude"), dy, dx)).alias("c")).select("id", "route_id", "latitude", "longitude", "c.cy", "c.cx")
     dist = geo.haversine_m(F.col("latitude"), F.col("longitude"), F.col("s_lat"), F.col("s_lon"))
     hits = near.join(stops, ["route_id", "cy", "cx"]).select("id", "s_id", dist.alias("d")).filter(F.col("d") <= max_m)
     best = hits.groupBy("id").agg(F.min(F.struct("d", "s_id")).alias("best"))
@@ -153,37 +152,101 @@ def trace_vehicle_journey(enriched: DataFrame, vehicle_id: str) -> DataFrame:
     return enriched.filter(F.col("vehicle_id") == vehicle_id).select("timestamp", "id", "trip_id", "stop_id", "dist_m", "diff_sec").orderBy("timestamp", "id")
 
 
-def match_candidates(positions: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, *, tz: str = "UTC", max_m: float = 500.0, early_min: int = 5, late_min: int = 15) -> DataFrame:
-    """Pings against scheduled visits of their route near in time and space: scores per (ping, trip).
+def _scheduled_visits(trips: DataFrame, stop_times: DataFrame, stops: DataFrame) -> DataFrame:
+    """Visits of every trip with their place: m_trip, m_route, m_direction, stop_id, stop_sequence, sec."""
+    visits = trips.select("trip_id", F.col("route_id").alias("m_route"), F.col("direction_id").alias("m_direction")).join(stop_times.select("trip_id", "stop_id", "stop_sequence", clock.gtfs_seconds(F.col("arrival_time")).alias("sec")), "trip_id")
+    return visits.join(stops.select("stop_id", "stop_lat", "stop_lon"), "stop_id").withColumnRenamed("trip_id", "m_trip")
+
+
+def _timed_pings(positions: DataFrame, tz: str) -> DataFrame:
+    """Pings of a route with their seconds since midnight; rt_trip is the trip they report."""
+    at = clock.to_local(F.col("timestamp"), tz)
+    sec = exact_seconds_between(F.date_trunc("day", at).cast("timestamp_ntz"), at)
+    return positions.filter("route_id IS NOT NULL").select("id", "vehicle_id", F.col("trip_id").alias("rt_trip"), "route_id", "timestamp", "latitude", "longitude", sec.alias("ping_sec"))
+
+
+def _near_visits(rows: DataFrame, max_m: float, early_min: float, late_min: float) -> DataFrame:
+    """Pairs of ping and visit within max_m and the time window, with distance and lateness.
+
+    Distances are taken to the micrometre, so that places equally far tie.
+    """
+    dist = F.round(geo.haversine_m(F.col("latitude"), F.col("longitude"), F.col("stop_lat"), F.col("stop_lon")), 6)
+    rows = rows.withColumns({"dist_m": dist, "late_sec": F.col("ping_sec") - F.col("sec")})
+    return rows.filter((F.col("dist_m") <= max_m) & F.col("late_sec").between(-early_min * 60, late_min * 60))
+
+
+_PING, _VISIT = ["id", "vehicle_id", "rt_trip", "route_id", "timestamp"], ["stop_id", "stop_sequence", "late_sec", "dist_m"]
+
+
+def own_trip_matches(positions: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, *, tz: str = "UTC", max_m: float = 500.0, early_min: int = 10, late_min: int = 15) -> DataFrame:
+    """Pings whose reported trip fits: its first stop, in order, that is near in place and time.
 
-    The join's key is route, direction and a time bucket as wide as the window, so a ping
-    meets the visits of two buckets, not the whole timetable.
+    Direction and route of the trip aren't compared.  Confidence is the mean of nearness in
+    time and in place, without a bonus.
+    """
+    rows = _timed_pings(positions, tz).join(_scheduled_visits(trips, stop_times, stops), F.col("rt_trip") == F.col("m_trip"))
+    first = _near_visits(rows, max_m, early_min, late_min).groupBy(*_PING).agg(F.min(F.struct("stop_sequence", "stop_id", "late_sec", "dist_m")).alias("v"))
+    rows = first.select(*_PING, F.col("rt_trip").alias("trip_id"), *[F.col(f"v.{c}").alias(c) for c in _VISIT])
+    mean = (F.greatest(F.lit(0.0), 1 - F.abs("late_sec") / 60 / late_min) + (1 - F.col("dist_m") / max_m)) / 2
+    return rows.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)))
+
+
+def match_candidates(positions: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, *, tz: str = "UTC", max_m: float = 500.0, early_min: int = 5, late_min: int = 15) -> DataFrame:
+    """Pings against the trips of their route that pass near in time and place: one row per (ping, trip).
+
+    Where the reported trip is known, only trips of its direction count; else any does.
+    The join's key is route and a time bucket as wide as the window, so a ping meets the
+    visits of two buckets, not the whole timetable.  A trip's visits are then walked in
+    order; a visit takes over if its biased score (early costs more than late) is below the
+    plain score of the one held.  Confidence adds 0.1 between two minutes early and ten
+    late, and takes 0.1 off when earlier; visits of the next day (24:00 and later) count
+    from the ping's own midnight.
     """
     width = (early_min + late_min) * 60
-    visits = trips.select("trip_id", "route_id", "direction_id").join(stop_times.select("trip_id", "stop_id", "stop_sequence", clock.gtfs_seconds(F.col("arrival_time")).alias("sec")), "trip_id")
-    visits = visits.join(stops.select("stop_id", "stop_lat", "stop_lon"), "stop_id").select(F.col("trip_id").alias("m_trip"), "route_id", "direction_id", "stop_id", "stop_sequence", (F.col("sec") % 86400).alias("sec"), "stop_lat", "stop_lon")
-    visits = visits.withColumn("bucket", F.floor(F.col("sec") / width))
+    bucket = lambda sec: F.floor(sec / width)
+    visits = _scheduled_visits(trips, stop_times, stops).withColumn("bucket", bucket(F.col("sec")))
+    reported = trips.select(F.col("trip_id").alias("rt_trip"), F.col("direction_id").alias("rt_direction"))
+    pings = _timed_pings(positions, tz).join(reported, "rt_trip", "left")
+    pings = pings.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("ping_sec") - late_min * 60), bucket(F.col("ping_sec") + early_min * 60)))))
+    rows = pings.join(visits, (F.col("route_id") == F.col("m_route")) & (pings["bucket"] == visits["bucket"]) & (F.col("rt_direction").isNull() | (F.col("rt_direction") == F.col("m_direction"))))
+    rows = _near_visits(rows, max_m, early_min, late_min)
+    minutes = F.col("late_sec") / 60
+    off = F.abs(minutes)
+    place = F.col("dist_m") / max_m
+    time = F.when(off <= 2, off / 20).when(minutes < 0, 0.3 + off / late_min * 0.7).otherwise(minutes / late_min * 0.5)
+    rows = rows.withColumns({"biased": (time + place) / 2, "plain": (off / late_min + place) / 2})
+    walk = F.array_sort(F.collect_list(F.struct("stop_sequence", "stop_id", "late_sec", "dist_m", "biased", "plain")))
+    held = F.aggregate(F.slice("walk", 2, F.size("walk")), F.element_at("walk", 1), lambda held, v: F.when(v["biased"] < held["plain"], v).otherwise(held))
+    best = rows.groupBy(*_PING, "m_trip").agg(walk.alias("walk")).select(*_PING, F.col("m_trip").alias("trip_id"), held.alias("v")).select(*_PING, "trip_id", *[F.col(f"v.{c}").alias(c) for c in _VISIT])
+    late = F.col("late_sec") / 60
+    bonus = F.when(late.between(-2, 10), 0.1).when(late < -2, -0.1).otherwise(0.0)
+    mean = ((1 - F.abs(late) / late_min) + (1 - F.col("dist_m") / max_m)) / 2 + bonus
+    return best.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)))
+
+
+def find_matching_trip(positions: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, *, min_confidence: float = 0.3, tz: str = "UTC", max_m: float = 500.0, late_min: int = 15) -> DataFrame:
+    """The trip of each ping: the one it reports where that fits, else the most confident above min_confidence.
+
+    Ties go to the smaller trip id.  Pings without route, or without any match, have no row.
+    """
+    options = {"tz": tz, "max_m": max_m, "late_min": late_min}
+    own = own_trip_matches(positions, trips, stop_times, stops, **options)
+    rest = match_candidates(positions.join(own.select("id"), "id", "left_anti"), trips, stop_times, stops, **options).filter(F.col("confidence") > min_confidence)
+    top = F.min(F.struct(F.negative("confidence").alias("order"), "trip_id", *_VISIT, "confidence")).alias("m")
+    rest = rest.groupBy(*_PING).agg(top).select(*_PING, "m.trip_id", *[f"m.{c}" for c in _VISIT], "m.confidence")
+    return own.unionByName(rest)
+
+
+def arrivals_of_matches(matches: DataFrame, near: DataFrame, stop_times: DataFrame, *, tz: str = "UTC", min_confidence: float = 0.3) -> DataFrame:
+    """Matched pings that are near a stop which their matched trip serves: diff_sec against the trip's first visit there.
+
+    ``near`` gives the nearest stop of a ping (id, stop_id), as ``nearest_stop_within`` does.
+    """
+    rows = matches.filter(F.col("confidence") >= min_confidence).select("id", "vehicle_id", "route_id", "timestamp", "trip_id").join(near.select("id", "stop_id"), "id")
+    first = stop_times.groupBy("trip_id", "stop_id").agg(F.min_by(clock.gtfs_seconds(F.col("arrival_time")), "stop_sequence").alias("sched_sec"))
     at = clock.to_local(F.col("timestamp"), tz)
-    sec = F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
-    pings = positions.select("id", "vehicle_id", F.col("trip_id").alias("rt_trip"), "route_id", "direction_id", "latitude", "longitude", "timestamp", sec.alias("ping_sec"))
-    pings = pings.withColumn("bucket", F.explode(F.array_distinct(F.array(F.floor((F.col("ping_sec") - late_min * 60) / width), F.floor((F.col("ping_sec") + early_min * 60) / width)))))
-    rows = pings.join(visits, ["route_id", "direction_id", "bucket"])
-    late = F.col("ping_sec") - F.col("sec")
-    rows = rows.withColumns({"late_sec": late, "dist_m": geo.haversine_m(F.col("latitude"), F.col("longitude"), F.col("stop_lat"), F.col("stop_lon"))})
-    rows = rows.filter((F.col("dist_m") <= max_m) & F.col("late_sec").between(-early_min * 60, late_min * 60))
-    score = 0.6 * (1 - F.col("dist_m") / max_m) + 0.4 * (1 - F.abs("late_sec") / (late_min * 60.0))
-    score = score + F.when(F.col("late_sec").between(-120, 600), 0.1).otherwise(-0.1)
-    rows = rows.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
-    best = F.max_by(F.struct("stop_id", "stop_sequence", "late_sec", "dist_m", "confidence"), F.struct("confidence", F.negative("stop_sequence")))
-    return rows.groupBy("id", "vehicle_id", "rt_trip", "route_id", "timestamp", "m_trip").agg(best.alias("b")).select("id", "vehicle_id", "rt_trip", "route_id", "timestamp", F.col("m_trip").alias("trip_id"), "b.*")
-
-
-def find_matching_trip(positions: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, *, min_confidence: float = 0.3, **options) -> DataFrame:
-    """The best trip of each ping: its own realtime trip where that fits, else the best score above min_confidence."""
-    rows = match_candidates(positions, trips, stop_times, stops, **options)
-    own = (F.col("trip_id") == F.col("rt_trip")).cast("int")
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(own), F.desc("confidence"), "trip_id"))
-    return rows.withColumn("nth", nth).filter((F.col("nth") == 1) & ((own == 1) | (F.col("confidence") > min_confidence))).drop("nth")
+    diff = exact_seconds_between(clock.gtfs_time_on_reference_day(at, F.col("sched_sec")), at)
+    return rows.join(first, ["trip_id", "stop_id"]).withColumn("diff_sec", diff).drop("sched_sec")
 
 
 def match_vehicles_to_trips(matches: DataFrame, min_confidence: float = 0.3) -> DataFrame:
@@ -191,19 +254,45 @@ def match_vehicles_to_trips(matches: DataFrame, min_confidence: float = 0.3) ->
     return matches.filter(F.col("confidence") >= min_confidence).groupBy("vehicle_id").agg(F.max_by(F.struct("trip_id", "stop_id", "confidence", "timestamp"), F.struct("timestamp", "id")).alias("m")).select("vehicle_id", "m.*")
 
 
-def validate_trip_match(positions: DataFrame, trips: DataFrame, stop_times: DataFrame, shapes: DataFrame, *, tz: str = "UTC", max_shape_m: float = 500.0, slack_min: int = 30) -> DataFrame:
-    """Flags per ping: route agrees, time within the trip's span (with midnight wrap), near the trip's shape."""
-    ends = stop_times.groupBy("trip_id").agg(F.min(clock.gtfs_seconds(F.col("arrival_time"))).alias("a"), F.max(clock.gtfs_seconds(F.col("arrival_time"))).alias("b"))
-    info = trips.select("trip_id", F.col("route_id").alias("t_route"), "shape_id").join(ends, "trip_id")
+def validate_trip_match(positions: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, shapes: DataFrame, *, tz: str = "UTC", max_shape_m: float = 500.0, slack_min: int = 30, max_bearing: float = 90.0) -> DataFrame:
+    """Flags per ping of a known trip: route agrees, heading, time within the trip's span, near the trip's shape.
+
+    Route and time must hold.  The heading (a column ``bearing``, compared with the line from
+    first to last stop) and the shape are null where they can't be checked, and then do no
+    harm.  The span is from first departure to last arrival, each less a day from 24:00 on;
+    a span that ends before it starts passes midnight.  A ping meets only the shape points
+    in the cells around it; shape_m is null where none is within max_shape_m.
+    """
+    sec = lambda c: F.pmod(clock.gtfs_seconds(F.col(c)), F.lit(86400))
+    visits = stop_times.join(stops.select("stop_id", "stop_lat", "stop_lon"), "stop_id", "left")
+    end = F.struct(F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
+    ends = visits.groupBy("trip_id").agg(
+        F.min_by(sec("departure_time"), "stop_sequence").alias("a"), F.max_by(sec("arrival_time"), "stop_sequence").alias("b"), F.min_by(end, "stop_sequence").alias("from"), F.max_by(end, "stop_sequence").alias("to"), F.count(F.lit(1)).alias("n_stops")
+    )
+    info = trips.select("trip_id", F.col("route_id").alias("t_route"), F.col("direction_id").alias("t_direction"), "shape_id").join(ends, "trip_id", "left")
     at = clock.to_local(F.col("timestamp"), tz)
-    sec = F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
-    rows = positions.join(info, "trip_id", "left").withColumn("sec", sec)
-    slack = slack_min * 60
-    inside = lambda s: s.between(F.col("a") - slack, F.col("b") + slack)
-    dist = positions.select("id", "trip_id", "latitude", "longitude").join(trips.select("trip_id", "shape_id"), "trip_id").join(shapes, "shape_id")
-    dist = dist.groupBy("id").agg(F.min(geo.haversine_m(F.col("latitude"), F.col("longitude"), F.col("shape_pt_lat"), F.col("shape_pt_lon"))).alias("shape_m"))
-    rows = rows.join(dist, "id", "left")
-    flags = {"route_ok": F.coalesce(F.col("route_id") == F.col("t_route"), F.lit(False)), "time_ok": F.coalesce(inside(F.col("sec")) | inside(F.col("sec") + 86400), F.lit(False)), "shape_ok": F.coalesce(F.col("shape_m") <= max_shape_m, F.lit(False))}
+    now = F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    heading = F.col("bearing") if "bearing" in positions.columns else F.lit(None).cast("double")
+    rows = positions.withColumn("bearing", heading).join(info, "trip_id")
+    pts = shapes.select("shape_id", F.col("shape_pt_lat").alias("p_lat"), F.col("shape_pt_lon").alias("p_lon"))
+    known = pts.select("shape_id").distinct().withColumn("has_shape", F.lit(True))
+    limits = shapes.agg(F.max(F.abs("shape_pt_lat")).alias("m"))
+    dy = max_shape_m / geo.DEGREE_M
+    dx = geo.cell_width(F.col("m"), max_shape_m)
+    spot = rows.select("id", "shape_id", "latitude", "longitude").crossJoin(F.broadcast(limits)).select("id", "shape_id", "latitude", "longitude", F.explode(geo.neighbour_cells(F.col("latitude"), F.col("longitude"), dy, dx)).alias("c")).select("id", "shape_id", "latitude", "longitude", "c.cy", "c.cx")
+    placed = pts.crossJoin(F.broadcast(limits)).select("shape_id", "p_lat", "p_lon", geo.grid_cell(F.col("p_lat"), dy).alias("cy"), geo.grid_cell(F.col("p_lon"), dx).alias("cx"))
+    dist = spot.join(placed, ["shape_id", "cy", "cx"]).groupBy("id").agg(F.min(geo.haversine_m(F.col("latitude"), F.col("longitude"), F.col("p_lat"), F.col("p_lon"))).alias("shape_m")).filter(F.col("shape_m") <= max_shape_m)
+    rows = rows.join(dist, "id", "left").join(known, "shape_id", "left")
+    line = F.pmod(F.degrees(F.atan2(F.col("to.lon") - F.col("from.lon"), F.col("to.lat") - F.col("from.lat"))) + 360.0, F.lit(360.0))
+    a, b, slack = F.col("a"), F.col("b"), slack_min * 60
+    inside = F.when(a <= b, now.between(a - slack, b + slack)).otherwise((now >= a - slack) | (now <= b + slack))
+    flags = {
+        "route_ok": F.coalesce(F.col("route_id") == F.col("t_route"), F.lit(False)),
+        "direction_ok": F.when(F.col("bearing").isNotNull() & F.col("t_direction").isNotNull() & (F.col("n_stops") >= 2), geo.bearing_distance(F.col("bearing"), line) <= max_bearing),
+        "time_ok": F.coalesce(inside, F.lit(False)),
+        "shape_ok": F.when(F.col("has_shape"), F.col("shape_m").isNotNull()),
+    }
     rows = rows.withColumns(flags)
-    warnings = F.array_compact(F.array(*[F.when(~F.col(c), c.replace("_ok", "_mismatch")) for c in flags]))
+    bad = {c: ~F.coalesce(F.col(c), F.lit(True)) for c in flags}
+    warnings = F.array_compact(F.array(*[F.when(x, F.lit(c.replace("_ok", "_mismatch"))) for c, x in bad.items()]))
     return rows.select("id", "trip_id", *flags, "shape_m", warnings.alias("warnings"), (F.size(warnings) == 0).alias("is_valid"))

@@ -59,10 +59,17 @@ def otp_ranking(passages: DataFrame, min_arrivals: int = 1) -> DataFrame:
     return out.filter(F.col("otp_n") >= min_arrivals).orderBy(F.desc("otp_pct"), "route_id")
 
 
-def otp_from_matches(matches: DataFrame, n_pings: DataFrame, *keys: str) -> DataFrame:
-    """Matched and unmatched pings, and OTP of the matched, per route (and ``keys``).  ``n_pings``: route_id, n."""
-    out = _split(matches, "late_sec", "otp", "route_id", *keys)
-    return out.join(n_pings, "route_id", "left").withColumn("unmatched", F.col("n") - F.col("otp_n")) if not keys else out
+def otp_from_matches(arrivals: DataFrame, *keys: str) -> DataFrame:
+    """OTP and mean lateness (to a tenth of a second) of the arrivals of matched pings (``derive.arrivals_of_matches``) per route and ``keys``."""
+    late = arrivals.groupBy("route_id", *keys).agg(F.round(F.avg("diff_sec"), 1).alias("avg_late_sec"))
+    return _split(arrivals, "diff_sec", "otp", "route_id", *keys).join(late, ["route_id", *keys])
+
+
+def matched_and_unmatched(positions: DataFrame, matches: DataFrame, min_confidence: float = 0.3) -> DataFrame:
+    """Pings per route with and without a good match."""
+    good = matches.filter(F.col("confidence") >= min_confidence).select("id", F.lit(1).alias("hit"))
+    rows = positions.filter("route_id IS NOT NULL").select("id", "route_id").join(good, "id", "left")
+    return rows.groupBy("route_id").agg(F.count("hit").alias("n_matched"), (F.count(F.lit(1)) - F.count("hit")).alias("n_unmatched"))
 
 
 def headways_at_stop(passages: DataFrame, stops_of: DataFrame, hours: DataFrame, *, tz: str = "UTC", valid_min: int = 120) -> DataFrame:

@@ -134,19 +134,48 @@ def matches(fx: Fixture):
     return derive.find_matching_trip(fx.positions, fx.trips, fx.stop_times, fx.stops)
 
 
-@query("D11_find_matching_trip")
+# own trip first, then the walk over each candidate trip's visits, as a fold over an ordered list
+MATCH = f""", visit AS (SELECT s.trip_id AS m_trip, s.route_id AS m_route, s.direction_id AS m_dir, s.stop_id, s.stop_sequence, s.arrival_sec, t.stop_lat, t.stop_lon FROM fx_st s JOIN stops t ON t.stop_id = s.stop_id),
+ ping AS (SELECT *, epoch(ts - CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS ps FROM pos),
+ hit AS (SELECT *, ps - arrival_sec AS late_sec, (ps - arrival_sec) / 60 AS mi FROM (SELECT p.id, p.vehicle_id, p.trip_id AS rt, p.direction_id AS dir, p.route_id, p.ts, p.ps, v.*, round({hav_sql('p.lat', 'p.lon', 'v.stop_lat', 'v.stop_lon')}, 6) AS dist_m
+   FROM ping p JOIN visit v ON p.route_id = v.m_route AND p.direction_id = v.m_dir WHERE p.ps - v.arrival_sec BETWEEN -600 AND 900) WHERE dist_m <= 500),
+ own AS (SELECT id, vehicle_id, route_id, ts, m_trip AS trip_id, stop_id, stop_sequence, late_sec, dist_m, greatest(0, least(1, (greatest(0, 1 - abs(mi) / 15) + (1 - dist_m / 500)) / 2)) AS confidence FROM hit WHERE m_trip = rt
+   QUALIFY row_number() OVER (PARTITION BY id ORDER BY stop_sequence) = 1),
+ sc AS (SELECT *, (CASE WHEN abs(mi) <= 2 THEN abs(mi) / 20 WHEN mi < 0 THEN 0.3::DOUBLE + abs(mi) / 15 * 0.7::DOUBLE ELSE mi / 15 * 0.5::DOUBLE END + dist_m / 500) / 2 AS biased, (abs(mi) / 15 + dist_m / 500) / 2 AS plain
+   FROM hit WHERE late_sec >= -300 AND id NOT IN (SELECT id FROM own)),
+ wk AS (SELECT id, vehicle_id, route_id, ts, m_trip, list_reduce(list({{'q': stop_sequence, 's': stop_id, 'l': late_sec, 'd': dist_m, 'b': biased, 'p': plain}} ORDER BY stop_sequence), lambda h, v: CASE WHEN v.b < h.p THEN v ELSE h END) AS v FROM sc GROUP BY ALL),
+ cf AS (SELECT id, vehicle_id, route_id, ts, m_trip AS trip_id, v.s AS stop_id, v.q AS stop_sequence, v.l AS late_sec, v.d AS dist_m,
+   greatest(0, least(1, ((1 - abs(v.l / 60) / 15) + (1 - v.d / 500)) / 2 + CASE WHEN v.l / 60 BETWEEN -2 AND 10 THEN 0.1::DOUBLE WHEN v.l / 60 < -2 THEN -0.1::DOUBLE ELSE 0 END)) AS confidence FROM wk),
+ matched AS (SELECT * FROM own UNION ALL (SELECT * FROM cf WHERE confidence > 0.3::DOUBLE QUALIFY row_number() OVER (PARTITION BY id ORDER BY confidence DESC, trip_id) = 1))"""
+
+
+@query("D11_find_matching_trip", MATCH + " SELECT id, trip_id, stop_id, late_sec, dist_m, confidence FROM matched", "late_sec dist_m confidence")
 def _(fx):
     return matches(fx).select("id", "trip_id", "stop_id", "late_sec", "dist_m", "confidence")
 
 
-@query("D12_match_vehicles_to_trips")
+@query("D12_match_vehicles_to_trips", MATCH + " SELECT vehicle_id, trip_id, stop_id, confidence, ts AS timestamp FROM matched WHERE confidence >= 0.3::DOUBLE QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY ts DESC, id DESC) = 1", "confidence")
 def _(fx):
     return derive.match_vehicles_to_trips(matches(fx))
 
 
-@query("D13_validate_trip_match")
+SHAPES = """, shp AS (SELECT concat('P', CAST(n % 12 AS VARCHAR), '_', CAST(n // 12 % 2 AS VARCHAR)) AS shape_id, 38.90::DOUBLE + (n % 12 % 4) * 0.00005::DOUBLE AS plat, -77.05::DOUBLE + CASE n // 12 % 2 WHEN 0 THEN n // 24 ELSE 29 - n // 24 END * 0.0004::DOUBLE AS plon FROM range(720) t(n))"""
+
+
+def headed_positions(fx: Fixture):
+    return fx.positions.withColumn("bearing", F.when(F.col("id") % 4 != 0, (F.col("id") * 37 % 360).cast("double")))
+
+
+@query("D13_validate_trip_match", SHAPES + f""", ends AS (SELECT s.trip_id, min_by(arrival_sec, stop_sequence) % 86400 AS a, max_by(arrival_sec, stop_sequence) % 86400 AS b, min_by({{'lat': stop_lat, 'lon': stop_lon}}, stop_sequence) AS f,
+   max_by({{'lat': stop_lat, 'lon': stop_lon}}, stop_sequence) AS t, count(*) AS n FROM fx_st s LEFT JOIN stops t ON t.stop_id = s.stop_id GROUP BY 1),
+ near_shp AS (SELECT * FROM (SELECT p.id, min({hav_sql('p.lat', 'p.lon', 'plat', 'plon')}) AS shape_m FROM pos p JOIN fx_trips t ON t.trip_id = p.trip_id JOIN shp ON shp.shape_id = t.shape_id GROUP BY 1) WHERE shape_m <= 500),
+ v0 AS (SELECT p.id, p.trip_id, CAST(floor(epoch(ts - CAST(CAST(ts AS DATE) AS TIMESTAMP))) AS BIGINT) AS now, a, b, n, shape_m, CASE WHEN p.id % 4 <> 0 THEN (p.id * 37 % 360)::DOUBLE END AS bearing, fmod(degrees(atan2(t.lon - f.lon, t.lat - f.lat)) + 360, 360) AS line
+   FROM pos p LEFT JOIN ends e ON e.trip_id = p.trip_id LEFT JOIN near_shp s ON s.id = p.id),
+ v1 AS (SELECT id, trip_id, shape_m, true AS route_ok, CASE WHEN bearing IS NOT NULL AND n >= 2 THEN least(fmod(abs(bearing - line), 360), 360 - fmod(abs(bearing - line), 360)) <= 90 END AS direction_ok,
+   coalesce(CASE WHEN a <= b THEN now BETWEEN a - 1800 AND b + 1800 ELSE now >= a - 1800 OR now <= b + 1800 END, false) AS time_ok, shape_m IS NOT NULL AS shape_ok FROM v0)
+ SELECT id, trip_id, route_ok, direction_ok, time_ok, shape_ok, shape_m, coalesce(direction_ok, true) AND time_ok AND shape_ok AS is_valid FROM v1""", "shape_m")
 def _(fx):
-    return derive.validate_trip_match(fx.positions, fx.trips, fx.stop_times, fx.shapes)
+    return derive.validate_trip_match(headed_positions(fx), fx.trips, fx.stop_times, fx.stops, fx.shapes).drop("warnings")
 
 
 ENRICHED = NEAR + """, first_at AS (SELECT trip_id, stop_id, min_by(arrival_sec, stop_sequence) AS a FROM fx_st GROUP BY 1, 2),
@@ -227,30 +256,45 @@ def _(fx):
 
 @query("E04_line_otp_from_positions", ENRICHED + f""", clean AS (SELECT p.* FROM enriched p JOIN fx_trips t ON t.trip_id = p.trip_id WHERE NOT (t.service_id = 'WK' AND p.service_date = DATE '2024-01-04')),
  pa AS (SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY vehicle_id, trip_id, stop_id, service_date ORDER BY ts DESC, id DESC) = 1), s AS ({split_sql('pa', 'diff_sec', 'otp', 'route_id')})
- SELECT s.*, a.avg_late_sec FROM s JOIN (SELECT route_id, avg(diff_sec) AS avg_late_sec FROM pa GROUP BY 1) a USING (route_id)""", "otp_pct avg_late_sec")
+ SELECT s.*, a.avg_late_sec FROM s JOIN (SELECT route_id, round(avg(diff_sec), 1) AS avg_late_sec FROM pa GROUP BY 1) a USING (route_id)""", "otp_pct avg_late_sec")
 def _(fx):
     return metrics.line_otp_from_positions(fx.positions, fx.trips, fx.calendar_dates, route_stops(fx), fx.stop_times)
 
 
-@query("E05_stop_otp_from_positions")
-def _(fx):
-    return _by(fx, "stop_id")
+def arrivals_sql(metres: int, last: str) -> str:
+    """SQL of the arrivals of matched pings at their nearest stop within ``metres``."""
+    nearest = NEAR.replace("dist_m <= 50", f"dist_m <= {metres}")
+    return MATCH + nearest + """, first_at AS (SELECT trip_id, stop_id, min_by(arrival_sec, stop_sequence) AS a FROM fx_st GROUP BY 1, 2),
+ arr AS (SELECT m.route_id, m.trip_id, n.stop_id, m.ts, epoch(m.ts - CAST(CAST(m.ts AS DATE) AS TIMESTAMP)) - a AS diff_sec, CAST(hour(m.ts) AS INT) AS hour FROM matched m JOIN near n ON n.id = m.id JOIN first_at f ON f.trip_id = m.trip_id AND f.stop_id = n.stop_id WHERE m.confidence >= 0.3::DOUBLE)""" + last
+
 
+def arrivals(fx: Fixture, max_m: float):
+    return derive.arrivals_of_matches(matches(fx), derive.nearest_stop_within(fx.positions, route_stops(fx), max_m=max_m), fx.stop_times)
 
-def _by(fx: Fixture, *keys: str):
-    n = fx.positions.groupBy("route_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = matches(fx).withColumn("period", labels.ewt_period(F.hour("timestamp")))
-    return metrics.otp_from_matches(rows.filter("dist_m <= 50") if "stop_id" in keys else rows, n, *keys)
+
+def _otp_sql(keys: str, rows: str = "arr") -> str:
+    return f"{split_sql(rows, 'diff_sec', 'otp', keys)}"
+
+
+def _with_mean(keys: str, rows: str = "arr") -> str:
+    return f", o AS ({_otp_sql(keys, rows)}), l AS (SELECT {keys}, round(avg(diff_sec), 1) AS avg_late_sec FROM {rows} GROUP BY {keys}) SELECT o.*, avg_late_sec FROM o JOIN l USING ({keys})"
+
+
+@query("E05_stop_otp_from_positions", arrivals_sql(50, _with_mean("route_id, stop_id")), "otp_pct avg_late_sec")
+def _(fx):
+    return metrics.otp_from_matches(arrivals(fx, 50.0), "stop_id")
 
 
-@query("E06_period_otp_from_positions")
+@query("E06_period_otp_from_positions", arrivals_sql(50, f", ap AS (SELECT *, {ewt_period_sql('hour')} AS period FROM arr)" + _with_mean("route_id, period", "ap")), "otp_pct avg_late_sec")
 def _(fx):
-    return _by(fx, "period")
+    return metrics.otp_from_matches(arrivals(fx, 50.0).withColumn("period", labels.ewt_period(F.hour("timestamp"))), "period")
 
 
-@query("E07_otp_from_matches")
+@query("E07_otp_from_matches", arrivals_sql(200, """, o AS (""" + _otp_sql("route_id") + """), c AS (SELECT p.route_id, count(m.id) AS n_matched, count(*) - count(m.id) AS n_unmatched FROM pos p LEFT JOIN matched m ON m.id = p.id AND m.confidence >= 0.3::DOUBLE GROUP BY 1),
+ l AS (SELECT route_id, round(avg(diff_sec), 1) AS avg_late_sec FROM arr GROUP BY 1) SELECT * FROM c LEFT JOIN o USING (route_id) LEFT JOIN l USING (route_id)"""), "otp_pct avg_late_sec")
 def _(fx):
-    return _by(fx)
+    counts = metrics.matched_and_unmatched(fx.positions, matches(fx))
+    return counts.join(metrics.otp_from_matches(arrivals(fx, 200.0)), "route_id", "left")
 
 
 def ref_passages(fx: Fixture):

@@ -251,3 +251,48 @@ def test_json_lines_and_partitions(spark, tmp_path):
     tables.replace_partition(df, str(tmp_path / "t"), "k")
     tables.replace_partition(df.filter("k = 'a'").withColumn("v", F.lit(9)), str(tmp_path / "t"), "k")
     assert {(r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {("a", 9), ("b", 2)}
+
+
+def _match_world(spark):
+    """Trip A (direction 0) and B (direction 1) of route R, 09:00 at S1 and 09:10 at S2, about 1.1 km apart."""
+    trips = spark.createDataFrame([("A", "R", 0), ("B", "R", 1)], "trip_id string, route_id string, direction_id int")
+    rows = [(t, s, at, at, n) for t, shift in (("A", 0), ("B", 30)) for n, (s, at) in enumerate([("S1", f"09:{shift:02d}:00"), ("S2", f"09:{shift + 10:02d}:00")], 1)]
+    stop_times = spark.createDataFrame(rows, "trip_id string, stop_id string, arrival_time string, departure_time string, stop_sequence int")
+    stops = spark.createDataFrame([("S1", 38.90, -77.05), ("S2", 38.91, -77.05)], "stop_id string, stop_lat double, stop_lon double")
+    return trips, stop_times, stops
+
+
+@pytest.mark.parametrize(
+    "reported, route, clock_time, want",
+    [
+        ("A", "R", "08:52:00", ("A", (7 / 15 + 1) / 2)),  # own trip eight minutes early: fits, and no malus
+        ("A", "R", "09:12:00", ("A", (3 / 15 + 1) / 2)),  # own trip twelve minutes late: no bonus
+        ("Z", "R", "09:30:00", ("B", 1.0)),  # unknown trip: any direction; the bonus stops at 1
+        (None, "R", "09:12:00", ("A", (3 / 15 + 1) / 2)),  # twelve late, neither bonus nor malus
+        (None, "R", "09:26:00", ("B", (11 / 15 + 1) / 2 - 0.1)),  # four early
+        (None, "R", "08:54:00", None),  # six early is too early without a reported trip
+        (None, None, "09:00:00", None),  # no route
+        ("A", "R", "09:30:00", None),  # own trip too late, and trips of the other direction don't count
+    ],
+)
+def test_matching_trip(spark, reported, route, clock_time, want):
+    pings = spark.sql(f"SELECT 1L AS id, 'V' AS vehicle_id, {repr(reported) if reported else 'CAST(NULL AS STRING)'} AS trip_id, {repr(route) if route else 'CAST(NULL AS STRING)'} AS route_id, TIMESTAMP_NTZ '2024-01-02 {clock_time}' AS timestamp, 38.90D AS latitude, -77.05D AS longitude")
+    got = [(r["trip_id"], r["confidence"]) for r in derive.find_matching_trip(pings, *_match_world(spark)).collect()]
+    assert got == ([] if want is None else [(want[0], pytest.approx(want[1]))])
+
+
+def test_nearest_stop_in_the_far_north(spark):
+    stops = spark.createDataFrame([("R", "S", 78.0, 15.0)], "route_id string, stop_id string, stop_lat double, stop_lon double")
+    pings = spark.createDataFrame([(1, "R", 78.0, 15.0 + 45 / (111_195 * 0.2079)), (2, "R", 78.0, 15.01)], "id long, route_id string, latitude double, longitude double")
+    got = derive.nearest_stop_within(pings, stops).collect()
+    assert [(r["id"], r["stop_id"]) for r in got] == [(1, "S")] and got[0]["dist_m"] == pytest.approx(45, abs=0.1)
+
+
+def test_trip_match_flags(spark):
+    trips, stop_times, stops = _match_world(spark)
+    trips = trips.selectExpr("*", "if(trip_id = 'A', 'P', 'none') AS shape_id")
+    shapes = spark.createDataFrame([("P", 38.90, -77.05, 1), ("P", 38.91, -77.05, 2)], "shape_id string, shape_pt_lat double, shape_pt_lon double, shape_pt_sequence int")
+    rows = [(1, "A", "R", 20.0, 38.90), (2, "A", "R", 180.0, 38.90), (3, "A", "R", None, 38.99), (4, "B", "Q", 0.0, 38.99)]
+    pings = spark.createDataFrame(rows, "id long, trip_id string, route_id string, bearing double, latitude double").selectExpr("*", "-77.05D AS longitude", "TIMESTAMP_NTZ '2024-01-02 09:05:00' AS timestamp")
+    got = {r["id"]: (r["direction_ok"], r["shape_ok"], r["warnings"]) for r in derive.validate_trip_match(pings, trips, stop_times, stops, shapes).collect()}
+    assert got == {1: (True, True, []), 2: (False, True, ["direction_mismatch"]), 3: (None, False, ["shape_mismatch"]), 4: (True, None, ["route_mismatch"])}
