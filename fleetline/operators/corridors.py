@@ -46,12 +46,15 @@ def corridor_runs(trips: DataFrame, shapes: DataFrame, *, prox_m: float = 15.0,
     return runs.filter((F.size(F.split("routes", ",")) >= 2) & (F.col("n_points") >= min_points)).withColumn("cardinal", geo.cardinal8(F.col("mean_bearing"))).drop("island")
 
 
-def corridors(runs: DataFrame, route_stops: DataFrame, *, min_len_m: float = 500.0, snap_m: float = 100.0) -> DataFrame:
+def corridors(runs: DataFrame, route_stops: DataFrame, sequence: DataFrame, *, min_len_m: float = 500.0, snap_m: float = 100.0) -> DataFrame:
     """Corridors of long enough runs: ends snapped to the nearest shared stop, one per identity,
     contiguous ones merged, nested ones dropped.
 
-    Identity is (routes, cardinal, end stops); the longest run of it stays.  Merging and
-    nesting compare only corridors of one (cardinal, route set), a handful each.
+    Identity is (routes, cardinal, end stops); the longest run of it stays.  Chains start at
+    stops where no other corridor ends; a corridor that no chain takes up (a side branch, a
+    cycle) stays as it is.  One whose stop ranges lie within a longer one's on every route,
+    strictly on one, goes.  ``sequence``: route_id, direction_id, stop_id, stop_sequence.
+    Merging and nesting compare only corridors of one (cardinal, route set), a handful each.
     """
     import pandas as pd
 
@@ -68,21 +71,45 @@ def corridors(runs: DataFrame, route_stops: DataFrame, *, min_len_m: float = 500
     nth = F.row_number().over(Window.partitionBy("routes", "cardinal", "start", "end").orderBy(F.desc("length_m"), "route_id", "direction_id", "from_seq"))
     out = out.withColumn("nth", nth).filter("nth = 1").select("routes", "cardinal", F.col("start").alias("start_stop"), F.col("end").alias("end_stop"), "length_m", geo.wkt_linestring(F.col("points")).alias("wkt"))
 
+    out = out.withColumn("corridor_id", F.concat_ws("|", "cardinal", "routes", "start_stop", "end_stop"))
+    spans = corridor_membership(out, sequence).groupBy("corridor_id").agg(F.collect_list(F.struct("route_id", "direction_id", "start_seq", "end_seq")).alias("spans"))
+    out = out.join(spans, "corridor_id", "left").drop("corridor_id")
+
+    def nested(inner: dict, outer: dict) -> bool:
+        if not inner or inner.keys() != outer.keys():
+            return False
+        within = all(outer[k][0] <= a and b <= outer[k][1] for k, (a, b) in inner.items())
+        return within and inner != outer
+
+    def chain(links: list[dict]) -> dict:
+        first, last = links[0], links[-1]
+        spans = {k: (first["spans"][k][0], last["spans"][k][1]) for k in first["spans"].keys() & last["spans"].keys()}
+        wkt = first["wkt"][:-1] + "".join(", " + r["wkt"][11:-1] for r in links[1:]) + ")"
+        return first | {"end_stop": last["end_stop"], "length_m": sum(r["length_m"] for r in links), "wkt": wkt, "spans": spans}
+
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["length_m", "start_stop"], ascending=[False, True]).to_dict("records")
-        by_start = {r["start_stop"]: r for r in reversed(rows)}
-        heads = [r for r in rows if r["start_stop"] not in {x["end_stop"] for x in rows}] or rows[:1]
-        merged = []
-        for r in heads:
-            r, seen = dict(r), {r["start_stop"]}
-            while r["end_stop"] in by_start and r["end_stop"] not in seen:
-                seen.add(r["end_stop"])
-                n = by_start[r["end_stop"]]
-                r |= {"end_stop": n["end_stop"], "length_m": r["length_m"] + n["length_m"], "wkt": r["wkt"][:-1] + ", " + n["wkt"][11:]}
-            merged.append(r)
-        return pd.DataFrame(merged, columns=pdf.columns)
-
-    out = out.groupBy("cardinal", "routes").applyInPandas(merge, out.schema)
+        rows = pdf.sort_values(["length_m", "start_stop", "end_stop"], ascending=[False, True, True]).to_dict("records")
+        for i, r in enumerate(rows):
+            r["at"] = i
+            r["spans"] = {(s["route_id"], s["direction_id"]): (s["start_seq"], s["end_seq"]) for s in (r["spans"] if r["spans"] is not None else [])}
+        following = {r["start_stop"]: r for r in reversed(rows)}  # of several, the longest
+        ends, taken, merged = {r["end_stop"] for r in rows}, set(), []
+        for head in [r for r in rows if r["start_stop"] not in ends]:
+            links, n = [], head
+            while n is not None and n["at"] not in taken:
+                links.append(n)
+                taken.add(n["at"])
+                n = following.get(n["end_stop"])
+            if links:
+                merged.append(chain(links))
+        merged += [r for r in rows if r["at"] not in taken]
+        kept: list[dict] = []
+        for r in sorted(merged, key=lambda r: -r["length_m"]):
+            if not any(nested(r["spans"], k["spans"]) for k in kept):
+                kept.append(r)
+        return pd.DataFrame(kept)[[c for c in pdf.columns if c != "spans"]]
+
+    out = out.groupBy("cardinal", "routes").applyInPandas(merge, out.drop("spans").schema)
     return out.withColumn("corridor_id", F.sha2(F.concat_ws("|", "cardinal", "routes", "start_stop", "end_stop"), 256)).withColumn("display_name", F.concat_ws(" ", F.concat_ws("-", "start_stop", "end_stop"), "cardinal"))
 
 

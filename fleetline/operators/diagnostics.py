@@ -160,9 +160,16 @@ def slip_trajectory(stop_events: DataFrame, *, max_gap: int = 1800, tz: str = cl
     return rows.withColumn("cum_slip_sec", F.sum("mean_slip_sec").over(w))
 
 
-def block_timeline(trips: DataFrame, stop_times: DataFrame, runs: DataFrame, services: DataFrame) -> DataFrame:
-    """Every block's trips per date in order: schedule, end deviations, vehicle, status."""
-    sched = services.join(trips, "service_id").join(scheduled_endpoints(stop_times), "trip_id").select("service_date", "block_id", "trip_id", "route_id", "start_sec", "end_sec")
+def block_timeline(trips: DataFrame, stop_times: DataFrame, runs: DataFrame, services: DataFrame, dates: DataFrame) -> DataFrame:
+    """Every block's trips per date in order: schedule, end deviations, vehicle, status.
+
+    A block without an active trip on a date shows all its trips there, with is_scheduled false.
+    """
+    blocks = trips.select("block_id").filter("block_id IS NOT NULL").distinct()
+    active = services.join(trips, "service_id").select("service_date", "block_id", "trip_id", "route_id", F.lit(True).alias("is_scheduled"))
+    idle = dates.select("service_date").crossJoin(blocks).join(active.select("service_date", "block_id").distinct(), ["service_date", "block_id"], "left_anti")
+    every = active.unionByName(idle.join(trips, "block_id").select("service_date", "block_id", "trip_id", "route_id", F.lit(False).alias("is_scheduled")))
+    sched = every.join(scheduled_endpoints(stop_times), "trip_id").select("service_date", "is_scheduled", "block_id", "trip_id", "route_id", "start_sec", "end_sec")
     pick = lambda s, c: F.max(F.when(F.col("source") == s, F.col(c)))
     wide = runs.groupBy("service_date", "trip_id").agg(
         pick("proximity", "origin_dev_sec").alias("origin_dev_sec"), pick("trip_update", "destination_dev_sec").alias("destination_dev_sec"),
@@ -176,7 +183,7 @@ def block_timeline(trips: DataFrame, stop_times: DataFrame, runs: DataFrame, ser
 def active_blocks(timeline: DataFrame) -> DataFrame:
     """Per (date, block): trips, routes, first start, worst deviation, rank by it."""
     worst = F.greatest(F.abs("origin_dev_sec"), F.abs("destination_dev_sec"))
-    out = timeline.groupBy("service_date", "block_id").agg(
+    out = timeline.filter("is_scheduled").groupBy("service_date", "block_id").agg(
         F.count(F.lit(1)).alias("n_trips"), F.array_join(F.array_sort(F.collect_set("route_id")), ",").alias("routes"), F.min("start_sec").alias("first_start_sec"), F.max(worst).alias("worst_dev_sec"), F.max((F.col("status") != "not_observed").cast("int")).alias("any_observed")
     )
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("service_date").orderBy(F.desc_nulls_last("worst_dev_sec"), "block_id")))
@@ -184,6 +191,7 @@ def active_blocks(timeline: DataFrame) -> DataFrame:
 
 def route_blocks(timeline: DataFrame) -> DataFrame:
     """Per (date, route, block): trips of the block, and those on the route."""
+    timeline = timeline.filter("is_scheduled")
     n = timeline.groupBy("service_date", "block_id").agg(F.count(F.lit(1)).alias("n_trips"))
     on = timeline.groupBy("service_date", "route_id", "block_id").agg(F.count(F.lit(1)).alias("n_on_route"), F.min("start_sec").alias("first_start_sec"))
     return on.join(n, ["service_date", "block_id"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetline.functions import clock, geo, labels
 from fleetline.operators import derive
-from fleetline.operators.runs import seconds_between, trunc_int
+from fleetline.operators.runs import exact_seconds_between, seconds_between, trunc_int
 from fleetline.operators.schedule import canonical_stop_sequence, drop_exception_pings
 
 KEY = ["route_id", "service_date"]
@@ -159,11 +159,25 @@ def stop_diagnostics(stop_events: DataFrame, trips: DataFrame, stop_times: DataF
 
 
 def rolling_otp(stop_events: DataFrame, rows: int = 10) -> DataFrame:
-    """Rolling on-time mean over the last observations of a route."""
-    w = Window.partitionBy("route_id").orderBy("observed_arrival_ts", "trip_id", "stop_sequence")
+    """Rolling on-time mean over the last observations of a route.
+
+    Windows run within one date of a route; each date also gets the last rows - 1 flags of
+    the dates before it, from a table of that many per route and date.
+    """
+    day = F.to_date("observed_arrival_ts")
     on = F.col("deviation_sec").between(labels.EARLIEST, labels.LATEST).cast("int")
-    base = stop_events.filter("source = 'proximity' AND deviation_sec IS NOT NULL")
-    return base.select("route_id", "trip_id", "stop_sequence", "observed_arrival_ts", F.avg(on).over(w.rowsBetween(1 - rows, 0)).alias("rolling_otp"))
+    base = stop_events.filter("source = 'proximity' AND deviation_sec IS NOT NULL").select("route_id", "trip_id", "stop_sequence", "observed_arrival_ts", day.alias("day"), on.alias("on"))
+    order = ["observed_arrival_ts", "trip_id", "stop_sequence"]
+    w = Window.partitionBy("route_id", "day").orderBy(*order)
+    base = base.select("*", F.row_number().over(w).alias("nth"), F.sum("on").over(w.rowsBetween(1 - rows, 0)).alias("here"), F.count(F.lit(1)).over(Window.partitionBy("route_id", "day")).alias("n"))
+    tails = base.filter(F.col("n") - F.col("nth") < rows - 1).groupBy("route_id", "day").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "on"))), lambda x: x["on"]).alias("tail"))
+    before = F.flatten(F.collect_list("tail").over(Window.partitionBy("route_id").orderBy("day").rowsBetween(1 - rows, -1)))
+    carried = tails.select("route_id", "day", before.alias("before"))
+    lack = F.greatest(F.lit(0), F.lit(rows) - F.col("nth"))
+    take = F.least(lack, F.size("before"))
+    old = F.aggregate(F.slice("before", F.size("before") - take + 1, take), F.lit(0), lambda a, x: a + x)
+    out = base.join(carried, ["route_id", "day"]).select("*", F.when(take > 0, old).otherwise(0).alias("old"), take.alias("take"))
+    return out.select("route_id", "trip_id", "stop_sequence", "observed_arrival_ts", ((F.col("here") + F.col("old")) / (F.least(F.col("nth"), F.lit(rows)) + F.col("take"))).alias("rolling_otp"))
 
 
 def lateness_histogram(stop_events: DataFrame) -> DataFrame:
@@ -184,32 +198,53 @@ def feed_profile(updates: DataFrame) -> DataFrame:
     return whole.crossJoin(per)
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The value at rank round-half-even(q * (n - 1)) of a sorted array."""
-    return F.element_at(values, (F.bround((F.size(values) - 1) * q) + 1).cast("int"))
+def nearest_rank(df: DataFrame, column: str, **shares: float) -> DataFrame:
+    """One row: the values at rank round-half-even(share * (n - 1)), and the largest as ``max``; nulls don't count.
+
+    Rows are first counted per value, so what is ordered in one place are distinct values.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("v"))
+    ranked = counts.withColumn("upto", upto).crossJoin(counts.agg(F.sum("n").alias("all")))
+    return ranked.agg(*[F.min(F.when(F.col("upto") > F.bround((F.col("all") - 1) * q), F.col("v"))).alias(name) for name, q in shares.items()], F.max("v").alias("max"))
 
 
 def prediction_volatility(updates: DataFrame) -> DataFrame:
     """One row: snapshots per (trip, stop), and spread of their predictions, by nearest rank."""
-    per = updates.groupBy("trip_id", "stop_sequence").agg(F.count_distinct("snapshot_ts").alias("k"), seconds_between(F.min("predicted_arrival_ts"), F.max("predicted_arrival_ts")).alias("spread"), F.max("snapshot_ts").alias("last"))
-    ks, ss = F.array_sort(F.collect_list("k")), F.array_sort(F.collect_list("spread"))
-    return per.agg(F.count(F.lit(1)).alias("n_keys"), nearest_rank(ks, 0.5).alias("median_snapshots"), F.max("k").alias("max_snapshots"), nearest_rank(ss, 0.5).alias("median_spread"), nearest_rank(ss, 0.95).alias("p95_spread"), F.max("spread").alias("max_spread"))
+    per = updates.groupBy("trip_id", "stop_sequence").agg(F.count_distinct("snapshot_ts").alias("k"), seconds_between(F.min("predicted_arrival_ts"), F.max("predicted_arrival_ts")).alias("spread"))
+    snapshots = nearest_rank(per, "k", median_snapshots=0.5).withColumnRenamed("max", "max_snapshots")
+    spread = nearest_rank(per, "spread", median_spread=0.5, p95_spread=0.95).withColumnRenamed("max", "max_spread")
+    return per.agg(F.count(F.lit(1)).alias("n_keys")).crossJoin(snapshots).crossJoin(spread)
 
 
-def run_quality(positions: DataFrame, trips: DataFrame, route_stops: DataFrame, stop_times: DataFrame, *, tz: str = "UTC") -> DataFrame:
-    """Per (trip, vehicle, date): pings, duration, gaps, speed, stops seen, deviation, coverage.
+def run_quality(positions: DataFrame, route_stops: DataFrame, stop_times: DataFrame, *, tz: str = "UTC", max_m: float = 50.0) -> DataFrame:
+    """Per run (trip, vehicle, date of its pings): pings, duration, gaps, speed, stops seen, deviation, coverage.
 
-    A stop's observation is its first ping stopped there (status 1), else the first in transit.
+    The service date is the pings' date or the day before, whichever puts the trip's first
+    arrival nearer to the first ping.  A stop's observation is the first ping there, stopped
+    (status 1) before in transit (2) before others.  Complete means 70 % of the stops, both
+    ends within three stops, and no gap of 300 s.
     """
-    rows = derive.enrich_positions(positions, route_stops, stop_times, tz=tz).withColumn("prio", F.when(F.col("current_status") == 1, 0).otherwise(1))
-    key = ["trip_id", "vehicle_id", "service_date"]
-    seen = rows.groupBy(*key, "stop_id").agg(F.min_by("diff_sec", F.struct("prio", "timestamp", "id")).alias("dev"))
+    run = ["trip_id", "vehicle_id", "ping_date"]
+    p = positions.filter("trip_id IS NOT NULL AND trip_id <> ''").withColumn("ping_date", F.to_date(clock.to_local(F.col("timestamp"), tz)))
+    p = p.withColumn("gap", seconds_between(F.lag("timestamp").over(Window.partitionBy(*run).orderBy("timestamp", "id")), F.col("timestamp")))
+    pings = p.groupBy(*run).agg(F.count("timestamp").alias("n_pings"), F.min("timestamp").alias("first_ts"), seconds_between(F.min("timestamp"), F.max("timestamp")).alias("duration_sec"), F.max("gap").alias("max_gap_sec"), F.avg("speed").alias("avg_speed"))
+    sec = clock.gtfs_seconds(F.col("arrival_time"))
+    trips = stop_times.groupBy("trip_id").agg(F.min_by(sec, "stop_sequence").alias("first_sec"), F.count(F.lit(1)).alias("stops_scheduled"), (F.max(sec) - F.min(sec)).alias("scheduled_duration_sec"))
+    anchor, _ = derive.resolve_service_anchor(F.col("first_ts"), F.col("ping_date"), F.col("first_sec"), tz=tz)
+    runs = pings.join(trips, "trip_id", "left").withColumn("service_date", F.coalesce(anchor, "ping_date"))
+    rank = F.when(F.col("current_status") == 1, 0).when(F.col("current_status") == 2, 1).otherwise(2)
+    near = derive.nearest_stop_within(p, route_stops, max_m=max_m)
+    seen = near.groupBy(*run, "stop_id").agg(F.min_by("timestamp", F.struct(rank, "timestamp", "id")).alias("seen_ts"))
+    obs = seen.join(stop_times.select("trip_id", "stop_id", "stop_sequence", sec.alias("sec")), ["trip_id", "stop_id"]).join(runs.select(*run, "service_date"), run)
+    obs = obs.withColumn("dev", exact_seconds_between(clock.gtfs_time_to_utc(F.col("service_date"), F.col("sec"), tz), F.col("seen_ts"))).filter("dev IS NOT NULL")
     d = F.col("dev")
-    stops = seen.groupBy(*key).agg(F.count(F.lit(1)).alias("stops_seen"), trunc_int(F.percentile(d, 0.5)).alias("dev_p50"), trunc_int(F.percentile(d, 0.95)).alias("dev_p95"), F.sum(d.between(-60, 300).cast("int")).alias("n_on_time"))
-    w = Window.partitionBy("trip_id", "vehicle_id", F.to_date(clock.to_local(F.col("timestamp"), tz))).orderBy("timestamp", "id")
-    p = positions.withColumns({"service_date": F.to_date(clock.to_local(F.col("timestamp"), tz)), "gap": seconds_between(F.lag("timestamp").over(w), F.col("timestamp"))})
-    pings = p.groupBy(*key).agg(F.count(F.lit(1)).alias("n_pings"), seconds_between(F.min("timestamp"), F.max("timestamp")).alias("duration_sec"), F.max("gap").alias("max_gap_sec"), F.avg("speed").alias("avg_speed"))
-    n = stop_times.groupBy("trip_id").agg(F.count_distinct("stop_id").alias("stops_in_trip"))
-    out = pings.join(stops, key, "left").join(n, "trip_id", "left")
-    share = F.coalesce("stops_seen", F.lit(0)) / F.col("stops_in_trip")
-    return out.withColumns({"coverage_pct": share * 100, "is_complete": share >= 0.8})
+    n = lambda c: F.sum(c.cast("int"))
+    stops = obs.groupBy(*run).agg(
+        F.count_distinct("stop_id").alias("stops_observed"), F.min("stop_sequence").alias("first_obs_seq"), F.max("stop_sequence").alias("last_obs_seq"), trunc_int(F.percentile(d, 0.5)).alias("dev_p50_sec"),
+        trunc_int(F.percentile(d, 0.95)).alias("dev_p95_sec"), n(d < -60).alias("early_stops"), n(d.between(-60, 300)).alias("on_time_stops"), n(d > 300).alias("late_stops"),
+    )
+    out = runs.join(stops, run, "left").drop("first_ts", "first_sec")
+    out = out.withColumn("coverage_pct", F.least(F.lit(1.0), F.col("stops_observed") / F.col("stops_scheduled")) * 100)
+    whole = (F.col("coverage_pct") >= 70) & (F.col("first_obs_seq") <= 3) & (F.col("last_obs_seq") >= F.col("stops_scheduled") - 3) & (F.coalesce("max_gap_sec", F.lit(0)) < 300)
+    return out.withColumn("is_complete", F.coalesce(whole, F.lit(False)))

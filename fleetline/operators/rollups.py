@@ -13,12 +13,16 @@ KEY = ["route_id", "service_date"]
 METRICS = {"otp": ("otp_pct", False), "service_delivered": ("delivered_ratio", False), "ewt": ("ewt_sec", True), "bunching": ("bunching_rate", True)}
 # Smallest change that counts as a move, per metric.
 MOVE_FLOOR = {"otp": 0.5, "service_delivered": 0.005, "ewt": 10.0, "bunching": 0.005}
-COUNTS = ["all_early", "all_on_time", "all_late", "all_n", "trips_scheduled", "trips_delivered", "s_h", "s_h2", "s_n", "o_h", "o_h2", "o_n", "n_headways", "n_bunched"]
+COUNTS = ["all_early", "all_on_time", "all_late", "all_n", "origin_on_time", "origin_n", "destination_on_time", "destination_n", "trips_scheduled", "trips_delivered", "s_h", "s_h2", "s_n", "o_h", "o_h2", "o_n", "n_headways", "n_bunched"]
 
 
-def route_metrics_overlay(otp: DataFrame, delivered: DataFrame, ewt: DataFrame, bunching: DataFrame, quality: DataFrame | None = None) -> DataFrame:
-    """(route_id, service_date): sufficient statistics of every metric, 0 where one is missing; data_quality of the date."""
-    out = otp.join(delivered.drop("delivered_ratio"), KEY, "full").join(ewt.drop("awt_sec", "swt_sec", "ewt_sec"), KEY, "full").join(bunching.drop("bunching_rate"), KEY, "full")
+def route_metrics_overlay(otp: DataFrame, delivered: DataFrame, headway_sums: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """(route_id, service_date): sufficient statistics of every metric, 0 where one is missing; data_quality of the date.
+
+    The parts arrive aggregated by this key, so joining them shuffles nothing more.  Keep the
+    result partitioned by service_date: all that follows reads it instead of raw events.
+    """
+    out = otp.join(delivered.drop("delivered_ratio"), KEY, "full").join(headway_sums, KEY, "full")
     out = out.fillna(0, [c for c in out.columns if c in COUNTS or c.startswith(("origin_", "destination_")) and not c.endswith("_pct")])
     out = out.drop("all_pct", "origin_pct", "destination_pct")
     return out if quality is None else out.join(quality.select("service_date", "data_quality"), "service_date", "left")
@@ -28,7 +32,7 @@ def with_ratios(sums: DataFrame) -> DataFrame:
     """The metrics of pooled statistics; EWT is not clamped."""
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     ewt = awt(F.col("o_h"), F.col("o_h2")) - awt(F.col("s_h"), F.col("s_h2"))
-    return sums.withColumns({"otp_pct": per("all_on_time", "all_n") * 100.0, "delivered_ratio": per("trips_delivered", "trips_scheduled"), "ewt_sec": ewt, "bunching_rate": per("n_bunched", "n_headways"), "coverage": per("o_n", "s_n")})
+    return sums.withColumns({"otp_pct": per("all_on_time", "all_n") * 100.0, "origin_pct": per("origin_on_time", "origin_n") * 100.0, "destination_pct": per("destination_on_time", "destination_n") * 100.0, "delivered_ratio": per("trips_delivered", "trips_scheduled"), "ewt_sec": ewt, "bunching_rate": per("n_bunched", "n_headways"), "coverage": per("o_n", "s_n")})
 
 
 def window_metrics(overlay: DataFrame, partial_dates: DataFrame, end: str, days: int) -> DataFrame:
@@ -69,38 +73,100 @@ def period_deltas(daily: DataFrame, as_of: str, *, days: int = 7, min_days: int
     return out.select("route_id", "metric", "now", "before", F.when(valid, F.col("now") - F.col("before")).alias("delta"))
 
 
-def scorecard(window: DataFrame, routes: DataFrame, classes: DataFrame) -> DataFrame:
-    """Routes with window metrics, frequency class, score and grade; best on-time first, without data last."""
-    out = routes.select("route_id", "route_short_name").join(window, "route_id", "left").join(classes.select("route_id", "frequency_class"), "route_id", "left")
+def _per_metric(rows: DataFrame, value: str, prefix: str) -> DataFrame:
+    """One row per route with a column of ``value`` for every metric."""
+    return rows.groupBy("route_id").agg(*[F.max(F.when(F.col("metric") == m, F.col(value))).alias(f"{prefix}_{m}") for m in METRICS])
+
+
+def targets_of(routes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(route_id, metric, target): a route's own target, else the system's."""
+    own = targets.filter("route_id IS NOT NULL").select("route_id", "metric", F.col("target").alias("own"))
+    system = targets.filter("route_id IS NULL").select("metric", "target")
+    return routes.select("route_id").crossJoin(system).join(own, ["route_id", "metric"], "left").select("route_id", "metric", F.coalesce("own", "target").alias("target"))
+
+
+def scorecard(values: DataFrame, routes: DataFrame, classes: DataFrame, tiers: DataFrame, targets: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Routes with metrics, frequency class, tier membership, targets, week deltas, score and grade; best on-time first, without data last."""
+    out = routes.select("route_id", "route_short_name").join(values, "route_id", "left").join(classes.select("route_id", "frequency_class"), "route_id", "left")
+    out = out.join(tiers.select("route_id").distinct().withColumn("is_frequent", F.lit(True)), "route_id", "left").fillna(False, ["is_frequent"])
+    out = out.join(_per_metric(targets_of(routes, targets), "target", "target"), "route_id", "left").join(_per_metric(deltas, "delta", "delta"), "route_id", "left")
     score = labels.composite_score(F.col("otp_pct"), F.col("delivered_ratio"), F.col("ewt_sec"))
     out = out.withColumn("score", score).withColumn("grade", labels.route_grade(F.col("score")))
     return out.orderBy(F.desc_nulls_last("otp_pct"), "route_id")
 
 
+def route_detail(overlay: DataFrame, anchors: DataFrame, excess: DataFrame, routes: DataFrame, *card) -> DataFrame:
+    """The scorecard's columns of each route on its own anchor date, with its freshest excess trip time.
+
+    ``anchors``: route_id, anchor_date.  ``excess``: one row per route, of ``latest_nonempty_excess``.
+    """
+    on = overlay.withColumnRenamed("service_date", "anchor_date").join(anchors, ["route_id", "anchor_date"]).drop("anchor_date")
+    out = scorecard(with_ratios(on.select("route_id", *COUNTS)), routes, *card).join(anchors, "route_id", "left")
+    return out.join(excess.withColumnRenamed("service_date", "excess_date"), "route_id", "left")
+
+
 def anchor_date(stop_events: DataFrame, *keys: str) -> DataFrame:
     """Latest date with events, overall or per keys."""
     return stop_events.groupBy(*keys).agg(F.max("service_date").alias("anchor_date"))
 
 
-def route_trend(daily: DataFrame, dates: DataFrame, routes: DataFrame, *, day_types: tuple[str, ...] | None = None) -> DataFrame:
-    """Every route on every date of the axis; values null where missing or of another day type."""
+def anchor_date_by_day_type(stop_events: DataFrame) -> DataFrame:
+    """Latest date with events per day type, and over all ('all')."""
     from fleetline.functions.clock import day_type
 
-    out = routes.select("route_id").crossJoin(dates).join(daily, KEY, "left")
+    dates = stop_events.select("service_date").distinct()
+    return dates.select("service_date", F.explode(F.array(F.lit("all"), day_type(F.col("service_date")))).alias("day_type")).groupBy("day_type").agg(F.max("service_date").alias("anchor_date"))
+
+
+def route_anchor_date(stop_events: DataFrame, scheduled: DataFrame, routes: DataFrame) -> DataFrame:
+    """(route_id, anchor_date): the system's latest date for routes scheduled on it, even unseen; else the route's own latest.
+
+    ``scheduled``: service_date, route_id.  Routes with neither have no row.
+    """
+    latest = anchor_date(stop_events).withColumnRenamed("anchor_date", "latest")
+    due = scheduled.select("service_date", "route_id").distinct().join(latest, F.col("service_date") == F.col("latest"), "left_semi").select("route_id", F.col("service_date").alias("due"))
+    out = routes.select("route_id").join(due, "route_id", "left").join(anchor_date(stop_events, "route_id"), "route_id", "left")
+    return out.select("route_id", F.coalesce("due", "anchor_date").alias("anchor_date")).filter("anchor_date IS NOT NULL")
+
+
+def route_trend(overlay: DataFrame, runs: DataFrame, excess: DataFrame, dates: DataFrame, routes: DataFrame, *, day_types: tuple[str, ...] | None = None) -> DataFrame:
+    """Every route on every date of the axis: on-time share, delivered ratio and share of slow trips.
+
+    Null on dates of another day type and where nothing was seen; a ratio of nothing
+    delivered counts only if the route ran at all.
+    """
+    from fleetline.functions.clock import day_type
+
+    ran = runs.select(*KEY).distinct().withColumn("ran", F.lit(True))
+    rows = with_ratios(overlay).join(ran, KEY, "left").withColumn("delivered_ratio", F.when((F.col("trips_delivered") > 0) | F.col("ran"), F.col("delivered_ratio")))
+    rows = rows.select(*KEY, "otp_pct", "delivered_ratio").join(excess.filter("n_trips > 0").select(*KEY, F.col("pct_over").alias("excess_trip_time_pct")), KEY, "full")
+    out = routes.select("route_id").crossJoin(dates).join(rows, KEY, "left")
     keep = F.lit(True) if day_types is None else day_type(F.col("service_date")).isin(*day_types)
-    return out.select(*KEY, *[F.when(keep, F.col(c)).alias(c) for c in ("otp_pct", "delivered_ratio")])
+    return out.select(*KEY, *[F.when(keep, F.col(c)).alias(c) for c in ("otp_pct", "delivered_ratio", "excess_trip_time_pct")])
 
 
-def system_metrics_daily(otp: DataFrame, delivered: DataFrame, ewt_bunching: DataFrame, coverage: DataFrame) -> DataFrame:
-    return otp.select("service_date", "otp_pct").join(delivered.select("service_date", "delivered_ratio"), "service_date", "full").join(ewt_bunching.select("service_date", "ewt_sec", "swt_sec", "bunching_rate"), "service_date", "full").join(coverage, "service_date", "left")
+def system_metrics_daily(overlay: DataFrame, runs: DataFrame, bus_routes: DataFrame, quality: DataFrame) -> DataFrame:
+    """Per date, from the overlay's sums: on-time share and delivered ratio of all routes, EWT (clamped at 0), SWT
+    and bunching of bus routes; no delivered ratio on dates without any run."""
+    bus = overlay.join(bus_routes.select("route_id").withColumn("is_bus", F.lit(True)), "route_id", "left")
+    on_bus = [c for c in COUNTS if c[:2] in ("s_", "o_") or c in ("n_headways", "n_bunched")]
+    sums = bus.groupBy("service_date").agg(*[F.coalesce(F.sum(F.when(F.col("is_bus"), F.col(c)) if c in on_bus else F.col(c)), F.lit(0)).alias(c) for c in COUNTS])
+    rows = with_ratios(sums).join(runs.select("service_date").distinct().withColumn("ran", F.lit(True)), "service_date", "left").join(quality, "service_date", "left")
+    ewt = F.when(F.col("ewt_sec").isNotNull(), F.greatest(F.col("ewt_sec"), F.lit(0.0)))
+    return rows.select("service_date", "otp_pct", F.when(F.col("ran"), F.col("delivered_ratio")).alias("delivered_ratio"), ewt.alias("ewt_sec"), awt(F.col("s_h"), F.col("s_h2")).alias("swt_sec"), "bunching_rate", "data_quality")
 
 
-def system_trend(system: DataFrame, as_of: str, days: int, target: float) -> DataFrame:
-    """Daily series of the last days + 1 dates with the mean of the window before (complete dates) and the target."""
+def system_trend(system: DataFrame, dates: DataFrame, targets: DataFrame, as_of: str, days: int) -> DataFrame:
+    """(metric, service_date): each metric on the last days + 1 dates, the mean of the ``days`` dates before (without
+    nulls and partial dates), and the system's target."""
     end = F.lit(as_of).cast("date")
-    now = system.filter(F.col("service_date").between(F.date_sub(end, days), end))
-    prior = system.filter((F.col("service_date") < F.date_sub(end, days)) & (F.col("service_date") >= F.date_sub(end, 2 * days + 1)) & (F.col("data_quality") == "complete")).agg(F.avg("otp_pct").alias("prior_mean"))
-    return now.select("service_date", "otp_pct", "data_quality").crossJoin(prior).withColumn("target", F.lit(target))
+    age = F.datediff(end, F.col("service_date"))
+    rows = _long(system, "service_date", "data_quality").withColumn("age", age)
+    prior = rows.filter(F.col("age").between(days + 1, 2 * days) & (F.coalesce("data_quality", F.lit("")) != "partial")).groupBy("metric").agg(F.avg("value").alias("prior_mean"))
+    names = F.array(*[F.lit(m) for m in METRICS])
+    axis = dates.filter(age.between(0, days)).select("service_date", F.explode(names).alias("metric"))
+    goal = targets.filter("route_id IS NULL").select("metric", "target")
+    return axis.join(rows.drop("age"), ["service_date", "metric"], "left").join(prior, "metric", "left").join(goal, "metric", "left").select("metric", "service_date", "value", "data_quality", "prior_mean", "target")
 
 
 def contributors(window: DataFrame, baseline: DataFrame, targets: DataFrame, trips_in_window: DataFrame, metric: str = "otp") -> DataFrame:
@@ -118,21 +184,32 @@ def baseline_mean(daily: DataFrame, metric: str = "otp") -> DataFrame:
     return daily.filter("NOT is_partial").groupBy("route_id").agg(F.avg(METRICS[metric][0]).alias("baseline"))
 
 
-def agency_comparison(agencies: DataFrame, days: int = 7) -> DataFrame:
-    """(agency, metric): window mean up to the earliest latest date of all agencies, partial days, and
-    change against the week before if that lies inside the data.  ``agencies``: agency, service_date,
-    is_partial, metric columns."""
-    end = agencies.groupBy("agency").agg(F.max("service_date").alias("m")).agg(F.min("m").alias("end"))
-    rows = _long(agencies, "agency", "service_date", "is_partial").crossJoin(end)
+def agency_comparison(agencies: DataFrame, start: str, service_level: DataFrame) -> DataFrame:
+    """(agency, metric): mean from ``start`` to the earliest latest date of all agencies, days and partial days that
+    hold a value, change of the last seven dates against the seven before if those lie in the window, and the
+    agency's daytime service level.
+
+    ``agencies``: agency, service_date, is_partial, metric columns.  ``service_level``: agency, n_gaps, median_headway_sec, frequent_share.
+    """
+    first = F.lit(start).cast("date")
+    inside = agencies.filter(F.col("service_date") >= first)
+    end = inside.groupBy("agency").agg(F.max("service_date").alias("m")).agg(F.min("m").alias("end"))
+    rows = _long(inside, "agency", "service_date", "is_partial").crossJoin(F.broadcast(end)).filter(F.col("service_date") <= F.col("end"))
     age = F.datediff("end", "service_date")
-    in_now, in_before = age.between(0, days - 1), age.between(days, 2 * days - 1)
-    good = ~F.col("is_partial")
+    mean = lambda a, b: F.avg(F.when(age.between(a, b), F.col("value")))
     out = rows.groupBy("agency", "metric").agg(
-        F.avg(F.when(in_now & good, F.col("value"))).alias("now"), F.avg(F.when(in_before & good, F.col("value"))).alias("before"), F.count_distinct(F.when(in_now & ~good, F.col("service_date"))).alias("partial_days"),
-        F.min("service_date").alias("first"), F.max("end").alias("end"),
+        F.avg("value").alias("mean"), F.count("value").alias("days_included"), F.count(F.when(F.col("is_partial"), F.col("value"))).alias("partial_days"),
+        F.when(F.date_sub(F.max("end"), 13) >= first, mean(0, 6) - mean(7, 13)).alias("wow_delta"),
     )
-    whole = F.col("first") <= F.date_sub("end", 2 * days - 1)
-    return out.select("agency", "metric", F.col("now").alias("mean"), "partial_days", F.when(whole, F.col("now") - F.col("before")).alias("wow_delta"))
+    return out.join(service_level, "agency", "left")
+
+
+def period_drilldown(ewt: DataFrame, bunching: DataFrame, anchors: DataFrame) -> DataFrame:
+    """EWT and bunching by period of each route on its anchor date (route_id, anchor_date)."""
+    key = [*KEY, "period"]
+    at = anchors.withColumnRenamed("anchor_date", "service_date")
+    on = lambda df: df.join(at, KEY, "left_semi")
+    return on(ewt).select(*key, "s_n", "o_n", "awt_sec", "swt_sec", "ewt_sec", "coverage").join(on(bunching), key, "full")
 
 
 def rolling_mean_7d(daily: DataFrame, value: str, *keys: str) -> DataFrame:

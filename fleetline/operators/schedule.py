@@ -84,38 +84,39 @@ def _arrivals(trips: DataFrame, stop_times: DataFrame) -> DataFrame:
     return trips.select("trip_id", "route_id", "direction_id", "service_id").join(stop_times.select("trip_id", "stop_id", "stop_sequence", clock.gtfs_seconds(F.col("arrival_time")).alias("sec")), "trip_id")
 
 
-def route_service_profile(trips: DataFrame, stop_times: DataFrame, *, frequent_min: float = 15.0, split_service_day: bool = False) -> DataFrame:
-    """(route_id, hour): arrivals and mean headway in minutes at the route's trunk stop.
+def route_service_profile(trips: DataFrame, stop_times: DataFrame, day_types: DataFrame, *, frequent_min: float = 15.0, split_service_day: bool = False) -> DataFrame:
+    """(route_id, day_type, hour): arrivals and mean headway in minutes at the route's trunk stop of that day type.
 
-    The trunk stop has most arrivals among stops of one direction (ties: largest id).
-    Hours are taken mod 24 unless ``split_service_day``.
+    ``day_types``: (day_type, service_id), as ``modal_service_ids`` gives.  The trunk stop has
+    most arrivals among stops of one direction (ties: largest id).  Hours are taken mod 24
+    unless ``split_service_day``.
     """
-    rows = _arrivals(trips, stop_times)
-    per_stop = rows.groupBy("route_id", "stop_id").agg(F.count_distinct("direction_id").alias("dirs"), F.count(F.lit(1)).alias("n")).filter("dirs = 1")
-    trunk = per_stop.groupBy("route_id").agg(F.max_by("stop_id", F.struct("n", "stop_id")).alias("stop_id"))
+    rows = _arrivals(trips, stop_times).join(day_types, "service_id")
+    per_stop = rows.groupBy("route_id", "day_type", "stop_id").agg(F.count_distinct("direction_id").alias("dirs"), F.count(F.lit(1)).alias("n")).filter("dirs = 1")
+    trunk = per_stop.groupBy("route_id", "day_type").agg(F.max_by("stop_id", F.struct("n", "stop_id")).alias("stop_id"))
     hour = F.floor(F.col("sec") / 3600).cast("int")
-    at = rows.join(trunk, ["route_id", "stop_id"]).withColumn("hour", hour if split_service_day else hour % 24)
-    out = at.groupBy("route_id", "stop_id", "hour").agg(F.count(F.lit(1)).alias("n_arrivals"), F.min("sec").alias("a"), F.max("sec").alias("b"))
+    at = rows.join(trunk, ["route_id", "day_type", "stop_id"]).withColumn("hour", hour if split_service_day else hour % 24)
+    out = at.groupBy("route_id", "day_type", "stop_id", "hour").agg(F.count(F.lit(1)).alias("n_arrivals"), F.min("sec").alias("a"), F.max("sec").alias("b"))
     out = out.withColumn("mean_headway_min", F.when(F.col("n_arrivals") > 1, (F.col("b") - F.col("a")) / (F.col("n_arrivals") - 1) / 60))
     return out.withColumn("is_frequent", F.coalesce(F.col("mean_headway_min") <= frequent_min, F.lit(False))).drop("a", "b")
 
 
 def frequency_class(profile: DataFrame, routes: DataFrame) -> DataFrame:
-    """limited_stop for names ending in X; else by the nearest-rank p90 of hourly headways."""
+    """limited_stop for route ids ending in X; else by the nearest-rank p90 of the weekday's hourly headways."""
     p90 = F.element_at(F.array_sort(F.collect_list("mean_headway_min")), (F.bround((F.count("mean_headway_min") - 1) * 0.9) + 1).cast("int"))
-    per = profile.filter("mean_headway_min IS NOT NULL").groupBy("route_id").agg(p90.alias("p90_headway_min"))
+    per = profile.filter("day_type = 'weekday' AND mean_headway_min IS NOT NULL").groupBy("route_id").agg(p90.alias("p90_headway_min"))
     p = F.col("p90_headway_min")
-    kind = F.when(F.col("route_short_name").endswith("X"), "limited_stop").when(p <= 12, "high").when(p <= 20, "medium").when(p <= 30, "low").when(p.isNotNull(), "limited")
+    kind = F.when(F.col("route_id").endswith("X"), "limited_stop").when(p <= 12, "high").when(p <= 20, "medium").when(p <= 30, "low").when(p.isNotNull(), "limited")
     return routes.select("route_id", "route_short_name").join(per, "route_id", "left").select("route_id", "p90_headway_min", kind.alias("frequency_class"))
 
 
-def service_level_stats(headways: DataFrame, *, first_hour: int = 7, after_hour: int = 19, frequent_sec: int = 900) -> DataFrame:
-    """One row: median daytime headway and share at most frequent_sec, each route-direction at its stop with most gaps."""
+def service_level_stats(headways: DataFrame, *keys: str, first_hour: int = 7, after_hour: int = 19, frequent_sec: int = 900) -> DataFrame:
+    """One row (or one per ``keys``, which go with the route): median daytime headway and share at most frequent_sec, each route-direction at its stop with most gaps."""
     rows = headways.filter((F.col("hour") >= first_hour) & (F.col("hour") < after_hour))
     n = rows.groupBy("route_id", "direction_id", "stop_id").agg(F.count(F.lit(1)).alias("n"))
     best = n.groupBy("route_id", "direction_id").agg(F.max_by("stop_id", F.struct("n", "stop_id")).alias("stop_id"))
     rows = rows.join(best, ["route_id", "direction_id", "stop_id"], "left_semi")
-    return rows.agg(F.count(F.lit(1)).alias("n_gaps"), F.percentile("h_sec", 0.5).alias("median_headway_sec"), F.avg((F.col("h_sec") <= frequent_sec).cast("int")).alias("frequent_share"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gaps"), F.percentile("h_sec", 0.5).alias("median_headway_sec"), F.avg((F.col("h_sec") <= frequent_sec).cast("int")).alias("frequent_share"))
 
 
 def cell_headways(headways: DataFrame, *keys: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from fleetline.functions import clock
 from fleetline.operators import runs as runs_ops
+from fleetline.sources.scratch import keep
 
 DAY0 = "2024-01-01"
 UTC0 = "2024-01-01 05:00:00"
@@ -37,6 +38,22 @@ def _text(prefix: str, n):
 class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str, make, *by: str) -> DataFrame:
+        """The table that ``make`` gives, written once and read back by all that ask for it."""
+        if name not in self._kept:
+            self._kept[name] = keep(make(), f"fixture-{name}", *by)
+        return self._kept[name]
+
+    @cached_property
+    def stored(self) -> Fixture:
+        """The same tables with stop times and runs kept, as a deployment stores them."""
+        out = Fixture(self.spark, self.dir)
+        out._kept = self._kept
+        out.stop_times_raw = self.kept("stop_times", lambda: self.stop_times_raw)
+        out.runs = self.kept("runs", lambda: runs_ops.aggregate_runs(out.stop_events, out.stop_times), "service_date")
+        return out
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -142,7 +159,8 @@ class Fixture:
 
     @cached_property
     def shapes(self) -> DataFrame:
-        grid = self.spark.range(12 * 2 * 30).select((F.col("id") % 12).alias("r"), (F.floor(F.col("id") / 12) % 2).alias("d"), F.floor(F.col("id") / 24).cast("int").alias("i"))
+        used = self.trips_raw.select(F.col("route_num").alias("r"), F.col("direction_id").alias("d")).distinct()
+        grid = used.select("r", "d", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("i"))
         seq = F.when(F.col("d") == 0, F.col("i")).otherwise(29 - F.col("i"))
         return grid.select(
             F.concat(F.lit("P"), F.col("r").cast("string"), F.lit("_"), F.col("d").cast("string")).alias("shape_id"), (38.90 + (F.col("r") % 4) * 0.00005).alias("shape_pt_lat"),

@@ -506,9 +506,19 @@ def _(fx):
     return coverage(fx).select("service_date", metrics.coverage_flag(F.col("coverage"), 0.02).alias("data_quality"))
 
 
-@query("E30_run_quality")
-def _(fx):
-    return metrics.run_quality(fx.positions, fx.trips, route_stops(fx), fx.stop_times)
+@query("E30_run_quality", NEAR + """, rp AS (SELECT *, CAST(ts AS DATE) AS ping_date FROM pos), rg AS (SELECT *, CAST(trunc(epoch(ts - lag(ts) OVER (PARTITION BY trip_id, vehicle_id, ping_date ORDER BY ts, id))) AS BIGINT) AS gap FROM rp),
+ ra AS (SELECT trip_id, vehicle_id, ping_date, count(*) AS n_pings, min(ts) AS first_ts, CAST(trunc(epoch(max(ts) - min(ts))) AS BIGINT) AS duration_sec, max(gap) AS max_gap_sec, avg(speed) AS avg_speed FROM rg GROUP BY 1, 2, 3),
+ rt AS (SELECT trip_id, min_by(arrival_sec, stop_sequence) AS a, count(*) AS stops_scheduled, max(arrival_sec) - min(arrival_sec) AS scheduled_duration_sec FROM fx_st GROUP BY 1),
+ rr AS (SELECT ra.*, stops_scheduled, scheduled_duration_sec, ping_date - CASE WHEN abs(epoch(first_ts - CAST(ping_date AS TIMESTAMP)) + 86400 - a) < abs(epoch(first_ts - CAST(ping_date AS TIMESTAMP)) - a) THEN 1 ELSE 0 END AS service_date FROM ra LEFT JOIN rt ON rt.trip_id = ra.trip_id),
+ rs2 AS (SELECT trip_id, vehicle_id, CAST(ts AS DATE) AS ping_date, stop_id, ts AS seen FROM near QUALIFY row_number() OVER (PARTITION BY trip_id, vehicle_id, CAST(ts AS DATE), stop_id ORDER BY CASE current_status WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END, ts, id) = 1),
+ ro AS (SELECT s.*, f.stop_sequence, epoch(s.seen - CAST(r.service_date AS TIMESTAMP)) - f.arrival_sec AS dev FROM rs2 s JOIN fx_st f ON f.trip_id = s.trip_id AND f.stop_id = s.stop_id JOIN rr r ON r.trip_id = s.trip_id AND r.vehicle_id = s.vehicle_id AND r.ping_date = s.ping_date),
+ rq AS (SELECT trip_id, vehicle_id, ping_date, count(DISTINCT stop_id) AS stops_observed, min(stop_sequence) AS first_obs_seq, max(stop_sequence) AS last_obs_seq, CAST(trunc(round(quantile_cont(dev, 0.5), 6)) AS INT) AS dev_p50_sec, CAST(trunc(round(quantile_cont(dev, 0.95), 6)) AS INT) AS dev_p95_sec,
+   CAST(sum(CASE WHEN dev < -60 THEN 1 ELSE 0 END) AS BIGINT) AS early_stops, CAST(sum(CASE WHEN dev BETWEEN -60 AND 300 THEN 1 ELSE 0 END) AS BIGINT) AS on_time_stops, CAST(sum(CASE WHEN dev > 300 THEN 1 ELSE 0 END) AS BIGINT) AS late_stops FROM ro GROUP BY 1, 2, 3)
+ SELECT r.* EXCLUDE (first_ts), q.* EXCLUDE (trip_id, vehicle_id, ping_date), least(1, stops_observed / stops_scheduled::DOUBLE) * 100 AS coverage_pct,
+   coalesce(least(1, stops_observed / stops_scheduled::DOUBLE) * 100 >= 70 AND first_obs_seq <= 3 AND last_obs_seq >= stops_scheduled - 3 AND coalesce(max_gap_sec, 0) < 300, false) AS is_complete
+ FROM rr r LEFT JOIN rq q ON q.trip_id = r.trip_id AND q.vehicle_id = r.vehicle_id AND q.ping_date = r.ping_date""", "avg_speed coverage_pct")
+def _(fx):
+    return metrics.run_quality(fx.positions, route_stops(fx), fx.stop_times)
 
 
 @query("E31_stop_diagnostics", CANON + """, per AS (SELECT route_id, direction_id, stop_id, count(CASE WHEN source = 'proximity' THEN dev END) AS n_obs, quantile_cont(CASE WHEN source = 'proximity' THEN dev END, 0.5) AS median_dev_sec, quantile_cont(CASE WHEN source = 'proximity' THEN dev END, 0.95) AS p95_dev_sec,

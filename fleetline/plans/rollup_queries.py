@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from fleetline.operators import corridors, diagnostics, metrics, rollups, schedule
+from fleetline.operators import corridors, diagnostics, headways, metrics, rollups, runs, schedule
 from fleetline.plans.fixtures import AS_OF, Fixture
-from fleetline.plans.metric_queries import BUNCH, COVER, DELIVERED, FOLD, HEAD, OTP, RS, SYS_DELIVERED, SYS_EWT, _RATE, bunching, coverage, delivered, ewt, otp, split_sql, system_ewt
+from fleetline.plans.metric_queries import _AWT, _RATE, _SUM, _SWT, BUNCH, COVER, DELIVERED, EWT, EXCESS, FOLD, HEAD, OTP, PROX, RS, SYS_DELIVERED, SYS_EWT, bunching, coverage, delivered, gates, observed, otp, proximity_events, split_sql
 from fleetline.plans.registry import query
-from fleetline.plans.schedule_queries import ORIGIN, OWN_SQL, TARGET_SQL, WINDOW_TRIPS, _OW, _PROFILE, config, hav_sql, one_way, period_sql, route_stops, services
+from fleetline.plans.schedule_queries import _CLASS, _OW, _PROFILE, ORIGIN, OWN_SQL, TARGET_SQL, TIER_SQL, WINDOW_TRIPS, config, day_services, ewt_period_sql, hav_sql, period_sql, route_stops, scheduled, service_profile, services
+from fleetline.sources.scratch import scratch_path
 from fleetline.streaming import updates
 
 SEG = "route_id, direction_id, period, from_seq, to_seq, from_stop, to_stop"
@@ -102,12 +103,17 @@ def _(fx):
 
 
 def corridor_table(fx: Fixture):
-    return corridors.corridors(shared_runs(fx), route_stops(fx).unionByName(_shape_stops(fx)))
+    along = fx.shapes.filter("shape_pt_sequence % 7 = 1").select(F.regexp_replace("shape_id", r"^P(\d+)_.*$", "R$1").alias("route_id"), F.regexp_extract("shape_id", r"_(\d)$", 1).cast("int").alias("direction_id"), _corner().alias("stop_id"), F.col("shape_pt_sequence").alias("stop_sequence"))
+    return corridors.corridors(shared_runs(fx), route_stops(fx).unionByName(_shape_stops(fx)), along)
+
+
+def _corner():
+    return F.concat(F.lit("C"), F.round(F.col("shape_pt_lon") * 10000).cast("int").cast("string"))
 
 
 def _shape_stops(fx: Fixture):
     """Stops along the fixture's shapes, which its stop table lies across."""
-    seq = fx.shapes.filter("shape_pt_sequence % 7 = 1").select(F.regexp_replace("shape_id", r"^P(\d+)_.*$", "R$1").alias("route_id"), F.concat(F.lit("C"), F.round(F.col("shape_pt_lon") * 10000).cast("int").cast("string")).alias("stop_id"), F.lit("corner").alias("stop_name"), F.lit(38.9).alias("stop_lat"), F.col("shape_pt_lon").alias("stop_lon"))
+    seq = fx.shapes.filter("shape_pt_sequence % 7 = 1").select(F.regexp_replace("shape_id", r"^P(\d+)_.*$", "R$1").alias("route_id"), _corner().alias("stop_id"), F.lit("corner").alias("stop_name"), F.lit(38.9).alias("stop_lat"), F.col("shape_pt_lon").alias("stop_lon"))
     return seq.distinct()
 
 
@@ -175,14 +181,16 @@ def _(fx):
     return diagnostics.with_stop_names(diagnostics.cumulative_slip(segments(fx), layover(fx)), fx.stops, "from_stop", "to_stop")
 
 
-TIMELINE = """, tl AS (SELECT s.service_date, t.block_id, t.trip_id, t.route_id, e.a AS start_sec, e.b AS end_sec, o.origin_dev_sec, o.destination_dev_sec, o.vehicle_id, CASE WHEN origin_dev_sec IS NOT NULL AND destination_dev_sec IS NOT NULL THEN 'complete' WHEN seen > 0 THEN 'partial' ELSE 'not_observed' END AS status
-   FROM svc s JOIN fx_trips t ON t.service_id = s.service_id JOIN (SELECT trip_id, min(arrival_sec) AS a, max(arrival_sec) AS b FROM fx_st GROUP BY 1) e ON e.trip_id = t.trip_id
+TIMELINE = """, act0 AS (SELECT s.service_date, t.block_id, t.trip_id FROM svc s JOIN fx_trips t ON t.service_id = s.service_id),
+ act AS (SELECT service_date, trip_id, true AS is_scheduled FROM act0 UNION ALL SELECT d.service_date, t.trip_id, false FROM dates d CROSS JOIN fx_trips t WHERE NOT EXISTS (SELECT 1 FROM act0 a WHERE a.service_date = d.service_date AND a.block_id = t.block_id)),
+ tl AS (SELECT s.service_date, s.is_scheduled, t.block_id, t.trip_id, t.route_id, e.a AS start_sec, e.b AS end_sec, o.origin_dev_sec, o.destination_dev_sec, o.vehicle_id, CASE WHEN origin_dev_sec IS NOT NULL AND destination_dev_sec IS NOT NULL THEN 'complete' WHEN seen > 0 THEN 'partial' ELSE 'not_observed' END AS status
+   FROM act s JOIN fx_trips t ON t.trip_id = s.trip_id JOIN (SELECT trip_id, min(arrival_sec) AS a, max(arrival_sec) AS b FROM fx_st GROUP BY 1) e ON e.trip_id = t.trip_id
    LEFT JOIN (SELECT service_date, trip_id, max(CASE WHEN source = 'proximity' THEN origin_dev_sec END) AS origin_dev_sec, max(CASE WHEN source = 'trip_update' THEN destination_dev_sec END) AS destination_dev_sec,
      coalesce(max(CASE WHEN source = 'trip_update' THEN vehicle_id END), max(vehicle_id)) AS vehicle_id, max(stops_observed) AS seen FROM runs GROUP BY 1, 2) o ON o.service_date = s.service_date AND o.trip_id = t.trip_id)"""
 
 
 def timeline(fx: Fixture):
-    return diagnostics.block_timeline(fx.trips, fx.stop_times, fx.runs, services(fx))
+    return diagnostics.block_timeline(fx.trips, fx.stop_times, fx.runs, services(fx), fx.dates)
 
 
 @query("X16_block_timeline", TIMELINE + " SELECT * FROM tl")
@@ -191,12 +199,12 @@ def _(fx):
 
 
 @query("X17_active_blocks", TIMELINE + """ SELECT service_date, block_id, count(*) AS n_trips, array_to_string(list_sort(list(DISTINCT route_id)), ',') AS routes, min(start_sec) AS first_start_sec, max(greatest(abs(origin_dev_sec), abs(destination_dev_sec))) AS worst_dev_sec,
-   max(CASE WHEN status <> 'not_observed' THEN 1 ELSE 0 END) AS any_observed, row_number() OVER (PARTITION BY service_date ORDER BY max(greatest(abs(origin_dev_sec), abs(destination_dev_sec))) DESC NULLS LAST, block_id) AS rank FROM tl GROUP BY 1, 2""")
+   max(CASE WHEN status <> 'not_observed' THEN 1 ELSE 0 END) AS any_observed, row_number() OVER (PARTITION BY service_date ORDER BY max(greatest(abs(origin_dev_sec), abs(destination_dev_sec))) DESC NULLS LAST, block_id) AS rank FROM tl WHERE is_scheduled GROUP BY 1, 2""")
 def _(fx):
     return diagnostics.active_blocks(timeline(fx))
 
 
-@query("X17_route_blocks", TIMELINE + " SELECT service_date, route_id, block_id, count(*) AS n_on_route, min(start_sec) AS first_start_sec, (SELECT count(*) FROM tl b WHERE b.service_date = tl.service_date AND b.block_id = tl.block_id) AS n_trips FROM tl GROUP BY 1, 2, 3")
+@query("X17_route_blocks", TIMELINE + " SELECT service_date, route_id, block_id, count(*) AS n_on_route, min(start_sec) AS first_start_sec, (SELECT count(*) FROM tl b WHERE b.service_date = tl.service_date AND b.block_id = tl.block_id AND b.is_scheduled) AS n_trips FROM tl WHERE is_scheduled GROUP BY 1, 2, 3")
 def _(fx):
     return diagnostics.route_blocks(timeline(fx))
 
@@ -224,7 +232,7 @@ def _(fx):
 
 # --- rollups
 
-_N = ["all_early", "all_on_time", "all_late", "all_n", "trips_scheduled", "trips_delivered", "s_h", "s_h2", "s_n", "o_h", "o_h2", "o_n", "n_headways", "n_bunched"]
+_N = ["all_early", "all_on_time", "all_late", "all_n", "origin_on_time", "origin_n", "destination_on_time", "destination_n", "trips_scheduled", "trips_delivered", "s_h", "s_h2", "s_n", "o_h", "o_h2", "o_n", "n_headways", "n_bunched"]
 QUALITY = COVER + ", qual AS (SELECT service_date, CASE WHEN coverage >= 0.02 * 0.8::DOUBLE THEN 'complete' ELSE 'partial' END AS data_quality FROM cov)"
 OVERLAY = (
     OTP + DELIVERED + HEAD + BUNCH + f""", bun AS (SELECT route_id, service_date, {_RATE} FROM pairs GROUP BY 1, 2),
@@ -232,11 +240,11 @@ OVERLAY = (
  part AS (SELECT DATE '2024-01-03' AS service_date),"""
     + " wsum AS (SELECT route_id, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _N) + ", count(DISTINCT service_date) AS n_days FROM ov WHERE service_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' AND service_date NOT IN (SELECT service_date FROM part) GROUP BY 1)"
 )
-RATIOS = "CASE WHEN all_n > 0 THEN all_on_time / all_n::DOUBLE * 100 END AS otp_pct, CASE WHEN trips_scheduled > 0 THEN trips_delivered / trips_scheduled::DOUBLE END AS delivered_ratio, CASE WHEN o_h > 0 THEN o_h2 / (2 * o_h)::DOUBLE END - CASE WHEN s_h > 0 THEN s_h2 / (2 * s_h)::DOUBLE END AS ewt_sec, CASE WHEN n_headways > 0 THEN n_bunched / n_headways::DOUBLE END AS bunching_rate, CASE WHEN s_n > 0 THEN o_n / s_n::DOUBLE END AS coverage"
+RATIOS = "CASE WHEN all_n > 0 THEN all_on_time / all_n::DOUBLE * 100 END AS otp_pct, CASE WHEN origin_n > 0 THEN origin_on_time / origin_n::DOUBLE * 100 END AS origin_pct, CASE WHEN destination_n > 0 THEN destination_on_time / destination_n::DOUBLE * 100 END AS destination_pct, CASE WHEN trips_scheduled > 0 THEN trips_delivered / trips_scheduled::DOUBLE END AS delivered_ratio, CASE WHEN o_h > 0 THEN o_h2 / (2 * o_h)::DOUBLE END - CASE WHEN s_h > 0 THEN s_h2 / (2 * s_h)::DOUBLE END AS ewt_sec, CASE WHEN n_headways > 0 THEN n_bunched / n_headways::DOUBLE END AS bunching_rate, CASE WHEN s_n > 0 THEN o_n / s_n::DOUBLE END AS coverage"
 WINDOW = OVERLAY + f", win AS (SELECT *, {RATIOS} FROM wsum)"
 DAILY = OVERLAY + f", rat AS (SELECT *, {RATIOS}, service_date IN (SELECT service_date FROM part) AS is_partial FROM ov), daily AS (SELECT route_id, service_date, is_partial, o_n, " + ", ".join(f"CASE WHEN NOT is_partial THEN {c} END AS {c}" for c in ("otp_pct", "delivered_ratio", "ewt_sec", "bunching_rate")) + " FROM rat)"
 LONG = ", long AS (SELECT route_id, service_date, o_n, unnest(['otp', 'service_delivered', 'ewt', 'bunching']) AS metric, unnest([otp_pct, delivered_ratio, ewt_sec, bunching_rate]) AS value FROM daily)"
-RATIO_COLS = "otp_pct delivered_ratio ewt_sec bunching_rate coverage"
+RATIO_COLS = "otp_pct origin_pct destination_pct delivered_ratio ewt_sec bunching_rate coverage"
 
 
 def quality(fx: Fixture):
@@ -244,13 +252,14 @@ def quality(fx: Fixture):
 
 
 def overlay(fx: Fixture):
-    return rollups.route_metrics_overlay(otp(fx), delivered(fx), ewt(fx), diagnostics_bunching(fx))
+    """The daily table that every rollup reads, computed once from stored stop times and runs."""
 
+    def make():
+        at = fx.stored
+        sums = headways.headway_statistics(at.stop_events, scheduled(at), day_services(at), gates=gates(at))
+        return rollups.route_metrics_overlay(otp(at), delivered(at), sums)
 
-def diagnostics_bunching(fx: Fixture):
-    from fleetline.operators.headways import bunching_headline
-
-    return bunching_headline(bunching(fx))
+    return fx.kept("overlay", make, "service_date")
 
 
 def partial(fx: Fixture):
@@ -258,7 +267,7 @@ def partial(fx: Fixture):
 
 
 def window(fx: Fixture):
-    return rollups.window_metrics(overlay(fx), partial(fx), AS_OF, 7)
+    return fx.kept("window", lambda: rollups.window_metrics(overlay(fx), partial(fx), AS_OF, 7))
 
 
 def daily(fx: Fixture):
@@ -271,16 +280,14 @@ def targets(fx: Fixture):
 
 @query("R01_route_metrics_overlay", OVERLAY + QUALITY + " SELECT o.*, data_quality FROM ov o LEFT JOIN qual q ON q.service_date = o.service_date")
 def _(fx):
-    return rollups.route_metrics_overlay(otp(fx), delivered(fx), ewt(fx), diagnostics_bunching(fx), quality(fx)).select("route_id", "service_date", *_N, "data_quality")
+    return overlay(fx).join(quality(fx), "service_date", "left").select("route_id", "service_date", *_N, "data_quality")
 
 
 SYSTEM = SYS_DELIVERED + SYS_EWT + QUALITY + f", so2 AS ({split_sql('se', 'dev', 'otp', 'service_date', chr(39) + 'proximity' + chr(39) + ' = source')}), system AS (SELECT service_date, otp_pct, delivered_ratio, ewt_sec, swt_sec, bunching_rate, data_quality FROM so2 FULL JOIN sd USING (service_date) FULL JOIN sys USING (service_date) LEFT JOIN qual USING (service_date))"
 
 
 def system(fx: Fixture):
-    from fleetline.operators.runs import system_service_delivered_daily
-
-    return rollups.system_metrics_daily(metrics.system_otp_daily(fx.stop_events), system_service_delivered_daily(delivered(fx), fx.runs), system_ewt(fx), quality(fx))
+    return fx.kept("system", lambda: rollups.system_metrics_daily(overlay(fx), fx.stored.runs, schedule.bus_route_filter(fx.routes), quality(fx)))
 
 
 @query("R02_system_metrics_daily", SYSTEM + " SELECT * FROM system", "otp_pct delivered_ratio ewt_sec swt_sec bunching_rate")
@@ -313,41 +320,81 @@ def _(fx):
     return deltas(fx)
 
 
-_CLASS = """, p9 AS (SELECT route_id, list_sort(list(mean_headway_min)) AS v FROM profile WHERE mean_headway_min IS NOT NULL GROUP BY 1),
- cls AS (SELECT x.route_id, CASE WHEN route_short_name LIKE '%X' THEN 'limited_stop' WHEN p <= 12 THEN 'high' WHEN p <= 20 THEN 'medium' WHEN p <= 30 THEN 'low' WHEN p IS NOT NULL THEN 'limited' END AS frequency_class FROM routes x LEFT JOIN (SELECT route_id, v[CAST(round_even((len(v) - 1) * 0.9::DOUBLE, 0) AS INT) + 1] AS p FROM p9) q ON q.route_id = x.route_id)"""
-SCORE = WINDOW + _OW + _PROFILE + _CLASS + """, sc1 AS (SELECT r.route_id, r.route_short_name, frequency_class, otp_pct, delivered_ratio, ewt_sec, bunching_rate, greatest(0, least(100, (300 - ewt_sec) / 240 * 100)) AS es FROM routes r LEFT JOIN win w ON w.route_id = r.route_id LEFT JOIN cls c ON c.route_id = r.route_id),
+SCORE = WINDOW + _OW + _PROFILE + _CLASS
+
+
+def card_sql(values: str, name: str) -> str:
+    """SQL of a scorecard over the metrics in ``values``."""
+    target = ", ".join(f"max(CASE WHEN metric = '{m}' THEN target END) AS target_{m}" for m in rollups.METRICS)
+    delta = ", ".join(f"max(CASE WHEN metric = '{m}' THEN delta END) AS delta_{m}" for m in rollups.METRICS)
+    return f""", tg AS (SELECT route_id, {target} FROM (SELECT r.route_id, t.metric, coalesce(own, target) AS target FROM routes r CROSS JOIN {TARGET_SQL} LEFT JOIN {OWN_SQL} ON o.route_id = r.route_id AND o.metric = t.metric) GROUP BY 1),
+ dl AS (SELECT route_id, {delta} FROM deltas GROUP BY 1),
+ sc1 AS (SELECT r.route_id, r.route_short_name, frequency_class, r.route_id IN (SELECT route_id FROM {TIER_SQL}) AS is_frequent, w.* EXCLUDE (route_id), tg.* EXCLUDE (route_id), dl.* EXCLUDE (route_id), greatest(0, least(100, (300 - ewt_sec) / 240 * 100)) AS es
+   FROM routes r LEFT JOIN {values} w ON w.route_id = r.route_id LEFT JOIN cls c ON c.route_id = r.route_id LEFT JOIN tg ON tg.route_id = r.route_id LEFT JOIN dl ON dl.route_id = r.route_id),
  score AS (SELECT * EXCLUDE (es), CASE WHEN otp_pct IS NOT NULL AND delivered_ratio IS NOT NULL THEN CASE WHEN ewt_sec IS NOT NULL THEN otp_pct * 0.3::DOUBLE + delivered_ratio * 100 * 0.5::DOUBLE + es * 0.2::DOUBLE ELSE otp_pct * 0.4::DOUBLE + delivered_ratio * 100 * 0.6::DOUBLE END END AS score FROM sc1),
- graded AS (SELECT *, CASE WHEN score IS NULL THEN 'N/A' WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' WHEN score >= 20 THEN 'D' ELSE 'F' END AS grade FROM score)"""
-SCORE_COLS = ["route_id", "route_short_name", "frequency_class", "otp_pct", "delivered_ratio", "ewt_sec", "bunching_rate", "score", "grade"]
+ {name} AS (SELECT *, CASE WHEN score IS NULL THEN 'N/A' WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' WHEN score >= 20 THEN 'D' ELSE 'F' END AS grade FROM score)"""
+
+
+CARD = SCORE + DELTAS.removeprefix(OVERLAY) + card_sql("win", "graded")
+CARD_DOUBLES = RATIO_COLS + " score " + " ".join(f"{x}_{m}" for x in ("target", "delta") for m in rollups.METRICS)
+
+
+def card_parts(fx: Fixture):
+    """What a scorecard joins to its metrics: frequency classes, tiers, targets, deltas."""
+    return schedule.frequency_class(service_profile(fx.stored), fx.routes), config(fx)[0], targets(fx), deltas(fx)
 
 
 def scorecard(fx: Fixture):
-    return rollups.scorecard(window(fx), fx.routes, schedule.frequency_class(schedule.route_service_profile(*one_way(fx)), fx.routes))
+    return rollups.scorecard(window(fx), fx.routes, *card_parts(fx))
 
 
-@query("R06_scorecard", SCORE + " SELECT * FROM graded", "otp_pct delivered_ratio ewt_sec bunching_rate score")
+@query("R06_scorecard", CARD + " SELECT * FROM graded", CARD_DOUBLES)
 def _(fx):
-    return scorecard(fx).select(*SCORE_COLS)
+    return scorecard(fx)
+
+
+ANCHOR = """, due AS (SELECT DISTINCT t.route_id FROM fx_trips t JOIN svc s ON s.service_id = t.service_id WHERE s.service_date = (SELECT max(service_date) FROM se)),
+ an AS (SELECT r.route_id, CASE WHEN d.route_id IS NOT NULL THEN (SELECT max(service_date) FROM se) ELSE e.m END AS anchor_date FROM routes r LEFT JOIN due d ON d.route_id = r.route_id LEFT JOIN (SELECT route_id, max(service_date) AS m FROM se GROUP BY 1) e ON e.route_id = r.route_id WHERE d.route_id IS NOT NULL OR m IS NOT NULL)"""
+
+
+def anchors(fx: Fixture):
+    return rollups.route_anchor_date(fx.stored.stop_events, schedule.scheduled_trips_on_date(fx.trips, services(fx)), fx.routes)
+
 
+def excess(fx: Fixture):
+    return runs.excess_trip_time(fx.stored.runs)
 
-@query("R07_route_detail", SCORE + ", an AS (SELECT route_id, max(service_date) AS anchor_date FROM se GROUP BY 1) SELECT g.*, anchor_date FROM graded g LEFT JOIN an ON an.route_id = g.route_id", "otp_pct delivered_ratio ewt_sec bunching_rate score")
+
+@query("R07_route_detail", SCORE + DELTAS.removeprefix(OVERLAY) + ANCHOR + EXCESS + ", onday AS (SELECT rat.* EXCLUDE (service_date, is_partial) FROM rat JOIN an ON an.route_id = rat.route_id AND an.anchor_date = rat.service_date)" + card_sql("onday", "graded") + f""",
+ lx AS (SELECT route_id, service_date AS excess_date, n_trips, median_excess_sec, p95_excess_sec, pct_over FROM excess WHERE n_trips > 0 AND service_date <= DATE '{AS_OF}' AND service_date > DATE '{AS_OF}' - 7 QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY service_date DESC) = 1)
+ SELECT g.*, anchor_date, lx.* EXCLUDE (route_id) FROM graded g LEFT JOIN an ON an.route_id = g.route_id LEFT JOIN lx ON lx.route_id = g.route_id""", CARD_DOUBLES + " pct_over")
 def _(fx):  # every route's detail; one route is a filter in front
-    return scorecard(fx).select(*SCORE_COLS).join(rollups.anchor_date(fx.stop_events, "route_id"), "route_id", "left")
+    return rollups.route_detail(overlay(fx), anchors(fx), runs.latest_nonempty_excess(excess(fx), AS_OF), fx.routes, *card_parts(fx))
 
 
-@query("R08_anchor_date", " SELECT route_id, max(service_date) AS anchor_date FROM se GROUP BY GROUPING SETS ((), (route_id))")
+@query("R08_anchor_date", ANCHOR + """ SELECT 'all' AS kind, NULL AS route_id, max(service_date) AS anchor_date FROM se UNION ALL SELECT CASE dayofweek(service_date) WHEN 6 THEN 'saturday' WHEN 0 THEN 'sunday' ELSE 'weekday' END, NULL, max(service_date) FROM se GROUP BY 1
+ UNION ALL SELECT 'seen', route_id, max(service_date) FROM se GROUP BY 2 UNION ALL SELECT 'route', route_id, anchor_date FROM an""")
 def _(fx):
-    return rollups.anchor_date(fx.stop_events).withColumn("route_id", F.lit(None).cast("string")).unionByName(rollups.anchor_date(fx.stop_events, "route_id")).select("route_id", "anchor_date")
+    events, none = fx.stored.stop_events, F.lit(None).cast("string")
+    out = rollups.anchor_date_by_day_type(events).select(F.col("day_type").alias("kind"), none.alias("route_id"), "anchor_date")
+    out = out.unionByName(rollups.anchor_date(events, "route_id").withColumn("kind", F.lit("seen")))
+    return out.unionByName(anchors(fx).withColumn("kind", F.lit("route")))
 
 
-@query("R09_route_trend", DAILY + " SELECT r.route_id, d.service_date, CASE WHEN dayofweek(d.service_date) BETWEEN 1 AND 5 THEN otp_pct END AS otp_pct, CASE WHEN dayofweek(d.service_date) BETWEEN 1 AND 5 THEN delivered_ratio END AS delivered_ratio FROM routes r CROSS JOIN dates d LEFT JOIN daily y ON y.route_id = r.route_id AND y.service_date = d.service_date", "otp_pct delivered_ratio")
+@query("R09_route_trend", DAILY + EXCESS + """, ran AS (SELECT DISTINCT route_id, service_date FROM runs), tr AS (SELECT coalesce(rat.route_id, x.route_id) AS route_id, coalesce(rat.service_date, x.service_date) AS service_date, otp_pct, CASE WHEN trips_delivered > 0 OR ran.route_id IS NOT NULL THEN delivered_ratio END AS delivered_ratio, pct_over
+   FROM rat LEFT JOIN ran ON ran.route_id = rat.route_id AND ran.service_date = rat.service_date FULL JOIN (SELECT * FROM excess WHERE n_trips > 0) x ON x.route_id = rat.route_id AND x.service_date = rat.service_date)
+ SELECT r.route_id, d.service_date, CASE WHEN wd THEN otp_pct END AS otp_pct, CASE WHEN wd THEN delivered_ratio END AS delivered_ratio, CASE WHEN wd THEN pct_over END AS excess_trip_time_pct FROM routes r CROSS JOIN (SELECT service_date, dayofweek(service_date) BETWEEN 1 AND 5 AS wd FROM dates) d LEFT JOIN tr y ON y.route_id = r.route_id AND y.service_date = d.service_date""", "otp_pct delivered_ratio excess_trip_time_pct")
 def _(fx):
-    return rollups.route_trend(daily(fx), fx.dates, fx.routes, day_types=("weekday",))
+    return rollups.route_trend(overlay(fx), fx.stored.runs, excess(fx), fx.dates, fx.routes, day_types=("weekday",))
+
 
+SYS_LONG = SYSTEM + ", syl AS (SELECT service_date, data_quality, unnest(['otp', 'service_delivered', 'ewt', 'bunching']) AS metric, unnest([otp_pct, delivered_ratio, ewt_sec, bunching_rate]) AS value FROM system)"
 
-@query("R10_system_trend", SYSTEM + " SELECT service_date, otp_pct, data_quality, (SELECT avg(otp_pct) FROM system WHERE service_date < DATE '2024-01-09' AND service_date >= DATE '2024-01-03' AND data_quality = 'complete') AS prior_mean, 75.0::DOUBLE AS target FROM system WHERE service_date BETWEEN DATE '2024-01-09' AND DATE '2024-01-14'", "otp_pct prior_mean")
+
+@query("R10_system_trend", SYS_LONG + f""", pm AS (SELECT metric, avg(value) AS prior_mean FROM syl WHERE service_date BETWEEN DATE '2024-01-04' AND DATE '2024-01-08' AND coalesce(data_quality, '') <> 'partial' GROUP BY 1)
+ SELECT t.metric, d.service_date, value, data_quality, prior_mean, target FROM dates d CROSS JOIN {TARGET_SQL} LEFT JOIN syl s ON s.service_date = d.service_date AND s.metric = t.metric LEFT JOIN pm ON pm.metric = t.metric WHERE d.service_date BETWEEN DATE '2024-01-09' AND DATE '2024-01-14'""", "value prior_mean target")
 def _(fx):
-    return rollups.system_trend(system(fx), AS_OF, 5, 75.0)
+    return rollups.system_trend(system(fx), fx.dates, targets(fx), AS_OF, 5)
 
 
 @query("R11_contributors", DAILY + WINDOW_TRIPS + f""", wn AS (SELECT *, {RATIOS} FROM wsum), bl AS (SELECT route_id, avg(otp_pct) AS b FROM daily WHERE NOT is_partial GROUP BY 1),
@@ -359,28 +406,43 @@ def _(fx):
     return rollups.contributors(window(fx), rollups.baseline_mean(daily(fx)), own, schedule.scheduled_trips_in_window(fx.trips, fx.calendar, fx.dates))
 
 
+def _agency(route):
+    return F.when(F.substring(route, 2, 9).cast("int") % 2 == 0, "even").otherwise("odd")
+
+
 def agencies(fx: Fixture):
     """Two agencies: the routes of even and of odd number, averaged per date; one lags two days."""
-    odd = F.substring("route_id", 2, 9).cast("int") % 2
-    rows = daily(fx).withColumn("agency", F.when(odd == 0, "even").otherwise("odd")).filter((F.col("agency") == "even") | (F.col("service_date") <= F.lit("2024-01-12").cast("date")))
-    return rows.groupBy("agency", "service_date").agg(F.max("is_partial").alias("is_partial"), *[F.avg(c).alias(c) for c, _ in rollups.METRICS.values()])
+    flags = partial(fx).select("service_date", F.lit(True).alias("is_partial"))
+    rows = rollups.with_ratios(overlay(fx)).join(flags, "service_date", "left").withColumn("agency", _agency("route_id")).filter((F.col("agency") == "even") | (F.col("service_date") <= F.lit("2024-01-12").cast("date")))
+    return rows.groupBy("agency", "service_date").agg(F.coalesce(F.max("is_partial"), F.lit(False)).alias("is_partial"), *[F.avg(c).alias(c) for c, _ in rollups.METRICS.values()])
+
 
+LEVEL = """, hl AS (SELECT *, CASE CAST(substr(route_id, 2) AS INT) % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS agency FROM sched_hw WHERE hour >= 7 AND hour < 19),
+ hb AS (SELECT route_id, direction_id, stop_id FROM (SELECT route_id, direction_id, stop_id, row_number() OVER (PARTITION BY route_id, direction_id ORDER BY count(*) DESC, stop_id DESC) AS nth FROM hl GROUP BY 1, 2, 3) WHERE nth = 1),
+ lvl AS (SELECT agency, count(*) AS n_gaps, quantile_cont(h_sec, 0.5) AS median_headway_sec, avg(CASE WHEN h_sec <= 900 THEN 1 ELSE 0 END) AS frequent_share FROM hl JOIN hb ON hb.route_id = hl.route_id AND hb.direction_id = hl.direction_id AND hb.stop_id = hl.stop_id GROUP BY 1)"""
 
-@query("R12_agency_comparison", DAILY + """, ag AS (SELECT CASE CAST(substr(route_id, 2) AS INT) % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS agency, service_date, bool_or(is_partial) AS is_partial, avg(otp_pct) AS a, avg(delivered_ratio) AS b, avg(ewt_sec) AS c, avg(bunching_rate) AS d FROM daily
+
+@query("R12_agency_comparison", DAILY + LEVEL + """, ag AS (SELECT CASE CAST(substr(route_id, 2) AS INT) % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS agency, service_date, bool_or(is_partial) AS is_partial, avg(otp_pct) AS a, avg(delivered_ratio) AS b, avg(ewt_sec) AS c, avg(bunching_rate) AS d FROM rat
    WHERE CAST(substr(route_id, 2) AS INT) % 2 = 0 OR service_date <= DATE '2024-01-12' GROUP BY 1, 2),
- al AS (SELECT agency, service_date, is_partial, unnest(['otp', 'service_delivered', 'ewt', 'bunching']) AS metric, unnest([a, b, c, d]) AS value, DATE '2024-01-12' - service_date AS age FROM ag)
- SELECT agency, metric, avg(CASE WHEN age BETWEEN 0 AND 6 AND NOT is_partial THEN value END) AS mean, count(DISTINCT CASE WHEN age BETWEEN 0 AND 6 AND is_partial THEN service_date END) AS partial_days,
-   CASE WHEN min(service_date) <= DATE '2024-01-12' - 13 THEN avg(CASE WHEN age BETWEEN 0 AND 6 AND NOT is_partial THEN value END) - avg(CASE WHEN age BETWEEN 7 AND 13 AND NOT is_partial THEN value END) END AS wow_delta FROM al GROUP BY 1, 2""", "mean wow_delta")
+ al AS (SELECT agency, service_date, is_partial, unnest(['otp', 'service_delivered', 'ewt', 'bunching']) AS metric, unnest([a, b, c, d]) AS value FROM ag),
+ ae AS (SELECT min(m) AS e FROM (SELECT max(service_date) AS m FROM ag GROUP BY agency)), aw AS (SELECT al.*, e, e - service_date AS age FROM al CROSS JOIN ae WHERE service_date <= e),
+ am AS (SELECT agency, metric, avg(value) AS mean, count(value) AS days_included, count(CASE WHEN is_partial THEN value END) AS partial_days,
+   CASE WHEN max(e) - 13 >= DATE '2023-12-30' THEN avg(CASE WHEN age BETWEEN 0 AND 6 THEN value END) - avg(CASE WHEN age BETWEEN 7 AND 13 THEN value END) END AS wow_delta FROM aw GROUP BY 1, 2)
+ SELECT am.*, lvl.* EXCLUDE (agency) FROM am LEFT JOIN lvl ON lvl.agency = am.agency""", "mean wow_delta median_headway_sec frequent_share")
 def _(fx):
-    return rollups.agency_comparison(agencies(fx))
+    level = schedule.service_level_stats(scheduled(fx.stored).withColumn("agency", _agency("route_id")), "agency")
+    return rollups.agency_comparison(agencies(fx), "2023-12-30", level)
 
 
-@query("R13_period_drilldown", BUNCH + ", an AS (SELECT route_id, max(service_date) AS d FROM se GROUP BY 1) SELECT p.route_id, p.service_date, CASE WHEN hour < 6 THEN 'Night (0-6)' WHEN hour < 9 THEN 'AM Peak (6-9)' WHEN hour < 15 THEN 'Midday (9-15)' WHEN hour < 19 THEN 'PM Peak (15-19)' ELSE 'Evening (19-24)' END AS period, " + _RATE + " FROM pairs p JOIN an ON an.route_id = p.route_id AND an.d = p.service_date GROUP BY 1, 2, 3", "bunching_rate")
+@query("R13_period_drilldown", EWT + BUNCH + ANCHOR + f""", ep AS (SELECT route_id, service_date, {ewt_period_sql('hour')} AS period, {_SUM} FROM ec GROUP BY 1, 2, 3),
+ sp AS (SELECT DISTINCT route_id, service_date, p.period FROM ep, (VALUES ('AM Peak (6-9)'), ('Midday (9-15)'), ('PM Peak (15-19)'), ('Evening (19-24)'), ('Night (0-6)')) p(period)),
+ x AS (SELECT sp.*, coalesce(s_h, 0) AS s_h, coalesce(s_h2, 0) AS s_h2, coalesce(s_n, 0) AS s_n, coalesce(o_h, 0) AS o_h, coalesce(o_h2, 0) AS o_h2, coalesce(o_n, 0) AS o_n FROM sp LEFT JOIN ep USING (route_id, service_date, period)),
+ pe AS (SELECT route_id, service_date, period, s_n, o_n, {_AWT} AS awt_sec, {_SWT} AS swt_sec, CASE WHEN o_h > 0 AND s_h > 0 THEN greatest({_AWT} - {_SWT}, 0) END AS ewt_sec, CASE WHEN s_n > 0 THEN least(1, o_n / s_n::DOUBLE) END AS coverage FROM x),
+ pb AS (SELECT route_id, service_date, {ewt_period_sql('hour')} AS period, {_RATE} FROM pairs GROUP BY 1, 2, 3)
+ SELECT d.* FROM (SELECT * FROM pe FULL JOIN pb USING (route_id, service_date, period)) d JOIN an ON an.route_id = d.route_id AND an.anchor_date = d.service_date""", "awt_sec swt_sec ewt_sec coverage bunching_rate")
 def _(fx):
-    from fleetline.operators.headways import bunching_by_period
-
-    at = rollups.anchor_date(fx.stop_events, "route_id").withColumnRenamed("anchor_date", "service_date")
-    return bunching_by_period(bunching(fx)).join(at, ["route_id", "service_date"], "left_semi")
+    at = fx.stored
+    return rollups.period_drilldown(headways.ewt_by_period(observed(at), scheduled(at), day_services(at), gates=gates(at)), headways.bunching_by_period(bunching(at)), anchors(fx))
 
 
 @query("R14_rolling_mean_7d", DAILY + " SELECT route_id, service_date, avg(CASE WHEN NOT is_partial THEN otp_pct END) OVER (PARTITION BY route_id ORDER BY service_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS rolling_mean FROM daily", "rolling_mean")
@@ -455,7 +517,7 @@ def _(fx):
     return rollups.targets_table(window(fx), targets(fx))
 
 
-@query("B13_ewt_score_route_grade", SCORE + " SELECT route_id, score, grade FROM graded", "score")
+@query("B13_ewt_score_route_grade", CARD + " SELECT route_id, score, grade FROM graded", "score")
 def _(fx):
     return scorecard(fx).select("route_id", "score", "grade")
 
@@ -506,8 +568,31 @@ def _(fx):
     return updates.within_service_window(fx.positions, F.to_date("timestamp")).select("id")
 
 
-@query("T08_live_proximity_arrivals")
+@query("T08_live_proximity_arrivals", PROX + " SELECT service_date, trip_id, stop_sequence, stop_id, vehicle_id, ts AS observed_arrival_ts, CAST(deviation_sec AS INT) AS deviation_sec FROM prox_ev QUALIFY row_number() OVER (PARTITION BY service_date, trip_id, stop_sequence ORDER BY ts) = 1")
 def _(fx):
-    from fleetline.plans.metric_queries import proximity_events
+    return updates.first_arrivals(proximity_events(fx)).select("service_date", "trip_id", "stop_sequence", "stop_id", "vehicle_id", "observed_arrival_ts", "deviation_sec")
 
-    return updates.first_arrivals(proximity_events(fx))
+
+def _arriving(df, name: str):
+    """A folder of files that a stream reads."""
+    path = scratch_path(df.sparkSession, name)
+    df.repartition(3, *df.columns[:1]).write.parquet(path)
+    return path
+
+
+@query("T01_vp_stream", " SELECT vehicle_id, trip_id, route_id, date_trunc('second', ts) AS timestamp, lat AS latitude, lon AS longitude FROM pos", "latitude longitude")
+def _(fx):
+    raw = fx.positions.select("vehicle_id", "trip_id", "route_id", "latitude", "longitude", "current_status", F.unix_timestamp(F.col("timestamp").cast("timestamp")).alias("timestamp"))
+    out = scratch_path(fx.spark, "pings")
+    stream = updates.position_stream(fx.spark, _arriving(raw, "raw"))
+    stream.writeStream.option("checkpointLocation", scratch_path(fx.spark, "checkpoint")).trigger(availableNow=True).start(out, format="parquet").awaitTermination()
+    return fx.spark.read.schema(stream.schema).parquet(out).select("vehicle_id", "trip_id", "route_id", "timestamp", "latitude", "longitude")
+
+
+@query("T06_archive_stream", " SELECT id, vehicle_id, CAST(ts AS DATE) AS date FROM pos")
+def _(fx):
+    rows = fx.positions
+    stream = fx.spark.readStream.schema(rows.schema).parquet(_arriving(rows, "raw"))
+    out = scratch_path(fx.spark, "archive")
+    updates.archive_stream(stream, out, scratch_path(fx.spark, "checkpoint")).awaitTermination()
+    return fx.spark.read.schema("id long, vehicle_id string, date date").parquet(out)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetline.functions import clock, geo, labels
-from fleetline.operators import schedule
+from fleetline.operators import rollups, schedule
 from fleetline.plans.fixtures import AS_OF, DAY0, Fixture
 from fleetline.plans.registry import query
 from fleetline.sources import tables
+from fleetline.sources.scratch import scratch_path
 
 CUTOFF = "2024-01-10 12:00:00"
 NOW = "2024-01-14 00:00:00"
@@ -54,19 +55,18 @@ def _(fx):
     return tables.archive_verify(fx.positions, tables.archive_rows(fx.positions, F.lit(CUTOFF).cast("timestamp_ntz")))
 
 
-@query("A06_vp_archive_load", " SELECT id, vehicle_id FROM pos WHERE id % 3 = 0 OR id % 2 = 0")
-def _(fx):
-    p = fx.positions
-    return tables.archive_load(p.filter("id % 3 = 0"), p.filter("id % 2 = 0")).select("id", "vehicle_id")
+@query("A06_vp_archive_load", " SELECT id, vehicle_id FROM pos")
+def _(fx):  # what is recent, restored from an archive of everything
+    return tables.archive_load(fx.positions.filter(F.col("timestamp") >= F.lit(CUTOFF).cast("timestamp_ntz")), fx.positions).select("id", "vehicle_id")
 
 
-@query("A09_upsert_by_key", """ SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN concat(c_name, '!') ELSE c_name END AS name FROM customer WHERE c_custkey % 2 = 0
+@query("A09_upsert_by_key", """ SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN concat(c_name, '!') ELSE c_name END AS name FROM customer WHERE c_custkey % 4 <> 1
   UNION ALL SELECT c_custkey, concat(c_name, '!') FROM customer WHERE c_custkey % 4 = 1""")
 def _(fx):
     c = fx.table("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
     new = c.filter("k % 4 < 2 AND (k % 4 = 0 OR k % 4 = 1)").select("k", F.explode(F.array(F.lit(1), F.lit(2))).alias("v"), "name")
     new = new.select("k", "v", F.when(F.col("v") == 2, F.concat("name", F.lit("!"))).otherwise("stale").alias("name"))
-    return tables.upsert_by_key(c.filter("k % 2 = 0"), new, ["k"], ["v"])
+    return tables.upsert_by_key(c.filter("k % 4 <> 1"), new, ["k"], ["v"])
 
 
 @query("A11_retention_filter", f" SELECT service_date, trip_id, source FROM runs WHERE service_date >= DATE '{AS_OF}' - 7")
@@ -92,22 +92,57 @@ def config(fx: Fixture):
     return tables.dim_config(fx.spark, TIERS, TARGETS, ROUTE_TARGETS)
 
 
-@query("A13_dim_config", f" SELECT r.route_id, t.metric, coalesce(o.own, t.target) AS target FROM routes r CROSS JOIN {TARGET_SQL} LEFT JOIN {OWN_SQL} ON o.route_id = r.route_id AND o.metric = t.metric", "target")
+@query("A13_dim_config", f" SELECT r.route_id, t.metric, coalesce(o.own, t.target) AS target FROM (SELECT DISTINCT route_id FROM fx_trips) r CROSS JOIN {TARGET_SQL} LEFT JOIN {OWN_SQL} ON o.route_id = r.route_id AND o.metric = t.metric", "target")
 def _(fx):
-    _, targets = config(fx)
-    own = targets.filter("route_id IS NOT NULL").withColumnRenamed("target", "own")
-    system = targets.filter("route_id IS NULL").select("metric", "target")
-    return fx.routes.select("route_id").crossJoin(system).join(own, ["route_id", "metric"], "left").select("route_id", "metric", F.coalesce("own", "target").alias("target"))
+    return rollups.targets_of(fx.trips.select("route_id").distinct(), config(fx)[1])
 
 
 @query("A14_archive_and_expire", f" SELECT id FROM pos WHERE CAST(ts AS DATE) NOT IN ({_OLD})")
 def _(fx):
-    import uuid
+    return tables.archive_and_expire(fx.positions, F.lit(CUTOFF).cast("timestamp_ntz"), scratch_path(fx.spark, "archive")).select("id")
+
+
+# --- sources: what the operators read is first written from the tables
 
-    import tempfile
 
-    base = fx.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fleetline-")
-    return tables.archive_and_expire(fx.positions, F.lit(CUTOFF).cast("timestamp_ntz"), f"{base}/archive-{uuid.uuid4().hex}").select("id")
+@query("A01_gtfs_read", " SELECT s.trip_id, s.route_id, s.service_id, s.stop_id, s.stop_sequence, s.arrival_sec, t.stop_lat FROM fx_st s LEFT JOIN stops t ON t.stop_id = s.stop_id", "stop_lat")
+def _(fx):
+    folder = scratch_path(fx.spark, "feed")
+    for name, df in {"routes": fx.routes, "stops": fx.stops.drop("stop_num"), "trips": fx.trips, "stop_times": fx.stop_times.drop("arrival_sec")}.items():
+        df.write.option("header", True).csv(f"{folder}/{name}.txt")
+    feed = tables.gtfs_read(fx.spark, folder)
+    rows = feed["stop_times"].join(feed["trips"], "trip_id").join(feed["routes"].select("route_id"), "route_id").join(feed["stops"], "stop_id", "left")
+    return rows.select("trip_id", "route_id", "service_id", "stop_id", "stop_sequence", clock.gtfs_seconds(F.col("arrival_time")).cast("int").alias("arrival_sec"), "stop_lat")
+
+
+def _update_lines(fx: Fixture):
+    """Trip updates as the collector writes them: text and epoch seconds."""
+    epoch = F.unix_timestamp(F.col("predicted_arrival_ts").cast("timestamp"))
+    return fx.trip_updates.select(F.date_format("snapshot_ts", "yyyy-MM-dd HH:mm:ss").alias("snapshot_ts"), "trip_id", "stop_id", "vehicle_id", F.when(F.col("line_no") % 9 != 0, F.col("stop_sequence")).alias("stop_sequence"), epoch.alias("predicted_arrival_ts"), "schedule_relationship", "trip_start_date")
+
+
+@query("A07_tu_jsonl_read", " SELECT date_trunc('second', snapshot_ts) AS snapshot_ts, trip_id, stop_id, vehicle_id, stop_sequence, date_trunc('second', pred) AS predicted_arrival_ts, rel AS schedule_relationship FROM tu WHERE line_no % 9 <> 0")
+def _(fx):
+    path = scratch_path(fx.spark, "updates")
+    _update_lines(fx).write.option("compression", "gzip").json(path)
+    return tables.tu_jsonl_read(fx.spark, path).select("snapshot_ts", "trip_id", "stop_id", "vehicle_id", "stop_sequence", "predicted_arrival_ts", "schedule_relationship")
+
+
+@query("A08_tu_jsonl_to_parquet", " SELECT trip_id, CASE WHEN line_no % 2 = 0 THEN stop_id END AS stop_id, CASE WHEN line_no % 2 = 1 THEN rel END AS schedule_relationship FROM tu")
+def _(fx):
+    paths = [scratch_path(fx.spark, f"drift{k}") for k in (0, 1)]
+    for k, (path, column) in enumerate(zip(paths, ("stop_id", "schedule_relationship"))):
+        fx.trip_updates.filter(F.col("line_no") % 2 == k).select("trip_id", column).write.json(path)
+    return tables.tu_jsonl_to_parquet(fx.spark, paths, scratch_path(fx.spark, "merged")).select("trip_id", "stop_id", "schedule_relationship")
+
+
+@query("A10_replace_partition", " SELECT service_date, trip_id, source, CASE WHEN service_date = DATE '2024-01-05' THEN 'new' ELSE 'old' END AS tag FROM runs")
+def _(fx):
+    path = scratch_path(fx.spark, "runs")
+    rows = fx.runs.select("service_date", "trip_id", "source", F.lit("old").alias("tag"))
+    tables.replace_partition(rows, path, "service_date")
+    tables.replace_partition(rows.filter("service_date = date'2024-01-05'").withColumn("tag", F.lit("new")), path, "service_date")
+    return fx.spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
 
 # --- table-wide projections
@@ -308,22 +343,26 @@ def one_way(fx: Fixture):
 
 
 _OW = ", ow AS (SELECT trip_id, route_id, direction_id, service_id, concat(stop_id, '_', CAST(direction_id AS VARCHAR)) AS stop_id, stop_sequence, arrival_sec AS sec FROM fx_st)"
-_PROFILE = """, trunk AS (SELECT route_id, stop_id FROM (SELECT route_id, stop_id, row_number() OVER (PARTITION BY route_id ORDER BY count(*) DESC, stop_id DESC) AS nth FROM ow GROUP BY route_id, stop_id) WHERE nth = 1),
- profile AS (SELECT o.route_id, o.stop_id, CAST(sec // 3600 % 24 AS INT) AS hour, count(*) AS n_arrivals, CASE WHEN count(*) > 1 THEN (max(sec) - min(sec)) / (count(*) - 1)::DOUBLE / 60 END AS mean_headway_min
-   FROM ow o JOIN trunk t ON o.route_id = t.route_id AND o.stop_id = t.stop_id GROUP BY 1, 2, 3)"""
+_PROFILE = """, dts AS (SELECT * FROM (VALUES ('weekday', 'WK'), ('saturday', 'SA'), ('sunday', 'SU')) v(day_type, service_id)), od AS (SELECT o.*, d.day_type FROM ow o JOIN dts d ON d.service_id = o.service_id),
+ trunk AS (SELECT route_id, day_type, stop_id FROM (SELECT route_id, day_type, stop_id, row_number() OVER (PARTITION BY route_id, day_type ORDER BY count(*) DESC, stop_id DESC) AS nth FROM od GROUP BY 1, 2, 3) WHERE nth = 1),
+ profile AS (SELECT o.route_id, o.day_type, o.stop_id, CAST(sec // 3600 % 24 AS INT) AS hour, count(*) AS n_arrivals, CASE WHEN count(*) > 1 THEN (max(sec) - min(sec)) / (count(*) - 1)::DOUBLE / 60 END AS mean_headway_min
+   FROM od o JOIN trunk t ON o.route_id = t.route_id AND o.day_type = t.day_type AND o.stop_id = t.stop_id GROUP BY 1, 2, 3, 4)"""
+_CLASS = """, p9 AS (SELECT route_id, list_sort(list(mean_headway_min)) AS v FROM profile WHERE day_type = 'weekday' AND mean_headway_min IS NOT NULL GROUP BY 1), p90s AS (SELECT route_id, v[CAST(round_even((len(v) - 1) * 0.9::DOUBLE, 0) AS INT) + 1] AS p90 FROM p9),
+ cls AS (SELECT x.route_id, p90 AS p90_headway_min, CASE WHEN x.route_id LIKE '%X' THEN 'limited_stop' WHEN p90 <= 12 THEN 'high' WHEN p90 <= 20 THEN 'medium' WHEN p90 <= 30 THEN 'low' WHEN p90 IS NOT NULL THEN 'limited' END AS frequency_class FROM routes x LEFT JOIN p90s r ON x.route_id = r.route_id)"""
+
+
+def service_profile(fx: Fixture):
+    return schedule.route_service_profile(*one_way(fx), schedule.modal_service_ids(services(fx)))
 
 
 @query("C08_route_service_profile", _OW + _PROFILE + " SELECT *, coalesce(mean_headway_min <= 15, false) AS is_frequent FROM profile", "mean_headway_min")
 def _(fx):
-    return schedule.route_service_profile(*one_way(fx))
+    return service_profile(fx)
 
 
-@query("C09_frequency_class", _OW + _PROFILE + """, p AS (SELECT route_id, list_sort(list(mean_headway_min)) AS v FROM profile WHERE mean_headway_min IS NOT NULL GROUP BY 1),
- r AS (SELECT route_id, v[CAST(round_even((len(v) - 1) * 0.9::DOUBLE, 0) AS INT) + 1] AS p90 FROM p)
- SELECT x.route_id, p90 AS p90_headway_min, CASE WHEN route_short_name LIKE '%X' THEN 'limited_stop' WHEN p90 <= 12 THEN 'high' WHEN p90 <= 20 THEN 'medium' WHEN p90 <= 30 THEN 'low' WHEN p90 IS NOT NULL THEN 'limited' END AS frequency_class
- FROM routes x LEFT JOIN r ON x.route_id = r.route_id""", "p90_headway_min")
+@query("C09_frequency_class", _OW + _PROFILE + _CLASS + " SELECT * FROM cls", "p90_headway_min")
 def _(fx):
-    return schedule.frequency_class(schedule.route_service_profile(*one_way(fx)), fx.routes)
+    return schedule.frequency_class(service_profile(fx), fx.routes)
 
 
 @query("C10_service_level_stats", """, d AS (SELECT * FROM sched_hw WHERE hour >= 7 AND hour < 19),

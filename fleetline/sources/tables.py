@@ -145,11 +145,7 @@ def tu_jsonl_read(spark: SparkSession, path: str) -> DataFrame:
 
 def tu_jsonl_to_parquet(spark: SparkSession, paths: list[str], out: str) -> DataFrame:
     """Merge files whose columns drift; a column that one lacks is null there."""
-    merged = None
-    for p in paths:
-        df = spark.read.json(p)
-        merged = df if merged is None else merged.unionByName(df, allowMissingColumns=True)
-    merged.write.mode("overwrite").parquet(out)
+    spark.read.json(paths).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 

@@ -17,6 +17,15 @@ def update_stream(spark: SparkSession, path: str, schema: str = UPDATE, *, files
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+POSITION = "vehicle_id string, trip_id string, route_id string, direction_id int, trip_start_date string, latitude double, longitude double, speed double, stop_id string, current_stop_sequence int, current_status int, timestamp long"
+
+
+def position_stream(spark: SparkSession, path: str, schema: str = POSITION, *, files_per_batch: int = 1) -> DataFrame:
+    """Pings as files arrive; their epoch seconds become UTC."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return rows.withColumn("timestamp", F.timestamp_seconds("timestamp").cast("timestamp_ntz"))
+
+
 def with_service_date(updates: DataFrame, tz: str = clock.TZ) -> DataFrame:
     """The trip's start date, else the local date of the snapshot."""
     return updates.withColumn("service_date", F.coalesce(clock.parse_service_date(F.col("trip_start_date")), clock.local_date(F.col("snapshot_ts"), tz)))
@@ -71,33 +80,77 @@ def replay_date(updates: DataFrame, date: str, tz: str = clock.TZ) -> DataFrame:
 
 
 class _Versioned:
-    """A table that each micro-batch replaces: a new folder per batch, then a pointer by number.
+    """A table by service date whose dates a micro-batch replaces: one folder per batch, with the dates it touched.
 
-    A batch that runs again merges into the same predecessor and overwrites its own
-    folder, so the result is the same.
+    A date's rows are those of its newest version.  A batch that runs again merges into the
+    same predecessors and overwrites its own folder, so the result is the same; versions
+    older than a date's predecessor are dropped.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def at(self, batch: int) -> str:
-        return f"{self.path}/v{batch:09d}"
-
-    def read(self, batch: int, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(self.at(batch)) if batch >= 0 else self.spark.createDataFrame([], schema)
+    def __init__(self, spark: SparkSession, path: str, schema):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def _versions(self, before: int | None) -> tuple[DataFrame, DataFrame]:
+        """Every stored row with its version v, and the newest version of each date (below ``before``)."""
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema)
+        rows = self.spark.read.schema(f"{fields}, v long").parquet(self.path)
+        known = rows.select("service_date", "v").distinct() if before is None else rows.select("service_date", "v").filter(F.col("v") < before).distinct()
+        return rows, known.groupBy("service_date").agg(F.max("v").alias("v"))
+
+    def read(self, before: int | None = None, dates: DataFrame | None = None) -> DataFrame:
+        """The newest rows (of versions below ``before``, of some dates)."""
+        if not self._exists():
+            return self.spark.createDataFrame([], self.schema)
+        rows, newest = self._versions(before)
+        newest = newest if dates is None else newest.join(dates, "service_date", "left_semi")
+        return rows.join(F.broadcast(newest), ["service_date", "v"], "left_semi").select(*self.schema.names)
+
+    def _folder(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        found = jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), found
+
+    def _exists(self) -> bool:
+        fs, path = self._folder(f"{self.path}/v=*")
+        return len(fs.globStatus(path) or []) > 0
+
+    def merge(self, batch: DataFrame, number: int, fold) -> None:
+        """Fold the batch into the dates it holds; other dates aren't read or written."""
+        batch = batch.select(*self.schema.names).persist()
+        dates = batch.select("service_date").distinct()
+        old = self.read(number, dates)
+        fold(batch.unionByName(old)).select(*self.schema.names).write.mode("overwrite").partitionBy("service_date").parquet(f"{self.path}/v={number}")
+        touched = {str(r["service_date"]) for r in dates.collect()}  # a handful: the dates of one batch
+        batch.unpersist()
+        fs, below = self._folder(f"{self.path}/v=*/service_date=*")
+        kept: dict[str, list[tuple[int, object]]] = {}
+        for status in fs.globStatus(below) or []:
+            date, version = status.getPath().getName().split("=")[1], int(status.getPath().getParent().getName().split("=")[1])
+            if date in touched and version < number:
+                kept.setdefault(date, []).append((version, status.getPath()))
+        for found in kept.values():
+            for _, path in sorted(found, key=lambda f: f[0])[:-1]:
+                fs.delete(path, True)
+
+
+def read_versions(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What a stream's table below ``path`` holds now."""
+    return _Versioned(spark, path, schema).read()
+
+
+def state_schema(spark: SparkSession, tz: str = clock.TZ):
+    return merge_state(partial_state(spark.createDataFrame([], UPDATE), tz)).schema
 
 
 def fold_stream(updates: DataFrame, path: str, checkpoint: str, *, tz: str = clock.TZ) -> StreamingQuery:
-    """Fold a stream of updates into versions of a table of partial states below ``path``.
+    """Fold a stream of updates into a table of partial states below ``path``, date by date.
 
     The state lives in the table, not in the engine, so retention can age it by service date.
     """
-    table = _Versioned(updates.sparkSession, path)
-    schema = merge_state(partial_state(updates.sparkSession.createDataFrame([], UPDATE), tz)).schema
+    table = _Versioned(updates.sparkSession, path, state_schema(updates.sparkSession, tz))
 
     def step(batch: DataFrame, number: int) -> None:
-        old = table.read(number - 1, schema)
-        merge_state(partial_state(batch, tz).unionByName(old)).write.mode("overwrite").parquet(table.at(number))
+        table.merge(merge_state(partial_state(batch, tz)), number, merge_state)
 
     return updates.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -129,14 +182,11 @@ def first_arrivals(events: DataFrame) -> DataFrame:
     return events.groupBy(*key).agg(F.min_by(F.struct(*rest), "observed_arrival_ts").alias("x")).select(*key, "x.*")
 
 
-def live_proximity_arrivals(positions: DataFrame, derive, path: str, checkpoint: str) -> StreamingQuery:
-    """Arrivals from a stream of pings: ``derive`` makes events of a micro-batch, which merge by first observation."""
-    table = _Versioned(positions.sparkSession, path)
+def live_proximity_arrivals(positions: DataFrame, derive, schema, path: str, checkpoint: str) -> StreamingQuery:
+    """Arrivals from a stream of pings: ``derive`` makes events (of ``schema``) of a micro-batch, which merge by first observation."""
+    table = _Versioned(positions.sparkSession, path, schema)
 
     def step(batch: DataFrame, number: int) -> None:
-        events = derive(batch)
-        if number > 0:
-            events = events.unionByName(table.read(number - 1, events.schema))
-        first_arrivals(events).select(*events.columns).write.mode("overwrite").parquet(table.at(number))
+        table.merge(first_arrivals(derive(batch)), number, first_arrivals)
 
     return positions.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -200,7 +200,8 @@ def test_two_routes_share_one_corridor(spark):
     found = corridors.corridor_runs(t, s)
     assert {(r["route_id"], r["routes"], r["n_points"], r["cardinal"]) for r in found.collect()} == {("F1", "F1,F2", 10, "E"), ("F2", "F1,F2", 10, "E")}
     stops = spark.createDataFrame([(r, f"s{i}", 38.94, -77.07 + 0.001 * i) for r in ("F1", "F2") for i in range(10)], "route_id string, stop_id string, stop_lat double, stop_lon double")
-    c = one(corridors.corridors(found, stops))
+    order = spark.createDataFrame([(r, 0, f"s{i}", i) for r in ("F1", "F2") for i in range(10)], "route_id string, direction_id int, stop_id string, stop_sequence int")
+    c = one(corridors.corridors(found, stops, order))
     assert (c["start_stop"], c["end_stop"], c["routes"]) == ("s0", "s9", "F1,F2") and c["wkt"].startswith("LINESTRING(-77.07 38.94")
 
 
