@@ -256,7 +256,7 @@ def _(fx):
 
 @query("E04_line_otp_from_positions", ENRICHED + f""", clean AS (SELECT p.* FROM enriched p JOIN fx_trips t ON t.trip_id = p.trip_id WHERE NOT (t.service_id = 'WK' AND p.service_date = DATE '2024-01-04')),
  pa AS (SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY vehicle_id, trip_id, stop_id, service_date ORDER BY ts DESC, id DESC) = 1), s AS ({split_sql('pa', 'diff_sec', 'otp', 'route_id')})
- SELECT s.*, a.avg_late_sec FROM s JOIN (SELECT route_id, round(avg(diff_sec), 1) AS avg_late_sec FROM pa GROUP BY 1) a USING (route_id)""", "otp_pct avg_late_sec")
+ SELECT s.*, a.avg_late_sec FROM s JOIN (SELECT route_id, avg(diff_sec) AS avg_late_sec FROM pa GROUP BY 1) a USING (route_id)""", "otp_pct avg_late_sec")
 def _(fx):
     return metrics.line_otp_from_positions(fx.positions, fx.trips, fx.calendar_dates, route_stops(fx), fx.stop_times)
 
@@ -277,7 +277,7 @@ def _otp_sql(keys: str, rows: str = "arr") -> str:
 
 
 def _with_mean(keys: str, rows: str = "arr") -> str:
-    return f", o AS ({_otp_sql(keys, rows)}), l AS (SELECT {keys}, round(avg(diff_sec), 1) AS avg_late_sec FROM {rows} GROUP BY {keys}) SELECT o.*, avg_late_sec FROM o JOIN l USING ({keys})"
+    return f", o AS ({_otp_sql(keys, rows)}), l AS (SELECT {keys}, avg(diff_sec) AS avg_late_sec FROM {rows} GROUP BY {keys}) SELECT o.*, avg_late_sec FROM o JOIN l USING ({keys})"
 
 
 @query("E05_stop_otp_from_positions", arrivals_sql(50, _with_mean("route_id, stop_id")), "otp_pct avg_late_sec")

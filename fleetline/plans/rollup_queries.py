@@ -327,10 +327,10 @@ def card_sql(values: str, name: str) -> str:
     """SQL of a scorecard over the metrics in ``values``."""
     target = ", ".join(f"max(CASE WHEN metric = '{m}' THEN target END) AS target_{m}" for m in rollups.METRICS)
     delta = ", ".join(f"max(CASE WHEN metric = '{m}' THEN delta END) AS delta_{m}" for m in rollups.METRICS)
-    return f""", tg AS (SELECT route_id, {target} FROM (SELECT r.route_id, t.metric, coalesce(own, target) AS target FROM routes r CROSS JOIN {TARGET_SQL} LEFT JOIN {OWN_SQL} ON o.route_id = r.route_id AND o.metric = t.metric) GROUP BY 1),
- dl AS (SELECT route_id, {delta} FROM deltas GROUP BY 1),
- sc1 AS (SELECT r.route_id, r.route_short_name, frequency_class, r.route_id IN (SELECT route_id FROM {TIER_SQL}) AS is_frequent, w.* EXCLUDE (route_id), tg.* EXCLUDE (route_id), dl.* EXCLUDE (route_id), greatest(0, least(100, (300 - ewt_sec) / 240 * 100)) AS es
-   FROM routes r LEFT JOIN {values} w ON w.route_id = r.route_id LEFT JOIN cls c ON c.route_id = r.route_id LEFT JOIN tg ON tg.route_id = r.route_id LEFT JOIN dl ON dl.route_id = r.route_id),
+    return f""", card_tg AS (SELECT route_id, {target} FROM (SELECT r.route_id, t.metric, coalesce(own, target) AS target FROM routes r CROSS JOIN {TARGET_SQL} LEFT JOIN {OWN_SQL} ON o.route_id = r.route_id AND o.metric = t.metric) GROUP BY 1),
+ card_dl AS (SELECT route_id, {delta} FROM deltas GROUP BY 1),
+ sc1 AS (SELECT r.route_id, r.route_short_name, frequency_class, r.route_id IN (SELECT route_id FROM {TIER_SQL}) AS is_frequent, w.* EXCLUDE (route_id), card_tg.* EXCLUDE (route_id), card_dl.* EXCLUDE (route_id), greatest(0, least(100, (300 - ewt_sec) / 240 * 100)) AS es
+   FROM routes r LEFT JOIN {values} w ON w.route_id = r.route_id LEFT JOIN cls c ON c.route_id = r.route_id LEFT JOIN card_tg ON card_tg.route_id = r.route_id LEFT JOIN card_dl ON card_dl.route_id = r.route_id),
  score AS (SELECT * EXCLUDE (es), CASE WHEN otp_pct IS NOT NULL AND delivered_ratio IS NOT NULL THEN CASE WHEN ewt_sec IS NOT NULL THEN otp_pct * 0.3::DOUBLE + delivered_ratio * 100 * 0.5::DOUBLE + es * 0.2::DOUBLE ELSE otp_pct * 0.4::DOUBLE + delivered_ratio * 100 * 0.6::DOUBLE END END AS score FROM sc1),
  {name} AS (SELECT *, CASE WHEN score IS NULL THEN 'N/A' WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' WHEN score >= 20 THEN 'D' ELSE 'F' END AS grade FROM score)"""
 
@@ -381,8 +381,8 @@ def _(fx):
     return out.unionByName(anchors(fx).withColumn("kind", F.lit("route")))
 
 
-@query("R09_route_trend", DAILY + EXCESS + """, ran AS (SELECT DISTINCT route_id, service_date FROM runs), tr AS (SELECT coalesce(rat.route_id, x.route_id) AS route_id, coalesce(rat.service_date, x.service_date) AS service_date, otp_pct, CASE WHEN trips_delivered > 0 OR ran.route_id IS NOT NULL THEN delivered_ratio END AS delivered_ratio, pct_over
-   FROM rat LEFT JOIN ran ON ran.route_id = rat.route_id AND ran.service_date = rat.service_date FULL JOIN (SELECT * FROM excess WHERE n_trips > 0) x ON x.route_id = rat.route_id AND x.service_date = rat.service_date)
+@query("R09_route_trend", DAILY + EXCESS + """, rundays AS (SELECT DISTINCT route_id, service_date FROM runs), tr AS (SELECT coalesce(rat.route_id, x.route_id) AS route_id, coalesce(rat.service_date, x.service_date) AS service_date, otp_pct, CASE WHEN trips_delivered > 0 OR rundays.route_id IS NOT NULL THEN delivered_ratio END AS delivered_ratio, pct_over
+   FROM rat LEFT JOIN rundays ON rundays.route_id = rat.route_id AND rundays.service_date = rat.service_date FULL JOIN (SELECT * FROM excess WHERE n_trips > 0) x ON x.route_id = rat.route_id AND x.service_date = rat.service_date)
  SELECT r.route_id, d.service_date, CASE WHEN wd THEN otp_pct END AS otp_pct, CASE WHEN wd THEN delivered_ratio END AS delivered_ratio, CASE WHEN wd THEN pct_over END AS excess_trip_time_pct FROM routes r CROSS JOIN (SELECT service_date, dayofweek(service_date) BETWEEN 1 AND 5 AS wd FROM dates) d LEFT JOIN tr y ON y.route_id = r.route_id AND y.service_date = d.service_date""", "otp_pct delivered_ratio excess_trip_time_pct")
 def _(fx):
     return rollups.route_trend(overlay(fx), fx.stored.runs, excess(fx), fx.dates, fx.routes, day_types=("weekday",))

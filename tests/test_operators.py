@@ -297,3 +297,64 @@ def test_trip_match_flags(spark):
     pings = spark.createDataFrame(rows, "id long, trip_id string, route_id string, bearing double, latitude double").selectExpr("*", "-77.05D AS longitude", "TIMESTAMP_NTZ '2024-01-02 09:05:00' AS timestamp")
     got = {r["id"]: (r["direction_ok"], r["shape_ok"], r["warnings"]) for r in derive.validate_trip_match(pings, trips, stop_times, stops, shapes).collect()}
     assert got == {1: (True, True, []), 2: (False, True, ["direction_mismatch"]), 3: (None, False, ["shape_mismatch"]), 4: (True, None, ["route_mismatch"])}
+
+
+def _corridors_of(spark, spans):
+    """Corridors of runs of one street, given as (from, to) stops 0 to 9, a kilometre each, for routes F1 and F2."""
+    lon = lambda i: -77.07 + 0.01 * i
+    rows = [(f"F{k % 2 + 1}", 0, n, "F1,F2", abs(b - a) * 870.0, "E", [(0, lon(a), 38.94), (1, lon(b), 38.94)]) for n, (a, b) in enumerate(spans) for k in (0, 1)]
+    found = spark.createDataFrame(rows, "route_id string, direction_id int, from_seq int, routes string, length_m double, cardinal string, points array<struct<seq:int,lon:double,lat:double>>")
+    stops = spark.createDataFrame([(r, f"s{i}", 38.94, lon(i)) for r in ("F1", "F2") for i in range(10)], "route_id string, stop_id string, stop_lat double, stop_lon double")
+    order = spark.createDataFrame([(r, 0, f"s{i}", i) for r in ("F1", "F2") for i in range(10)], "route_id string, direction_id int, stop_id string, stop_sequence int")
+    return sorted((c["start_stop"], c["end_stop"]) for c in corridors.corridors(found, stops, order).collect())
+
+
+@pytest.mark.parametrize(
+    "spans, want",
+    [
+        ([(0, 2), (2, 5), (5, 6)], [("s0", "s6")]),  # a chain becomes one
+        ([(0, 2), (2, 5), (2, 4)], [("s0", "s5")]),  # the side branch lies within the chain and goes
+        ([(0, 3), (3, 4), (3, 9), (1, 8)], [("s0", "s9")]),  # nested runs go
+        ([(0, 3), (2, 5)], [("s0", "s3"), ("s2", "s5")]),  # overlapping, not nested
+        ([(0, 1), (5, 7), (7, 5)], [("s0", "s1"), ("s5", "s7"), ("s7", "s5")]),  # a cycle beside a chain stays
+    ],
+)
+def test_corridors_merge_and_nest(spark, spans, want):
+    assert _corridors_of(spark, spans) == want
+
+
+def test_service_profile_keeps_day_types_apart(spark):
+    trips = [(f"{s}{i}", "R", s, 0) for s, n in (("WK", 5), ("SA", 2)) for i in range(n)]
+    times = [(f"WK{i}", "S", f"08:{12 * i:02d}:00", 1) for i in range(5)] + [(f"SA{i}", "S", f"08:{6 + 40 * i:02d}:00", 1) for i in range(2)]
+    t = spark.createDataFrame(trips, "trip_id string, route_id string, service_id string, direction_id int")
+    st = spark.createDataFrame(times, "trip_id string, stop_id string, arrival_time string, stop_sequence int")
+    days = spark.createDataFrame([("weekday", "WK"), ("saturday", "SA")], "day_type string, service_id string")
+    profile = schedule.route_service_profile(t, st, days)
+    assert {r["day_type"]: (r["n_arrivals"], r["mean_headway_min"], r["is_frequent"]) for r in profile.collect()} == {"weekday": (5, 12.0, True), "saturday": (2, 40.0, False)}
+    routes = spark.createDataFrame([("R", "R"), ("RX", "RX"), ("Q", "QX")], "route_id string, route_short_name string")
+    assert {r["route_id"]: r["frequency_class"] for r in schedule.frequency_class(profile, routes).collect()} == {"R": "high", "RX": "limited_stop", "Q": None}
+
+
+def test_route_anchor_prefers_a_scheduled_system_date(spark):
+    events = spark.createDataFrame([("A", date(2024, 1, 7)), ("B", date(2024, 1, 5)), ("C", date(2024, 1, 5))], "route_id string, service_date date")
+    due = spark.createDataFrame([("A", date(2024, 1, 7)), ("B", date(2024, 1, 7)), ("C", date(2024, 1, 5))], "route_id string, service_date date")
+    routes = spark.createDataFrame([(r,) for r in "ABCD"], "route_id string")
+    got = {r["route_id"]: r["anchor_date"].day for r in rollups.route_anchor_date(events, due, routes).collect()}
+    assert got == {"A": 7, "B": 7, "C": 5}  # B is due but unseen; D has nothing
+
+
+def test_rolling_mean_reaches_over_dates(spark):
+    devs = [0, 900, 0, 0, 900, 0]
+    rows = [("R", "t", n, datetime(2024, 1, 1 + n // 2, 12, n), d, "proximity") for n, d in enumerate(devs)]
+    events = spark.createDataFrame(rows, "route_id string, trip_id string, stop_sequence int, observed_arrival_ts timestamp_ntz, deviation_sec int, source string")
+    got = {r["stop_sequence"]: r["rolling_otp"] for r in metrics.rolling_otp(events, 4).collect()}
+    assert got == {n: pytest.approx(sum(d == 0 for d in devs[max(0, n - 3) : n + 1]) / min(4, n + 1)) for n in range(6)}
+
+
+def test_run_after_midnight_belongs_to_the_day_before(spark):
+    st = spark.createDataFrame([("T", "S1", "24:10:00", 1), ("T", "S2", "24:20:00", 2)], "trip_id string, stop_id string, arrival_time string, stop_sequence int")
+    stops = spark.createDataFrame([("R", "S1", 38.9, -77.0), ("R", "S2", 38.91, -77.0)], "route_id string, stop_id string, stop_lat double, stop_lon double")
+    rows = [(1, datetime(2024, 1, 3, 0, 9), 38.9, 2), (2, datetime(2024, 1, 3, 0, 11), 38.9, 1), (3, datetime(2024, 1, 3, 0, 27), 38.91, 0)]
+    pings = spark.createDataFrame([(i, "T", "V", "R", ts, lat, -77.0, 5.0, s) for i, ts, lat, s in rows], "id long, trip_id string, vehicle_id string, route_id string, timestamp timestamp_ntz, latitude double, longitude double, speed double, current_status int")
+    r = one(metrics.run_quality(pings, stops, st))
+    assert (r["service_date"], r["stops_observed"], r["on_time_stops"], r["late_stops"], r["max_gap_sec"], r["is_complete"]) == (date(2024, 1, 2), 2, 1, 1, 960, False)
