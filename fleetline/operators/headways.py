@@ -96,30 +96,36 @@ def _bunching(pairs: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("bunching_rate", F.col("n_bunched") / F.col("n_headways"))
 
 
-def headway_statistics(stop_events: DataFrame, scheduled: DataFrame, day_services: DataFrame, *, gates: DataFrame | None = None, share: float = 0.25, floor: float = 120.0, max_gap: int = MAX_GAP, tz: str = clock.TZ) -> DataFrame:
+def scheduled_cells(scheduled: DataFrame, day_services: DataFrame, *, gates: DataFrame | None = None) -> DataFrame:
+    """(service_date, CELL) of each date's timetable: mean_h, and the sums of frequent services (s_n null without one)."""
+    key = ["service_id", *CELL]
+    h = F.col("h_sec").cast("long")
+    per = scheduled.groupBy(*key).agg(F.sum(h).alias("h"), F.sum(h * h).alias("h2"), F.count(F.lit(1)).alias("n"), F.avg("h_sec").alias("m"))
+    per = per.join(gates, "route_id", "left") if gates is not None else per.withColumn("gate_sec", F.lit(None).cast("int"))
+    often = F.col("m") <= F.coalesce("gate_sec", F.lit(900))
+    sums = [F.sum(F.when(often, F.col(c))).alias(f"s_{c}") for c in ("h", "h2", "n")]
+    return per.join(day_services, "service_id").groupBy("service_date", *CELL).agg(F.avg("m").alias("mean_h"), *sums)
+
+
+def headway_statistics(stop_events: DataFrame, cells: DataFrame, *, share: float = 0.25, floor: float = 120.0, max_gap: int = MAX_GAP, tz: str = clock.TZ) -> DataFrame:
     """(route_id, service_date): what ``ewt_headline`` and ``bunching_headline`` sum, from one pass over the events.
 
     Both gaps of an arrival (to the next one, and to the next scheduled one) come from
-    windows over the same shuffle, and the sums by cell reuse its keys; the timetable's
-    cells are few.  A date's services are pooled.
+    windows over the same shuffle.  ``cells`` (of ``scheduled_cells``) is read twice: keep it.
+    A date's services are pooled.
     """
-    key = ["service_date", "route_id", "direction_id", "stop_id"]
+    key, cell = ["service_date", "route_id", "direction_id", "stop_id"], ["service_date", *CELL]
     ts, order = F.col("observed_arrival_ts"), ["observed_arrival_ts", "trip_id", "stop_sequence"]
     rows = stop_events.filter("source = 'trip_update' AND observed_arrival_ts IS NOT NULL").withColumn("on_plan", F.col("schedule_relationship") == "SCHEDULED")
     gap = lambda *extra: seconds_between(ts, F.lead(ts).over(Window.partitionBy(*key, *extra).orderBy(*order)))
-    rows = rows.select(*key, clock.local_hour(ts, tz).alias("hour"), "on_plan", gap().alias("h"), gap("on_plan").alias("planned_h"))
-    day = cell_headways(scheduled, "service_id").join(day_services, "service_id").groupBy("service_date", *CELL).agg(F.avg("mean_h").alias("mean_h"))
-    sums = _frequent_cells(scheduled, day_services, gates).groupBy("service_date", *CELL).agg(*[F.sum(c).alias(c) for c in ("s_h", "s_h2", "s_n")])
-    cells = day.join(sums, ["service_date", *CELL], "left")
-    h, planned = F.when(F.col("h") > 0, F.col("h")), F.when(F.col("on_plan") & F.col("planned_h").between(1, max_gap), F.col("planned_h"))
+    rows = rows.select(*key, clock.local_hour(ts, tz).alias("hour"), "on_plan", gap().alias("h"), gap("on_plan").alias("planned_h")).join(cells, cell)
+    h, planned = F.when((F.col("h") > 0) & F.col("s_n").isNotNull(), F.col("h")), F.when(F.col("on_plan") & F.col("planned_h").between(1, max_gap), F.col("planned_h"))
     near = planned < F.greatest(F.col("mean_h") * share, F.lit(floor))
-    seen = rows.join(day, ["service_date", *CELL]).groupBy("service_date", *CELL).agg(
+    seen = rows.groupBy("route_id", "service_date").agg(
         F.sum(h).alias("o_h"), F.sum(h * h).alias("o_h2"), F.count(h).alias("o_n"), F.count(planned).alias("n_headways"), F.sum(near.cast("int")).alias("n_bunched")
     )
-    both = cells.join(seen, ["service_date", *CELL], "left").withColumn("frequent", F.col("s_n").isNotNull())
-    out = both.filter("frequent OR n_headways > 0").groupBy("route_id", "service_date").agg(
-        *[F.sum(F.when(F.col("frequent"), F.col(c))).alias(c) for c in _SUMS], F.sum("n_headways").alias("n_headways"), F.sum("n_bunched").alias("n_bunched")
-    )
+    due = cells.filter("s_n IS NOT NULL").groupBy("route_id", "service_date").agg(*[F.sum(c).alias(c) for c in ("s_h", "s_h2", "s_n")])
+    out = due.join(seen, ["route_id", "service_date"], "full").filter("s_n IS NOT NULL OR n_headways > 0")
     return out.fillna(0, [*_SUMS, "n_headways", "n_bunched"])
 
 

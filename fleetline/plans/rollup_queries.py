@@ -252,11 +252,12 @@ def quality(fx: Fixture):
 
 
 def overlay(fx: Fixture):
-    """The daily table that every rollup reads, computed once from stored stop times and runs."""
+    """The daily table that every rollup reads, computed once from stored stop times, timetable cells and runs."""
 
     def make():
         at = fx.stored
-        sums = headways.headway_statistics(at.stop_events, scheduled(at), day_services(at), gates=gates(at))
+        cells = fx.kept("cells", lambda: headways.scheduled_cells(scheduled(at), day_services(at), gates=gates(at)))
+        sums = headways.headway_statistics(at.stop_events, cells)
         return rollups.route_metrics_overlay(otp(at), delivered(at), sums)
 
     return fx.kept("overlay", make, "service_date")
