@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetline.llm import ann, decontaminate, katz, langid, linededup, mixing, neardup, secrets, tokenfile, toxicity
+from fleetline.llm import ann, balltree, chat, decontaminate, divergence, katz, langid, linededup, mixing, neardup, secrets, tokenfile, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,20 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.encode_documents(spark, _table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = [F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")]
+    return chat.format_and_digest(chat.text_turns(turns.unionByName(spark.range(2).select(*extra))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -77,8 +91,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_langid": op9_langid,
         "op10_token_file": op10_token_file,
+        "op11_ball_tree": op11_ball_tree,
+        "op12_divergence": op12_divergence,
+        "op13_chat": op13_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.SQL}
+    return {"op1_line_dedup": linededup.SQL, "op11_ball_tree": balltree.SQL, "op12_divergence": divergence.SQL, "op13_chat": chat.SQL}
