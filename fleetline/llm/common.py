@@ -7,27 +7,17 @@ struct, so extra columns and clashing names never meet the operators' own.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetline.sources.scratch import scratch_path, shared_dir  # noqa: F401  also for the operators
+
 #: Most distinct tokens whose hash a Python worker remembers; others are hashed anew.
 TOKEN_CACHE = 400_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset and Spark is local (tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="fleetline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: bytes (or characters) of the longest token that is remembered, so that a cache is bounded in bytes too
+LONGEST_TOKEN = 64
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -36,10 +26,6 @@ def qualified(spark: SparkSession, path: str) -> str:
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString()
 
 
-def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -87,7 +73,7 @@ class HashCache(dict):
 
     def __missing__(self, token: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(token)
-        if len(self) < TOKEN_CACHE:
+        if len(self) < TOKEN_CACHE and len(token) <= LONGEST_TOKEN:
             self[token] = h
         return h
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import TOKEN_CACHE, HashCache, hashes, mix, row_key, text_of, window_hashes
+from fleetline.llm.common import LONGEST_TOKEN, TOKEN_CACHE, HashCache, hashes, mix, row_key, text_of, window_hashes
 
 WIDTH = 8
 LEAST = 5
@@ -75,7 +75,7 @@ class _Template(dict):
     def __missing__(self, token: str) -> int:
         slot = slot_of(token, None)
         h = {NUM: 1, NAME: 2}.get(slot) or xxhash.xxh3_64_intdigest(token.lower().encode())
-        if len(self) < TOKEN_CACHE:
+        if len(self) < TOKEN_CACHE and len(token) <= LONGEST_TOKEN:
             self[token] = h
         return h
 

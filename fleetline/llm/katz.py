@@ -52,7 +52,7 @@ SLICES = 8
 #: tokens that a task packs at a time
 GROUP_TOKENS = 1_000_000
 #: distinct words whose codes a Python worker remembers
-WORD_CACHE = 200_000
+WORD_CACHE, WORD_CACHE_BYTES = 200_000, 32 << 20
 _TAIL = np.uint64(1 << 63)  # codes of words outside the head
 _NONE = np.uint32(0xFFFFFFFF)
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))  # no word holds a space
@@ -161,13 +161,15 @@ class WordCodes(dict):
     """word -> code (without a head: hash), emptied when it grows too large; frequent words come back at once."""
 
     def __init__(self, head: Head | None):
-        self.head = head
+        self.head, self.held = head, 0
 
     def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self) > WORD_CACHE:
+        if len(self) > WORD_CACHE or self.held > WORD_CACHE_BYTES:
             self.clear()
+            self.held = 0
         if fresh := list(set().union(*texts) - self.keys()):
             keys = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
+            self.held += sum(map(len, fresh))
             self.update(zip(fresh, (self.head.codes(keys) if self.head else keys).tolist()))
         get = self.__getitem__
         return [np.fromiter(map(get, words), np.uint64, len(words)) for words in texts]

@@ -10,7 +10,7 @@ language each; the document's language is the one whose spans hold most letters.
 
 Cases: null, empty or letterless text is ``und`` with score 0; without any labelled
 document everything is ``und``; ties go to the better path score, then to the
-smaller name; repeated rows are scored alike.  Whole texts are read.
+smaller name; repeated rows are scored alike; rows with a null id are scored but not learned from.  Whole texts are read.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import materialise, remainder
+from fleetline.llm.common import LONGEST_TOKEN, materialise, remainder
 
 MAX_ROWS = 6_000
 LEAST_ROWS = 50
 SWITCH_PENALTY = 6.0
-WORD_CACHE = 300_000
+#: bytes of words and their scores that a Python worker remembers
+CACHE_BYTES = 64 << 20
 #: texts labelled at a time; bounds what a Python worker holds
 TEXTS_AT_ONCE = 1_500
 _WORD = re.compile(r"[^\W\d_]+")
@@ -96,7 +97,10 @@ class LanguageModel:
         """Row of the table for each word of all texts, and the table."""
         own = self._word
         fresh = list(set().union(*words) - own.keys())
-        known, room = len(own), max(0, WORD_CACHE - len(own))
+        fresh.sort(key=lambda w: len(w) > LONGEST_TOKEN)  # long ones aren't remembered
+        most = CACHE_BYTES // (8 * len(self.langs) + 150)
+        known = len(own)
+        room = min(max(0, most - known), sum(len(w) <= LONGEST_TOKEN for w in fresh))
         more = {w: known + i for i, w in enumerate(fresh[room:], room)}
         own.update((w, known + i) for i, w in enumerate(fresh[:room]))
         table = self.word_scores(fresh)
@@ -169,6 +173,11 @@ class LanguageModel:
         return out
 
 
+def likely(h: Column, rows: Column, most: int) -> Column:
+    """True for about ``most`` of ``rows`` rows, by a 64-bit hash; in doubles, so that no number of rows overflows."""
+    return F.pmod(h, F.lit(1 << 40)).cast("double") / float(1 << 40) * rows.cast("double") < float(most)
+
+
 def fit_languages(docs: DataFrame, *, max_rows: int = MAX_ROWS, penalty: float = SWITCH_PENALTY, seed: int = 5) -> LanguageModel:
     """Learn from text and lang of ``docs``; at most ``max_rows`` rows, or ``LEAST_ROWS`` a language.
 
@@ -178,7 +187,7 @@ def fit_languages(docs: DataFrame, *, max_rows: int = MAX_ROWS, penalty: float =
     sizes = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     each = max(LEAST_ROWS, max_rows // max(1, sizes.count()))
     # twice as many rows by their hash, so that no language goes whole into one task; then the first of them
-    rows = rows.join(sizes, "lang").filter(F.pmod(F.xxhash64("h"), F.lit(1 << 40)) * F.col("n") < (1 << 40) * 2 * each)
+    rows = rows.join(sizes, "lang").filter(likely(F.xxhash64("h"), F.col("n"), 2 * each))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     rows = rows.withColumn("nth", nth).filter(F.col("nth") <= each).select("doc_id", F.col("lang").alias("l"), "h").distinct()
     own = docs.select(F.col("doc_id").alias("d"), "text", "lang")

@@ -11,7 +11,9 @@ copy.  An index (Parquet) has each document's file, place and number of ids.
 Files are written under a name of their own per attempt, and the index names those of
 the attempts that succeeded; a task that runs again leaves an unnamed file at worst.
 
-A Python worker keeps the ids of the words it has met from task to task.
+A Python worker keeps the ids of the words it has met from task to task, bounded by bytes.
+That needs a tokenizer that lowers case, takes runs of letters, digits and signs apart, and drops white
+space (``_known_form`` reads that from its file); with any other one whole texts are encoded.
 
 Cases: ids may be of any type that can be ordered; a null text is empty, so it is the end id alone; null ids come first; repeated
 rows are encoded again (in order of a hash of the text); an empty table gives an empty
@@ -20,6 +22,8 @@ index and no file.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -34,8 +38,9 @@ from pyspark.sql import functions as F
 from fleetline.llm.common import qualified, scratch_path, text_of
 
 END_ID = 1
-#: words whose ids a Python worker remembers
-WORD_CACHE = 600_000
+#: bytes of words and their ids that a Python worker remembers (with what Python needs for each), and bytes of the longest word it does
+CACHE_BYTES, LONGEST = 96 << 20, 64
+_ENTRY = 190
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
 _SIGNS = b".,;:!?#$%&*()-\""
@@ -53,6 +58,19 @@ def encoder_of(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _known_form(tokenizer) -> bool:
+    """Whether words may be encoded one by one: NFC, white space, lower case, then runs of letters, single digits, runs of signs."""
+    form = json.loads(tokenizer.to_str())
+    normal = form["normalizer"] or {}
+    split = form["pre_tokenizer"] or {}
+    steps, parts = [x["type"] for x in normal.get("normalizers", [])], split.get("pretokenizers", [])
+    pattern = parts[0].get("pattern", {}).get("Regex", "") if parts else ""
+    return (
+        steps == ["NFC", "Replace", "Lowercase"] and normal["normalizers"][1]["pattern"] == {"Regex": r"\s+"} and [x["type"] for x in parts] == ["Split", "ByteLevel"]
+        and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and parts[0]["invert"] and parts[0]["behavior"] == "Removed" and not parts[1]["add_prefix_space"]
+    )
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that never joins words across white space.
 
@@ -60,7 +78,7 @@ class WordEncoder:
     met before are encoded together, joined by spaces.
     """
 
-    def __init__(self, path: str, limit: int = WORD_CACHE):
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
         import os
 
         from tokenizers import Tokenizer
@@ -68,8 +86,9 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.by_word = _known_form(self.tokenizer)
         self.known: dict[bytes, bytes] = {}
-        self.limit = limit
+        self.held, self.limit = 0, limit
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         out = {}
@@ -85,25 +104,34 @@ class WordEncoder:
                 out[w] = ids[a * k : b * k]
         return out
 
-    def _learn(self, fresh: set[bytes]) -> None:
-        """Remember words not met before.  Letters and the signs after them are encoded apart
-        (the tokenizer parts them too, and ignores case), as few words differ in letters."""
+    @staticmethod
+    def _letters(core: bytes) -> bool:
+        """Whether the tokenizer sees letters alone: composing or lower-casing may give marks, which signs join."""
+        if core.isalpha():  # bytes: ASCII
+            return True
+        word = core.decode("utf-8", "replace")
+        return word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
+
+    def _learn(self, fresh: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not met before; those of bounded length are remembered.  Letters and the
+        signs after them are encoded apart (the tokenizer parts them too), as few words differ in letters."""
         known, split, parts = self.known, [], set()
         for w in fresh:
             core = w.rstrip(_SIGNS)
-            if core.isalpha() or core and core.decode("utf-8", "replace").isalpha():
-                if core is w:  # no signs: rstrip gives the same object
-                    parts.add(w)
-                else:
-                    split.append((w, core, w[len(core) :]))
+            if core and core is not w and self._letters(core):  # without signs rstrip gives the same object
+                split.append((w, core, w[len(core) :]))
             else:
                 parts.add(w)
         parts.update([a for _, a, _ in split])
         parts.update([b for _, _, b in split])
         parts.discard(b"")
-        known.update(self._encode(list(parts - known.keys())))
-        known[b""] = b""
-        known.update([(w, known[a] + known[b]) for w, a, b in split])
+        new = self._encode(list(parts - known.keys()))
+        get = lambda x: new[x] if x in new else known[x]
+        new.update([(w, get(a) + get(b)) for w, a, b in split])
+        short = {w: x for w, x in new.items() if len(w) <= LONGEST}
+        known.update(short)
+        self.held += sum(map(len, short)) + sum(map(len, short.values())) + _ENTRY * len(short)
+        return {w: x for w, x in new.items() if len(w) > LONGEST}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``, without the end id.
@@ -111,13 +139,17 @@ class WordEncoder:
         The tokenizer ignores case, so A-Z are lowered first, but in texts that may spell
         one of its special tokens, which it takes as they stand.
         """
+        if not self.by_word:
+            found = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [np.array(x.ids, self.dtype).tobytes() for x in found]
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if fresh := set().union(*words) - self.known.keys():
-            self._learn(fresh)
-        get = self.known.__getitem__
+        fresh = set().union(*words) - self.known.keys()
+        long_ones = self._learn(fresh) if fresh else {}
+        get = self.known.__getitem__ if not long_ones else (lambda w: long_ones[w] if w in long_ones else self.known[w])
         out = [b"".join(map(get, ws)) for ws in words]
-        if len(self.known) > self.limit:  # the words met first are the frequent ones
-            self.known = dict(islice(self.known.items(), self.limit * 3 // 4))
+        if self.held > self.limit:  # the words met first are the frequent ones
+            self.known = dict(islice(self.known.items(), int(len(self.known) * 0.75 * self.limit / self.held)))
+            self.held = sum(map(len, self.known)) + sum(map(len, self.known.values())) + _ENTRY * len(self.known)
         return out
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import TOKEN_CACHE, materialise, remainder, text_of
+from fleetline.llm.common import LONGEST_TOKEN, TOKEN_CACHE, materialise, remainder, text_of
 
 _TERM = re.compile(r"[^\W\d_]+")
 MAX_ROWS = 16_000
@@ -121,7 +121,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", ma
     stats = stats.select("b", "n", gain.alias("gain"))
     # more than the best of as many unrelated terms would show
     least = math.log(max(1, stats.count()))
-    best = stats.filter((F.col("n") >= 3) & (F.col("gain") >= least)).select("b").toArrow()  # of BUCKETS at most
+    best = stats.filter(F.col("gain") >= least).select("b").toArrow()  # of BUCKETS at most
     buckets = np.sort(best.column("b").to_numpy().astype(np.int64))
     place = {int(b): i for i, b in enumerate(buckets)}
 
@@ -141,7 +141,7 @@ class _Known(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         at = tuple(self.place[b] for b in buckets_of(word) if b in self.place)
-        if len(self) < TOKEN_CACHE:
+        if len(self) < TOKEN_CACHE and len(word) <= LONGEST_TOKEN:
             self[word] = at
         return at
 

@@ -352,6 +352,7 @@ def test_mix_comes_near_its_targets_and_repeats(spark):
     plan = mixing.mix_plan(docs).toPandas()
     again = mixing.mix_plan(docs.repartition(7)).toPandas()
     key = ["doc_id"]
+    assert mixing.mix_plan(docs.limit(0)).count() == 0
     assert plan.sort_values(key).copies.tolist() == again.sort_values(key).copies.tolist()
     assert plan.copies.between(0, 3).all() and len(plan) == len(rows)
     plan["taken"] = plan.copies * plan["size"]
@@ -367,6 +368,33 @@ def test_mixed_documents_are_repeated(spark, edge_docs, no_docs):
     assert mixing.mix_documents(no_docs).count() == 0
 
 
+def test_mixing_takes_ids_of_any_type(spark, edge_docs):
+    docs = edge_docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    plan = mixing.mix_plan(docs)
+    assert dict(plan.dtypes)["doc_id"] == "string" and plan.count() == docs.count()
+    assert mixing.mix_documents(docs).count() == plan.agg(F.sum("copies")).first()[0]
+    big = spark.createDataFrame([(2**60 + i, "a b c", "s") for i in range(50)] + [(None, "x", "s")], "doc_id long, text string, source string")
+    assert {r.doc_id for r in mixing.mix_plan(big).collect()} == {2**60 + i for i in range(50)} | {None}
+
+
+def test_repeated_rows_share_their_copies_and_meet_in_no_one_task(spark, monkeypatch):
+    rows = [(None, "one two three", "hot", i) for i in range(3000)] + [(i, "w " * (i % 9 + 1), "hot" if i % 2 else "cold", i) for i in range(900)] + [(7000, "", "cold", 0)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    groups = mixing.mix_groups(docs)
+    assert groups.count() == 902  # the repeated rows are one group, however many
+    monkeypatch.setattr(mixing, "TURNS", 64)
+    plan = mixing.mix_plan(docs).toPandas()
+    assert len(plan) == len(rows) and (plan[plan["size"] == 0].copies == 0).all()
+    hot = plan[plan.doc_id.isna()]
+    assert len(hot) == 3000 and hot.copies.max() - hot.copies.min() <= 1
+    by = plan.assign(taken=plan.copies * plan["size"]).groupby("source_size").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(by.taken - by.target) <= 10).all()
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns and out.count() == plan.copies.sum()
+    taken = out.filter("doc_id IS NULL").groupBy("extra").count().toPandas()["count"]
+    assert taken.sum() == hot.copies.sum() and taken.max() <= hot.copies.max()
+
+
 # --- token files
 
 ODD = ["<|ENDOFTEXT|> AND <|endoftext|>", "don't we'll I'M <|endoftext|> a<|startoftext|>b", "ÀÉ İstanbul ΣΑΣ. straße Ǆ x y z\x1cq 3.14 éa,", "café?! ... --a-- 日本語テキスト。 русский, ١٢٣", "", "\n \t"]
@@ -382,10 +410,52 @@ def test_words_encode_as_their_text(text):
 
 def _encoder(cache={}):  # noqa: B006
     if not cache:
-        cache["x"] = tokenfile.WordEncoder(vocabulary(), limit=50)
+        cache["x"] = tokenfile.WordEncoder(vocabulary(), limit=10_000)
     return cache["x"]
 
 
+def test_letters_marks_and_signs_encode_as_whole_texts():
+    """Words of all kinds of letters, with marks, before and after signs."""
+    rng = np.random.default_rng(11)
+    import unicodedata
+
+    letters = [chr(c) for c in range(0x24F) if unicodedata.category(chr(c))[0] == "L"] + list("İıſǅßΣςŉǰΐẞﬁKÅΩЁйअका日本한") + ["\u0307", "\u0301", "\u0338", "\u093c", "\u200d", "\u00a0", "\u1112\u1161\u11ab"]
+    signs = list(".,;:!?#$%&*()-\"'“…·/@") + ["'s", "'ll", "<|", "|>", "1", "²"]
+    enc, texts = _encoder(), ["TARİHİ, 1923.", "TEMİZLİĞİ!", "İ. İ İ.İ", "x\u0307. \u0307. K\u030c!"]
+    for _ in range(5_000):
+        words = ["".join(rng.choice(letters, rng.integers(0, 6))) + "".join(rng.choice(signs, rng.integers(0, 4))) + "".join(rng.choice(letters, rng.integers(0, 2))) for _ in range(4)]
+        texts.append(" ".join(words))
+    want = [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for lo in range(0, len(texts), 700):
+        got = enc.encode([t.encode() for t in texts[lo : lo + 700]])
+        for t, g, w in zip(texts[lo : lo + 700], got, want[lo : lo + 700]):
+            assert np.frombuffer(g, enc.dtype).tolist() == w, t
+
+
+def test_caches_are_bounded_in_bytes():
+    enc = tokenfile.WordEncoder(vocabulary(), limit=20_000)
+    blob = "q" * 3_000_000
+    ids = np.frombuffer(enc.encode([f"one {blob} two".encode()])[0], enc.dtype)
+    assert len(ids) > 1000 and not any(len(w) > tokenfile.LONGEST for w in enc.known)
+    for i in range(50):
+        enc.encode([" ".join(f"w{i}x{j}" for j in range(100)).encode()])
+        assert enc.held <= 20_000 + 100 * 250
+    assert enc.held == sum(map(len, enc.known)) + sum(map(len, enc.known.values())) + tokenfile._ENTRY * len(enc.known)
+    from fleetline.llm.common import HashCache
+
+    cache = HashCache()
+    assert cache[b"z" * 100_000] and cache[b"short"] and list(cache) == [b"short"]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import public_tokenizers
+
+    enc = tokenfile.WordEncoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    assert not enc.by_word and _encoder().by_word
+    for text in ODD:
+        assert np.frombuffer(enc.encode([text.encode()])[0], enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_odd_texts_encode_as_whole():
     enc = _encoder()
     for text in ODD:
@@ -459,3 +529,27 @@ def test_pipeline_stages_keep_the_schema_and_do_their_work(spark, tmp_path):
     assert set(seen["decontamination"]) == set(seen["near_dedup"]) - {400}
     assert sorted(seen["token_file"]) == sorted(seen["mixing"]) and set(seen["mixing"]) <= set(seen["decontamination"])
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(seen["token_file"])
+
+
+@pytest.mark.parametrize("kind", ["empty", "repeated", "clashing"])
+def test_pipeline_runs_on_odd_tables(spark, tmp_path, kind):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 900, 40)), "en", f"s{i % 2}", 1) for i in range(40)]
+    rows = {"empty": [], "repeated": rows[:5] * 12 + [(None, None, None, None, None)] * 9 + [(None, rows[0][1], "en", "s0", 1)] * 4, "clashing": rows}[kind]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    if kind == "clashing":
+        docs = docs.withColumns({c: F.lit(1) for c in ("row", "k", "h", "t", "p", "n", "size", "block", "copy", "score", "turn", "node", "root", "item_id", "target", "start")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    ids = [r.doc_id for r in out.collect()]
+    if kind == "empty":
+        assert ids == []
+    elif kind == "clashing":
+        assert len(set(ids)) > 25
+    else:
+        assert set(ids) <= {0, 1, 2, 3, 4, None} and ids

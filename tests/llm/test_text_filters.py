@@ -253,6 +253,21 @@ def test_only_letters_are_words_and_any_number_of_languages(spark):
     assert model.predict([rows[199][1], "rara avis"])[0][0] == "l199" and model.predict(["rara avis"])[0][0] == "rare"
 
 
+def test_any_number_of_rows_is_sampled_without_overflow(spark):
+    for n in (10, 9_000_000, 10**15):
+        rows = spark.range(20_000).withColumn("n", F.lit(n).cast("long")).filter(langid.likely(F.xxhash64("id"), F.col("n"), min(n, n // 4)))
+        assert n == 10 or 4_500 < rows.count() < 5_500
+
+
+def test_long_words_and_many_languages_bound_the_cache(monkeypatch, spark):
+    docs = spark.createDataFrame([(i, " ".join(["alpha beta", "gamma delta"][i % 2] for _ in range(5)), ["xx", "yy"][i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    model = langid.fit_languages(docs)
+    monkeypatch.setattr(langid, "CACHE_BYTES", 3 * (8 * 2 + 150))
+    texts = ["alpha beta alpha", "gamma delta", "z" * 500 + " beta", "new words each time"] * 2
+    fresh = langid.fit_languages(docs)
+    assert model.predict(texts[:4]) * 2 == fresh.predict(texts) and len(fresh._word) <= 3
+
+
 def test_language_edges(spark, edge_docs, no_docs):
     docs = _languages(spark)
     model = langid.fit_languages(docs)
