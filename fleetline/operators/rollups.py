@@ -39,7 +39,7 @@ def window_metrics(overlay: DataFrame, partial_dates: DataFrame, end: str, days:
     """Metrics per route over [end - days + 1, end], pooled, without partial dates."""
     last = F.lit(end).cast("date")
     rows = overlay.filter(F.col("service_date").between(F.date_sub(last, days - 1), last)).join(partial_dates, "service_date", "left_anti")
-    return with_ratios(rows.groupBy("route_id").agg(*[F.sum(c).alias(c) for c in COUNTS], F.count_distinct("service_date").alias("n_days")))
+    return with_ratios(rows.groupBy("route_id").agg(*[F.sum(c).alias(c) for c in COUNTS], F.count(F.lit(1)).alias("n_days")))
 
 
 def metrics_on_date(overlay: DataFrame, date: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetline.functions import clock
+from fleetline.sources.scratch import keep
 
 DAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 #: representative weekday (0 Monday) of each day type
@@ -225,36 +226,40 @@ def route_shapes(trips: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def simplify_shapes(shapes: DataFrame, tolerance: float = 1e-4) -> DataFrame:
-    """Douglas-Peucker per shape (shape_id, points of (lon, lat)); at least two points stay.
+    """Douglas-Peucker over all shapes at once (shape_id, points of (lon, lat)); at least two points stay.
 
-    A shape's points are few, so each is one group of a grouped pandas job.
+    Level by level: every point that is open knows the span it lies in and the span's ends.  A round finds each
+    span's farthest point; beyond the tolerance it stays and parts the span in two, else the span's points go.
+    A shape with n points takes about log n rounds, n at worst; each is one shuffle by span, and is written so
+    that plans don't grow.
     """
-    import numpy as np
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shape_pt_sequence")
-        p = pdf[["shape_pt_lon", "shape_pt_lat"]].to_numpy()
-        keep = np.zeros(len(p), bool)
-        keep[[0, -1]] = True
-        spans = [(0, len(p) - 1)]
-        while spans:
-            a, b = spans.pop()
-            if b - a < 2:
-                continue
-            line = p[b] - p[a]
-            off = p[a + 1 : b] - p[a]
-            length = np.hypot(*line)
-            dist = np.abs(line[0] * off[:, 1] - line[1] * off[:, 0]) / length if length else np.hypot(off[:, 0], off[:, 1])
-            k = int(dist.argmax())
-            if dist[k] > tolerance:
-                keep[a + 1 + k] = True
-                spans += [(a, a + 1 + k), (a + 1 + k, b)]
-        return pdf[keep]
-
+    x, y = F.col("shape_pt_lon"), F.col("shape_pt_lat")
+    whole = Window.partitionBy("shape_id").orderBy("shape_pt_sequence")
+    rows = shapes.select("shape_id", "shape_pt_lat", "shape_pt_lon", "shape_pt_sequence").withColumn("i", F.row_number().over(whole))
+    ends = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    point = lambda i, lon, lat: F.struct(i.alias("i"), lon.alias("x"), lat.alias("y"))
+    own = point(F.col("i"), x, y)
+    rows = keep(rows.select("*", F.first(own).over(ends).alias("a"), F.last(own).over(ends).alias("b")), "shape-points")
     cols = ["shape_id", "shape_pt_lat", "shape_pt_lon", "shape_pt_sequence"]
-    schema = "shape_id string, shape_pt_lat double, shape_pt_lon double, shape_pt_sequence int"
-    return shapes.select(*cols).groupBy("shape_id").applyInPandas(one, schema)
+    at_end = (F.col("i") == F.col("a.i")) | (F.col("i") == F.col("b.i"))
+    done = [rows.filter(at_end).select(*cols)]
+    open_ = rows.filter(~at_end)
+    lx, ly, ox, oy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"), x - F.col("a.x"), y - F.col("a.y")
+    length = F.hypot(lx, ly)
+    off = F.when(length > 0, F.abs(lx * oy - ly * ox) / length).otherwise(F.hypot(ox, oy))
+    far = F.max(F.struct(off.alias("off"), (-F.col("i")).alias("less"), x.alias("x"), y.alias("y"))).over(Window.partitionBy("shape_id", "a.i", "b.i"))
+    while True:
+        cut = point(-F.col("far.less"), F.col("far.x"), F.col("far.y"))
+        split = open_.withColumn("far", far).filter(F.col("far.off") > tolerance).withColumn("cut", cut)
+        split = keep(split.select(*cols, "i", F.when(F.col("i") < F.col("cut.i"), F.col("a")).otherwise(F.col("cut")).alias("a"), F.when(F.col("i") < F.col("cut.i"), F.col("cut")).otherwise(F.col("b")).alias("b")), "shape-spans")
+        if split.isEmpty():
+            break
+        done.append(split.filter(F.col("i") == F.col("a.i")).select(*cols))  # the points that parted their spans
+        open_ = split.filter(F.col("i") != F.col("a.i"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def frequent_gate(tier: Column) -> Column:

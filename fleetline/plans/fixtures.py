@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from fleetline.functions import clock
 from fleetline.operators import runs as runs_ops
-from fleetline.sources.scratch import keep
+from fleetline.sources.scratch import keep, scratch_exists, stamp_of
 
 DAY0 = "2024-01-01"
 UTC0 = "2024-01-01 05:00:00"
@@ -35,23 +35,34 @@ def _text(prefix: str, n):
     return F.concat(F.lit(prefix), n.cast("string"))
 
 
+#: tables that a deployment stores: of each session and state of the input files by name
+_STORES: dict[tuple, dict[str, DataFrame]] = {}
+_INPUTS = ("orders", "lineitem", "events", "supplier")
+
+
 class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        self._kept: dict[str, DataFrame] = {}
+
+    @cached_property
+    def stamp(self) -> str:
+        """Names the state of the input files; other files, lengths or times give another one."""
+        return stamp_of(self.spark, *[f"{self.dir}/{t}.parquet" for t in _INPUTS])
+
+    def once(self, name: str, make) -> DataFrame:
+        """The stored table that ``make`` reads back, made once for a state of the input files and read by all queries that ask for it."""
+        store = _STORES.setdefault((self.spark.sparkContext.applicationId, self.dir, self.stamp), {})
+        if name not in store or not scratch_exists(store[name]):
+            store[name] = make()
+        return store[name]
 
     def kept(self, name: str, make, *by: str) -> DataFrame:
-        """The table that ``make`` gives, written once and read back by all that ask for it."""
-        if name not in self._kept:
-            self._kept[name] = keep(make(), f"fixture-{name}", *by)
-        return self._kept[name]
+        return self.once(name, lambda: keep(make(), f"fixture-{name}", *by))
 
     @cached_property
     def stored(self) -> Fixture:
-        """The same tables with stop times and runs kept, as a deployment stores them; runs without percentiles, which no rollup reads."""
+        """The same tables with runs kept too, as a deployment stores them; runs without percentiles, which no rollup reads."""
         out = Fixture(self.spark, self.dir)
-        out._kept = self._kept
-        out.stop_times_raw = self.kept("stop_times", lambda: self.stop_times_raw)
         out.runs = self.kept("runs", lambda: runs_ops.aggregate_runs(out.stop_events, out.stop_times).drop("dev_p50_sec", "dev_p95_sec"), "service_date")
         return out
 
@@ -74,6 +85,9 @@ class Fixture:
 
     @cached_property
     def stop_times_raw(self) -> DataFrame:
+        return self.kept("stop_times", self._stop_times)
+
+    def _stop_times(self) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_shipdate", "l_quantity"))
         lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", nth.cast("int").alias("stop_sequence"))
         rows = lines.join(self.trips_raw, lines.l_orderkey == F.col("trip_num"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 
-from fleetline.operators import corridors, diagnostics, headways, metrics, rollups, runs, schedule
+from fleetline.operators import corridors, diagnostics, headways, metrics, rollups, runs, schedule, upkeep
 from fleetline.plans.fixtures import AS_OF, Fixture
 from fleetline.plans.metric_queries import _AWT, _RATE, _SUM, _SWT, BUNCH, COVER, DELIVERED, EWT, EXCESS, FOLD, HEAD, OTP, PROX, RS, SYS_DELIVERED, SYS_EWT, bunching, coverage, delivered, gates, observed, otp, proximity_events, split_sql
 from fleetline.plans.registry import query
 from fleetline.plans.schedule_queries import _CLASS, _OW, _PROFILE, ORIGIN, OWN_SQL, TARGET_SQL, TIER_SQL, WINDOW_TRIPS, config, day_services, ewt_period_sql, hav_sql, period_sql, route_stops, scheduled, service_profile, services
-from fleetline.sources.scratch import scratch_path
-from fleetline.streaming import updates
+from fleetline.sources.dated import DatedTable
+from fleetline.sources.scratch import scratch_path, shared_dir
+from fleetline.streaming import live, updates
 
 SEG = "route_id, direction_id, period, from_seq, to_seq, from_stop, to_stop"
 # every row once under 'all' and once under its named period
@@ -251,16 +254,36 @@ def quality(fx: Fixture):
     return coverage(fx).select("service_date", metrics.coverage_flag(F.col("coverage"), 0.02).alias("data_quality"))
 
 
-def overlay(fx: Fixture):
-    """The daily table that every rollup reads, computed once from stored stop times, timetable cells and runs."""
+#: definition of the overlay; another one rebuilds the stored table
+RECIPE = "1"
+
+
+def overlay_inputs(fx: Fixture) -> dict:
+    """What a date of the overlay is made of, each by service_date: events, runs, timetable cells, trips due."""
+    at = fx.stored
+    events = at.stop_events.select("service_date", "route_id", "direction_id", "stop_id", "trip_id", "stop_sequence", "observed_arrival_ts", "deviation_sec", "source", "schedule_relationship")
+    cells = fx.kept("cells", lambda: headways.scheduled_cells(scheduled(at), day_services(at), gates=gates(at)), "service_date")
+    trips = schedule.scheduled_trips_on_date(fx.trips, services(fx)).select("service_date", "route_id", "trip_id")
+    return {"events": events, "runs": at.runs, "cells": cells, "trips": trips}
 
-    def make():
-        at = fx.stored
-        cells = fx.kept("cells", lambda: headways.scheduled_cells(scheduled(at), day_services(at), gates=gates(at)))
-        sums = headways.headway_statistics(at.stop_events, cells)
-        return rollups.route_metrics_overlay(otp(at), delivered(at), sums)
 
-    return fx.kept("overlay", make, "service_date")
+def overlay_rows(x: dict):
+    """The overlay of the dates that ``x`` (of ``overlay_inputs``) holds."""
+    split = metrics.otp_split(x["events"], x["runs"])
+    return rollups.route_metrics_overlay(split, runs.service_delivered(x["runs"], x["trips"]), headways.headway_statistics(x["events"], x["cells"]))
+
+
+def refresh_overlay(fx: Fixture, inputs: dict | None = None, path: str | None = None) -> tuple[DatedTable, upkeep.Refresh]:
+    """Bring the stored overlay of the fixture's folder up to date: the build step, apart from all that reads it."""
+    inputs = inputs or overlay_inputs(fx)
+    path = path or f"{shared_dir(fx.spark)}/overlay-{hashlib.sha256(fx.dir.encode()).hexdigest()[:16]}"
+    table = DatedTable(fx.spark, path, overlay_rows(inputs).schema)
+    return table, upkeep.refresh(table, inputs, overlay_rows, RECIPE)
+
+
+def overlay(fx: Fixture):
+    """The stored daily table that every rollup reads; checked against its inputs once for a state of the input files."""
+    return fx.once("overlay", lambda: refresh_overlay(fx)[0].read())
 
 
 def partial(fx: Fixture):
@@ -268,7 +291,7 @@ def partial(fx: Fixture):
 
 
 def window(fx: Fixture):
-    return fx.kept("window", lambda: rollups.window_metrics(overlay(fx), partial(fx), AS_OF, 7))
+    return rollups.window_metrics(overlay(fx), partial(fx), AS_OF, 7)
 
 
 def daily(fx: Fixture):
@@ -284,6 +307,16 @@ def _(fx):
     return overlay(fx).join(quality(fx), "service_date", "left").select("route_id", "service_date", *_N, "data_quality")
 
 
+@query("R01_overlay_upkeep", OVERLAY + " SELECT service_date, count(*) AS n_routes, CAST(sum(all_n) AS BIGINT) AS all_n, service_date = DATE '2024-01-05' AS rewritten FROM ov GROUP BY 1")
+def _(fx):  # a date whose events were incomplete at first is the only one that a second refresh writes
+    inputs, path = overlay_inputs(fx), scratch_path(fx.spark, "overlay")
+    had = inputs["events"].filter("NOT (service_date = date'2024-01-05' AND source = 'proximity')")
+    refresh_overlay(fx, {**inputs, "events": had}, path)
+    table, done = refresh_overlay(fx, inputs, path)
+    rows = table.read().groupBy("service_date").agg(F.count(F.lit(1)).alias("n_routes"), F.sum("all_n").alias("all_n"))
+    return rows.withColumn("rewritten", F.col("service_date").cast("string").isin(*done.written))
+
+
 SYSTEM = SYS_DELIVERED + SYS_EWT + QUALITY + f", so2 AS ({split_sql('se', 'dev', 'otp', 'service_date', chr(39) + 'proximity' + chr(39) + ' = source')}), system AS (SELECT service_date, otp_pct, delivered_ratio, ewt_sec, swt_sec, bunching_rate, data_quality FROM so2 FULL JOIN sd USING (service_date) FULL JOIN sys USING (service_date) LEFT JOIN qual USING (service_date))"
 
 
@@ -342,7 +375,8 @@ CARD_DOUBLES = RATIO_COLS + " score " + " ".join(f"{x}_{m}" for x in ("target",
 
 def card_parts(fx: Fixture):
     """What a scorecard joins to its metrics: frequency classes, tiers, targets, deltas."""
-    return schedule.frequency_class(service_profile(fx.stored), fx.routes), config(fx)[0], targets(fx), deltas(fx)
+    profile = fx.kept("profile", lambda: service_profile(fx.stored))
+    return schedule.frequency_class(profile, fx.routes), config(fx)[0], targets(fx), deltas(fx)
 
 
 def scorecard(fx: Fixture):
@@ -559,26 +593,112 @@ def _(fx):
     return updates.replay_date(fx.trip_updates, "2024-01-09")
 
 
+def _arriving(df, name: str):
+    """A folder of files that a stream reads."""
+    path = scratch_path(df.sparkSession, name)
+    df.repartition(3, *df.columns[:1]).write.parquet(path)
+    return path
+
+
+#: files of a step of arrival, which a stream takes in one batch
+STEP_FILES = 2
+
+
+def _in_steps(fx: Fixture, steps, name: str):
+    """A stream of Parquet files that arrive in steps: one DataFrame each, in this order."""
+    path = scratch_path(fx.spark, name)
+    for df in steps:
+        df.repartition(STEP_FILES).write.mode("append").parquet(path)
+    return fx.spark.readStream.schema(steps[0].schema).option("maxFilesPerTrigger", STEP_FILES).parquet(path)
+
+
+def _by_days(df, ts: str, cuts, order=None):
+    """``df`` cut into stretches of days since 2024-01-01, in the order given."""
+    day = F.datediff(F.col(ts), F.lit("2024-01-01").cast("date"))
+    edges = [-(10**6), *cuts, 10**6]
+    parts = [df.filter((day >= a) & (day < b)) for a, b in zip(edges, edges[1:])]
+    return [parts[i] for i in (order or range(len(parts)))]
+
+
+def _land(stream, fx: Fixture, name: str):
+    """Run an append stream to its end; the rows it wrote, and the query."""
+    out = scratch_path(fx.spark, name)
+    run = stream.writeStream.option("checkpointLocation", scratch_path(fx.spark, "checkpoint")).trigger(availableNow=True).start(out, format="parquet")
+    run.awaitTermination()
+    return fx.spark.read.schema(stream.schema).parquet(out), run
+
+
+@query("T02_poll_dedupe_stream", " SELECT snapshot_ts, line_no, trip_id, stop_sequence, service_date FROM tu QUALIFY row_number() OVER (PARTITION BY snapshot_ts, trip_id, stop_sequence, service_date ORDER BY line_no DESC) = 1")
+def _(fx):  # repeats inside the watermark and behind it: neither is let through
+    first, middle, last = _by_days(fx.trip_updates, "snapshot_ts", (5, 10))
+    steps = [first, middle.unionByName(middle.filter("line_no % 5 = 0")), middle.filter("line_no % 3 = 0").unionByName(last), first.filter("line_no % 7 = 0")]
+    rows, _ = _land(updates.first_delivery(_in_steps(fx, steps, "polls"), "2 days"), fx, "delivered")
+    return updates.poll_dedupe(rows.drop("service_date", "event_time")).select("snapshot_ts", "line_no", "trip_id", "stop_sequence", "service_date")
+
+
 @query("T05_minute_coverage", " SELECT date_trunc('minute', ts) AS minute, count(*) AS n FROM pos GROUP BY 1")
 def _(fx):
     return updates.minute_coverage(fx.positions)
 
 
+@query("T05_coverage_from_stream", COVER + " SELECT * FROM cov", "coverage")
+def _(fx):  # the stream's closed minutes are what E28 counts; a mark from later closes the last of them
+    seen = fx.positions.select("timestamp").union(fx.heartbeats.select("ts"))
+    mark = fx.spark.range(1).select(F.lit("2024-03-01 00:00:00").cast("timestamp_ntz").alias("timestamp"))
+    stream = _in_steps(fx, [*_by_days(seen, "timestamp", (4, 8)), mark], "seen")
+    out = scratch_path(fx.spark, "minutes")
+    updates.closed_minutes(stream, out, scratch_path(fx.spark, "checkpoint")).awaitTermination()
+    minutes = fx.spark.read.schema("minute timestamp_ntz, n long").parquet(out)
+    return metrics.ingest_coverage(minutes.select(F.col("minute").alias("ts")), minutes.limit(0).select(F.col("minute").alias("timestamp")), fx.dates)
+
+
 @query("T07_late_position_window", " SELECT id FROM pos WHERE ts >= CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 5 HOUR")
 def _(fx):
     return updates.within_service_window(fx.positions, F.to_date("timestamp")).select("id")
 
 
+@query("T07_window_counts_stream", """, w AS (SELECT ts, CAST(ts AS DATE) - CAST(id % 4 AS INT) AS d FROM pos), k AS (SELECT unnest(['kept', 'late', 'phantom', 'undated']) AS kind)
+ SELECT kind, CAST(coalesce((SELECT count(*) FROM w WHERE CASE kind WHEN 'kept' THEN ts >= CAST(d AS TIMESTAMP) + INTERVAL 5 HOUR AND ts < CAST(d + 2 AS TIMESTAMP) + INTERVAL 5 HOUR WHEN 'late' THEN ts >= CAST(d + 2 AS TIMESTAMP) + INTERVAL 5 HOUR
+   WHEN 'phantom' THEN ts < CAST(d AS TIMESTAMP) + INTERVAL 5 HOUR ELSE false END), 0) AS BIGINT) AS n FROM k""")
+def _(fx):
+    pings = fx.positions.withColumn("service_date", F.date_sub(F.to_date("timestamp"), (F.col("id") % 4).cast("int")))
+    stream = updates.within_service_window(_in_steps(fx, _by_days(pings, "timestamp", (4, 9), (1, 0, 2)), "pings"), F.col("service_date"))
+    rows, run = _land(stream.select("id"), fx, "kept")
+    counts = updates.observed_sums(run, "service_window")
+    if rows.count() != counts["n_kept"]:
+        raise RuntimeError("the stream's counts aren't those of its rows")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(counts[f"n_{k}"]).cast("long").alias("n")) for k in ("kept", "late", "phantom", "undated")])
+    return fx.spark.range(1).select(F.explode(kinds).alias("x")).select("x.kind", "x.n")
+
+
 @query("T08_live_proximity_arrivals", PROX + " SELECT service_date, trip_id, stop_sequence, stop_id, vehicle_id, ts AS observed_arrival_ts, CAST(deviation_sec AS INT) AS deviation_sec FROM prox_ev QUALIFY row_number() OVER (PARTITION BY service_date, trip_id, stop_sequence ORDER BY ts) = 1")
 def _(fx):
     return updates.first_arrivals(proximity_events(fx)).select("service_date", "trip_id", "stop_sequence", "stop_id", "vehicle_id", "observed_arrival_ts", "deviation_sec")
 
 
-def _arriving(df, name: str):
-    """A folder of files that a stream reads."""
-    path = scratch_path(df.sparkSession, name)
-    df.repartition(3, *df.columns[:1]).write.parquet(path)
-    return path
+@query("T08_live_arrivals_stream", PROX + " SELECT service_date, trip_id, route_id, direction_id, vehicle_id, stop_id, stop_sequence, CAST(deviation_sec AS INT) AS deviation_sec, match_distance_m FROM prox_ev", "match_distance_m")
+def _(fx):  # seven files, each second one before its predecessor; a mark from later closes the last visits
+    pings = fx.positions.select("id", "vehicle_id", "trip_id", "route_id", "latitude", "longitude", "timestamp", F.to_date("timestamp").alias("service_date"))
+    late = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
+    mark = pings.limit(1).withColumns({"trip_id": F.lit("none"), "route_id": F.lit("none"), "timestamp": late, "service_date": F.to_date(late)})
+    stream = _in_steps(fx, [*_by_days(pings, "timestamp", (2, 4, 6, 8, 10, 12), (1, 0, 3, 2, 5, 4, 6)), mark], "pings")
+    rows, _ = _land(live.live_arrivals(stream, fx.trips, fx.stop_times, route_stops(fx), delay="5 days"), fx, "arrivals")
+    return rows.select("service_date", "trip_id", "route_id", "direction_id", "vehicle_id", "stop_id", "stop_sequence", "deviation_sec", "match_distance_m")
+
+
+@query("T01_tu_stream", " SELECT date_trunc('minute', snapshot_ts) AS snapshot_ts, trip_id, vehicle_id, stop_id, stop_sequence, rel AS schedule_relationship, date_trunc('second', pred) AS predicted_arrival_ts, CAST(1 AS BIGINT) AS n_quarantined FROM tu WHERE line_no % 11 <> 0")
+def _(fx):  # a poll a minute as JSON, one line cut short, some updates without a stop
+    sec = F.unix_timestamp(F.col("predicted_arrival_ts").cast("timestamp"))
+    update = F.struct("stop_sequence", F.when(F.col("line_no") % 11 != 0, F.col("stop_id")).alias("stop_id"), F.struct(sec.alias("time")).alias("arrival"), "schedule_relationship")
+    entity = F.struct(F.struct(F.struct("trip_id", F.col("trip_start_date").alias("start_date")).alias("trip"), F.struct(F.coalesce("vehicle_id", F.lit("")).alias("id")).alias("vehicle"), F.array(update).alias("stop_time_update")).alias("trip_update"))
+    at = F.unix_timestamp(F.date_trunc("minute", "snapshot_ts").cast("timestamp"))
+    polls = fx.trip_updates.groupBy(at.alias("at")).agg(F.collect_list(entity).alias("entity"))
+    lines = polls.select(F.to_json(F.struct(F.struct(F.col("at").alias("timestamp")).alias("header"), "entity")).alias("value"))
+    folder, out, bad = scratch_path(fx.spark, "polls"), scratch_path(fx.spark, "updates"), scratch_path(fx.spark, "quarantine")
+    lines.unionByName(fx.spark.range(1).select(F.lit('{"header": {"timestamp": 17').alias("value"))).repartition(3).write.text(folder)
+    updates.ingest_polls(updates.poll_stream(fx.spark, folder), out, bad, scratch_path(fx.spark, "checkpoint")).awaitTermination()
+    rows = fx.spark.read.parquet(out).crossJoin(fx.spark.read.text(bad).agg(F.count(F.lit(1)).alias("n_quarantined")))
+    return rows.select("snapshot_ts", "trip_id", "vehicle_id", "stop_id", "stop_sequence", "schedule_relationship", "predicted_arrival_ts", "n_quarantined")
 
 
 @query("T01_vp_stream", " SELECT vehicle_id, trip_id, route_id, date_trunc('second', ts) AS timestamp, lat AS latitude, lon AS longitude FROM pos", "latitude longitude")

@@ -105,17 +105,32 @@ def archive_rows(positions: DataFrame, cutoff) -> DataFrame:
     return positions.withColumn("day", F.to_date("timestamp")).join(days_to_archive(positions, cutoff), "day", "left_semi")
 
 
-def archive_write(positions: DataFrame, cutoff, path: str) -> None:
-    """One sorted zstd Parquet folder per day."""
-    rows = archive_rows(positions, cutoff).repartition("day").sortWithinPartitions("day", "timestamp", "id")
+#: rows of an archive file, about
+ARCHIVE_ROWS = 2_000_000
+
+
+def archive_write(positions: DataFrame, cutoff, path: str, *, rows_per_file: int = ARCHIVE_ROWS) -> None:
+    """Sorted zstd Parquet files per day: ranges of (day, timestamp, id), so that a hot day goes through
+    several tasks and its files follow each other in time.  Only the days written are replaced."""
+    rows = archive_rows(positions, cutoff).drop("day").withColumn("day", F.to_date("timestamp"))
+    n = rows.count()
+    rows = rows.repartitionByRange(max(1, -(-n // rows_per_file)), "day", "timestamp", "id").sortWithinPartitions("day", "timestamp", "id")
     rows.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
+def archive_files(archive: DataFrame) -> DataFrame:
+    """(day, file, n, first_ts, last_ts) of an archive's files, in order of time."""
+    out = archive.groupBy("day", F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
+    return out.orderBy("day", "first_ts", "last_ts")
+
+
 def archive_verify(source: DataFrame, archive: DataFrame) -> DataFrame:
-    """Rows per archived day on both sides, and whether they agree."""
+    """Rows per archived day on both sides, files of the day, and whether counts agree and files don't overlap in time."""
     n = lambda df, name: df.groupBy("day").agg(F.count(F.lit(1)).alias(name))
-    out = n(archive, "archived").join(n(source.withColumn("day", F.to_date("timestamp")), "kept"), "day", "left")
-    return out.withColumn("ok", F.coalesce(F.col("archived") == F.col("kept"), F.lit(False)))
+    files = archive_files(archive).withColumn("before", F.lag("last_ts").over(Window.partitionBy("day").orderBy("first_ts", "last_ts")))
+    files = files.groupBy("day").agg(F.sum("n").alias("archived"), F.count(F.lit(1)).alias("n_files"), F.min(F.coalesce(F.col("before") <= F.col("first_ts"), F.lit(True))).alias("in_order"))
+    out = files.join(n(source.withColumn("day", F.to_date("timestamp")), "kept"), "day", "left")
+    return out.withColumn("ok", F.coalesce((F.col("archived") == F.col("kept")) & F.col("in_order"), F.lit(False)))
 
 
 def archive_load(current: DataFrame, archive: DataFrame) -> DataFrame:
