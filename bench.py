@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 from fleetline import catalog  # noqa: E402
+from fleetline.plans.rollup_queries import prepare  # noqa: E402
 
 HEADLINES = {
     "scorecard": "R06_scorecard",
@@ -36,6 +37,9 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries, took = catalog.queries(), {}
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    start = time.perf_counter()
+    prepare(spark, sf_dir)  # what a deployment stores; counted, as everything below reads it
+    took["build_store"] = round(time.perf_counter() - start, 3)
     for name, key in HEADLINES.items():
         start = time.perf_counter()
         queries[key](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -11,7 +11,7 @@ from fleetline.operators import corridors, diagnostics, headways, metrics, rollu
 from fleetline.plans.fixtures import AS_OF, Fixture
 from fleetline.plans.metric_queries import _AWT, _RATE, _SUM, _SWT, BUNCH, COVER, DELIVERED, EWT, EXCESS, FOLD, HEAD, OTP, PROX, RS, SYS_DELIVERED, SYS_EWT, bunching, coverage, delivered, gates, observed, otp, proximity_events, split_sql
 from fleetline.plans.registry import query
-from fleetline.plans.schedule_queries import _CLASS, _OW, _PROFILE, ORIGIN, OWN_SQL, TARGET_SQL, TIER_SQL, WINDOW_TRIPS, config, day_services, ewt_period_sql, hav_sql, period_sql, route_stops, scheduled, service_profile, services
+from fleetline.plans.schedule_queries import _CLASS, _OW, _PROFILE, ORIGIN, OWN_SQL, TARGET_SQL, TIER_SQL, WINDOW_TRIPS, config, bearing_sql, day_services, ewt_period_sql, hav_sql, period_sql, route_stops, scheduled, service_profile, services
 from fleetline.sources.dated import DatedTable
 from fleetline.sources.scratch import scratch_path, shared_dir
 from fleetline.streaming import live, updates
@@ -100,7 +100,20 @@ def shared_runs(fx: Fixture):
     return corridors.corridor_runs(fx.trips, fx.shapes)
 
 
-@query("X08_corridor_runs")
+# every pair of points is compared here; the operator meets them by grid cell
+RUNS_SQL = f""", shp AS (SELECT concat('R', CAST(r AS VARCHAR)) AS route_id, d AS direction_id, CAST(i + 1 AS INT) AS seq, 38.90::DOUBLE + (r % 4) * 0.00005::DOUBLE AS lat, -77.05::DOUBLE + CASE d WHEN 0 THEN i ELSE 29 - i END * 0.0004::DOUBLE AS lon
+   FROM (SELECT DISTINCT route_num AS r, direction_id AS d FROM fx_trips), range(30) t(i)),
+ bear AS (SELECT *, {bearing_sql('lat', 'lon', 'lead(lat) OVER w', 'lead(lon) OVER w')} AS own FROM shp WINDOW w AS (PARTITION BY route_id, direction_id ORDER BY seq)),
+ pts AS (SELECT *, coalesce(own, lag(own) OVER (PARTITION BY route_id, direction_id ORDER BY seq)) AS bearing FROM bear),
+ sets AS (SELECT a.route_id, a.direction_id, a.seq, a.lat, a.lon, a.bearing, array_to_string(list_sort(list(DISTINCT b.route_id)), ',') AS routes FROM pts a JOIN pts b ON {hav_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 15
+   AND least(abs(a.bearing - b.bearing), 360 - abs(a.bearing - b.bearing)) < 30 GROUP BY ALL),
+ isl AS (SELECT *, sum(new) OVER (PARTITION BY route_id, direction_id ORDER BY seq) AS island FROM (SELECT *, CASE WHEN routes = lag(routes) OVER (PARTITION BY route_id, direction_id ORDER BY seq) THEN 0 ELSE 1 END AS new FROM sets)),
+ stp AS (SELECT *, {hav_sql('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS step FROM isl WINDOW w AS (PARTITION BY route_id, direction_id, island ORDER BY seq)),
+ cruns AS (SELECT route_id, direction_id, routes, count(*) AS n_points, min(seq) AS from_seq, max(seq) AS to_seq, coalesce(sum(step), 0) AS length_m, avg(bearing) AS mean_bearing, arg_min(lat, seq) AS a_lat, arg_min(lon, seq) AS a_lon, arg_max(lat, seq) AS b_lat, arg_max(lon, seq) AS b_lon,
+   ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][CAST(floor((avg(bearing) + 22.5) / 45) AS INT) % 8 + 1] AS cardinal FROM stp GROUP BY route_id, direction_id, island, routes HAVING count(*) >= 5 AND routes LIKE '%,%')"""
+
+
+@query("X08_corridor_runs", RUNS_SQL + " SELECT * EXCLUDE (a_lat, a_lon, b_lat, b_lon) FROM cruns", "length_m mean_bearing")
 def _(fx):
     return shared_runs(fx).drop("points")
 
@@ -120,9 +133,33 @@ def _shape_stops(fx: Fixture):
     return seq.distinct()
 
 
-@query("X09_corridors")
-def _(fx):
-    return corridor_table(fx)
+CORRIDORS_SQL = RUNS_SQL + RS + f""", cstop AS (SELECT DISTINCT route_id, concat('C', CAST(CAST(round(lon * 10000) AS INT) AS VARCHAR)) AS stop_id, 38.9::DOUBLE AS stop_lat, lon AS stop_lon FROM shp WHERE seq % 7 = 1),
+ plc AS (SELECT stop_id, stop_lat, stop_lon, list(DISTINCT route_id) AS serves FROM (SELECT route_id, stop_id, stop_lat, stop_lon FROM rs UNION ALL SELECT * FROM cstop) GROUP BY 1, 2, 3),
+ cend AS (SELECT route_id, direction_id, from_seq, routes, 'a' AS side, a_lat AS lat, a_lon AS lon FROM cruns WHERE length_m >= 500 UNION ALL SELECT route_id, direction_id, from_seq, routes, 'b', b_lat, b_lon FROM cruns WHERE length_m >= 500),
+ snap AS (SELECT route_id, direction_id, from_seq, side, arg_min(stop_id, {{'d': {hav_sql('lat', 'lon', 'stop_lat', 'stop_lon')}, 's': stop_id}}) AS stop_id FROM cend JOIN plc ON {hav_sql('lat', 'lon', 'stop_lat', 'stop_lon')} < 100 AND len(list_intersect(string_split(routes, ','), serves)) >= 2 GROUP BY 1, 2, 3, 4),
+ ided AS (SELECT c.routes, c.cardinal, a.stop_id AS s, b.stop_id AS e, c.length_m FROM cruns c JOIN snap a ON a.side = 'a' AND a.route_id = c.route_id AND a.direction_id = c.direction_id AND a.from_seq = c.from_seq
+   JOIN snap b ON b.side = 'b' AND b.route_id = c.route_id AND b.direction_id = c.direction_id AND b.from_seq = c.from_seq WHERE c.length_m >= 500 AND a.stop_id <> b.stop_id
+   QUALIFY row_number() OVER (PARTITION BY c.routes, c.cardinal, a.stop_id, b.stop_id ORDER BY c.length_m DESC, c.route_id, c.direction_id, c.from_seq) = 1),
+ crow AS (SELECT *, row_number() OVER (PARTITION BY cardinal, routes ORDER BY length_m DESC, s, e) AS nr FROM ided),
+ nxt AS (SELECT r.cardinal, r.routes, r.nr, min(f.nr) AS next FROM crow r JOIN crow f ON f.cardinal = r.cardinal AND f.routes = r.routes AND f.s = r.e GROUP BY 1, 2, 3),
+ reach AS (WITH RECURSIVE walk(cardinal, routes, head, nr, steps) AS (SELECT cardinal, routes, nr, nr, 0 FROM crow r WHERE NOT EXISTS (SELECT 1 FROM crow p WHERE p.cardinal = r.cardinal AND p.routes = r.routes AND p.e = r.s)
+   UNION ALL SELECT w.cardinal, w.routes, w.head, n.next, w.steps + 1 FROM walk w JOIN nxt n ON n.cardinal = w.cardinal AND n.routes = w.routes AND n.nr = w.nr WHERE w.steps < (SELECT count(*) FROM crow)) SELECT * FROM walk),
+ own AS (SELECT cardinal, routes, nr, min({{'h': head, 's': steps}}) AS o FROM reach GROUP BY 1, 2, 3),
+ lnk AS (SELECT r.*, o IS NULL AS loose, coalesce(o.h, r.nr) AS head, coalesce(o.s, 0) AS steps FROM crow r LEFT JOIN own USING (cardinal, routes, nr)),
+ seqs AS (SELECT route_id, direction_id, concat('C', CAST(CAST(round(lon * 10000) AS INT) AS VARCHAR)) AS stop_id, min(seq) AS q FROM shp WHERE seq % 7 = 1 GROUP BY 1, 2, 3),
+ spn AS (SELECT l.cardinal, l.routes, l.nr, x.route_id, x.direction_id, least(x.q, y.q) AS a, greatest(x.q, y.q) AS b FROM lnk l JOIN seqs x ON x.stop_id = l.s AND list_contains(string_split(l.routes, ','), x.route_id) JOIN seqs y ON y.stop_id = l.e AND y.route_id = x.route_id AND y.direction_id = x.direction_id),
+ mrg AS (SELECT cardinal, routes, loose, head, sum(length_m) AS length_m, arg_min(s, steps) AS start_stop, arg_max(e, steps) AS end_stop, arg_min(nr, steps) AS f, arg_max(nr, steps) AS l, count(*) AS n_merged FROM lnk GROUP BY 1, 2, 3, 4),
+ mrk AS (SELECT *, row_number() OVER (PARTITION BY cardinal, routes ORDER BY length_m DESC, loose, head) AS rank FROM mrg),
+ msp AS (SELECT m.cardinal, m.routes, m.rank, x.route_id, x.direction_id, x.a, y.b, count(*) OVER (PARTITION BY m.cardinal, m.routes, m.rank) AS n FROM mrk m JOIN spn x ON x.cardinal = m.cardinal AND x.routes = m.routes AND x.nr = m.f JOIN spn y ON y.cardinal = m.cardinal AND y.routes = m.routes AND y.nr = m.l AND y.route_id = x.route_id AND y.direction_id = x.direction_id),
+ nst AS (SELECT i.cardinal, i.routes, i.rank FROM msp i JOIN msp o ON o.cardinal = i.cardinal AND o.routes = i.routes AND o.route_id = i.route_id AND o.direction_id = i.direction_id AND o.n = i.n AND o.rank < i.rank AND o.a <= i.a AND i.b <= o.b
+   GROUP BY i.cardinal, i.routes, i.rank, o.rank HAVING count(*) = max(i.n) AND bool_or(o.a < i.a OR i.b < o.b))
+ SELECT routes, cardinal, start_stop, end_stop, length_m, sha256(concat_ws('|', cardinal, routes, start_stop, end_stop)) AS corridor_id, concat(start_stop, '-', end_stop, ' ', cardinal) AS display_name FROM mrk m
+   WHERE NOT EXISTS (SELECT 1 FROM nst n WHERE n.cardinal = m.cardinal AND n.routes = m.routes AND n.rank = m.rank)"""
+
+
+@query("X09_corridors", CORRIDORS_SQL, "length_m")
+def _(fx):  # without the line's text: engines spell doubles differently
+    return corridor_table(fx).drop("wkt")
 
 
 # membership for the SQL-checked corridor queries: three spans per route and direction
@@ -282,10 +319,19 @@ def refresh_overlay(fx: Fixture, inputs: dict | None = None, path: str | None =
 
 
 def overlay(fx: Fixture):
-    """The stored daily table that every rollup reads; checked against its inputs once for a state of the input files."""
+    """The stored daily table that every rollup reads; it is checked against its inputs once for a state of the input files."""
     return fx.once("overlay", lambda: refresh_overlay(fx)[0].read())
 
 
+def prepare(spark, sf_dir: str) -> upkeep.Refresh:
+    """The build step: write or refresh what a deployment stores (stop times, runs, timetable cells, profile, overlay), so that queries only read it."""
+    fx = Fixture(spark, sf_dir)
+    table, done = refresh_overlay(fx)
+    fx.kept("profile", lambda: service_profile(fx.stored))
+    fx.once("overlay", table.read)
+    return done
+
+
 def partial(fx: Fixture):
     return fx.dates.filter("service_date = date'2024-01-03'")
 
@@ -567,9 +613,11 @@ def _(fx):
     return rollups.worst_metric(window(fx), targets(fx))
 
 
-@query("B19_profile_hash")
-def _(fx):
-    return rollups.profile_hash(segments(fx), "route_id", "period")
+@query("B19_profile_hash", SLIP + """, j AS (SELECT route_id, period, concat('{"direction_id":', direction_id, ',"from_seq":', from_seq, ',"from_stop":"', from_stop, '","n_obs":', n_obs, ',"slip":', CAST(round(mean_slip_sec * 10) AS BIGINT), ',"to_seq":', to_seq, ',"to_stop":"', to_stop, '"}') AS j FROM seg)
+ SELECT route_id, period, sha256(CAST(to_json(list_sort(list(j))) AS VARCHAR)) AS profile_hash FROM j GROUP BY 1, 2""")
+def _(fx):  # slips in tenths of a second
+    rows = segments(fx).withColumn("slip", F.round(F.col("mean_slip_sec") * 10).cast("long")).drop("mean_slip_sec")
+    return rollups.profile_hash(rows, "route_id", "period")
 
 
 # --- folds that streams share

@@ -88,19 +88,20 @@ def test_repeats_inside_the_watermark_and_behind_it_are_dropped(spark, tmp_path)
     first = _updates(spark, [(0, 1, "a", 1), (0, 2, "b", 1), (0, 1, "a", 1)])  # a repeat in one file
     again = _updates(spark, [(0, 2, "b", 1), (10 * hour, 1, "a", 1)])  # a repeat in the next
     later = _updates(spark, [(100 * hour, 1, "a", 1)])
+    next_ = _updates(spark, [(100 * hour + 60, 3, "c", 1)])  # rows count as late from the batch after the one that a watermark starts with
     behind = _updates(spark, [(0, 1, "a", 1), (99 * hour, 1, "a", 1)])  # a repeat when the state is gone, and a row that is late but in time
-    stream = updates.first_delivery(_steps(spark, str(tmp_path / "in"), [first, again, later, behind]), "1 day")
+    stream = updates.first_delivery(_steps(spark, str(tmp_path / "in"), [first, again, later, next_, behind]), "1 day")
     q = stream.writeStream.format("memory").queryName("delivered").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = sorted((str(r.snapshot_ts), r.line_no, r.trip_id) for r in spark.table("delivered").collect())
-    assert got == [("2024-01-02 12:00:00", 1, "a"), ("2024-01-02 12:00:00", 2, "b"), ("2024-01-02 22:00:00", 1, "a"), ("2024-01-06 15:00:00", 1, "a"), ("2024-01-06 16:00:00", 1, "a")]
+    assert got == [("2024-01-02 12:00:00", 1, "a"), ("2024-01-02 12:00:00", 2, "b"), ("2024-01-02 22:00:00", 1, "a"), ("2024-01-06 15:00:00", 1, "a"), ("2024-01-06 16:00:00", 1, "a"), ("2024-01-06 16:01:00", 3, "c")]
     assert _dropped_late(q) == 1
-    assert [s.numRowsTotal for s in q.recentProgress[-1].stateOperators] == [2]  # state of the last day alone
+    assert [s.numRowsTotal for s in q.recentProgress[-1].stateOperators] == [3]  # state of the last day alone
 
 
 def test_closed_minutes_are_written_once_and_open_ones_not(spark, tmp_path):
     at = lambda *secs: _ntz(spark.createDataFrame([(1704196800 + s,) for s in secs], "s long").select(F.timestamp_seconds("s").alias("timestamp")), "timestamp")
-    stream = _steps(spark, str(tmp_path / "in"), [at(5, 50, 70), at(61, 0), at(7200 + 200), at(0, 7200 + 100)])
+    stream = _steps(spark, str(tmp_path / "in"), [at(5, 50, 70), at(61, 0), at(7200 + 200), at(7200 + 201), at(0, 7200 + 100)])
     updates.closed_minutes(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     got = sorted((str(r.minute), r.n) for r in spark.read.schema("minute timestamp_ntz, n long").parquet(str(tmp_path / "out")).collect())
     assert got == [("2024-01-02 12:00:00", 3), ("2024-01-02 12:01:00", 2)]  # the ping that came when its minute was closed isn't counted again
@@ -157,7 +158,7 @@ def test_live_arrivals_tell_each_visit_once_and_drop_what_is_too_late(spark, tmp
     one = pings.filter((F.col("trip_id") == visit.trip_id) & (F.col("timestamp") == F.lit(visit.observed_arrival_ts).cast("timestamp_ntz"))).limit(1)
     shift = lambda minutes, id_: one.withColumns({"timestamp": F.col("timestamp") + F.expr(f"INTERVAL {minutes} MINUTES"), "id": F.lit(id_)})
     mark = lambda hours: shift(hours * 60, 0).withColumns({"trip_id": F.lit("none"), "service_date": F.to_date("timestamp")})
-    files = [shift(1, 11), shift(0, 10).unionByName(shift(2, 12)), mark(30), shift(-1, 9), mark(200)]  # one a minute earlier comes when its time has passed
+    files = [shift(1, 11), shift(0, 10).unionByName(shift(2, 12)), mark(30), mark(31), shift(-1, 9), mark(200), mark(201)]  # one a minute earlier comes when its time has passed
     files = [f.withColumn("id", F.col("id").cast("long")) for f in files]
     stream = live.live_arrivals(_steps(spark, str(tmp_path / "in"), files), fx.trips, fx.stop_times, route_stops(fx), delay="1 day")
     q = stream.writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
