@@ -1,5 +1,7 @@
 """Hand-computed cases of the transit operators."""
 
+import math
+import random
 from datetime import date, datetime
 
 import pytest
@@ -358,3 +360,85 @@ def test_run_after_midnight_belongs_to_the_day_before(spark):
     pings = spark.createDataFrame([(i, "T", "V", "R", ts, lat, -77.0, 5.0, s) for i, ts, lat, s in rows], "id long, trip_id string, vehicle_id string, route_id string, timestamp timestamp_ntz, latitude double, longitude double, speed double, current_status int")
     r = one(metrics.run_quality(pings, stops, st))
     assert (r["service_date"], r["stops_observed"], r["on_time_stops"], r["late_stops"], r["max_gap_sec"], r["is_complete"]) == (date(2024, 1, 2), 2, 1, 1, 960, False)
+
+
+# --- shapes, chains and archives at scale
+
+
+def _simplified(points, tolerance):
+    """Douglas-Peucker by recursion: the numbers of the points that stay."""
+
+    def span(a, b):
+        (ax, ay), (bx, by) = points[a], points[b]
+        lx, ly = bx - ax, by - ay
+        length = math.hypot(lx, ly)
+        off = [(abs(lx * (y - ay) - ly * (x - ax)) / length if length else math.hypot(x - ax, y - ay)) for x, y in points[a + 1 : b]]
+        if not off or max(off) <= tolerance:
+            return []
+        k = a + 1 + off.index(max(off))
+        return [*span(a, k), k, *span(k, b)]
+
+    return sorted({0, len(points) - 1, *span(0, len(points) - 1)})
+
+
+def test_simplification_level_by_level_is_the_recursion(spark):
+    rng = random.Random(3)
+    shapes = {"one": [(0.0, 0.0)], "same": [(1.0, 1.0)] * 5, "loop": [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)], "spike": [(float(i), float(i == 40) * 9) for i in range(90)]}
+    for k in range(12):
+        at, pts = (0.0, 0.0), []
+        for _ in range(rng.randint(2, 120)):
+            at = (at[0] + rng.uniform(-1, 2), at[1] + rng.uniform(-1, 1))
+            pts.append(at)
+        shapes[f"walk{k}"] = pts
+    rows = [(s, y, x, 10 * i + 3) for s, pts in shapes.items() for i, (x, y) in enumerate(pts)]
+    rng.shuffle(rows)
+    got = schedule.simplify_shapes(spark.createDataFrame(rows, "shape_id string, shape_pt_lat double, shape_pt_lon double, shape_pt_sequence int"), 1.1).collect()
+    assert sorted((r.shape_id, r.shape_pt_sequence) for r in got) == sorted((s, 10 * i + 3) for s, pts in shapes.items() for i in _simplified(pts, 1.1))
+
+
+def _chained(rows):
+    """Chains by walking, from the first start on: (start, end, length) of each."""
+    rows = sorted(rows, key=lambda r: (-r[2], r[0], r[1]))
+    follow = {}
+    for r in rows:
+        follow.setdefault(r[0], r)
+    ends, taken, out = {r[1] for r in rows}, set(), []
+    for head in [r for r in rows if r[0] not in ends]:
+        links, n = [], head
+        while n is not None and n not in taken:
+            links.append(n)
+            taken.add(n)
+            n = follow.get(n[1])
+        if links:
+            out.append((links[0][0], links[-1][1], round(sum(x[2] for x in links), 6)))
+    return sorted(out + [(a, b, round(n, 6)) for a, b, n in rows if (a, b, n) not in taken])
+
+
+def test_chains_by_pointer_jumping_are_those_of_a_walk(spark):
+    rng = random.Random(9)
+    for n, stops in ((40, 25), (60, 90), (30, 6)):
+        rows = sorted({(f"s{a}", f"s{b}", float(rng.randint(500, 600))) for a, b in ((rng.randrange(stops), rng.randrange(stops)) for _ in range(n)) if a != b})
+        rows = list({(a, b): (a, b, c) for a, b, c in rows}.values()) + [(f"t{i}", f"t{i + 1}", 500.0 + i) for i in range(37)] + [("c1", "c2", 1.0), ("c2", "c1", 2.0)]
+        df = spark.createDataFrame([("E", "1,2", a, b, c, "LINESTRING(0 0, 1 1)") for a, b, c in rows], "cardinal string, routes string, start_stop string, end_stop string, length_m double, wkt string")
+        spans = F.lit(None).cast("map<struct<route_id:string,direction_id:int>,struct<a:int,b:int>>")
+        got = corridors.merge_chains(df.withColumn("spans", spans)).collect()
+        assert sorted((r.start_stop, r.end_stop, round(r.length_m, 6)) for r in got) == _chained(rows)
+
+
+def test_a_hot_day_is_archived_by_several_tasks_in_order(spark, tmp_path):
+    at = F.timestamp_seconds(F.lit(1704067200) + F.when(F.col("id") < 3000, (F.col("id") * 7919) % 86_400).otherwise(86_400 + F.col("id") % 300 * 60)).cast("timestamp_ntz")
+    pings = spark.range(3300).repartition(5).select("id", at.alias("timestamp"))
+    cutoff = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    tables.archive_write(pings, cutoff, str(tmp_path / "a"), rows_per_file=500)
+    archive = spark.read.parquet(str(tmp_path / "a"))
+    files = tables.archive_files(archive).collect()
+    hot = [f for f in files if str(f.day) == "2024-01-01"]
+    assert len(hot) >= 4 and sum(f.n for f in files) == 3300 and max(f.n for f in hot) < 1500
+    assert all(a.last_ts <= b.first_ts for a, b in zip(hot, hot[1:]))
+    for f in hot:  # sorted inside
+        ts = [r.timestamp for r in spark.read.parquet(f.file).select("timestamp").collect()]
+        assert ts == sorted(ts)
+    checked = tables.archive_verify(pings, archive).collect()
+    assert all(r.ok for r in checked) and {str(r.day): r.n_files for r in checked}["2024-01-01"] == len(hot)
+    spark.read.parquet(hot[0].file).limit(100).write.mode("append").parquet(str(tmp_path / "a/day=2024-01-01"))  # rows twice, out of order
+    assert not next(r.ok for r in tables.archive_verify(pings, spark.read.parquet(str(tmp_path / "a"))).collect() if str(r.day) == "2024-01-01")
