@@ -10,8 +10,9 @@ nearest by Euclidean distance are the greatest by q.x - |x|^2 / 2, with |x|^2 st
 exactly.  The best ``rerank`` of each block of the index (and all that tie with the
 last) are ranked again by the distance of the original vectors in double precision.
 
-Index rows and queries are dealt into blocks of bounded size; each pair of blocks is one
-task's work, and only its ``k`` best per query leave it.  The codebooks are fitted on at
+The index (vectors with their codes) is written once and stays where it is: tasks read it block by
+block, and a vector that is ranked again is at hand in its block.  What moves are the queries, broadcast in groups of at
+most ``QUERY_BYTES``, and the ``k`` best per query of each task.  The codebooks are fitted on at
 most ``sample`` vectors (the first by a hash of the id); every vector is indexed.
 
 Cases: null ids, and vectors null, zero, holding null or non-finite components or not
@@ -25,14 +26,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetline.llm.common import materialise
+
 SAMPLE = 16_384
 RERANK = 512
 BLOCK_ROWS = 16_384
-BLOCK_QUERIES = 8_192
+#: bytes of query vectors that a task holds at a time
+QUERY_BYTES = 16 << 20
 THRESHOLD = 0.2
 
 
@@ -120,57 +124,97 @@ def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     return rows.filter(F.size("v") == (top["n"] if top else 0))
 
 
-def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    return np.vstack(column.to_numpy()).astype(float) if len(column) else np.empty((0, dim))
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, *, rerank: int = RERANK, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, seed: int = 1) -> DataFrame:
-    """query_id, rank, vec_id, score (Euclidean distance) of each query's k nearest.
+class _Best:
+    """The k best (score, id) of each query, over blocks."""
 
-    ``vectors`` and ``queries``: id, v, as ``usable_vectors`` gives them.
-    """
-    spark = vectors.sparkSession
-    n, nq = vectors.count(), queries.count()
-    out = "query_id long, vec_id long, score double"
-    some = vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).toPandas()
-    if some.empty or not nq:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = len(some["v"].iloc[0])
-    book = spark.sparkContext.broadcast(AnisotropicCodebook(_matrix(some["v"], dim)))
-    row_blocks, query_blocks = -(-n // block_rows), -(-nq // block_queries)
+    def __init__(self, n: int, k: int):
+        self.k, self.ids, self.scores = k, [np.empty(0, np.int64)] * n, [np.empty(0)] * n
+
+    def add(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        if len(self.ids[i]):
+            ids, scores = np.r_[self.ids[i], ids], np.r_[self.scores[i], scores]
+        order = np.lexsort((ids, scores))[: self.k]
+        self.ids[i], self.scores[i] = ids[order], scores[order]
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def index_vectors(vectors: DataFrame, book, dim: int) -> DataFrame:
+    """id, v, code of every vector, written once."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.assign(code=[c.tobytes() for c in book.value.encode(_matrix(b["v"], dim))])
-
-    index = vectors.mapInPandas(encode, "id long, v array<double>, code binary")
-    deal = lambda df, own, n_own, other, n_other: df.select(
-        "*", F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
-    )
-    index = deal(index, "rb", row_blocks, "qb", query_blocks)
-    asked = deal(queries.dropDuplicates(["id"]), "qb", query_blocks, "rb", row_blocks)
-
-    def scan(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, x = rows["id"].to_numpy(), _matrix(rows["v"], dim)
-        codes = np.ascontiguousarray(np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1).T)
+            for lo in range(0, b.num_rows, 4096):
+                some = b.slice(lo, 4096)
+                codes = book.value.encode(_matrix(some.column("v"), dim))
+                yield pa.record_batch([some.column("id"), some.column("v"), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "v", "code"])
+
+    return materialise(vectors.select("id", "v").mapInArrow(encode, "id long, v array<double>, code binary"), "vector-index")
+
+
+def scan_index(index: DataFrame, queries: pa.Table, book, dim: int, k: int, rerank: int, block_rows: int) -> DataFrame:
+    """query_id, vec_id, score: each task's k best of every query, by table scan and exact rerank within a block."""
+    asked = index.sparkSession.sparkContext.broadcast((queries.column("id").to_numpy(), _matrix(queries.column("v").combine_chunks(), dim)))
+
+    def scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, best: _Best) -> None:
+        q_ids, q = asked.value
         half = (x**2).sum(1).astype(np.float32) / 2
-        q, found = _matrix(asked["v"], dim), []
         for lo in range(0, len(q), 256):
             for i, table in enumerate(book.value.tables(q[lo : lo + 256]), lo):
                 approx = -half
                 for byte, own in zip(codes, table):
                     approx = approx + own[byte]
-                own_id = asked["id"].iloc[i]
-                approx[ids == own_id] = -np.inf
-                best = np.flatnonzero(approx >= np.partition(approx, -rerank)[-rerank]) if len(approx) > rerank else np.arange(len(approx))
-                best = best[ids[best] != own_id]
-                score = np.sqrt(((x[best] - q[i]) ** 2).sum(1))
-                order = np.lexsort((ids[best], score))[:k]
-                found.append(pd.DataFrame({"query_id": own_id, "vec_id": ids[best][order], "score": score[order]}))
-        return pd.concat(found)
-
-    found = index.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(scan, out)
+                approx[ids == q_ids[i]] = -np.inf
+                found = np.flatnonzero(approx >= np.partition(approx, -rerank)[-rerank]) if len(approx) > rerank else np.arange(len(approx))
+                found = found[ids[found] != q_ids[i]]
+                best.add(i, ids[found], np.sqrt(((x[found] - q[i]) ** 2).sum(1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, _ = asked.value
+        best, held, n = _Best(len(q_ids), k), [], 0
+
+        def block() -> None:
+            ids = np.concatenate([b.column("id").to_numpy() for b in held])
+            codes = np.frombuffer(b"".join(c for b in held for c in b.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            scan(ids, np.concatenate([_matrix(b.column("v"), dim) for b in held]), np.ascontiguousarray(codes.T), best)
+
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                held.append(b.slice(lo, 1024))
+                n += held[-1].num_rows
+                if n >= block_rows:
+                    block()
+                    held, n = [], 0
+        if n:
+            block()
+        counts = [len(x) for x in best.ids]
+        yield pa.record_batch([pa.array(np.repeat(q_ids, counts)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], ["query_id", "vec_id", "score"])
+
+    return index.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, *, rerank: int = RERANK, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS, query_bytes: int = QUERY_BYTES, seed: int = 1) -> DataFrame:
+    """query_id, rank, vec_id, score (Euclidean distance) of each query's k nearest.
+
+    ``vectors`` and ``queries``: id, v, as ``usable_vectors`` gives them.
+    """
+    spark = vectors.sparkSession
+    asked = materialise(queries.dropDuplicates(["id"]), "vector-queries")
+    nq = asked.count()
+    some = vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).toArrow()
+    if not some.num_rows or not nq:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim = len(some.column("v")[0])
+    book = spark.sparkContext.broadcast(AnisotropicCodebook(_matrix(some.column("v").combine_chunks(), dim)))
+    index = index_vectors(vectors, book, dim)
+    groups = -(-nq * dim * 8 * 5 // (4 * query_bytes))  # a hash deals out evenly, within a quarter
+    out = None
+    for g in range(groups):
+        own = asked.filter(F.pmod(F.xxhash64("id"), F.lit(groups)) == g).toArrow()
+        if own.num_rows:
+            found = scan_index(index, own, book, dim, k, rerank, block_rows)
+            out = found if out is None else out.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+    return out.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

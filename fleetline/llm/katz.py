@@ -59,7 +59,8 @@ START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))  # no word holds a space
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 
 #: rows of the buckets' result, by kind
-DOC, PAIRS, TIMES, HISTORY, TAIL_PAIR, TAIL_WORD, UNSEEN = range(7)
+KINDS = 7
+DOC, PAIRS, TIMES, HISTORY, TAIL_PAIR, TAIL_WORD, UNSEEN = range(KINDS)
 _RESULT = (
     "kind int, id long, w long, m int, n_tokens long, known long, n long, nb long, nk long, "
     "x double, base double, hist array<int>, words array<long>, counts array<long>, least long"
@@ -406,7 +407,7 @@ def _count_slice(ctx: np.ndarray, word: np.ndarray, per_pair: np.ndarray, doc: n
 
 
 def _counted(docs: DataFrame, model: str, head: Broadcast) -> str:
-    """Path of the buckets' result: rows of all kinds, a file per task."""
+    """Path of the buckets' result: a table partitioned by kind, a file per task and kind; a reader of a kind opens its files alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_codes()  # room for the bucket
@@ -417,7 +418,14 @@ def _counted(docs: DataFrame, model: str, head: Broadcast) -> str:
         yield from _count_bucket(facts, tokens, head.value)
 
     path = scratch_path(docs.sparkSession, "katz-counts")
-    _packed(docs, model, head).groupBy("bucket").applyInArrow(run, _RESULT).write.option("compression", "zstd").parquet(path)
+    rows = _packed(docs, model, head).groupBy("bucket").applyInArrow(run, _RESULT)
+    conf, name = docs.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, str(max(int(before), KINDS + 1)))  # a task keeps a file of each kind open, so its rows needn't be sorted by kind
+    try:
+        rows.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    finally:
+        conf.set(name, before)
     return path
 
 

@@ -33,7 +33,7 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return leaks.select(F.col("k.id").alias("doc_id"), "item_id", "n_windows", "n_matched", "coverage", "n_slots", "consistency")
+    return leaks.select(F.col("k.id").alias("doc_id"), "item_id", "n_windows", "n_matched", "coverage", "n_slots", "consistency", "n_items", "verbatim")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

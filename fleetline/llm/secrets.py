@@ -5,14 +5,16 @@ stand in a wider credential context ("pwd: ...", "passphrase is ...") are priced
 cheapest segmentation into dictionary words, dates, repeats, alphabet and keyboard
 walks and brute-force spans, found by dynamic programming over the whole value, gives
 the number of guesses an attacker needs.  The dictionary is a short list of password
-words, then the corpus' own words by rank (``word_ranks``: counted over all texts, the
-``most`` most frequent kept).  A value that costs ``min_log10`` or more is marked as kind
+words, then all of the corpus' own words by rank (``ranked_words``: a table, counted over all texts;
+equally frequent words share a rank).  Only the substrings of values that are to be priced are looked up in it, by
+a join (``price_values``), so the dictionary has no bound and no task holds it.  A value that costs ``min_log10`` or more is marked as kind
 ``guess``; cheap ones ("changeme", "password1") are placeholders.  Prose isn't priced:
 one word of letters, and, without ":" or "=" before it, words joined by signs.
 
 Spans are (kind, start, end) in code points, end exclusive.  Null and empty texts
 have none.  Whole texts and whole values are scanned, in time linear in their length: a
-walk or repeat of over ``STEP`` characters is several.  Repeated rows have equal spans.
+walk or repeat counts whole from its first character on, and up to ``STEP`` characters of it from any other.
+Repeated rows have equal spans.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetline.llm.common import materialise
+
 MIN_LOG10 = 10.0
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -49,6 +53,7 @@ WORDS = (
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 #: letters of a dictionary word, at least and at most
 SHORTEST, LONGEST = 3, 20
+#: words of the dictionary of ``word_ranks``; the corpus scan uses all
 MOST_WORDS = 20_000
 STEP = 64
 _LETTERS = re.compile(rb"[a-z]{3,20}")
@@ -65,8 +70,8 @@ def _alphabet(value: str) -> int:
     return max(10, sum(n for n, p in ((10, r"[0-9]"), (26, r"[a-z]"), (26, r"[A-Z]"), (33, r"[^0-9a-zA-Z]")) if re.search(p, value)))
 
 
-def word_ranks(docs: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
-    """The frequent runs of letters of all texts (A-Z lower-cased), after the fixed words, with their ranks."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: the runs of letters of all texts (A-Z lower-cased)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -83,11 +88,61 @@ def word_ranks(docs: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
         yield rows()
 
     words = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(count, "word string, n long")
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).toArrow()
-    ranks = dict(RANK)
-    for w in top.column("word").to_pylist():
-        ranks.setdefault(w, len(ranks) + 1)
-    return ranks
+    return words.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def ranked_words(docs: DataFrame) -> DataFrame:
+    """word, rank of every word of the corpus: after the fixed words, one more than the number of words that are more frequent.
+
+    The ranks follow from how many words have each count; those counts are few (a corpus
+    of n words has under sqrt(2 n) different ones), and only they are ordered in one place.
+    """
+    words = materialise(word_counts(docs), "words")
+    counts = words.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    above = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = counts.select("n", (above + len(RANK) + 1).alias("rank"))
+    return words.join(ranks, "n").select("word", "rank")
+
+
+def word_ranks(docs: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
+    """The ``most`` most frequent words with their ranks, as a dictionary of bounded size for ``find_secrets``."""
+    top = ranked_words(docs).orderBy("rank", "word").limit(most).toArrow()
+    return dict(zip(top.column("word").to_pylist(), top.column("rank").to_pylist())) | RANK
+
+
+def price_values(values: DataFrame, words: DataFrame) -> DataFrame:
+    """value, log10 of its guesses, with every word of ``words`` (word, rank) that stands in it."""
+
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 100):
+                vs, subs = [], []
+                for v in b.column(0).slice(lo, 100).to_pylist():
+                    found = _words_in(v)
+                    vs += [v] * len(found)
+                    subs += found
+                yield pa.record_batch([pa.array(vs, pa.string()), pa.array(subs, pa.string())], ["value", "word"])
+
+    asked = values.select("value").mapInArrow(substrings, "value string, word string")
+    found = asked.join(words, "word").groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("word", "rank"))).alias("ranks"))
+
+    @F.pandas_udf("double")
+    def price(value: pd.Series, ranks: pd.Series) -> pd.Series:
+        return pd.Series([guess_log10(v, dict(r if r is not None else {}) | RANK) for v, r in zip(value, ranks)], dtype=float)
+
+    return values.select("value").join(found, "value", "left").select("value", price("value", "ranks").alias("log10"))
+
+
+def _words_in(value: str) -> list[str]:
+    """Every run of SHORTEST to LONGEST letters in a value, as it stands and without leet, in lower case."""
+    low = value.lower()
+    low = low if len(low) == len(value) else value
+    out = set()
+    for text in {low, low.translate(LEET)}:
+        for m in re.finditer("[a-z]{3,}", text):
+            run = m[0]
+            out.update(run[i:j] for i in range(len(run) - SHORTEST + 1) for j in range(i + SHORTEST, min(len(run), i + LONGEST) + 1))
+    return sorted(out)
 
 
 def guess_log10(value: str, ranks: dict[str, int] = RANK) -> float:
@@ -108,13 +163,15 @@ def guess_log10(value: str, ranks: dict[str, int] = RANK) -> float:
                 cost = math.log10(rank + 1) + (0.3 if value[i:j] != low[i:j] else 0) + (0.3 if low[i:j] not in ranks else 0)
                 best[j] = min(best[j], here + cost)
         j = i + 1  # keyboard and alphabet walks, from each of their steps
-        while j < min(n, i + STEP) and (low[j - 1], low[j]) in NEXT:
+        far = n if not i or (low[i - 1], low[i]) not in NEXT else min(n, i + STEP)
+        while j < far and (low[j - 1], low[j]) in NEXT:
             j += 1
             if j - i >= 3:
                 best[j] = min(best[j], here + 1.7 + math.log10(j - i))
         for unit in (1, 2, 3, 4):  # repeats of a short unit
             j = i + unit
-            while j + unit <= min(n, i + STEP) and low[j : j + unit] == low[i : i + unit]:
+            far = n if not i or low[i - 1] != low[i - 1 + unit : i + unit] else min(n, i + STEP)
+            while j + unit <= far and low[j : j + unit] == low[i : i + unit]:
                 j += unit
                 best[j] = min(best[j], here + unit * per_char + math.log10((j - i) / unit))
     return best[n]
@@ -137,18 +194,23 @@ def is_prose(value: str, assigned: bool) -> bool:
     return one(value) or not assigned and all(one(w) for w in _JOINTS.split(value) if w)
 
 
-def guess_spans(text: str, min_log10: float = MIN_LOG10, ranks: dict[str, int] = RANK) -> list[tuple[int, str, int]]:
-    """Credential-context values that aren't prose and cost at least ``min_log10``."""
+def priced_spans(text: str, min_log10: float = MIN_LOG10) -> list[tuple[int, int, str]]:
+    """(start, end, value) of credential-context values that aren't prose and that brute force alone would price high enough."""
     out = []
     if not _HINT.search(text):
         return out
     for m in CONTEXT.finditer(text):
         value = m[2].rstrip(".,;:)]}")
-        if len(value) >= 6 and not is_prose(value, ":" in m[1] or "=" in m[1]) and guess_log10(value, ranks) >= min_log10:
-            out.append((m.start(2), "guess", m.start(2) + len(value)))
+        if len(value) >= 6 and len(value) * math.log10(_alphabet(value)) >= min_log10 and not is_prose(value, ":" in m[1] or "=" in m[1]):
+            out.append((m.start(2), m.start(2) + len(value), value))
     return out
 
 
+def guess_spans(text: str, min_log10: float = MIN_LOG10, ranks: dict[str, int] = RANK) -> list[tuple[int, str, int]]:
+    """Credential-context values that aren't prose and cost at least ``min_log10``."""
+    return [(a, "guess", b) for a, b, value in priced_spans(text, min_log10) if guess_log10(value, ranks) >= min_log10]
+
+
 def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
 
@@ -187,9 +249,39 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return cut(F.coalesce(text, F.lit("")), spans)
 
 
+def scan_corpus(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
+    """doc_id and found (array of kind, start, end, in order of start and kind) of every row, priced with all of the corpus' words.
+
+    Texts are read twice: to count words, and to find spans.  Of rows with values to price, the values
+    alone go on, each different one priced once.
+    """
+    span = "struct<kind:string,start:long,end:long>"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+        asked = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                some = b.slice(lo, 1000)
+                texts = some.column(1).to_pylist()
+                base = [[{"kind": k, "start": s, "end": e} for s, k, e in base_spans(t)] for t in texts]
+                values = [[{"start": s, "end": e, "value": v} for s, e, v in priced_spans(t, min_log10)] for t in texts]
+                yield pa.record_batch([some.column(0), pa.array(base, pa.list_(kind)), pa.array(values, pa.list_(asked))], ["doc_id", "base", "asked"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(scan, f"doc_id {kind}, base array<{span}>, asked array<struct<start:long,end:long,value:string>>")
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "secret-spans")
+    open_ = rows.filter(F.size("asked") > 0).select("row", F.explode("asked").alias("a")).select("row", "a.*")
+    strong = price_values(materialise(open_.select("value").distinct(), "secret-values"), ranked_words(docs)).filter(F.col("log10") >= min_log10)
+    guessed = open_.join(strong, "value").groupBy("row").agg(F.collect_list(F.struct(F.lit("guess").alias("kind"), "start", "end")).alias("guesses"))
+    order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    sorted_ = F.transform(F.array_sort(F.transform(F.concat("base", "guesses"), lambda x: F.struct(x["start"].alias("start"), F.element_at(order, x["kind"]).alias("k"), x["end"].alias("end"), x["kind"].alias("kind")))), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return rows.join(guessed, "row", "left").select("doc_id", F.when(F.col("guesses").isNull(), F.col("base")).otherwise(sorted_).alias("found"))
+
+
 def secret_digest(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
     """doc_id, counts per pattern, digest of the pattern spans, all spans joined."""
-    rows = docs.select("doc_id", find_secrets(F.col("text"), min_log10, word_ranks(docs)).alias("found"))
+    rows = scan_corpus(docs, min_log10)
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
     text = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return rows.select(

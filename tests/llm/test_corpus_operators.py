@@ -211,6 +211,29 @@ def test_items_of_placeholders_are_found_verbatim(spark):
     assert _leaks(spark, texts, [sums, names, mixed]) == {(0, 0), (1, 1), (3, 2)}
 
 
+def test_short_items_match_verbatim_on_word_borders(spark):
+    items = ["Who wrote Hamlet?", "What is 2+2?", "Paris", "Good luck", "?!"]
+    texts = ["He asked: who wrote HAMLET, then", "who wrote hamlets", "so what is 2 + 2 now", "what is 2 + 3", "in Paris they ate", "first\n  paris. \nlast", "good luck", "wish you good luck today", "?!"]
+    assert _leaks(spark, texts, items) == {(0, 0), (2, 1), (5, 2), (6, 3)}
+
+
+def test_a_family_is_joined_once_and_names_the_item_that_stands_there(spark):
+    problem = "a farmer has {} cows and {} sheep on the green hill and wants to know how many animals there are in all"
+    n = 300
+    bench = spark.createDataFrame([(i, problem.format(i + 2, 5000 + i)) for i in range(n)] + [(n, problem.format(7, 7))], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "x " + problem.format(i + 2, 5000 + i)) for i in range(0, n, 2)] + [(1000 + i, problem.format(90_000 + i, 80_000 + i)) for i in range(150)] + [(5000, problem.format(66, 66))], "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, bench).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r["k"]["id"], []).append(r)
+    assert len(found) == 150 + 150 + 2  # linear in documents: the family, and for equal numbers the other family too
+    assert all([r["item_id"] for r in by[i]] == [i] and by[i][0]["verbatim"] and by[i][0]["n_items"] == n for i in range(0, n, 2))
+    assert all([r["item_id"] for r in by[1000 + i]] == [0] and not by[1000 + i][0]["verbatim"] for i in range(150))
+    assert sorted(r["item_id"] for r in by[5000]) == [0, n]
+    members = decontaminate.item_families(bench).groupBy("family").count().collect()
+    assert sorted(r["count"] for r in members) == [1, n] and {r["family"] for r in members} == {r["family"] for r in found}
+
+
 def test_decontamination_takes_ids_of_any_type(spark):
     docs = spark.createDataFrame([("x", "So: " + ITEM), ("y", "nothing of it")], "doc_id string, text string")
     bench = spark.createDataFrame([("q1", ITEM)], "item_id string, text string")
@@ -236,7 +259,7 @@ def test_nearest_reaches_brute_force(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     rows += [(2000, None), (2001, [0.0] * 20), (2002, [float("nan")] * 20), (2100, [1.0] * 3), (None, [1.0] * 20), (2200, [None] + [1.0] * 19)]
     vectors = ann.usable_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    out = ann.nearest(vectors, vectors.filter("id % 100 = 0"), 10, rerank=100, block_rows=400, block_queries=8).toPandas()
+    out = ann.nearest(vectors, vectors.filter("id % 100 = 0"), 10, rerank=60, block_rows=1500, query_bytes=1000).toPandas()
     hit, d = 0, x.astype(float)
     for q in range(0, 1500, 100):
         dist = np.sqrt(((d - d[q]) ** 2).sum(1))
@@ -250,6 +273,26 @@ def test_nearest_reaches_brute_force(spark):
     assert list(out[out.query_id == 0].sort_values("rank").vec_id) == list(range(40, 50))
 
 
+def test_recall_with_a_twentieth_of_a_block_ranked_again(spark):
+    rng = np.random.default_rng(6)
+    d = rng.normal(size=(4000, 32))
+    vectors = ann.usable_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(d)], "vec_id long, embedding array<double>").coalesce(1))
+    out = ann.nearest(vectors, vectors.filter("id % 100 = 0"), 10, rerank=160, block_rows=4000).toPandas()
+    hit = 0
+    for q in range(0, 4000, 100):
+        dist = np.sqrt(((d - d[q]) ** 2).sum(1))
+        dist[q] = np.inf
+        hit += len(set(np.argsort(dist)[:10]) & set(out[out.query_id == q].vec_id))
+    assert hit >= 0.9 * 400
+
+
+def test_only_queries_and_their_best_move(spark):
+    """The scan is one stage over the index: no vector of the index is shuffled."""
+    vectors = ann.usable_vectors(spark.createDataFrame([(i, [float(i % 7), 1.0, float(i)]) for i in range(500)], "vec_id long, embedding array<double>"))
+    plan = ann.nearest(vectors, vectors.filter("id % 100 = 0"), 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") and "Cogroup" not in plan and "Repartition" not in plan and "Join" not in plan
+
+
 def test_nearest_edges(spark):
     few = ann.usable_vectors(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [1.0, 1.0]), (100, [1.0, 1.0])], "vec_id long, embedding array<double>"))
     out = ann.nearest(few, few.filter("id % 100 = 0"), 10).collect()

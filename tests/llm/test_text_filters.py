@@ -149,6 +149,36 @@ def test_dictionary_is_counted_from_all_texts(spark):
     assert secrets.guess_log10("zanzibar7#", ranks) < secrets.guess_log10("zanzibar7#")
 
 
+def test_long_repeats_and_walks_are_cheap_whole():
+    assert secrets.guess_log10("a" * 1000) < 5 and secrets.guess_log10("xy1" * 5000) < 9
+    assert secrets.guess_log10("Z" + "ab" * 400) < 9 and secrets.guess_log10("qwertyuiop" * 300) < 13
+
+
+def test_equally_frequent_words_share_a_rank(spark):
+    docs = spark.createDataFrame([(1, "aaa AAA bbb ccc ddd1ddd aaa"), (2, None)], "doc_id long, text string")
+    at = len(secrets.RANK)
+    assert {r.word: r["rank"] for r in secrets.ranked_words(docs).collect()} == {"aaa": at + 1, "ddd": at + 2, "bbb": at + 3, "ccc": at + 3}
+
+
+def test_corpus_scan_prices_with_every_word_there_is(spark):
+    """Against the column function with a dictionary of all words, over values with rare words in them."""
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdeilmnorst", k=rng.randint(3, 9)))
+    vocabulary = [word() for _ in range(400)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=30)) + f" password: {rng.choice(vocabulary)}{rng.choice(vocabulary)}{rng.choice(['', '7', '!x', 'Q9'])} token=abcdef12 pwd is {rng.choice(vocabulary).upper()}x{rng.randint(0, 99)}") for i in range(120)]
+    rows += [(500, "secret: " + "0p3nS3sam3" * 3), (501, "secret: " + "0p3nS3sam3" * 3), (None, rows[0][1]), (None, rows[0][1]), (502, "secret: " + "k9#" * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranks = secrets.word_ranks(docs, most=10**6)
+    want = docs.select("doc_id", secrets.find_secrets(F.col("text"), secrets.MIN_LOG10, ranks).alias("found"))
+    got = secrets.scan_corpus(docs)
+    plain = lambda df: sorted(str((r.doc_id, [(x.kind, x.start, x.end) for x in r.found])) for r in df.collect())
+    assert plain(got) == plain(want)
+    n = [sum(x.kind == "guess" for x in r.found) for r in got.collect()]
+    assert 0 < sum(n) < 2 * len(rows)  # some values are cheap only because of the corpus' words
+
+
 def test_secret_digest_keeps_base_spans_and_adds_guesses(spark, edge_docs):
     docs = spark.createDataFrame([(1, "passphrase is gX7#tQ9zLw2v now"), (2, "token=abcdef"), (3, None)], "doc_id long, text string")
     out = {r["doc_id"]: r for r in secrets.secret_digest(docs).collect()}
