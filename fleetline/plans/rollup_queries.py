@@ -315,7 +315,7 @@ def refresh_overlay(fx: Fixture, inputs: dict | None = None, path: str | None =
     inputs = inputs or overlay_inputs(fx)
     path = path or f"{shared_dir(fx.spark)}/overlay-{hashlib.sha256(fx.dir.encode()).hexdigest()[:16]}"
     table = DatedTable(fx.spark, path, overlay_rows(inputs).schema)
-    return table, upkeep.refresh(table, inputs, overlay_rows, RECIPE)
+    return table, upkeep.refresh(table, inputs, overlay_rows, f"{RECIPE} {table.schema.simpleString()}")
 
 
 def overlay(fx: Fixture):
