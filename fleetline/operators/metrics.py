@@ -55,7 +55,7 @@ def line_otp_from_positions(positions: DataFrame, trips: DataFrame, calendar_dat
 
 
 def otp_ranking(passages: DataFrame, min_arrivals: int = 1) -> DataFrame:
-    out = _split(passages, "diff_sec", "otp", "route_id").join(passages.groupBy("route_id").agg(F.avg("diff_sec").alias("avg_late_sec")), "route_id")
+    out = _split(passages, "diff_sec", "otp", "route_id").join(passages.groupBy("route_id").agg(F.round(F.avg("diff_sec"), 1).alias("avg_late_sec")), "route_id")
     return out.filter(F.col("otp_n") >= min_arrivals).orderBy(F.desc("otp_pct"), "route_id")
 
 
@@ -201,7 +201,8 @@ def feed_profile(updates: DataFrame) -> DataFrame:
 def nearest_rank(df: DataFrame, column: str, **shares: float) -> DataFrame:
     """One row: the values at rank round-half-even(share * (n - 1)), and the largest as ``max``; nulls don't count.
 
-    Rows are first counted per value, so what is ordered in one place are distinct values.
+    Rows are first counted per value, so what is ordered in one place are distinct values: meant for whole
+    seconds and counts, which are few, and not for columns of continuous doubles.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.orderBy("v"))

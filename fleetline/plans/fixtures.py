@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,9 @@ from pyspark.sql.window import Window
 
 from fleetline.functions import clock
 from fleetline.operators import runs as runs_ops
-from fleetline.sources.scratch import keep, scratch_exists, stamp_of
+from fleetline.operators import upkeep
+from fleetline.sources.dated import DatedTable
+from fleetline.sources.scratch import keep, scratch_exists, shared_dir, stamp_of
 
 DAY0 = "2024-01-01"
 UTC0 = "2024-01-01 05:00:00"
@@ -63,9 +66,13 @@ class Fixture:
     def stored(self) -> Fixture:
         """The same tables with runs kept too, as a deployment stores them; runs without percentiles, which no rollup reads."""
         out = Fixture(self.spark, self.dir)
-        out.runs = self.kept("runs", lambda: runs_ops.aggregate_runs(out.stop_events, out.stop_times).drop("dev_p50_sec", "dev_p95_sec"), "service_date")
+        out.runs = self.once("runs", lambda: refresh_runs(self)[0].read())
         return out
 
+    def place(self, name: str) -> str:
+        """Where a maintained table of this folder's data is stored, from session to session."""
+        return f"{shared_dir(self.spark)}/{name}-{hashlib.sha256(self.dir.encode()).hexdigest()[:16]}"
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -186,6 +193,17 @@ class Fixture:
         return clock.date_spine(self.spark, DAY0, AS_OF)
 
 
+def refresh_runs(fx: Fixture, events: DataFrame | None = None, path: str | None = None) -> tuple[DatedTable, upkeep.Refresh]:
+    """Bring the stored runs up to date: dates whose events, or whose trips' stops, changed are made anew."""
+    events = fx.stop_events if events is None else events
+    stops = fx.stop_times.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n"), F.min("stop_sequence").alias("a"), F.max("stop_sequence").alias("b"))
+    due = events.select("service_date", "trip_id").distinct().join(stops, "trip_id")
+    build = lambda x: runs_ops.aggregate_runs(x["events"], fx.stop_times).drop("dev_p50_sec", "dev_p95_sec")
+    inputs = {"events": events, "due": due}
+    table = DatedTable(fx.spark, path or fx.place("runs"), build(inputs).schema)
+    return table, upkeep.refresh(table, inputs, build, f"1 {table.schema.simpleString()}")
+
+
 FX = f"""
 fx_trips AS (
   SELECT concat('T', CAST(o_orderkey AS VARCHAR)) AS trip_id, concat('R', CAST(o_custkey % 12 AS VARCHAR)) AS route_id, CAST(o_custkey % 12 AS INT) AS route_num,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetline.plans.fixtures import FX, Fixture
 
-#: places to which doubles are rounded on both sides; operators themselves don't round
+#: places to which doubles are rounded on both sides; operators round mean lateness alone, to tenths of a second
 PLACES = 6
 _QUERIES: dict[str, tuple[Callable[[Fixture], DataFrame], str | None, tuple[str, ...]]] = {}
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 
 from fleetline.operators import corridors, diagnostics, headways, metrics, rollups, runs, schedule, upkeep
-from fleetline.plans.fixtures import AS_OF, Fixture
+from fleetline.plans.fixtures import AS_OF, Fixture, refresh_runs
 from fleetline.plans.metric_queries import _AWT, _RATE, _SUM, _SWT, BUNCH, COVER, DELIVERED, EWT, EXCESS, FOLD, HEAD, OTP, PROX, RS, SYS_DELIVERED, SYS_EWT, bunching, coverage, delivered, gates, observed, otp, proximity_events, split_sql
 from fleetline.plans.registry import query
 from fleetline.plans.schedule_queries import _CLASS, _OW, _PROFILE, ORIGIN, OWN_SQL, TARGET_SQL, TIER_SQL, WINDOW_TRIPS, config, bearing_sql, day_services, ewt_period_sql, hav_sql, period_sql, route_stops, scheduled, service_profile, services
 from fleetline.sources.dated import DatedTable
-from fleetline.sources.scratch import scratch_path, shared_dir
+from fleetline.sources.scratch import scratch_path
 from fleetline.streaming import live, updates
 
 SEG = "route_id, direction_id, period, from_seq, to_seq, from_stop, to_stop"
@@ -295,13 +293,13 @@ def quality(fx: Fixture):
 RECIPE = "1"
 
 
-def overlay_inputs(fx: Fixture) -> dict:
+def overlay_inputs(fx: Fixture, events=None, ran=None) -> dict:
     """What a date of the overlay is made of, each by service_date: events, runs, timetable cells, trips due."""
-    at = fx.stored
-    events = at.stop_events.select("service_date", "route_id", "direction_id", "stop_id", "trip_id", "stop_sequence", "observed_arrival_ts", "deviation_sec", "source", "schedule_relationship")
+    at = fx if ran is not None else fx.stored
+    events = (at.stop_events if events is None else events).select("service_date", "route_id", "direction_id", "stop_id", "trip_id", "stop_sequence", "observed_arrival_ts", "deviation_sec", "source", "schedule_relationship")
     cells = fx.kept("cells", lambda: headways.scheduled_cells(scheduled(at), day_services(at), gates=gates(at)), "service_date")
     trips = schedule.scheduled_trips_on_date(fx.trips, services(fx)).select("service_date", "route_id", "trip_id")
-    return {"events": events, "runs": at.runs, "cells": cells, "trips": trips}
+    return {"events": events, "runs": at.runs if ran is None else ran, "cells": cells, "trips": trips}
 
 
 def overlay_rows(x: dict):
@@ -313,8 +311,7 @@ def overlay_rows(x: dict):
 def refresh_overlay(fx: Fixture, inputs: dict | None = None, path: str | None = None) -> tuple[DatedTable, upkeep.Refresh]:
     """Bring the stored overlay of the fixture's folder up to date: the build step, apart from all that reads it."""
     inputs = inputs or overlay_inputs(fx)
-    path = path or f"{shared_dir(fx.spark)}/overlay-{hashlib.sha256(fx.dir.encode()).hexdigest()[:16]}"
-    table = DatedTable(fx.spark, path, overlay_rows(inputs).schema)
+    table = DatedTable(fx.spark, path or fx.place("overlay"), overlay_rows(inputs).schema)
     return table, upkeep.refresh(table, inputs, overlay_rows, f"{RECIPE} {table.schema.simpleString()}")
 
 
@@ -323,13 +320,37 @@ def overlay(fx: Fixture):
     return fx.once("overlay", lambda: refresh_overlay(fx)[0].read())
 
 
-def prepare(spark, sf_dir: str) -> upkeep.Refresh:
-    """The build step: write or refresh what a deployment stores (stop times, runs, timetable cells, profile, overlay), so that queries only read it."""
+def refresh_system(fx: Fixture, rows, ran, path: str | None = None) -> tuple[DatedTable, upkeep.Refresh]:
+    """Bring the stored system metrics up to date with the overlay ``rows``, the runs ``ran``, and the coverage of the dates."""
+    inputs = {"overlay": rows, "runs": ran.select("service_date").distinct().withColumn("any", F.lit(True)), "quality": quality(fx)}
+    bus = schedule.bus_route_filter(fx.routes)
+    # a date of coverage without any overlay row has no metrics
+    build = lambda x: rollups.system_metrics_daily(x["overlay"], x["runs"], bus, x["quality"])
+    table = DatedTable(fx.spark, path or fx.place("system"), build(inputs).schema)
+    return table, upkeep.refresh(table, inputs, build, f"{RECIPE} {table.schema.simpleString()}")
+
+
+def daily_batch(fx: Fixture, events=None, folder: str | None = None) -> dict[str, tuple[DatedTable, upkeep.Refresh]]:
+    """Runs, overlay and system metrics, each brought up to date with the one before: a date whose events
+    changed goes through all three, and no other date through any.
+
+    ``folder``: where the tables are, if not in the fixture's own place.
+    """
+    at = lambda name: f"{folder}/{name}" if folder else None
+    ran = refresh_runs(fx, events, at("runs"))
+    inputs = overlay_inputs(fx, events, ran[0].read())
+    over = refresh_overlay(fx, inputs, at("overlay"))
+    return {"runs": ran, "overlay": over, "system": refresh_system(fx, over[0].read(), ran[0].read(), at("system"))}
+
+
+def prepare(spark, sf_dir: str) -> dict[str, upkeep.Refresh]:
+    """The build step: write or refresh what a deployment stores (stop times, timetable cells, profile, runs, overlay, system metrics), so that queries only read it."""
     fx = Fixture(spark, sf_dir)
-    table, done = refresh_overlay(fx)
+    done = daily_batch(fx)
     fx.kept("profile", lambda: service_profile(fx.stored))
-    fx.once("overlay", table.read)
-    return done
+    for name, (table, _) in done.items():
+        fx.once(name, table.read)
+    return {name: what for name, (_, what) in done.items()}
 
 
 def partial(fx: Fixture):
@@ -367,7 +388,7 @@ SYSTEM = SYS_DELIVERED + SYS_EWT + QUALITY + f", so2 AS ({split_sql('se', 'dev',
 
 
 def system(fx: Fixture):
-    return fx.kept("system", lambda: rollups.system_metrics_daily(overlay(fx), fx.stored.runs, schedule.bus_route_filter(fx.routes), quality(fx)))
+    return fx.once("system", lambda: refresh_system(fx, overlay(fx), fx.stored.runs)[0].read())
 
 
 @query("R02_system_metrics_daily", SYSTEM + " SELECT * FROM system", "otp_pct delivered_ratio ewt_sec swt_sec bunching_rate")
@@ -576,6 +597,16 @@ def _(fx):
     return rollups.catch_up_dates(date_spine(fx.spark, "2023-12-25", AS_OF), fx.runs, AS_OF)
 
 
+@query("R20_daily_batch", """, k AS (SELECT unnest(['runs', 'overlay', 'system']) AS stage) SELECT stage, service_date, service_date = DATE '2024-01-11' AS rewritten FROM k, (SELECT DISTINCT service_date FROM runs)""")
+def _(fx):  # a day's late rows arrive: what the batch then writes, table by table
+    folder, day = scratch_path(fx.spark, "batch"), "service_date = date'2024-01-11'"
+    daily_batch(fx, fx.stop_events.filter(f"NOT ({day} AND stop_sequence > 1)"), folder)
+    done = daily_batch(fx, fx.stop_events, folder)
+    rows = [(name, d, d in what.written) for name, (_, what) in done.items() for d in (*what.written, *what.same)]
+    seen = fx.stored.runs.select("service_date").distinct()
+    return fx.spark.createDataFrame(rows, "stage string, d string, rewritten boolean").select("stage", F.to_date("d").alias("service_date"), "rewritten").join(seen, "service_date", "left_semi").select("stage", "service_date", "rewritten")
+
+
 @query("R21_gtfs_freshness", " SELECT 3 AS snapshot_id, max(service_date) AS feed_end_date, TIMESTAMP '2024-01-03' AS loaded_at, CASE WHEN max(service_date) < DATE '2024-01-14' THEN 'expired' ELSE 'expiring_soon' END AS status FROM se")
 def _(fx):
     end = fx.stop_events.agg(F.max("service_date").alias("feed_end_date"))

@@ -317,9 +317,13 @@ def _(fx):
     return schedule.drop_exception_pings(fx.positions, fx.trips, fx.calendar_dates, exception_types=None).select("id")
 
 
-@query("C03_feed_validity_window", " SELECT DATE '2024-01-01' AS valid_from, DATE '2024-01-14' AS valid_to, count(*) AS n_trips FROM fx_trips")
-def _(fx):
-    return schedule.feed_validity_window(fx.calendar, fx.calendar_dates).crossJoin(fx.trips.agg(F.count(F.lit(1)).alias("n_trips")))
+@query("C03_feed_validity_window", """, v AS (SELECT service_id, min(day_off) AS a, max(day_off) AS b FROM fx_trips WHERE trip_num % 5 <> 0 GROUP BY 1), x AS (SELECT trip_num % 40 AS d FROM fx_trips WHERE trip_num % 5 = 0)
+ SELECT DATE '2024-01-01' + least((SELECT min(a) FROM v), (SELECT min(CAST(d AS INT)) FROM x)) AS valid_from, DATE '2024-01-01' + greatest((SELECT max(b) FROM v), (SELECT max(CAST(d AS INT)) FROM x)) AS valid_to, count(*) AS n_trips FROM fx_trips""")
+def _(fx):  # spans of services, and single dates beyond them; some dates are malformed
+    day = lambda n: F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int")), "yyyyMMdd")
+    spans = fx.trips_raw.filter("trip_num % 5 <> 0").groupBy("service_id").agg(F.min("day_off").alias("a"), F.max("day_off").alias("b")).select("service_id", day(F.col("a")).alias("start_date"), day(F.col("b")).alias("end_date"))
+    dates = fx.trips_raw.filter("trip_num % 5 = 0").select(F.explode(F.array(day(F.col("trip_num") % 40), F.lit("2024013"), F.lit(None).cast("string"))).alias("date"))
+    return schedule.feed_validity_window(spans, dates).crossJoin(fx.trips.agg(F.count(F.lit(1)).alias("n_trips")))
 
 
 @query("C04_modal_service_ids", " SELECT d.day_type, d.service_id, count(*) AS n_trips FROM (VALUES ('weekday', 'WK'), ('saturday', 'SA'), ('sunday', 'SU')) d(day_type, service_id) JOIN fx_trips t ON t.service_id = d.service_id GROUP BY 1, 2")
