@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fleetline.llm import decontaminate, mixing, neardup, tokenfile, toxicity
 from fleetline.llm.common import materialise
 from fleetline.llm.queries import vocabulary
+from fleetline.sources.scratch import drop_scratch
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,12 @@ ORACLE_SQL = None  # a model, hashes and random draws; tests/llm holds the stage
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents.  A stage's table is removed when the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        drop_scratch(spark, *before)
+        before = sorted({f.rsplit("/", 1)[0] for f in docs.inputFiles()})
+    out = STAGES[-1][1](spark, docs, sf_dir)  # its files are written, and are all that it reads
+    drop_scratch(spark, *before)
+    return out
