@@ -756,13 +756,12 @@ def _(fx):
 
 
 @query("T08_live_arrivals_stream", PROX + " SELECT service_date, trip_id, route_id, direction_id, vehicle_id, stop_id, stop_sequence, CAST(deviation_sec AS INT) AS deviation_sec, match_distance_m FROM prox_ev", "match_distance_m")
-def _(fx):  # seven files, each second one before its predecessor; a mark from later closes the last visits
+def _(fx):  # seven files, each second one before its predecessor
     pings = fx.positions.select("id", "vehicle_id", "trip_id", "route_id", "latitude", "longitude", "timestamp", F.to_date("timestamp").alias("service_date"))
-    late = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
-    mark = pings.limit(1).withColumns({"trip_id": F.lit("none"), "route_id": F.lit("none"), "timestamp": late, "service_date": F.to_date(late)})
-    stream = _in_steps(fx, [*_by_days(pings, "timestamp", (2, 4, 6, 8, 10, 12), (1, 0, 3, 2, 5, 4, 6)), mark], "pings")
-    rows, _ = _land(live.live_arrivals(stream, fx.trips, fx.stop_times, route_stops(fx), delay="5 days"), fx, "arrivals")
-    return rows.select("service_date", "trip_id", "route_id", "direction_id", "vehicle_id", "stop_id", "stop_sequence", "deviation_sec", "match_distance_m")
+    stream = _in_steps(fx, _by_days(pings, "timestamp", (2, 4, 6, 8, 10, 12), (1, 0, 3, 2, 5, 4, 6)), "pings")
+    out = scratch_path(fx.spark, "arrivals")
+    live.store_arrivals(live.live_arrivals(stream, fx.trips, fx.stop_times, route_stops(fx), delay="5 days"), out, scratch_path(fx.spark, "checkpoint")).awaitTermination()
+    return live.stored_arrivals(fx.spark, out).select("service_date", "trip_id", "route_id", "direction_id", "vehicle_id", "stop_id", "stop_sequence", "deviation_sec", "match_distance_m")
 
 
 @query("T01_tu_stream", " SELECT date_trunc('minute', snapshot_ts) AS snapshot_ts, trip_id, vehicle_id, stop_id, stop_sequence, rel AS schedule_relationship, date_trunc('second', pred) AS predicted_arrival_ts, CAST(1 AS BIGINT) AS n_quarantined FROM tu WHERE line_no % 11 <> 0")

@@ -2,25 +2,22 @@
 
 The timetable is static and indexed for the join: stops by route and grid cell (each stop
 lies in its 3 x 3 cells, so a ping looks into one), visits by trip and stop.  A ping meets at most one
-row of each, picks its nearest stop and its visit by array functions, and so needs no
-aggregation before the one stateful step: the first ping of each visit, kept per
-(service date, trip, visit) until event time has passed.
+row of each and picks its nearest stop and its visit by array functions, so nothing is grouped
+before the one stateful step: the first ping of each visit, kept per (service date, trip, visit)
+until the watermark, which runs over service dates, has passed the date.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from fleetline.functions import clock, geo
 from fleetline.operators.derive import resolve_service_anchor
 from fleetline.operators.runs import exact_seconds_between, seconds_between
-
-_DAY_MS = 86_400_000
+from fleetline.sources.dated import DatedTable
+from fleetline.streaming.updates import merge_dates
 
 
 def stop_grid(route_stops: DataFrame, max_m: float) -> tuple[DataFrame, float, float]:
@@ -61,60 +58,47 @@ def passing_pings(pings: DataFrame, trips: DataFrame, stop_times: DataFrame, rou
     return rows.withColumns({"stop_sequence": F.col("visit.stop_sequence"), "anchor_date": F.col("visit.anchor_date"), "scheduled_arrival_ts": F.col("visit.due")}).drop("visits", "visit")
 
 
-_ROW = "at long, id long, vehicle_id string, stop_id string, route_id string, direction_id int, anchor_date date, due long, dist_m double"
-_STATE = "at long, id long, vehicle_id string, stop_id string, route_id string, direction_id int, anchor_day int, due long, dist_m double, told boolean"
-_EPOCH = pd.Timestamp("1970-01-01").date()
-
-
-def _first_ping(delay_ms: int):
-    """Keeps a visit's earliest ping; tells it when the watermark has passed it, and forgets the visit two days and the delay after its date."""
-
-    def step(key: tuple, pings: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        date, trip, sequence = key
-        end = (pd.Timestamp(date).date() - _EPOCH).days * _DAY_MS + 3 * _DAY_MS + delay_ms
-        now = state.getCurrentWatermarkMs()
-        best = tuple(state.get) if state.exists else None
-        if state.hasTimedOut:
-            if best[-1]:
-                state.remove()
-                return
-            *row, _ = best
-            row[6] = _EPOCH + pd.Timedelta(days=row[6]).to_pytimedelta()
-            yield pd.DataFrame([(date, trip, sequence, *row)], columns=["service_date", "trip_id", "stop_sequence", *(c.split()[0] for c in _ROW.split(", "))])
-            state.update((*best[:-1], True))
-            state.setTimeoutTimestamp(max(end, now + 1))
-            return
-        for rows in pings:
-            r = rows.sort_values(["at", "id"]).iloc[0]
-            day = (pd.Timestamp(r.anchor_date).date() - _EPOCH).days
-            own = (int(r["at"]), int(r["id"]))
-            if best is None or not best[-1] and own < best[:2]:
-                best = (*own, r.vehicle_id, r.stop_id, r.route_id, int(r.direction_id), day, int(r.due), float(r.dist_m), False)
-        state.update(best)
-        state.setTimeoutTimestamp(max(end if best[-1] else best[0] // 1000 + 1, now + 1))
-
-    return step
-
-
-def live_arrivals(pings: DataFrame, trips: DataFrame, stop_times: DataFrame, route_stops: DataFrame, *, tz: str = clock.TZ, max_m: float = 50.0, delay: str = "1 day") -> DataFrame:
-    """Stop events of a stream of pings (id, vehicle_id, trip_id, route_id, latitude, longitude, timestamp, service_date).
-
-    Equals ``derive_stop_events_proximity`` of the same pings if none is later than ``delay``; later ones are
-    dropped.  A visit is told once, when no earlier ping of it can come any more.  State holds one row
-    for each visit of the last days.
+VISIT = ["service_date", "trip_id", "stop_sequence"]
+#: what is stored of a visit: its first ping
+ARRIVAL = (
+    "service_date date, trip_id string, stop_sequence int, observed_arrival_ts timestamp_ntz, id long, vehicle_id string, stop_id string, route_id string, direction_id int, "
+    "anchor_date date, scheduled_arrival_ts timestamp_ntz, match_distance_m double"
+)
+_REST = [c.split()[0] for c in ARRIVAL.split(", ")][3:]
+
+
+def _first(rows: DataFrame, *keys: str) -> DataFrame:
+    """The earliest ping per key; of pings at one time the one with the smallest id."""
+    return rows.groupBy(*keys).agg(F.min(F.struct(*_REST)).alias("x"))
+
+
+def live_arrivals(pings: DataFrame, trips: DataFrame, stop_times: DataFrame, route_stops: DataFrame, *, tz: str = clock.TZ, max_m: float = 50.0, delay: str = "2 days") -> DataFrame:
+    """First pings of visits (``ARRIVAL``) from a stream of pings (id, vehicle_id, trip_id, route_id, latitude, longitude, timestamp, service_date).
+
+    To be written in update mode: a visit comes when its first ping does, and again if an earlier ping of
+    it arrives.  Pings of service dates more than ``delay`` before the newest are dropped as late, and
+    the state of those dates with them.
     """
-    delay_ms = int(pings.sparkSession.range(1).select(F.expr(f"unix_millis(timestamp_seconds(0) + INTERVAL {delay})")).first()[0])
-    rows = pings.withColumn("event_time", F.col("timestamp").cast("timestamp")).withWatermark("event_time", delay)
+    rows = pings.withColumn("service_day", F.col("service_date").cast("timestamp")).withWatermark("service_day", delay)
     rows = passing_pings(rows, trips, stop_times, route_stops, tz=tz, max_m=max_m)
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    rows = rows.select("service_date", "trip_id", "stop_sequence", "event_time", micros("timestamp").alias("at"), "id", "vehicle_id", "stop_id", "route_id", "direction_id", "anchor_date", micros("scheduled_arrival_ts").alias("due"), "dist_m")
-    out = rows.groupBy("service_date", "trip_id", "stop_sequence").applyInPandasWithState(
-        _first_ping(delay_ms), f"service_date date, trip_id string, stop_sequence int, {_ROW}", _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
-    back = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
-    out = out.withColumns({"observed_arrival_ts": back("at"), "scheduled_arrival_ts": back("due")})
-    return out.select(
+    rows = rows.withColumnsRenamed({"timestamp": "observed_arrival_ts", "dist_m": "match_distance_m"})
+    return _first(rows, "service_day", "trip_id", "stop_sequence").select(F.to_date("service_day").alias("service_date"), "trip_id", "stop_sequence", "x.*")
+
+
+def store_arrivals(arrivals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep a stream of arrivals as a table by service date below ``path``; a micro-batch opens its dates alone, and a replay changes nothing."""
+    table = DatedTable(arrivals.sparkSession, path, ARRIVAL)
+
+    def step(batch: DataFrame, number: int) -> None:
+        merge_dates(table, batch, number, lambda rows: _first(rows, *VISIT).select(*VISIT, "x.*"))
+
+    return arrivals.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_arrivals(spark: SparkSession, path: str) -> DataFrame:
+    """The stop events of a table of arrivals; equals ``derive_stop_events_proximity`` of the pings that were not too late."""
+    return DatedTable(spark, path, ARRIVAL).read().select(
         F.col("anchor_date").alias("service_date"), "trip_id", "route_id", "direction_id", "vehicle_id", "stop_id", "stop_sequence", "scheduled_arrival_ts", "observed_arrival_ts",
         seconds_between(F.col("scheduled_arrival_ts"), F.col("observed_arrival_ts")).cast("int").alias("deviation_sec"), F.lit("proximity").alias("source"), F.lit("SCHEDULED").alias("schedule_relationship"),
-        F.col("dist_m").alias("match_distance_m"),
+        "match_distance_m",
     )

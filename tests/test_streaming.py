@@ -1,5 +1,7 @@
 """Streams give what the batch folds give, whatever the order of the files."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from fleetline.operators.derive import derive_stop_events_proximity
@@ -150,19 +152,27 @@ def test_fold_opens_the_dates_of_its_batch_alone(spark, tmp_path, monkeypatch):
     assert state.count() == 6 and state.filter("service_date = date'2024-01-04'").first().seen.ts.minute == 1
 
 
-def test_live_arrivals_tell_each_visit_once_and_drop_what_is_too_late(spark, tmp_path):
+def test_live_arrivals_keep_the_first_ping_and_drop_what_is_too_late(spark, tmp_path):
     fx = Fixture(spark, DIR)
     pings = fx.positions.select("id", "vehicle_id", "trip_id", "route_id", "latitude", "longitude", "timestamp", F.to_date("timestamp").alias("service_date"))
     near = derive_stop_events_proximity(pings, fx.trips, fx.stop_times, route_stops(fx))
     visit = near.orderBy("observed_arrival_ts").first()
     one = pings.filter((F.col("trip_id") == visit.trip_id) & (F.col("timestamp") == F.lit(visit.observed_arrival_ts).cast("timestamp_ntz"))).limit(1)
-    shift = lambda minutes, id_: one.withColumns({"timestamp": F.col("timestamp") + F.expr(f"INTERVAL {minutes} MINUTES"), "id": F.lit(id_)})
-    mark = lambda hours: shift(hours * 60, 0).withColumns({"trip_id": F.lit("none"), "service_date": F.to_date("timestamp")})
-    files = [shift(1, 11), shift(0, 10).unionByName(shift(2, 12)), mark(30), mark(31), shift(-1, 9), mark(200), mark(201)]  # one a minute earlier comes when its time has passed
-    files = [f.withColumn("id", F.col("id").cast("long")) for f in files]
-    stream = live.live_arrivals(_steps(spark, str(tmp_path / "in"), files), fx.trips, fx.stop_times, route_stops(fx), delay="1 day")
-    q = stream.writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(180)
-    got = spark.table("live").collect()
-    assert [(r.trip_id, r.observed_arrival_ts) for r in got] == [(visit.trip_id, visit.observed_arrival_ts)]
-    assert sum(s.numRowsTotal for s in q.recentProgress[-1].stateOperators) == 0  # the visit is forgotten
+    shift = lambda minutes, id_: one.withColumns({"timestamp": F.col("timestamp") + F.expr(f"INTERVAL {minutes} MINUTES"), "id": F.lit(id_).cast("long")})
+    mark = lambda days: shift(days * 1440, 0).withColumns({"trip_id": F.lit("none"), "service_date": F.to_date("timestamp")})
+    read = lambda: [(r.trip_id, r.observed_arrival_ts) for r in live.stored_arrivals(spark, str(tmp_path / "out")).collect()]
+
+    def arrive(*files):
+        stream = live.live_arrivals(_steps(spark, str(tmp_path / "in"), list(files)), fx.trips, fx.stop_times, route_stops(fx), delay="1 day")
+        q = live.store_arrivals(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+        q.awaitTermination(180)
+        return q
+
+    minute = lambda n: visit.observed_arrival_ts + timedelta(minutes=n)
+    arrive(shift(1, 11))
+    assert read() == [(visit.trip_id, minute(1))]  # told at once
+    arrive(shift(0, 10).unionByName(shift(2, 12)).unionByName(shift(0, 13)))
+    assert read() == [(visit.trip_id, minute(0))]  # an earlier ping takes its place
+    q = arrive(mark(3), mark(3), shift(-1, 9), mark(4))  # one a minute earlier comes when its date has passed
+    assert read() == [(visit.trip_id, minute(0))] and _dropped_late(q) == 1
+    assert q.recentProgress[-1].stateOperators[0].numRowsTotal == 0  # the visit is forgotten
