@@ -760,7 +760,8 @@ def _(fx):  # seven files, each second one before its predecessor
     pings = fx.positions.select("id", "vehicle_id", "trip_id", "route_id", "latitude", "longitude", "timestamp", F.to_date("timestamp").alias("service_date"))
     stream = _in_steps(fx, _by_days(pings, "timestamp", (2, 4, 6, 8, 10, 12), (1, 0, 3, 2, 5, 4, 6)), "pings")
     out = scratch_path(fx.spark, "arrivals")
-    live.store_arrivals(live.live_arrivals(stream, fx.trips, fx.stop_times, route_stops(fx), delay="5 days"), out, scratch_path(fx.spark, "checkpoint")).awaitTermination()
+    timetable = live.index_timetable(fx.trips, fx.stop_times, route_stops(fx))
+    live.store_arrivals(live.live_arrivals(stream, timetable, delay="5 days"), out, scratch_path(fx.spark, "checkpoint")).awaitTermination()
     return live.stored_arrivals(fx.spark, out).select("service_date", "trip_id", "route_id", "direction_id", "vehicle_id", "stop_id", "stop_sequence", "deviation_sec", "match_distance_m")
 
 

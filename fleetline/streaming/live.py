@@ -9,6 +9,8 @@ until the watermark, which runs over service dates, has passed the date.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +19,7 @@ from fleetline.functions import clock, geo
 from fleetline.operators.derive import resolve_service_anchor
 from fleetline.operators.runs import exact_seconds_between, seconds_between
 from fleetline.sources.dated import DatedTable
+from fleetline.sources.scratch import keep
 from fleetline.streaming.updates import merge_dates
 
 
@@ -38,17 +41,33 @@ def trip_visits(trips: DataFrame, stop_times: DataFrame) -> DataFrame:
     return due.join(trips.select("trip_id", "route_id", "direction_id"), "trip_id")
 
 
-def passing_pings(pings: DataFrame, trips: DataFrame, stop_times: DataFrame, route_stops: DataFrame, *, tz: str = clock.TZ, max_m: float = 50.0) -> DataFrame:
+@dataclass(frozen=True)
+class Timetable:
+    """The static side of the join, stored once so that no micro-batch makes it anew."""
+
+    grid: DataFrame
+    visits: DataFrame
+    dy: float
+    dx: float
+    max_m: float
+
+
+def index_timetable(trips: DataFrame, stop_times: DataFrame, route_stops: DataFrame, *, max_m: float = 50.0) -> Timetable:
+    grid, dy, dx = stop_grid(route_stops, max_m)
+    return Timetable(keep(grid, "stop-grid"), keep(trip_visits(trips, stop_times), "trip-visits"), dy, dx, max_m)
+
+
+def passing_pings(pings: DataFrame, timetable: Timetable, *, tz: str = clock.TZ) -> DataFrame:
     """Pings (with service_date) near a stop that their trip serves, with the visit that is nearest in time; stateless.
 
     Columns of the visit: stop_sequence, anchor_date, scheduled_arrival_ts, dist_m.
     """
-    grid, dy, dx = stop_grid(route_stops, max_m)
-    rows = pings.withColumns({"cy": geo.grid_cell(F.col("latitude"), dy), "cx": geo.grid_cell(F.col("longitude"), dx)}).join(grid, ["route_id", "cy", "cx"]).drop("cy", "cx")
+    cells = {"cy": geo.grid_cell(F.col("latitude"), timetable.dy), "cx": geo.grid_cell(F.col("longitude"), timetable.dx)}
+    rows = pings.withColumns(cells).join(timetable.grid, ["route_id", "cy", "cx"]).drop("cy", "cx")
     far = lambda s: F.struct(geo.haversine_m(F.col("latitude"), F.col("longitude"), s["stop_lat"], s["stop_lon"]).alias("d"), s["stop_id"].alias("stop_id"))
-    rows = rows.withColumn("near", F.array_min(F.transform("stops", far))).filter(F.col("near.d") <= max_m)
+    rows = rows.withColumn("near", F.array_min(F.transform("stops", far))).filter(F.col("near.d") <= timetable.max_m)
     rows = rows.select(*[c for c in pings.columns if c not in ("route_id", "direction_id")], F.col("near.stop_id").alias("stop_id"), F.col("near.d").alias("dist_m"))
-    rows = rows.join(trip_visits(trips, stop_times), ["trip_id", "stop_id"])
+    rows = rows.join(timetable.visits, ["trip_id", "stop_id"])
 
     def visit(v):
         date, due = resolve_service_anchor(F.col("timestamp"), F.col("service_date"), v["sec"], tz=tz)
@@ -72,7 +91,7 @@ def _first(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(F.struct(*_REST)).alias("x"))
 
 
-def live_arrivals(pings: DataFrame, trips: DataFrame, stop_times: DataFrame, route_stops: DataFrame, *, tz: str = clock.TZ, max_m: float = 50.0, delay: str = "2 days") -> DataFrame:
+def live_arrivals(pings: DataFrame, timetable: Timetable, *, tz: str = clock.TZ, delay: str = "2 days") -> DataFrame:
     """First pings of visits (``ARRIVAL``) from a stream of pings (id, vehicle_id, trip_id, route_id, latitude, longitude, timestamp, service_date).
 
     To be written in update mode: a visit comes when its first ping does, and again if an earlier ping of
@@ -80,7 +99,7 @@ def live_arrivals(pings: DataFrame, trips: DataFrame, stop_times: DataFrame, rou
     the state of those dates with them.
     """
     rows = pings.withColumn("service_day", F.col("service_date").cast("timestamp")).withWatermark("service_day", delay)
-    rows = passing_pings(rows, trips, stop_times, route_stops, tz=tz, max_m=max_m)
+    rows = passing_pings(rows, timetable, tz=tz)
     rows = rows.withColumnsRenamed({"timestamp": "observed_arrival_ts", "dist_m": "match_distance_m"})
     return _first(rows, "service_day", "trip_id", "stop_sequence").select(F.to_date("service_day").alias("service_date"), "trip_id", "stop_sequence", "x.*")
 

@@ -162,8 +162,10 @@ def test_live_arrivals_keep_the_first_ping_and_drop_what_is_too_late(spark, tmp_
     mark = lambda days: shift(days * 1440, 0).withColumns({"trip_id": F.lit("none"), "service_date": F.to_date("timestamp")})
     read = lambda: [(r.trip_id, r.observed_arrival_ts) for r in live.stored_arrivals(spark, str(tmp_path / "out")).collect()]
 
+    timetable = live.index_timetable(fx.trips, fx.stop_times, route_stops(fx))
+
     def arrive(*files):
-        stream = live.live_arrivals(_steps(spark, str(tmp_path / "in"), list(files)), fx.trips, fx.stop_times, route_stops(fx), delay="1 day")
+        stream = live.live_arrivals(_steps(spark, str(tmp_path / "in"), list(files)), timetable, delay="1 day")
         q = live.store_arrivals(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
         q.awaitTermination(180)
         return q
