@@ -114,23 +114,28 @@ def price_values(values: DataFrame, words: DataFrame) -> DataFrame:
     """value, log10 of its guesses, with every word of ``words`` (word, rank) that stands in it."""
 
     def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs, subs = [], []
+        rows = lambda: pa.record_batch([pa.array(hs, pa.int64()), pa.array(subs, pa.string())], ["h", "word"])
         for b in batches:
-            for lo in range(0, b.num_rows, 100):
-                vs, subs = [], []
-                for v in b.column(0).slice(lo, 100).to_pylist():
-                    found = _words_in(v)
-                    vs += [v] * len(found)
-                    subs += found
-                yield pa.record_batch([pa.array(vs, pa.string()), pa.array(subs, pa.string())], ["value", "word"])
+            for h, v in zip(b.column(0).to_pylist(), b.column(1)):
+                found = _words_in(v.as_py())
+                hs += [h] * len(found)
+                subs += found
+                if len(subs) > 50_000:
+                    yield rows()
+                    hs, subs = [], []
+        yield rows()
 
-    asked = values.select("value").mapInArrow(substrings, "value string, word string")
-    found = asked.join(words, "word").groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("word", "rank"))).alias("ranks"))
+    # a value goes by its hash beside its substrings: they are as many as its letters, and it may be long
+    own = values.select(F.xxhash64("value").alias("h"), "value")
+    asked = own.mapInArrow(substrings, "h long, word string")
+    found = asked.join(words, "word").groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct("word", "rank"))).alias("ranks"))
 
     @F.pandas_udf("double")
     def price(value: pd.Series, ranks: pd.Series) -> pd.Series:
         return pd.Series([guess_log10(v, dict(r if r is not None else {}) | RANK) for v, r in zip(value, ranks)], dtype=float)
 
-    return values.select("value").join(found, "value", "left").select("value", price("value", "ranks").alias("log10"))
+    return own.join(found, "h", "left").select("value", price("value", "ranks").alias("log10"))
 
 
 def _words_in(value: str) -> list[str]:

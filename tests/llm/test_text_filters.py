@@ -168,7 +168,7 @@ def test_corpus_scan_prices_with_every_word_there_is(spark):
     word = lambda: "".join(rng.choices("abcdeilmnorst", k=rng.randint(3, 9)))
     vocabulary = [word() for _ in range(400)]
     rows = [(i, " ".join(rng.choices(vocabulary, k=30)) + f" password: {rng.choice(vocabulary)}{rng.choice(vocabulary)}{rng.choice(['', '7', '!x', 'Q9'])} token=abcdef12 pwd is {rng.choice(vocabulary).upper()}x{rng.randint(0, 99)}") for i in range(120)]
-    rows += [(500, "secret: " + "0p3nS3sam3" * 3), (501, "secret: " + "0p3nS3sam3" * 3), (None, rows[0][1]), (None, rows[0][1]), (502, "secret: " + "k9#" * 20_000)]
+    rows += [(500, "secret: " + "0p3nS3sam3" * 3), (501, "secret: " + "0p3nS3sam3" * 3), (None, rows[0][1]), (None, rows[0][1]), (502, "secret: " + "k9#" * 20_000), (503, "token: " + "".join(rng.choices("abcdeilmnorst", k=30_000)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     ranks = secrets.word_ranks(docs, most=10**6)
     want = docs.select("doc_id", secrets.find_secrets(F.col("text"), secrets.MIN_LOG10, ranks).alias("found"))
