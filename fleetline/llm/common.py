@@ -8,6 +8,7 @@ struct, so extra columns and clashing names never meet the operators' own.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,16 @@ def words_in(name: str = "text") -> Column:
     return F.regexp_count(text_of(name), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+#: what this Python worker keeps from task to task, by name
+KEPT: dict[str, object] = {}
+
+
+def free_kept() -> None:
+    """Forget what tasks of other operators left in this worker, and give Arrow's unused memory back: for tasks that hold much."""
+    KEPT.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class HashCache(dict):
     """bytes -> 64-bit hash; remembers the first TOKEN_CACHE tokens it meets."""
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import HashCache, hashes, materialise, mix, text_of, window_hashes
+from fleetline.llm.common import HashCache, free_kept, hashes, materialise, mix, text_of, window_hashes
 
 WIDTH = 5
 SKETCHES = 32
@@ -249,6 +249,7 @@ def sketch(docs: DataFrame, *, width: int = WIDTH, sketches: int = SKETCHES, min
     cache, hasher = HashCache(), OrderMinHash(sketches, minima)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_kept()
         for b in (batch.slice(lo, 500) for batch in batches for lo in range(0, batch.num_rows, 500)):
             words = [hashes(words_of(t), cache) for t in b.column(1).to_pylist()]
             sigs = [hasher(labelled_kmers(w, width)).view(np.int64) for w in words]
@@ -266,6 +267,7 @@ def _possible(edges: DataFrame, facts: DataFrame, min_similarity: float) -> Data
     """The edges (a, b) that the counts of words don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_kept()
         for batch in batches:
             k = batch.num_rows
             n = np.concatenate([batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)])
@@ -286,6 +288,7 @@ def _unresolved(shared: DataFrame, links: DataFrame, facts: DataFrame, texts: Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_kept()
         for batch in batches:
             out = []
             for band, i, j, rows in zip(*(batch.column(c) for c in range(4))):
@@ -340,6 +343,7 @@ def _verify(edges: DataFrame, texts: DataFrame, min_similarity: float) -> DataFr
     """The edges (a, b) whose texts are similar enough, with the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_kept()
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
             s = np.array([similar(x[i].as_py(), y[i].as_py(), min_similarity) for i in range(batch.num_rows)], float)

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import qualified, scratch_path, text_of
+from fleetline.llm.common import KEPT, qualified, scratch_path, text_of
 
 END_ID = 1
 #: bytes of words and their ids that a Python worker remembers (with what Python needs for each), and bytes of the longest word it does
@@ -44,7 +44,6 @@ _ENTRY = 190
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
 _SIGNS = b".,;:!?#$%&*()-\""
-_ENCODERS: dict[str, WordEncoder] = {}
 
 
 def index_schema(docs: DataFrame) -> str:
@@ -53,9 +52,9 @@ def index_schema(docs: DataFrame) -> str:
 
 def encoder_of(path: str) -> WordEncoder:
     """This worker's encoder.  Tasks name this function, so what it learned outlives them."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if path not in KEPT:
+        KEPT[path] = WordEncoder(path)
+    return KEPT[path]
 
 
 def _known_form(tokenizer) -> bool:
