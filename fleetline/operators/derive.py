@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetline.functions import clock, geo
+from fleetline.operators import matching
 from fleetline.operators.runs import exact_seconds_between, seconds_between
 
 #: a prior-day anchor of an unobserved stop must lie within this many seconds
@@ -191,37 +192,31 @@ def own_trip_matches(positions: DataFrame, trips: DataFrame, stop_times: DataFra
     return rows.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)))
 
 
-def match_candidates(positions: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, *, tz: str = "UTC", max_m: float = 500.0, early_min: int = 5, late_min: int = 15) -> DataFrame:
-    """Pings against the trips of their route that pass near in time and place: one row per (ping, trip).
+def best_candidates(positions: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, *, min_confidence: float = 0.3, tz: str = "UTC", max_m: float = 500.0, early_min: int = 5, late_min: int = 15) -> DataFrame:
+    """Pings with the most confident trip of their route that passes near in time and place, if above min_confidence; ties go to the smaller trip id.
 
     Where the reported trip is known, only trips of its direction count; else any does.
-    The join's key is route and a time bucket as wide as the window, so a ping meets the
-    visits of two buckets, not the whole timetable.  A trip's visits are then walked in
-    order; a visit takes over if its biased score (early costs more than late) is below the
-    plain score of the one held.  Confidence adds 0.1 between two minutes early and ten
-    late, and takes 0.1 off when earlier; visits of the next day (24:00 and later) count
-    from the ping's own midnight.
+    Pings and timetable are cogrouped by route and a bucket of the clock, and each group is
+    searched (``matching``), so pairs of ping and trip are never rows.  Trips of one
+    timetable stand as their smallest id, so a group's timetable is bounded by its variants and the
+    seconds of the clock.  A trip's visits are walked in order; a visit takes over if its
+    biased score (early costs more than late) is below the plain score of the one held.
+    Confidence adds 0.1 between two minutes early and ten late, and takes 0.1 off when
+    earlier; visits of the next day (24:00 and later) count from the ping's own midnight.
     """
-    width = (early_min + late_min) * 60
-    bucket = lambda sec: F.floor(sec / width)
-    visits = _scheduled_visits(trips, stop_times, stops).withColumn("bucket", bucket(F.col("sec")))
-    reported = trips.select(F.col("trip_id").alias("rt_trip"), F.col("direction_id").alias("rt_direction"))
-    pings = _timed_pings(positions, tz).join(reported, "rt_trip", "left")
-    pings = pings.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("ping_sec") - late_min * 60), bucket(F.col("ping_sec") + early_min * 60)))))
-    rows = pings.join(visits, (F.col("route_id") == F.col("m_route")) & (pings["bucket"] == visits["bucket"]) & (F.col("rt_direction").isNull() | (F.col("rt_direction") == F.col("m_direction"))))
-    rows = _near_visits(rows, max_m, early_min, late_min)
-    minutes = F.col("late_sec") / 60
-    off = F.abs(minutes)
-    place = F.col("dist_m") / max_m
-    time = F.when(off <= 2, off / 20).when(minutes < 0, 0.3 + off / late_min * 0.7).otherwise(minutes / late_min * 0.5)
-    rows = rows.withColumns({"biased": (time + place) / 2, "plain": (off / late_min + place) / 2})
-    walk = F.array_sort(F.collect_list(F.struct("stop_sequence", "stop_id", "late_sec", "dist_m", "biased", "plain")))
-    held = F.aggregate(F.slice("walk", 2, F.size("walk")), F.element_at("walk", 1), lambda held, v: F.when(v["biased"] < held["plain"], v).otherwise(held))
-    best = rows.groupBy(*_PING, "m_trip").agg(walk.alias("walk")).select(*_PING, F.col("m_trip").alias("trip_id"), held.alias("v")).select(*_PING, "trip_id", *[F.col(f"v.{c}").alias(c) for c in _VISIT])
-    late = F.col("late_sec") / 60
-    bonus = F.when(late.between(-2, 10), 0.1).when(late < -2, -0.1).otherwise(0.0)
-    mean = ((1 - F.abs(late) / late_min) + (1 - F.col("dist_m") / max_m)) / 2 + bonus
-    return best.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)))
+    rules, key = matching.Rules(max_m, early_min, late_min, min_confidence), ["route_id", "bucket"]
+    bucket = lambda sec: F.floor(sec / ((early_min + late_min) * 60))
+    reported = trips.select(F.col("trip_id").alias("rt_trip"), F.col("direction_id").alias("direction"))
+    pings = _timed_pings(positions, tz).join(reported, "rt_trip", "left").withColumn("bucket", bucket(F.col("ping_sec")))
+    visit = F.struct("stop_sequence", "stop_id", "sec", "stop_lat", "stop_lon")
+    whole = _scheduled_visits(trips, stop_times, stops).groupBy("m_trip", F.col("m_route").alias("route_id"), F.col("m_direction").alias("direction")).agg(F.sort_array(F.collect_list(visit)).alias("v"))
+    alike = whole.groupBy("route_id", "direction", "v").agg(F.min("m_trip").alias("trip_id"))
+    # a bucket's pings reach back by late_min and forward by early_min
+    reach = F.sequence(bucket(F.col("v.sec") - early_min * 60), bucket(F.col("v.sec") + late_min * 60))
+    visits = alike.select("route_id", "direction", "trip_id", F.explode("v").alias("v")).filter(F.col("v.sec").isNotNull()).select("route_id", "direction", "trip_id", "v.*", F.explode(reach).alias("bucket"))
+    asked = pings.select(*key, "id", "ping_sec", "latitude", "longitude", F.col("direction").cast("double").alias("direction"))
+    found = asked.groupBy(*key).cogroup(visits.withColumn("direction", F.col("direction").cast("double")).groupBy(*key)).applyInArrow(lambda p, v: matching.match_group(p, v, rules), matching.RESULT)
+    return pings.select(*_PING).join(found, "id")
 
 
 def find_matching_trip(positions: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, *, min_confidence: float = 0.3, tz: str = "UTC", max_m: float = 500.0, late_min: int = 15) -> DataFrame:
@@ -231,9 +226,7 @@ def find_matching_trip(positions: DataFrame, trips: DataFrame, stop_times: DataF
     """
     options = {"tz": tz, "max_m": max_m, "late_min": late_min}
     own = own_trip_matches(positions, trips, stop_times, stops, **options)
-    rest = match_candidates(positions.join(own.select("id"), "id", "left_anti"), trips, stop_times, stops, **options).filter(F.col("confidence") > min_confidence)
-    top = F.min(F.struct(F.negative("confidence").alias("order"), "trip_id", *_VISIT, "confidence")).alias("m")
-    rest = rest.groupBy(*_PING).agg(top).select(*_PING, "m.trip_id", *[f"m.{c}" for c in _VISIT], "m.confidence")
+    rest = best_candidates(positions.join(own.select("id"), "id", "left_anti"), trips, stop_times, stops, min_confidence=min_confidence, **options)
     return own.unionByName(rest)
 
 

@@ -2,7 +2,7 @@
 
 import math
 import random
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -284,6 +284,54 @@ def test_matching_trip(spark, reported, route, clock_time, want):
     assert got == ([] if want is None else [(want[0], pytest.approx(want[1]))])
 
 
+def _walked(ping, visits):
+    """(confidence, stop_sequence) of a ping with one trip's visits, as the operator's contract words it; None if none is near."""
+    held = None
+    for seq, _, sec, d in sorted(visits):
+        late = (ping - sec) / 60
+        if d > 500 or not -5 <= late <= 15:
+            continue
+        time = abs(late) / 20 if abs(late) <= 2 else 0.3 - late / 15 * 0.7 if late < 0 else late / 15 * 0.5
+        if held is None or (time + d / 500) / 2 < held[0]:
+            held = ((abs(late) / 15 + d / 500) / 2, late, d, seq)
+    if held is None:
+        return None
+    _, late, d, seq = held
+    bonus = 0.1 if -2 <= late <= 10 else -0.1 if late < -2 else 0.0
+    return max(0.0, min(1.0, ((1 - abs(late) / 15) + (1 - d / 500)) / 2 + bonus)), seq
+
+
+def test_matching_in_a_dense_timetable_makes_no_pairs(spark):
+    """Hundreds of trips pass each ping; a third of them loop or start late.  No row of a plan is a pair of ping and trip."""
+    rng = random.Random(3)
+    places = {f"S{k}": 38.90 + k * 0.0012 for k in range(8)}
+    trips, visits = [], []
+    for i in range(400):
+        start, at = rng.randrange(28_000, 37_000), rng.sample(sorted(places), 8) if i % 3 == 0 else [f"S{k}" for k in range(rng.choice((0, 0, 5)), 8)]
+        start = start - start % 60 if i % 5 else start
+        trips.append((f"T{i}", "R", i % 2))
+        visits += [(f"T{i}", s, f"{x // 3600:02d}:{x % 3600 // 60:02d}:{x % 60:02d}", k + 1) for k, s in enumerate([*at, at[0]] if i % 3 == 0 else at) for x in [start + k * 90]]
+    pings = [(j, "V", rng.choice((None, "T0", "T1")), "R", datetime(2024, 1, 2) + timedelta(seconds=rng.randrange(27_000, 39_000)), 38.90 + rng.random() * 0.01, -77.05) for j in range(300)]
+    world = spark.createDataFrame(trips, "trip_id string, route_id string, direction_id int"), spark.createDataFrame(visits, "trip_id string, stop_id string, arrival_time string, stop_sequence int"), spark.createDataFrame([(s, x, -77.05) for s, x in places.items()], "stop_id string, stop_lat double, stop_lon double")
+    asked = spark.createDataFrame(pings, "id long, vehicle_id string, trip_id string, route_id string, timestamp timestamp_ntz, latitude double, longitude double")
+    df = derive.best_candidates(asked, *world)
+    got = {r["id"]: (r["trip_id"], r["stop_sequence"], round(r["confidence"], 9)) for r in df.collect()}
+    way, of = {t: d for t, _, d in trips}, {}
+    for t, s, clock_time, k in visits:
+        h, m, x = map(int, clock_time.split(":"))
+        of.setdefault(t, []).append((k, s, h * 3600 + m * 60 + x))
+    want = {}
+    for j, _, told, _, when, lat, _ in pings:
+        sec = (when - datetime(2024, 1, 2)).total_seconds()
+        dist = {s: round(2 * 6_371_000.0 * math.asin(abs(math.sin(math.radians(y - lat) / 2))), 6) for s, y in places.items()}
+        found = [(-w[0], t, w[1]) for t, v in of.items() if told is None or way[told] == way[t] if (w := _walked(sec, [(k, s, x, dist[s]) for k, s, x in v]))]
+        best = min(found, default=(0, "", 0))
+        if -best[0] > 0.3:
+            want[j] = (best[1], best[2], round(-best[0], 9))
+    assert got == want and len(want) > 200
+    assert "FlatMapCoGroupsInArrow" in df._jdf.queryExecution().toString()
+
+
 def test_nearest_stop_in_the_far_north(spark):
     stops = spark.createDataFrame([("R", "S", 78.0, 15.0)], "route_id string, stop_id string, stop_lat double, stop_lon double")
     pings = spark.createDataFrame([(1, "R", 78.0, 15.0 + 45 / (111_195 * 0.2079)), (2, "R", 78.0, 15.01)], "id long, route_id string, latitude double, longitude double")
