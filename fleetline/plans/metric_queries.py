@@ -131,7 +131,7 @@ def _(fx):
 
 
 def matches(fx: Fixture):
-    return derive.find_matching_trip(fx.positions, fx.trips, fx.stop_times, fx.stops)
+    return fx.kept("matches", lambda: derive.find_matching_trip(fx.positions, fx.trips, fx.stop_times, fx.stops))
 
 
 # own trip first, then the walk over each candidate trip's visits, as a fold over an ordered list
