@@ -26,12 +26,12 @@ def exact_seconds_between(a: Column, b: Column) -> Column:
 def aggregate_runs(stop_events: DataFrame, stop_times: DataFrame) -> DataFrame:
     """One row per (service_date, trip_id, source) of its stop events.
 
-    The gap window and the aggregation share one shuffle by trip.
+    The gap window, the join with the timetable and the aggregation share one shuffle by trip.
     """
     sched = stop_times.groupBy("trip_id").agg(F.count(F.lit(1)).cast("int").alias("stops_scheduled"), F.min("stop_sequence").alias("sched_first_seq"), F.max("stop_sequence").alias("sched_last_seq"))
     seen = F.col("observed_arrival_ts").isNotNull()
     before = F.lag("observed_arrival_ts").over(Window.partitionBy(*RUN_KEY, seen).orderBy("observed_arrival_ts", "stop_sequence"))
-    rows = stop_events.withColumn("gap", F.when(seen, seconds_between(before, F.col("observed_arrival_ts")))).join(sched, "trip_id", "left")
+    rows = stop_events.repartition("trip_id").withColumn("gap", F.when(seen, seconds_between(before, F.col("observed_arrival_ts")))).join(sched, "trip_id", "left")
     seq, dev = F.col("stop_sequence"), F.col("deviation_sec")
     out = rows.groupBy(*RUN_KEY, "route_id", "direction_id").agg(
         F.expr("max_by(vehicle_id, stop_sequence) FILTER (WHERE vehicle_id IS NOT NULL)").alias("vehicle_id"),
@@ -57,7 +57,8 @@ def service_delivered(runs: DataFrame, scheduled: DataFrame) -> DataFrame:
     ``scheduled``: service_date, route_id, trip_id of the trips that should run.
     """
     ran = runs.filter(F.col("stops_observed") >= delivered_floor(F.col("stops_observable"))).select("service_date", "trip_id").distinct()
-    sched = scheduled.select("service_date", "route_id", "trip_id").distinct()
+    # dealt by the join's keys before, so that telling rows apart and joining share one shuffle
+    sched = scheduled.select("service_date", "route_id", "trip_id").repartition("service_date", "trip_id").distinct()
     done = sched.join(ran.withColumn("ran", F.lit(1)), ["service_date", "trip_id"], "left")
     out = done.groupBy("route_id", "service_date").agg(F.count(F.lit(1)).alias("trips_scheduled"), F.count("ran").alias("trips_delivered"))
     out = out.join(runs.select("route_id", "service_date").distinct(), ["route_id", "service_date"], "full")

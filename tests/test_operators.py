@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -490,3 +491,24 @@ def test_a_hot_day_is_archived_by_several_tasks_in_order(spark, tmp_path):
     assert all(r.ok for r in checked) and {str(r.day): r.n_files for r in checked}["2024-01-01"] == len(hot)
     spark.read.parquet(hot[0].file).limit(100).write.mode("append").parquet(str(tmp_path / "a/day=2024-01-01"))  # rows twice, out of order
     assert not next(r.ok for r in tables.archive_verify(pings, spark.read.parquet(str(tmp_path / "a"))).collect() if str(r.day) == "2024-01-01")
+
+
+def _wide_shuffles(df, column):
+    """Exchanges of a plan whose rows hold ``column``, as they would run."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "AdaptiveSparkPlan" in plan
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return sum(column in block for block in re.findall(r"\(\d+\) Exchange\n(.*?)\n\n", text, re.S))
+
+
+def test_runs_and_delivered_trips_shuffle_their_rows_once(spark):
+    events = spark.createDataFrame([], "service_date date, trip_id string, route_id string, direction_id int, vehicle_id string, stop_id string, stop_sequence int, scheduled_arrival_ts timestamp_ntz, observed_arrival_ts timestamp_ntz, deviation_sec int, source string, schedule_relationship string")
+    made = runs.aggregate_runs(events, spark.createDataFrame([], "trip_id string, stop_sequence int"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _wide_shuffles(made, "deviation_sec") == 1
+        due, ran = (spark.createDataFrame([], f"service_date date, route_id string, trip_id string{more}") for more in ("", ", stops_observed int, stops_observable int"))
+        assert _wide_shuffles(runs.service_delivered(ran, due), "trip_id") == 2  # of each side one
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
