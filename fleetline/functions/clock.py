@@ -13,8 +13,8 @@ TZ = "America/New_York"
 
 
 def seconds(n: Column) -> Column:
-    """n seconds as an interval."""
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), n.cast("decimal(18,6)"))
+    """n seconds as an interval, to the microsecond."""
+    return F.expr("INTERVAL '1' SECOND") * n
 
 
 def gtfs_seconds(text: Column) -> Column:

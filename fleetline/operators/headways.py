@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from fleetline.functions import clock, labels
 from fleetline.operators.runs import seconds_between
-from fleetline.operators.schedule import cell_headways
 
 CELL = ["route_id", "direction_id", "stop_id", "hour"]
 MAX_GAP = 7200
@@ -36,20 +35,30 @@ def observed_headways(stop_events: DataFrame, *, scheduled_only: bool = False, t
     return out.filter("h_sec > 0")
 
 
+def service_cells(scheduled: DataFrame) -> DataFrame:
+    """Per (service_id, CELL) of scheduled headways: sum, sum of squares, number and mean.
+
+    What takes ``scheduled`` below takes this too: a table of it is small and spares several readers the timetable.
+    """
+    if "mean_h" in scheduled.columns:
+        return scheduled
+    h = F.col("h_sec").cast("long")
+    return scheduled.groupBy("service_id", *CELL).agg(F.sum(h).alias("s_h"), F.sum(h * h).alias("s_h2"), F.count(F.lit(1)).alias("s_n"), F.avg("h_sec").alias("mean_h"))
+
+
 def with_schedule(observed: DataFrame, scheduled: DataFrame, day_services: DataFrame) -> DataFrame:
     """Observed gaps with mean_h of their cell on the date's timetable.
 
     ``scheduled``: headways keyed by service_id; ``day_services``: (service_date, service_id).
     """
-    cells = cell_headways(scheduled, "service_id").join(day_services, "service_id").drop("service_id")
+    cells = service_cells(scheduled).join(day_services, "service_id").drop("service_id")
     cells = cells.groupBy("service_date", *CELL).agg(F.avg("mean_h").alias("mean_h"))
     return observed.join(cells, ["service_date", *CELL])
 
 
 def _frequent_cells(scheduled: DataFrame, day_services: DataFrame, gates: DataFrame | None) -> DataFrame:
     """Scheduled gaps of the cell-hours whose mean headway is within the route's gate, by date."""
-    key = ["service_id", *CELL]
-    sums = scheduled.groupBy(*key).agg(F.sum("h_sec").alias("s_h"), F.sum(F.col("h_sec").cast("long") * F.col("h_sec")).alias("s_h2"), F.count(F.lit(1)).alias("s_n"), F.avg("h_sec").alias("mean_h"))
+    sums = service_cells(scheduled)
     sums = sums.join(gates, "route_id", "left") if gates is not None else sums.withColumn("gate_sec", F.lit(None).cast("int"))
     return sums.filter(F.col("mean_h") <= F.coalesce("gate_sec", F.lit(900))).join(day_services, "service_id").drop("service_id", "mean_h", "gate_sec")
 
@@ -98,27 +107,26 @@ def _bunching(pairs: DataFrame, *keys: str) -> DataFrame:
 
 def scheduled_cells(scheduled: DataFrame, day_services: DataFrame, *, gates: DataFrame | None = None) -> DataFrame:
     """(service_date, CELL) of each date's timetable: mean_h, and the sums of frequent services (s_n null without one)."""
-    key = ["service_id", *CELL]
-    h = F.col("h_sec").cast("long")
-    per = scheduled.groupBy(*key).agg(F.sum(h).alias("h"), F.sum(h * h).alias("h2"), F.count(F.lit(1)).alias("n"), F.avg("h_sec").alias("m"))
+    per = service_cells(scheduled)
     per = per.join(gates, "route_id", "left") if gates is not None else per.withColumn("gate_sec", F.lit(None).cast("int"))
-    often = F.col("m") <= F.coalesce("gate_sec", F.lit(900))
-    sums = [F.sum(F.when(often, F.col(c))).alias(f"s_{c}") for c in ("h", "h2", "n")]
-    return per.join(day_services, "service_id").groupBy("service_date", *CELL).agg(F.avg("m").alias("mean_h"), *sums)
+    often = F.col("mean_h") <= F.coalesce("gate_sec", F.lit(900))
+    sums = [F.sum(F.when(often, F.col(c))).alias(c) for c in ("s_h", "s_h2", "s_n")]
+    return per.join(day_services, "service_id").groupBy("service_date", *CELL).agg(F.avg("mean_h").alias("mean_h"), *sums)
 
 
 def headway_statistics(stop_events: DataFrame, cells: DataFrame, *, share: float = 0.25, floor: float = 120.0, max_gap: int = MAX_GAP, tz: str = clock.TZ) -> DataFrame:
     """(route_id, service_date): what ``ewt_headline`` and ``bunching_headline`` sum, from one pass over the events.
 
-    Both gaps of an arrival (to the next one, and to the next scheduled one) come from
-    windows over the same shuffle.  ``cells`` (of ``scheduled_cells``) is read twice: keep it.
+    Both gaps of an arrival (to the next one, and to the next scheduled one) come from one
+    sort: backwards, where the arrivals to come are those before.  ``cells`` (of ``scheduled_cells``) is read twice: keep it.
     A date's services are pooled.
     """
     key, cell = ["service_date", "route_id", "direction_id", "stop_id"], ["service_date", *CELL]
-    ts, order = F.col("observed_arrival_ts"), ["observed_arrival_ts", "trip_id", "stop_sequence"]
+    ts, back = F.col("observed_arrival_ts"), Window.partitionBy(*key).orderBy(F.desc("observed_arrival_ts"), F.desc("trip_id"), F.desc("stop_sequence"))
+    before = back.rowsBetween(Window.unboundedPreceding, -1)
     rows = stop_events.filter("source = 'trip_update' AND observed_arrival_ts IS NOT NULL").withColumn("on_plan", F.col("schedule_relationship") == "SCHEDULED")
-    gap = lambda *extra: seconds_between(ts, F.lead(ts).over(Window.partitionBy(*key, *extra).orderBy(*order)))
-    rows = rows.select(*key, clock.local_hour(ts, tz).alias("hour"), "on_plan", gap().alias("h"), gap("on_plan").alias("planned_h")).join(cells, cell)
+    h, planned = seconds_between(ts, F.lag(ts).over(back)), seconds_between(ts, F.last(F.when(F.col("on_plan"), ts), ignorenulls=True).over(before))
+    rows = rows.select(*key, clock.local_hour(ts, tz).alias("hour"), "on_plan", h.alias("h"), planned.alias("planned_h")).join(cells, cell)
     h, planned = F.when((F.col("h") > 0) & F.col("s_n").isNotNull(), F.col("h")), F.when(F.col("on_plan") & F.col("planned_h").between(1, max_gap), F.col("planned_h"))
     near = planned < F.greatest(F.col("mean_h") * share, F.lit(floor))
     seen = rows.groupBy("route_id", "service_date").agg(

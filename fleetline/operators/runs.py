@@ -23,25 +23,33 @@ def exact_seconds_between(a: Column, b: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", a, b) / 1e6
 
 
-def aggregate_runs(stop_events: DataFrame, stop_times: DataFrame) -> DataFrame:
-    """One row per (service_date, trip_id, source) of its stop events.
+def aggregate_runs(stop_events: DataFrame, stop_times: DataFrame, *, percentiles: bool = True) -> DataFrame:
+    """One row per (service_date, trip_id, source) of its stop events; with the percentiles of its deviations, if asked for.
 
-    The gap window, the join with the timetable and the aggregation share one shuffle by trip.
+    The gap window, the join with the timetable and the aggregation share one shuffle by trip; window and
+    join share one sort of the events.  Without percentiles the events are added up by hash, by vehicle first, as
+    texts and percentiles would have them sorted again.
     """
     sched = stop_times.groupBy("trip_id").agg(F.count(F.lit(1)).cast("int").alias("stops_scheduled"), F.min("stop_sequence").alias("sched_first_seq"), F.max("stop_sequence").alias("sched_last_seq"))
     seen = F.col("observed_arrival_ts").isNotNull()
-    before = F.lag("observed_arrival_ts").over(Window.partitionBy(*RUN_KEY, seen).orderBy("observed_arrival_ts", "stop_sequence"))
+    before = F.lag("observed_arrival_ts").over(Window.partitionBy("trip_id", "service_date", "source", seen).orderBy("observed_arrival_ts", "stop_sequence"))
     rows = stop_events.repartition("trip_id").withColumn("gap", F.when(seen, seconds_between(before, F.col("observed_arrival_ts")))).join(sched, "trip_id", "left")
     seq, dev = F.col("stop_sequence"), F.col("deviation_sec")
-    out = rows.groupBy(*RUN_KEY, "route_id", "direction_id").agg(
-        F.expr("max_by(vehicle_id, stop_sequence) FILTER (WHERE vehicle_id IS NOT NULL)").alias("vehicle_id"),
-        F.max("stops_scheduled").alias("stops_scheduled"), F.max("sched_first_seq").alias("sched_first_seq"), F.max("sched_last_seq").alias("sched_last_seq"),
-        F.min("scheduled_arrival_ts").alias("sched_first_arrival_ts"), F.max("scheduled_arrival_ts").alias("sched_last_arrival_ts"),
-        F.count("observed_arrival_ts").alias("stops_observed"), F.sum(F.when(F.col("schedule_relationship") == "SKIPPED", 1).otherwise(0)).alias("stops_skipped"),
-        F.min(F.when(seen, seq)).alias("first_obs_seq"), F.max(F.when(seen, seq)).alias("last_obs_seq"), F.min("observed_arrival_ts").alias("first_obs_ts"), F.max("observed_arrival_ts").alias("last_obs_ts"),
-        F.max("gap").alias("max_gap_sec"), trunc_int(F.percentile(dev, 0.5)).alias("dev_p50_sec"), trunc_int(F.percentile(dev, 0.95)).alias("dev_p95_sec"),
-        F.max(F.when(seq == F.col("sched_first_seq"), dev)).alias("origin_dev_sec"), F.max(F.when(seq == F.col("sched_last_seq"), dev)).alias("destination_dev_sec"),
-    )
+    key, on = [*RUN_KEY, "route_id", "direction_id"], F.col("schedule_relationship") == "SKIPPED"
+    sums = {
+        "stops_scheduled": (F.max, F.col("stops_scheduled")), "sched_first_seq": (F.max, F.col("sched_first_seq")), "sched_last_seq": (F.max, F.col("sched_last_seq")),
+        "sched_first_arrival_ts": (F.min, F.col("scheduled_arrival_ts")), "sched_last_arrival_ts": (F.max, F.col("scheduled_arrival_ts")),
+        "stops_observed": (F.sum, seen.cast("long")), "stops_skipped": (F.sum, F.when(on, 1).otherwise(0)),
+        "first_obs_seq": (F.min, F.when(seen, seq)), "last_obs_seq": (F.max, F.when(seen, seq)), "first_obs_ts": (F.min, F.col("observed_arrival_ts")), "last_obs_ts": (F.max, F.col("observed_arrival_ts")),
+        "max_gap_sec": (F.max, F.col("gap")), "origin_dev_sec": (F.max, F.when(seq == F.col("sched_first_seq"), dev)), "destination_dev_sec": (F.max, F.when(seq == F.col("sched_last_seq"), dev)),
+    }
+    vehicle = lambda at: F.max_by("vehicle_id", F.when(F.col("vehicle_id").isNotNull() & F.col(at).isNotNull(), F.struct(at, "vehicle_id"))).alias("vehicle_id")
+    if percentiles:
+        more = [trunc_int(F.percentile(dev, p)).alias(name) for name, p in (("dev_p50_sec", 0.5), ("dev_p95_sec", 0.95))]
+        out = rows.groupBy(*key).agg(vehicle("stop_sequence"), *[f(c).alias(name) for name, (f, c) in sums.items()], *more)
+    else:
+        per = rows.groupBy(*key, "vehicle_id").agg(F.max(seq).alias("seq"), *[f(c).alias(name) for name, (f, c) in sums.items()])
+        out = per.groupBy(*key).agg(vehicle("seq"), *[f(name).alias(name) for name, (f, _) in sums.items()])
     n = F.col("stops_scheduled")
     return out.withColumn("stops_observable", F.when(F.col("source") == "trip_update", F.greatest(n - 1, F.lit(0))).otherwise(n))
 

@@ -9,13 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetline.sources.dated import DatedTable
 
 
+def _nulls(cols: list[Column]) -> list[Column]:
+    """Which columns are null, sixty to a number: a null leaves the hash as it is."""
+    return [reduce(Column.bitwiseOR, [F.when(c.isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(cols[at : at + 60])]) for at in range(0, len(cols), 60)]
+
+
+def _bits(h: Column) -> list[Column]:
+    """A hash in pieces of 22 bits, whose sums stay in a long (a decimal's sum makes objects) for 2^41 rows a date."""
+    return [F.shiftrightunsigned(h, k).bitwiseAND(F.lit((1 << 22) - 1)) for k in (0, 22, 44)]
+
+
 def fingerprints(inputs: dict[str, DataFrame], recipe: str = "") -> DataFrame:
     """service_date, print: changes if rows of any input change on the date, or ``recipe`` does.
 
@@ -25,9 +36,9 @@ def fingerprints(inputs: dict[str, DataFrame], recipe: str = "") -> DataFrame:
     for name in sorted(inputs):
         df = inputs[name]
         cols = [F.col(c) for c in sorted(df.columns) if c != "service_date"]
-        h = F.xxhash64(*cols, F.array(F.lit(False), *[c.isNull() for c in cols])).cast("decimal(20,0)")  # a null leaves the hash as it is
-        per = df.filter("service_date IS NOT NULL").groupBy("service_date").agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h"))
-        per = per.select("service_date", F.concat_ws(":", F.lit(name), F.col("n").cast("string"), F.col("h").cast("string")).alias("part"))
+        rows = df.filter("service_date IS NOT NULL").select("service_date", F.xxhash64(*cols, *_nulls(cols)).alias("h"))
+        per = rows.groupBy("service_date").agg(F.count(F.lit(1)).alias("n"), *[F.sum(b).alias(f"h{i}") for i, b in enumerate(_bits(F.col("h")))])
+        per = per.select("service_date", F.concat_ws(":", F.lit(name), *[F.col(c).cast("string") for c in per.columns[1:]]).alias("part"))
         out = per if out is None else out.unionByName(per)
     parts = F.array_join(F.array_sort(F.collect_list("part")), " ")  # one part an input
     return out.groupBy("service_date").agg(F.sha2(F.concat(F.lit(recipe), F.lit("|"), parts), 256).alias("print"))

@@ -293,11 +293,16 @@ def quality(fx: Fixture):
 RECIPE = "1"
 
 
+def service_cells(fx: Fixture):
+    """The timetable's headways by service and cell, stored once."""
+    return fx.kept("service_cells", lambda: headways.service_cells(scheduled(fx.stored)))
+
+
 def overlay_inputs(fx: Fixture, events=None, ran=None) -> dict:
     """What a date of the overlay is made of, each by service_date: events, runs, timetable cells, trips due."""
     at = fx if ran is not None else fx.stored
     events = (at.stop_events if events is None else events).select("service_date", "route_id", "direction_id", "stop_id", "trip_id", "stop_sequence", "observed_arrival_ts", "deviation_sec", "source", "schedule_relationship")
-    cells = fx.kept("cells", lambda: headways.scheduled_cells(scheduled(at), day_services(at), gates=gates(at)), "service_date")
+    cells = fx.kept("cells", lambda: headways.scheduled_cells(service_cells(fx), day_services(at), gates=gates(at)), "service_date")
     trips = schedule.scheduled_trips_on_date(fx.trips, services(fx)).select("service_date", "route_id", "trip_id")
     return {"events": events, "runs": at.runs if ran is None else ran, "cells": cells, "trips": trips}
 
