@@ -548,8 +548,9 @@ def _(fx):
  pb AS (SELECT route_id, service_date, {ewt_period_sql('hour')} AS period, {_RATE} FROM pairs GROUP BY 1, 2, 3)
  SELECT d.* FROM (SELECT * FROM pe FULL JOIN pb USING (route_id, service_date, period)) d JOIN an ON an.route_id = d.route_id AND an.anchor_date = d.service_date""", "awt_sec swt_sec ewt_sec coverage bunching_rate")
 def _(fx):
-    at = fx.stored
-    return rollups.period_drilldown(headways.ewt_by_period(observed(at), scheduled(at), day_services(at), gates=gates(at)), headways.bunching_by_period(bunching(at)), anchors(fx))
+    at, cells = fx.stored, service_cells(fx)
+    pairs = headways.bunching_pairs(headways.observed_headways(at.stop_events, scheduled_only=True), cells, day_services(at))
+    return rollups.period_drilldown(headways.ewt_by_period(observed(at), cells, day_services(at), gates=gates(at)), headways.bunching_by_period(pairs), anchors(fx))
 
 
 @query("R14_rolling_mean_7d", DAILY + " SELECT route_id, service_date, avg(CASE WHEN NOT is_partial THEN otp_pct END) OVER (PARTITION BY route_id ORDER BY service_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS rolling_mean FROM daily", "rolling_mean")

@@ -90,7 +90,7 @@ def test_queries_of_events_and_timetable_build_no_runs(spark, monkeypatch):
         raise AssertionError("runs were built")
 
     monkeypatch.setattr(fixtures, "refresh_runs", refuse)
-    for name in ("R08_anchor_date",):
+    for name in ("R08_anchor_date", "R13_period_drilldown"):
         assert catalog.queries()[name](spark, DIR).count() > 0
 
 
