@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RUN_KEY = ["service_date", "trip_id", "source"]
+#: what a run needs to know of its trip's timetable
+TRIP_STOPS = ["stops_scheduled", "sched_first_seq", "sched_last_seq"]
 
 
 def trunc_int(x: Column) -> Column:
@@ -23,17 +25,26 @@ def exact_seconds_between(a: Column, b: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", a, b) / 1e6
 
 
-def aggregate_runs(stop_events: DataFrame, stop_times: DataFrame, *, percentiles: bool = True) -> DataFrame:
-    """One row per (service_date, trip_id, source) of its stop events; with the percentiles of its deviations, if asked for.
+def trip_stops(stop_times: DataFrame) -> DataFrame:
+    """(trip_id, TRIP_STOPS): number, first and last sequence of the timetable's stops of each trip."""
+    return stop_times.groupBy("trip_id").agg(F.count(F.lit(1)).cast("int").alias("stops_scheduled"), F.min("stop_sequence").alias("sched_first_seq"), F.max("stop_sequence").alias("sched_last_seq"))
+
+
+def aggregate_runs(stop_events: DataFrame, stop_times: DataFrame | None, *, percentiles: bool = True) -> DataFrame:
+    """One row per (service_date, trip_id, source) of its stop events; with the percentiles of its deviations and its longest gap, if asked for.
 
     The gap window, the join with the timetable and the aggregation share one shuffle by trip; window and
-    join share one sort of the events.  Without percentiles the events are added up by hash, by vehicle first, as
-    texts and percentiles would have them sorted again.
+    join share one sort of the events.  Without percentiles and gap the events are added up by hash, by vehicle first, as
+    texts and percentiles would have them sorted again.  Events that carry TRIP_STOPS need no timetable: then they
+    are added up where they are read, and only runs are shuffled.
     """
-    sched = stop_times.groupBy("trip_id").agg(F.count(F.lit(1)).cast("int").alias("stops_scheduled"), F.min("stop_sequence").alias("sched_first_seq"), F.max("stop_sequence").alias("sched_last_seq"))
     seen = F.col("observed_arrival_ts").isNotNull()
-    before = F.lag("observed_arrival_ts").over(Window.partitionBy("trip_id", "service_date", "source", seen).orderBy("observed_arrival_ts", "stop_sequence"))
-    rows = stop_events.repartition("trip_id").withColumn("gap", F.when(seen, seconds_between(before, F.col("observed_arrival_ts")))).join(sched, "trip_id", "left")
+    timed = set(TRIP_STOPS) <= set(stop_events.columns)
+    rows = stop_events if timed and not percentiles else stop_events.repartition("trip_id")
+    if percentiles:
+        before = F.lag("observed_arrival_ts").over(Window.partitionBy("trip_id", "service_date", "source", seen).orderBy("observed_arrival_ts", "stop_sequence"))
+        rows = rows.withColumn("gap", F.when(seen, seconds_between(before, F.col("observed_arrival_ts"))))
+    rows = rows if timed else rows.join(trip_stops(stop_times), "trip_id", "left")
     seq, dev = F.col("stop_sequence"), F.col("deviation_sec")
     key, on = [*RUN_KEY, "route_id", "direction_id"], F.col("schedule_relationship") == "SKIPPED"
     sums = {
@@ -41,11 +52,11 @@ def aggregate_runs(stop_events: DataFrame, stop_times: DataFrame, *, percentiles
         "sched_first_arrival_ts": (F.min, F.col("scheduled_arrival_ts")), "sched_last_arrival_ts": (F.max, F.col("scheduled_arrival_ts")),
         "stops_observed": (F.sum, seen.cast("long")), "stops_skipped": (F.sum, F.when(on, 1).otherwise(0)),
         "first_obs_seq": (F.min, F.when(seen, seq)), "last_obs_seq": (F.max, F.when(seen, seq)), "first_obs_ts": (F.min, F.col("observed_arrival_ts")), "last_obs_ts": (F.max, F.col("observed_arrival_ts")),
-        "max_gap_sec": (F.max, F.col("gap")), "origin_dev_sec": (F.max, F.when(seq == F.col("sched_first_seq"), dev)), "destination_dev_sec": (F.max, F.when(seq == F.col("sched_last_seq"), dev)),
+        "origin_dev_sec": (F.max, F.when(seq == F.col("sched_first_seq"), dev)), "destination_dev_sec": (F.max, F.when(seq == F.col("sched_last_seq"), dev)),
     }
     vehicle = lambda at: F.max_by("vehicle_id", F.when(F.col("vehicle_id").isNotNull() & F.col(at).isNotNull(), F.struct(at, "vehicle_id"))).alias("vehicle_id")
     if percentiles:
-        more = [trunc_int(F.percentile(dev, p)).alias(name) for name, p in (("dev_p50_sec", 0.5), ("dev_p95_sec", 0.95))]
+        more = [F.max("gap").alias("max_gap_sec")] + [trunc_int(F.percentile(dev, p)).alias(name) for name, p in (("dev_p50_sec", 0.5), ("dev_p95_sec", 0.95))]
         out = rows.groupBy(*key).agg(vehicle("stop_sequence"), *[f(c).alias(name) for name, (f, c) in sums.items()], *more)
     else:
         per = rows.groupBy(*key, "vehicle_id").agg(F.max(seq).alias("seq"), *[f(c).alias(name) for name, (f, c) in sums.items()])
@@ -67,7 +78,7 @@ def service_delivered(runs: DataFrame, scheduled: DataFrame) -> DataFrame:
     ran = runs.filter(F.col("stops_observed") >= delivered_floor(F.col("stops_observable"))).select("service_date", "trip_id").distinct()
     # dealt by the join's keys before, so that telling rows apart and joining share one shuffle
     sched = scheduled.select("service_date", "route_id", "trip_id").repartition("service_date", "trip_id").distinct()
-    done = sched.join(ran.withColumn("ran", F.lit(1)), ["service_date", "trip_id"], "left")
+    done = sched.join(ran.withColumn("ran", F.lit(1)).hint("shuffle_hash"), ["service_date", "trip_id"], "left")  # sorts neither side
     out = done.groupBy("route_id", "service_date").agg(F.count(F.lit(1)).alias("trips_scheduled"), F.count("ran").alias("trips_delivered"))
     out = out.join(runs.select("route_id", "service_date").distinct(), ["route_id", "service_date"], "full")
     out = out.fillna(0, ["trips_scheduled", "trips_delivered"])

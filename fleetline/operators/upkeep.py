@@ -7,6 +7,7 @@ them with those of the last one, builds the dates that differ, and replaces thes
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -53,23 +54,30 @@ class Refresh:
     same: tuple[str, ...]
 
 
-def stale_dates(table: DatedTable, inputs: dict[str, DataFrame], recipe: str = "") -> tuple[dict[str, str], list[str], list[str]]:
+def stale_dates(table: DatedTable, inputs: dict[str, DataFrame], recipe: str = "", told: dict[str, str] | None = None) -> tuple[dict[str, str], list[str], list[str]]:
     """({date: fingerprint} to build, dates without any input left, dates that are as they were).
 
-    One row a date comes to the driver, which is what the manifest holds.
+    One row a date comes to the driver, which is what the manifest holds.  ``told``: {date: fingerprint} of further inputs.
     """
-    fresh = {str(r["service_date"]): r["print"] for r in fingerprints(inputs, recipe).collect()}
+    fresh = {str(r["service_date"]): r["print"] for r in fingerprints(inputs, recipe).collect()} if inputs else {}
+    if told is not None:
+        fresh = {d: hashlib.sha256(f"{fresh.get(d, recipe)}|{told.get(d, '')}".encode()).hexdigest() for d in fresh.keys() | told.keys()}
     known = table.manifest()["notes"]
     return {d: p for d, p in fresh.items() if known.get(d) != p}, sorted(known.keys() - fresh.keys()), sorted(d for d, p in fresh.items() if known.get(d) == p)
 
 
-def refresh(table: DatedTable, inputs: dict[str, DataFrame], build: Callable[[dict[str, DataFrame]], DataFrame], recipe: str = "") -> Refresh:
+def refresh(table: DatedTable, inputs: dict[str, DataFrame], build: Callable[[dict[str, DataFrame]], DataFrame], recipe: str = "", told: dict[str, dict[str, str]] | None = None) -> Refresh:
     """Bring ``table`` up to date.  ``build`` makes its rows of the inputs, which come cut down to the dates that changed.
 
     If it fails, the table stays as it was and the next refresh finds the same dates.  A change of
     ``recipe`` (the definition of the aggregate) rebuilds every date.
+
+    ``told``: {input: {date: fingerprint}} of inputs that a table made before has already told apart (its manifest's
+    notes cover all that it was made of), so that they aren't read once more for it.
     """
-    changed, gone, same = stale_dates(table, inputs, recipe)
+    told = told or {}
+    known = {d: " ".join(f"{name}:{told[name].get(d, '')}" for name in sorted(told)) for d in {d for of in told.values() for d in of}} if told else None
+    changed, gone, same = stale_dates(table, {k: df for k, df in inputs.items() if k not in told}, recipe, known)
     if not changed and not gone:
         return Refresh((), (), tuple(same))
     days = sorted(changed)

@@ -313,11 +313,15 @@ def overlay_rows(x: dict):
     return rollups.route_metrics_overlay(split, runs.service_delivered(x["runs"], x["trips"]), headways.headway_statistics(x["events"], x["cells"]))
 
 
-def refresh_overlay(fx: Fixture, inputs: dict | None = None, path: str | None = None) -> tuple[DatedTable, upkeep.Refresh]:
-    """Bring the stored overlay of the fixture's folder up to date: the build step, apart from all that reads it."""
-    inputs = inputs or overlay_inputs(fx)
+def refresh_overlay(fx: Fixture, inputs: dict | None = None, path: str | None = None, told: dict[str, str] | None = None) -> tuple[DatedTable, upkeep.Refresh]:
+    """Bring the stored overlay of the fixture's folder up to date: the build step, apart from all that reads it.
+
+    ``told``: the fingerprints of the runs' table, which cover events and runs.
+    """
+    if inputs is None:
+        inputs, told = overlay_inputs(fx), fx.stored.run_prints()
     table = DatedTable(fx.spark, path or fx.place("overlay"), overlay_rows(inputs).schema)
-    return table, upkeep.refresh(table, inputs, overlay_rows, f"{RECIPE} {table.schema.simpleString()}")
+    return table, upkeep.refresh(table, inputs, overlay_rows, f"{RECIPE} {table.schema.simpleString()}", told and {"events": told, "runs": told})
 
 
 def overlay(fx: Fixture):
@@ -344,7 +348,7 @@ def daily_batch(fx: Fixture, events=None, folder: str | None = None) -> dict[str
     at = lambda name: f"{folder}/{name}" if folder else None
     ran = refresh_runs(fx, events, at("runs"))
     inputs = overlay_inputs(fx, events, ran[0].read())
-    over = refresh_overlay(fx, inputs, at("overlay"))
+    over = refresh_overlay(fx, inputs, at("overlay"), ran[0].manifest()["notes"])
     return {"runs": ran, "overlay": over, "system": refresh_system(fx, over[0].read(), ran[0].read(), at("system"))}
 
 

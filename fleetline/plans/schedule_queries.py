@@ -295,11 +295,11 @@ def day_services(fx: Fixture):
 
 
 def scheduled(fx: Fixture):
-    return schedule.scheduled_headways(fx.trips, fx.stop_times, "service_id")
+    return schedule.scheduled_headways(fx.trips, fx.timetable, "service_id")
 
 
 def route_stops(fx: Fixture):
-    return schedule.route_stops(fx.trips, fx.stop_times, fx.stops)
+    return schedule.route_stops(fx.trips, fx.timetable, fx.stops)
 
 
 @query("C01_service_ids_for_date", " SELECT s.service_date, s.service_id, count(*) AS n_trips FROM svc s JOIN fx_trips t ON t.service_id = s.service_id GROUP BY 1, 2")
@@ -348,9 +348,7 @@ def _(fx):
 
 def one_way(fx: Fixture):
     """Trips and stop times in which a route's directions use different stops."""
-    trips = fx.trips
-    st = fx.stop_times.join(trips.select("trip_id", "direction_id"), "trip_id").withColumn("stop_id", F.concat("stop_id", F.lit("_"), F.col("direction_id").cast("string"))).drop("direction_id")
-    return trips, st
+    return fx.trips, fx.timetable.withColumn("stop_id", F.concat("stop_id", F.lit("_"), F.col("direction_id").cast("string")))
 
 
 _OW = ", ow AS (SELECT trip_id, route_id, direction_id, service_id, concat(stop_id, '_', CAST(direction_id AS VARCHAR)) AS stop_id, stop_sequence, arrival_sec AS sec FROM fx_st)"
@@ -409,7 +407,7 @@ def _(fx):
 
 @query("C14_route_service_hours", " SELECT r.route_id, CAST(coalesce(min(arrival_sec // 3600) % 24, 5) AS INT) AS first_hour, CAST(coalesce(max(arrival_sec // 3600), 23) AS INT) AS last_hour FROM routes r LEFT JOIN fx_st s ON s.route_id = r.route_id GROUP BY 1")
 def _(fx):
-    return schedule.route_service_hours(fx.trips, fx.stop_times, fx.routes)
+    return schedule.route_service_hours(fx.trips, fx.timetable, fx.routes)
 
 
 @query("C15_route_stops", " SELECT DISTINCT s.route_id, s.stop_id, t.stop_name FROM fx_st s JOIN stops t ON t.stop_id = s.stop_id")

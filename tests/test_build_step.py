@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetline import catalog
 from fleetline.functions import clock
-from fleetline.operators import headways, runs, schedule, upkeep
+from fleetline.operators import derive, headways, runs, schedule, upkeep
 from fleetline.plans import fixtures
 
 DIR = "/root/testdata/sf0.001"
@@ -106,3 +106,70 @@ def test_fingerprints_sum_in_longs_and_tell_nulls_apart(spark):
 @pytest.mark.parametrize("n, want", [(90061, timedelta(days=1, hours=1, minutes=1, seconds=1)), (-5, timedelta(seconds=-5)), (1.25, timedelta(seconds=1.25)), (None, None)])
 def test_seconds_as_an_interval(spark, n, want):
     assert spark.range(1).select(clock.seconds(F.lit(n).cast("double" if isinstance(n, float) else "int")).alias("x")).first()["x"] == want
+
+
+def test_runs_of_events_that_know_their_trips_stops_shuffle_no_events(spark, no_broadcast):
+    rows = [
+        _event("a", 1, 10, vehicle="v1"), _event("a", 2, None, vehicle="v9", rel="SKIPPED"), _event("a", 5, 40, vehicle="v2"), _event("a", 5, 70, vehicle="v3"), _event("a", 7, 99, minute=20),
+        _event("a", 3, 99, vehicle="v1", source="proximity"), _event("b", 0, 8, vehicle=None), _event("b", 4, None, rel=None), _event("c", 2, 7), _event(None, 2, 7),
+    ]
+    times = spark.createDataFrame([("a", i) for i in range(1, 6)] + [("b", 4)], "trip_id string, stop_sequence int")
+    events = spark.createDataFrame(rows, EVENT)
+    timed = events.join(runs.trip_stops(times), "trip_id", "left")
+    want = runs.aggregate_runs(events, times, percentiles=False)
+    got = runs.aggregate_runs(timed, None, percentiles=False)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    text = _plan(runs.aggregate_runs(spark.createDataFrame([], timed.schema), None, percentiles=False))
+    assert "Join" not in text and "Window" not in text and text.rindex("HashAggregate") > text.rindex("Exchange")  # summed before the first shuffle
+
+
+def test_stop_times_know_their_trips(spark):
+    fx = fixtures.Fixture(spark, DIR)
+    own = fx.stop_times_raw.select("trip_id", *runs.TRIP_STOPS).distinct()
+    assert sorted(map(str, own.collect())) == sorted(map(str, runs.trip_stops(fx.stop_times).select(*own.columns).collect()))
+    for make in (lambda t: schedule.scheduled_headways(fx.trips, t, "service_id"), lambda t: schedule.reference_stop(fx.trips, t), lambda t: schedule.route_stops(fx.trips, t, fx.stops)):
+        got, want = make(fx.timetable), make(fx.stop_times)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and "orders" in str(want.inputFiles()) and "orders" not in str(got.inputFiles())
+
+
+def test_what_a_table_was_made_of_is_not_read_again(spark, tmp_path):
+    from fleetline.sources.dated import DatedTable
+
+    rows = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2)], "d string, n long").select(F.to_date("d").alias("service_date"), "n")
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    seen = rows.mapInArrow(count, rows.schema)
+    table, other = DatedTable(spark, str(tmp_path / "t"), rows.schema), rows.filter("n = 1")
+    run = lambda told, more=other: upkeep.refresh(table, {"x": seen, "more": more}, lambda x: x["x"], "r", {"x": told})
+    assert run({"2024-01-01": "p", "2024-01-02": "q"}).written == ("2024-01-01", "2024-01-02") and read.value == 2  # for the build, not for the prints
+    assert run({"2024-01-01": "p", "2024-01-02": "q"}).same == ("2024-01-01", "2024-01-02") and read.value == 2
+    assert run({"2024-01-01": "p", "2024-01-02": "z"}).written == ("2024-01-02",)
+    assert run({"2024-01-01": "p", "2024-01-02": "z"}, other.withColumn("n", F.lit(5))).written == ("2024-01-01",)
+    assert run({"2024-01-01": "p"}, rows).gone == () and run({"2024-01-01": "p"}, other).gone == ("2024-01-02",)
+
+
+def test_a_changed_stop_time_rebuilds_its_date_of_runs_and_overlay(spark, tmp_path, monkeypatch):
+    from fleetline.plans.rollup_queries import daily_batch
+
+    fx = fixtures.Fixture(spark, DIR)
+    daily_batch(fx, None, str(tmp_path))
+    late = fixtures.Fixture(spark, DIR)
+    late.stop_times_raw = fx.stop_times_raw.withColumn("l_quantity", F.when(F.col("day_off") == 5, 1).otherwise(F.col("l_quantity")))
+    done = daily_batch(late, None, str(tmp_path))
+    assert done["runs"][1].written == done["overlay"][1].written == ("2024-01-06",) and not done["overlay"][1].gone
+    want = runs.aggregate_runs(late.stop_events, late.stop_times, percentiles=False)
+    assert sorted(map(str, done["runs"][0].read().select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_pings_stay_one_row_where_their_stop_is_sought(spark):
+    pings = spark.createDataFrame([(1, "r", 38.9, -77.05), (2, "r", 38.90045, -77.05), (3, "r", 38.9009, -77.05), (4, "q", 38.9, -77.05), (5, "r", None, -77.05)], "id long, route_id string, latitude double, longitude double")
+    stops = spark.createDataFrame([("r", "b", "", 38.9, -77.05), ("r", "a", "", 38.9, -77.05), ("r", "c", "", 38.9005, -77.0496), ("r", "d", "", None, None)], "route_id string, stop_id string, stop_name string, stop_lat double, stop_lon double")
+    found = derive.nearest_stop_within(pings, stops)
+    assert sorted((r.id, r.stop_id) for r in found.collect()) == [(1, "a"), (2, "c")]
+    lines = _plan(found).splitlines()
+    assert [x for x in lines if "Generate" in x] and all("stop_lat" in x and "latitude" not in x for x in lines if "Generate" in x)
