@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetline.functions import clock, geo
 from fleetline.operators import matching
 from fleetline.operators.runs import exact_seconds_between, seconds_between
+from fleetline.operators.schedule import stop_seconds
 
 #: a prior-day anchor of an unobserved stop must lie within this many seconds
 PROXY_GUARD = 10_800
@@ -24,15 +25,15 @@ def positions_for_service_date(positions: DataFrame, dates: DataFrame, tz: str =
 def nearest_stop_within(positions: DataFrame, route_stops: DataFrame, *, max_m: float = 50.0) -> DataFrame:
     """Pings with the nearest stop of their route within max_m: stop_id, dist_m.
 
-    An equi join on route and grid cell (a ping looks at its 3 x 3 cells), so a ping meets
+    An equi join on route and grid cell (a stop stands in the 3 x 3 cells around it, so a ping stays one row), so a ping meets
     only stops around it, however many a route has.  Cells are max_m high, and wide enough
     for the stops' largest latitude, which one aggregate finds.  Ties go to the smaller stop id.
     """
     dy = max_m / geo.DEGREE_M
     limits = F.broadcast(route_stops.agg(F.max(F.abs("stop_lat")).alias("m")))
     dx = geo.cell_width(F.col("m"), max_m)
-    stops = route_stops.crossJoin(limits).select("route_id", F.col("stop_id").alias("s_id"), F.col("stop_lat").alias("s_lat"), F.col("stop_lon").alias("s_lon"), geo.grid_cell(F.col("stop_lat"), dy).alias("cy"), geo.grid_cell(F.col("stop_lon"), dx).alias("cx"))
-    near = positions.select("id", "route_id", "latitude", "longitude").crossJoin(limits).select("*", F.explode(geo.neighbour_cells(F.col("latitude"), F.col("longitude"), dy, dx)).alias("c")).select("id", "route_id", "latitude", "longitude", "c.cy", "c.cx")
+    stops = route_stops.crossJoin(limits).select("route_id", F.col("stop_id").alias("s_id"), F.col("stop_lat").alias("s_lat"), F.col("stop_lon").alias("s_lon"), F.explode(geo.neighbour_cells(F.col("stop_lat"), F.col("stop_lon"), dy, dx)).alias("c")).select("route_id", "s_id", "s_lat", "s_lon", "c.cy", "c.cx")
+    near = positions.select("id", "route_id", "latitude", "longitude").crossJoin(limits).select("id", "route_id", "latitude", "longitude", geo.grid_cell(F.col("latitude"), dy).alias("cy"), geo.grid_cell(F.col("longitude"), dx).alias("cx"))
     dist = geo.haversine_m(F.col("latitude"), F.col("longitude"), F.col("s_lat"), F.col("s_lon"))
     hits = near.join(stops, ["route_id", "cy", "cx"]).select("id", "s_id", dist.alias("d")).filter(F.col("d") <= max_m)
     best = hits.groupBy("id").agg(F.min(F.struct("d", "s_id")).alias("best"))
@@ -142,7 +143,7 @@ def enrich_positions(positions: DataFrame, route_stops: DataFrame, stop_times: D
     The trip's first visit of the stop counts.  ``tz`` UTC compares the ping's UTC clock
     with the schedule, the agency's zone its local clock.
     """
-    first = stop_times.groupBy("trip_id", "stop_id").agg(F.min_by(clock.gtfs_seconds(F.col("arrival_time")), "stop_sequence").alias("sched_sec"))
+    first = stop_times.groupBy("trip_id", "stop_id").agg(F.min_by(stop_seconds(stop_times), "stop_sequence").alias("sched_sec"))
     near = nearest_stop_within(positions, route_stops, max_m=max_m).join(first, ["trip_id", "stop_id"])
     at = clock.to_local(F.col("timestamp"), tz)
     sched = clock.gtfs_time_on_reference_day(at, F.col("sched_sec"), most_days=1)

@@ -311,7 +311,7 @@ HEADWAYS = ENRICHED + REF_SQL + """, hours AS (SELECT route_id, min(arrival_sec
 
 def ref_headways(fx: Fixture):
     rows, ref = ref_passages(fx)
-    return metrics.headways_at_stop(rows, ref, schedule.route_service_hours(fx.trips, fx.stop_times, fx.routes))
+    return metrics.headways_at_stop(rows, ref, schedule.route_service_hours(fx.trips, fx.timetable, fx.routes))
 
 
 @query("E08_headways_at_reference_stop", HEADWAYS + " SELECT route_id, direction_id, stop_id, service_date, ts AS timestamp, headway_min, headway_min <= 120 AS is_valid FROM hw WHERE headway_min IS NOT NULL", "headway_min")
