@@ -30,6 +30,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,6 +42,8 @@ END_ID = 1
 #: bytes of words and their ids that a Python worker remembers (with what Python needs for each), and bytes of the longest word it does
 CACHE_BYTES, LONGEST = 96 << 20, 64
 _ENTRY = 190
+#: bytes of text that are encoded at a time
+STEP_BYTES = 8 << 20
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
 _SIGNS = b".,;:!?#$%&*()-\""
@@ -124,7 +127,7 @@ class WordEncoder:
         parts.update([a for _, a, _ in split])
         parts.update([b for _, _, b in split])
         parts.discard(b"")
-        new = self._encode(list(parts - known.keys()))
+        new = self._encode(list(parts.difference(known)))
         get = lambda x: new[x] if x in new else known[x]
         new.update([(w, get(a) + get(b)) for w, a, b in split])
         short = {w: x for w, x in new.items() if len(w) <= LONGEST}
@@ -141,15 +144,45 @@ class WordEncoder:
         if not self.by_word:
             found = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
             return [np.array(x.ids, self.dtype).tobytes() for x in found]
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        fresh = set().union(*words) - self.known.keys()
-        long_ones = self._learn(fresh) if fresh else {}
-        get = self.known.__getitem__ if not long_ones else (lambda w: long_ones[w] if w in long_ones else self.known[w])
-        out = [b"".join(map(get, ws)) for ws in words]
+        flat, n = self.encode_flat(texts)
+        return [x.tobytes() for x in np.split(flat, np.cumsum(n)[:-1])] if len(n) else []
+
+    def encode_flat(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each followed by ``end`` if given, and their number by text.
+
+        Arrow parts the words and tells them apart, so Python meets each word of the batch once.
+        """
+        if not self.by_word:
+            found = [np.frombuffer(x, self.dtype) for x in self.encode(texts)]
+            flat, n = np.concatenate([np.empty(0, self.dtype), *found]), np.array([len(x) for x in found], np.int64)
+        else:
+            flat, n = self._encode_words(texts)
+        if end is None:
+            return flat, n
+        return np.insert(flat, np.cumsum(n), end), n + 1
+
+    def _encode_words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        as_text = pa.array(texts, pa.large_binary()).view(pa.large_string())  # unchecked: what follows looks at bytes of ASCII alone
+        low = pc.if_else(pc.match_substring(as_text, "<|"), as_text, pc.ascii_lower(as_text))
+        lists = pc.ascii_split_whitespace(low)  # an empty word at either end where white space stands there
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.view(pa.large_binary()).to_pylist()
+        fresh = set(distinct).difference(self.known, [b""])
+        apart = {b"": b""} | (self._learn(fresh) if fresh else {})
+        known = self.known
+        ids = [apart[w] if w in apart else known[w] for w in distinct]
+        k = self.dtype.itemsize
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // k
+        at, blob = np.cumsum(size) - size, np.frombuffer(b"".join(ids), self.dtype)
+        of = words.indices.to_numpy()
+        run = size[of]
+        ends = np.cumsum(run)
+        flat = blob[np.repeat(at[of] - ends + run, run) + np.arange(ends[-1] if len(ends) else 0)]
+        n = np.diff(np.r_[0, ends][lists.offsets.to_numpy()])
         if self.held > self.limit:  # the words met first are the frequent ones
             self.known = dict(islice(self.known.items(), int(len(self.known) * 0.75 * self.limit / self.held)))
             self.held = sum(map(len, self.known)) + sum(map(len, self.known.values())) + _ENTRY * len(self.known)
-        return out
+        return flat, n
 
 
 class TokenWriter:
@@ -245,17 +278,19 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str | None = None, *, en
         encoder = encoder_of(vocabulary)
         task = TaskContext.get()
         file = f"{out}/part-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
-        writer, end, ord_ = None, np.array([end_id], encoder.dtype).tobytes(), 0
+        writer, ord_ = None, 0
         for batch in batches:
             writer = writer or TokenWriter(file, encoder.dtype, length)
-            for lo in range(0, batch.num_rows, 1000):
-                some = batch.slice(lo, 1000)
-                found = [np.frombuffer(x + end, encoder.dtype) for x in encoder.encode(some.column("text").to_pylist())]
-                n = np.array([len(x) for x in found], np.int64)
+            before = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64))  # texts are never null here
+            lo = 0
+            while lo < batch.num_rows:
+                most = (before[lo - 1] if lo else 0) + STEP_BYTES
+                k = max(1, int(np.searchsorted(before, most, "right")) - lo)
+                some = batch.slice(lo, k)
+                lo += k
+                flat, n = encoder.encode_flat(some.column("text").to_pylist(), end_id)
                 start = writer.total + np.cumsum(n) - n
-                for x in found:
-                    writer.add(x)
-                k = len(found)
+                writer.add(flat)
                 yield pa.record_batch(
                     [pa.array(np.full(k, task.partitionId(), np.int32)), pa.array([file] * k), pa.array(np.arange(ord_, ord_ + k)), some.column("doc_id"), pa.array(start), pa.array(n)],
                     ["part", "file", "ord", "doc_id", "start_in_file", "n_tokens"],

@@ -596,3 +596,21 @@ def test_pipeline_runs_on_odd_tables(spark, tmp_path, kind):
         assert len(set(ids)) > 25
     else:
         assert set(ids) <= {0, 1, 2, 3, 4, None} and ids
+
+
+def test_words_of_a_batch_are_looked_up_once():
+    enc = tokenfile.WordEncoder(vocabulary())
+    looks = []
+
+    class Seen(dict):
+        def __getitem__(self, w):
+            looks.append(w)
+            return super().__getitem__(w)
+
+    enc.known = Seen()
+    texts = [t.encode() for t in [*ODD, " Twice twice\ttwice, ", "", "\n", "twice, " * 300] * 3]
+    flat, n = enc.encode_flat(texts, 1)
+    want = [[*enc.tokenizer.encode(t.decode(), add_special_tokens=False).ids, 1] for t in texts]
+    assert n.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+    assert looks.count(b"twice,") <= 1 and looks.count(b"twice") <= 2
+    assert [x.tolist() for x in enc.encode_flat([], 1)] == [[], []] and enc.encode([]) == [] and enc.encode([b""]) == [b""]
